@@ -6,6 +6,7 @@ import importlib
 
 #: module, query, name of the SQL in that module (or None)
 _TABLE = [
+    ("op2_bpe", "op2_bpe_digest", None),
     ("op6_quality", "op6_quality_rules", "SQL"),
 ]
 
