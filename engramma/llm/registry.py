@@ -7,7 +7,10 @@ import importlib
 #: module, query, name of the SQL in that module (or None)
 _TABLE = [
     ("op2_bpe", "op2_bpe_digest", None),
+    ("op3_langid", "op3_language_id", None),
+    ("op4_packing", "op4_best_fit_packing", None),
     ("op6_quality", "op6_quality_rules", "SQL"),
+    ("op10_chat", "op10_chat_rotation", "SQL"),
 ]
 
 
