@@ -10,6 +10,7 @@ _TABLE = [
     ("op3_langid", "op3_language_id", None),
     ("op4_packing", "op4_best_fit_packing", None),
     ("op6_quality", "op6_quality_rules", "SQL"),
+    ("op7_jaccard", "op7_ngram_jaccard", None),
     ("op8_lines", "op8_line_dedup", "SQL"),
     ("op9_lattice", "op9_lattice_neardup", None),
     ("op10_chat", "op10_chat_rotation", "SQL"),
