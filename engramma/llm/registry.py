@@ -6,6 +6,7 @@ import importlib
 
 #: module, query, name of the SQL in that module (or None)
 _TABLE = [
+    ("op1_suffix", "op1_suffix_dedup", None),
     ("op2_bpe", "op2_bpe_digest", None),
     ("op3_langid", "op3_language_id", None),
     ("op4_packing", "op4_best_fit_packing", None),
