@@ -1,10 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is its sequence of words `[^\\x20\\x09-\\x0D]+`.  A line is removed if an earlier
-one (smaller doc_id, then line number) has the same words, or, from `near_words`
-words on, words within one insertion, deletion or substitution of a word; earlier
-lines are taken from the input, removed or not.  Lines of fewer than `min_words`
-words are left alone.
+A line is its text without white space at its ends, and its words are what single
+blanks separate.  A line is removed if an earlier one (smaller doc_id, then line
+number) is equal, or, from `near_words` words on, is within one insertion, deletion or
+substitution of a word; earlier lines are taken from the input, removed or not.
+Lines of fewer than `min_bytes` bytes are left alone.
 
 Deletion neighbourhood: a line and its variants with one word left out are hashed;
 two lines are within the bound exactly if they share such a key (both with the same
@@ -31,34 +31,44 @@ from pyspark.sql import functions as F
 
 from engramma.llm.common import drop_stored, store
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_BYTES, NEAR_WORDS = 32, 10
 LAST = (1 << 63) - 1
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+
+
+def n_words(s: Column) -> Column:
+    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit(""))) + 1
+
+
+def first_words(s: Column, n: Column) -> Column:
+    return F.call_function("substring_index", s, F.lit(" "), n)
+
+
+def last_words(s: Column, n: Column) -> Column:
+    return F.call_function("substring_index", s, F.lit(" "), -n)
 
 
 def document_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at, words): at orders all lines of the corpus."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
+    """(at, s): at orders all lines of the corpus."""
     text = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
     out = docs.select(document_key(id_col, text_col).alias("k"), F.posexplode(text).alias("n", "line"))
-    return out.select(F.struct("k.o", "k.t", "n").alias("at"), words_of(F.col("line")).alias("words"))
+    return out.select(F.struct("k.o", "k.t", "n").alias("at"), bare(F.col("line")).alias("s")).where(F.octet_length("s") >= min_bytes)
 
 
-def _keys(words: Column, pieces) -> Column:
-    """Hashed keys of the line as the longer (m = its length) or the shorter (m = length + 1) of a pair."""
-    n = F.size(words)
+def _keys(s: Column, n: Column, pieces) -> Column:
+    """Hashed keys of the line of n words as the longer (m = n) or the shorter (m = n + 1) of a pair."""
     out = []
     for m in (n, n + 1):
         half = F.floor((m - 1) / 2).cast("int")
         part = F.floor((m - half - 1) / 2).cast("int")
-        first, last = lambda k: F.slice(words, 1, k), lambda k: F.slice(words, n - k + 1, k)
-        out += [F.xxhash64(F.lit(i), m, *cols) for i, cols in enumerate(pieces(first, last, half, part))]
+        out += [F.xxhash64(F.lit(i), m, *cols) for i, cols in enumerate(pieces(lambda k: first_words(s, k), lambda k: last_words(s, k), half, part))]
     return F.array(*out)
 
 
@@ -87,13 +97,14 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, near_words: int = NEAR_WORDS) -> DataFrame:
     """(k, gone): of each document that loses lines, their numbers from 0 on."""
-    lines = lines_of(docs, id_col, text_col).where(F.size("words") >= min_words)
-    hashes = F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(1), "words").alias("b"))
-    halves = F.when(F.size("words") >= near_words - 1, _keys(F.col("words"), _halves))
+    lines = lines_of(docs, id_col, text_col, min_bytes)
+    hashes = F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))
     occurrences = lines.select("at", hashes.alias("h"))
-    classes = store(lines.select("at", hashes.alias("h"), halves.alias("halves")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
+    sized = lines.select("at", hashes.alias("h"), "s", n_words(F.col("s")).alias("n"))
+    halves = F.when(F.col("n") >= near_words - 1, _keys(F.col("s"), F.col("n"), _halves))
+    classes = store(sized.select("at", "h", halves.alias("halves")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
 
     # near neighbours
     near = _shared(classes.where("halves is not null").select("first", "halves"), F.col("halves"), F.col("first"))
@@ -101,13 +112,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(document_key(id_col, text_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     texts = texts.join(wanted, "k").dropDuplicates(["k"])
     texts = texts.select("k", F.explode("ns").alias("n"), F.split("body", "\n").alias("ls"))
-    known = store(texts.select(F.struct("k.o", "k.t", "n").alias("first"), words_of(F.element_at("ls", F.col("n") + 1)).alias("words")))
-    close = _shared(known, _keys(F.col("words"), _three_quarters), F.col("first"))
+    known = texts.select(F.struct("k.o", "k.t", "n").alias("first"), bare(F.element_at("ls", F.col("n") + 1)).alias("s"))
+    known = store(known.withColumn("size", n_words(F.col("s"))))
+    close = _shared(known, _keys(F.col("s"), F.col("size"), _three_quarters), F.col("first"))
     known = store(known.join(close.withColumnRenamed("i", "first"), "first", "left_semi"))
-    size = F.size("words")
     # dropped: number of the word left out, 0 for none; longer: words of the longer line of a pair with this key
-    cuts = known.select("first", "words", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
-    rest = F.when(F.col("dropped") == 0, F.col("words")).otherwise(F.concat(F.slice("words", 1, F.col("dropped") - 1), F.slice("words", F.col("dropped") + 1, size)))
+    size = F.col("size")
+    cuts = known.select("first", "s", "size", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
+    head, tail = first_words(F.col("s"), F.col("dropped") - 1), last_words(F.col("s"), size - F.col("dropped"))
+    rest = F.when(F.col("dropped") == 0, F.col("s")).when(F.col("dropped") == 1, tail).when(F.col("dropped") == size, head).otherwise(F.concat(head, F.lit(" "), tail))
     variants = cuts.select("first", "dropped", F.when(F.col("dropped") == 0, size + 1).otherwise(size).alias("longer"), F.xxhash64(rest).alias("v"))
     variants = store(variants.where(F.col("longer") >= near_words))
     by_word = variants.where("dropped > 0").groupBy("v", "longer", "dropped").agg(F.min("first").alias("w"), F.count("*").alias("c")).where("c > 1")
@@ -116,8 +129,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = variants.join(by_word, ["v", "longer", "dropped"]).select("first", "w")
     pairs = pairs.union(variants.join(by_key, ["v", "longer"]).select("first", F.when(F.col("dropped") == 0, F.col("cut")).otherwise(F.col("whole"))))
     pairs = pairs.where("w < first").groupBy("first").agg(F.min("w").alias("w"))
-    left = known.select(F.col("first").alias("f1"), F.col("words").alias("w1"))
-    checked = pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).where(within_one_edit(F.col("words"), F.col("w1"))).select(F.col("first").alias("at"))
+    left = known.select(F.col("first").alias("f1"), F.col("s").alias("s1"))
+    near_pair = within_one_edit(F.split("s", " "), F.split("s1", " "))
+    checked = pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).where(near_pair).select(F.col("first").alias("at"))
 
     # all later occurrences of a class, and first occurrences with an earlier neighbour
     many = store(classes.where("c > 1").select("h", "first"))
@@ -147,8 +161,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int n, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
-  w as materialized (select doc_id, n, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') ws from l),
-  e as materialized (select *, array_to_string(ws, ' ') s, min(doc_id * 1000000 + n) over (partition by array_to_string(ws, ' ')) f from w where len(ws) >= 5),
+  w as materialized (select doc_id, n, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) s from l),
+  e as materialized (select *, string_split(s, ' ') ws, min(doc_id * 1000000 + n) over (partition by s) f from w where strlen(s) >= 32),
   c as materialized (select distinct s, ws, f from e where len(ws) >= 9),
   v as materialized (select f, i, case when i = 0 then len(ws) + 1 else len(ws) end longer,
           case when i = 0 then s else array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') end var from c, unnest(range(0, len(ws) + 1)) t(i)),
