@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramma.llm.common import _BYTE, U64, _powers, drop_stored, mix, shuffle_parts, store
 
@@ -45,31 +46,28 @@ LENGTH, GRAM = 100, 32
 HOT = 1 << 16
 LAST = (1 << 63) - 1
 PIECE = 1 << 20  # window starts of one document handled at a time
-COLLECTION = 1 << 21  # bytes whose transforms are merged together
-SHARDS = 4
-BATCH = 1 << 23  # bytes of text whose hashes or contexts are packed together
+COLLECTION = 1 << 17  # bytes whose transforms are merged together; small, since random access pays for cache misses
+SHARDS = 2
+BATCH = 1 << 23  # bytes of text whose hashes are packed together
+GROUP = 1 << 24  # bytes of text of one group of documents
 
 
 # ------------------------------------------------------------ minimisers
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    n = len(data)
-    power, inverse = _powers(n + 1)
-    run = np.empty(n + 1, U64)
-    run[0] = 0
-    np.cumsum(_BYTE[data] * power[:n], out=run[1:])
-    return mix((run[gram:] - run[:-gram]) * inverse[: n - gram + 1])
-
-
 def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: first start, end of starts, minimiser's place and hash."""
+    """Runs of windows with one minimiser: first start, end of starts, minimiser's hash, hash of all bytes of the run's windows."""
     found = []
     last = len(data) - length + 1
+    low = U64((1 << 22) - 1)
     for base in range(0, max(last, 0), PIECE):
         part = data[base : base + PIECE + length - 1]
-        h = gram_hashes(part, gram)
-        low = U64((1 << 22) - 1)
+        n = len(part)
+        power, inverse = _powers(n + 1)
+        run = np.empty(n + 1, U64)
+        run[0] = 0
+        np.cumsum(_BYTE[part] * power[:n], out=run[1:])
+        h = mix((run[gram:] - run[:-gram]) * inverse[: n - gram + 1])
         key = (h & ~low) | np.arange(len(h), dtype=U64)
         width, s = length - gram + 1, 1
         while 2 * s <= width:
@@ -80,14 +78,27 @@ def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
         place = (key & low).astype(np.int64)
         a = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         b = np.append(a[1:], len(place))
-        at = place[a]
-        found.append((a + base, b + base, at + base, h[at]))
+        whole = mix((run[b + length - 1] - run[a]) * inverse[a] + (b - a).astype(U64))
+        found.append((a + base, b + base, h[place[a]], whole))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+        return none, none, np.zeros(0, U64), np.zeros(0, U64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def windows_of(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Single windows of the runs [a, b): their starts and hashes."""
+    at = np.repeat(a, b - a) + np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+    digests = [int.from_bytes(hashlib.blake2b(data[i : i + length].tobytes(), digest_size=8).digest(), "little") for i in at.tolist()]
+    return at, np.array(digests, U64)
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of `data` one after another."""
+    total = int(size.sum())
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
+
+
 # ------------------------------------------------------------ packed arrays
 
 
@@ -112,28 +123,60 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _documents(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("o"), F.xxhash64(body).alias("t"), body.alias("body"))
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("o"), F.xxhash64(body).alias("t"), body.alias("body"), *more)
+
+
+def spot(o: np.ndarray, t: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document."""
+    return (mix(o.view(U64) * U64(0x9E3779B97F4A7C15) ^ t.view(U64)) % U64(groups)).astype(np.int32)
+
+
+def cuts(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of equal neighbours."""
+    if not len(keys):
+        return []
+    edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(edge[:-1], edge[1:], strict=True))
+
 
+def squeezed(rows: DataFrame, groups: int) -> DataFrame:
+    """`rows` with compressed bodies and the group of each document."""
 
-def _texts(batch, names=("o", "t", "body")) -> Iterator[tuple]:
-    cols = [batch.column(c) for c in names]
-    for i in range(batch.num_rows):
-        yield tuple(np.frombuffer(c[i].as_buffer(), np.uint8) if c is cols[2] else c[i].as_py() for c in cols)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != "body"]
+            body = pa.array([press.compress(x.as_buffer()) for x in batch.column("body")], pa.binary())
+            g = spot(*(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("o", "t")), groups)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), body, pa.array(g, pa.int32())], [*names, "body", "g"])
+
+    kinds = [f for f in rows.schema if f.name != "body"]
+    return rows.select(*[f.name for f in kinds], "body").mapInArrow(run, T.StructType([*kinds, T.StructField("body", T.BinaryType()), T.StructField("g", T.IntegerType())]))
+
+
+def by_document(o: np.ndarray, t: np.ndarray, *values: np.ndarray) -> dict:
+    """Values of each document."""
+    order = np.lexsort((t, o))
+    o, t = o[order], t[order]
+    values = [v[order] for v in values]
+    edge = np.append(True, (o[1:] != o[:-1]) | (t[1:] != t[:-1])) if len(o) else np.zeros(0, bool)
+    at = np.append(np.flatnonzero(edge), len(o)).tolist()
+    return {(int(o[x]), int(t[x])): tuple(v[x:y] for v in values) for x, y in zip(at[:-1], at[1:], strict=True)}
 
 
 # ------------------------------------------------------------ 1. repeated minimisers
 
 
-def repeated(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """(o, t, places): for each document the numbers of its runs whose minimiser repeats, packed;
-    rows without o hold minimisers that occur more than `hot` times, of which there are at most 2**24 by the
-    bound below (far fewer, since a minimiser stands for some 30 bytes)."""
-    n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(shuffle_parts(rows.sparkSession), math.ceil(n_bytes / (64 << 20)))
-    hot = max(hot, n_bytes >> 24)
+def repeated(rows: DataFrame, length: int, gram: int, groups: int, hot: int) -> DataFrame:
+    """(g, data): for groups of documents the numbers of the runs whose minimiser repeats; rows of
+    group -1 hold minimisers that occur more than `hot` times."""
+    buckets = groups
 
     def ask(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -149,40 +192,32 @@ def repeated(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
             order = np.argsort(h, kind="stable")
             h, doc, nth = h[order], doc[order], nth[order]
             first = np.append(True, h[1:] != h[:-1])
-            times = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.int64)
+            times = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.int32)
             each = np.repeat(times, times)
-            own = [[], [], []]
+            out: list[tuple[int, bool, bytes]] = []
             # repeats inside this batch: the answer is known; only one ask for each hash goes out
             back = np.flatnonzero(each > 1)
-            if len(back):
-                again = back[np.lexsort((nth[back], doc[back]))]
-                cut = np.flatnonzero(np.append(True, doc[again][1:] != doc[again][:-1]))
-                for a, b in zip(cut, np.append(cut[1:], len(again)), strict=True):
-                    d = doc[again[a]]
-                    spot = int(mix(np.array([o[d] ^ t[d]], np.int64).view(U64))[0] % U64(buckets))
-                    own[0].append(buckets + spot)
-                    own[1].append(int(d))
-                    own[2].append(pack(nth[again[a:b]]))
-            place = (h[first] >> U64(32)) % U64(buckets)
-            order = np.argsort(place.astype(np.uint32), kind="stable")
-            cut = np.searchsorted(place[order], np.arange(buckets + 1).astype(U64))
+            goal = spot(o, t, buckets)
+            back = back[np.argsort(goal[doc[back]], kind="stable")]
+            for x, y in cuts(goal[doc[back]]):
+                ix = back[x:y]
+                d = doc[ix]
+                out.append((int(goal[d[0]]), True, pack(o[d], t[d], nth[ix])))
             hf, df, nf = h[first], doc[first], nth[first]
-            bs, os, ts, data = list(own[0]), [int(o[d]) for d in own[1]], [int(t[d]) for d in own[1]], list(own[2])
-            for b in range(buckets):
-                ix = order[cut[b] : cut[b + 1]]
-                if len(ix):
-                    docs_here, local = np.unique(df[ix], return_inverse=True)
-                    bs.append(b)
-                    os.append(None)
-                    ts.append(None)
-                    data.append(pack(o[docs_here], t[docs_here], hf[ix], local.astype(np.int32), nf[ix], times[ix].astype(np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(os, pa.int64()), pa.array(ts, pa.int64()), pa.array(data, pa.binary())], ["b", "o", "t", "data"])
+            place = ((hf >> U64(32)) % U64(buckets)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            for x, y in cuts(place[order]):
+                ix = order[x:y]
+                docs_here, local = np.unique(df[ix], return_inverse=True)
+                out.append((int(place[ix[0]]), False, pack(o[docs_here], t[docs_here], hf[ix], local.astype(np.int32), nf[ix], times[ix])))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.bool_(), pa.binary()))], ["b", "known", "data"])
 
         for batch in batches:
-            for o, t, data in _texts(batch):
+            for o, t, body in zip(batch.column("o").to_pylist(), batch.column("t").to_pylist(), batch.column("body"), strict=True):
+                data = np.frombuffer(body.as_buffer(), np.uint8)
                 if len(data) < length:
                     continue
-                held.append(owners(data, length, gram)[3])
+                held.append(owners(data, length, gram)[2])
                 keys.append((o, t))
                 size += len(data)
                 if size >= BATCH:
@@ -194,42 +229,33 @@ def repeated(rows: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     def answer(key, frame):
         import pandas as pd
 
-        out_o, out_t, out_d = [], [], []
-        mine = frame["o"].notna()
-        got = frame[mine]
-        out_o += [int(x) for x in got["o"]]
-        out_t += [int(x) for x in got["t"]]
-        out_d += list(got["data"])
-        asks = [unpack(x) for x in frame[~mine]["data"]]
+        out_g, out_d = [], []
+        for known in frame[frame["known"]]["data"]:
+            out_g.append(int(key[0]))
+            out_d.append(known)
+        asks = [unpack(x) for x in frame[~frame["known"]]["data"]]
         if asks:
-            h = np.concatenate([a[2] for a in asks])
-            times = np.concatenate([a[5] for a in asks]).astype(np.int64)
-            u, inv = np.unique(h, return_inverse=True)
+            h = np.concatenate([x[2] for x in asks])
+            times = np.concatenate([x[5] for x in asks])
+            _, inv = np.unique(h, return_inverse=True)
             total = np.bincount(inv, times).astype(np.int64)[inv]
             often = np.unique(h[total > hot])
             if len(often):
-                out_o.append(None)
-                out_t.append(None)
+                out_g.append(-1)
                 out_d.append(pack(often))
-            at = 0
-            for o, t, own_h, doc, nth, n in asks:
-                k = len(own_h)
-                all_ = total[at : at + k]
-                at += k
-                pick = np.flatnonzero((all_ > 1) & (n == 1))  # those repeated in the batch already have an answer
-                pick = pick[np.lexsort((nth[pick], doc[pick]))]
-                if not len(pick):
-                    continue
-                d = doc[pick]
-                cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                for a, b in zip(cut, np.append(cut[1:], len(pick)), strict=True):
-                    out_o.append(int(o[d[a]]))
-                    out_t.append(int(t[d[a]]))
-                    out_d.append(pack(nth[pick[a:b]]))
-        return pd.DataFrame({"o": pd.array(out_o, "Int64"), "t": pd.array(out_t, "Int64"), "places": pd.Series(out_d, dtype="object")})
+            pick = (total > 1) & (times == 1)  # those repeated in the batch already have an answer
+            o, t = (np.concatenate([x[k][x[3]] for x in asks])[pick] for k in (0, 1))
+            nth = np.concatenate([x[4] for x in asks])[pick]
+            goal = spot(o, t, groups)
+            order = np.argsort(goal, kind="stable")
+            for x, y in cuts(goal[order]):
+                ix = order[x:y]
+                out_g.append(int(goal[ix[0]]))
+                out_d.append(pack(o[ix], t[ix], nth[ix]))
+        return pd.DataFrame({"g": pd.Series(out_g, dtype="int32"), "data": pd.Series(out_d, dtype="object")})
 
-    asked = rows.select("o", "t", "body").mapInArrow(ask, "b int, o long, t long, data binary")
-    return asked.repartition(buckets, "b").groupBy("b").applyInPandas(answer, "o long, t long, places binary")
+    asked = rows.select("o", "t", "body").mapInArrow(ask, "b int, known boolean, data binary")
+    return asked.repartition(buckets, "b").groupBy("b").applyInPandas(answer, "g int, data binary")
 
 
 # ------------------------------------------------------------ 3. transforms
@@ -267,7 +293,7 @@ def before(start: np.ndarray, size: np.ndarray, q: int) -> np.ndarray:
     n = int(size.sum())
     first = np.repeat(start, size)
     length = np.repeat(size, size)
-    return first + (np.arange(n) - first - q) % length
+    return (first + (np.arange(n) - first - q) % length).astype(np.int32)
 
 
 def steps(table: list[tuple[int, np.ndarray]], length: int) -> list[int]:
@@ -322,7 +348,7 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shards: in
     n = len(size)
     cut = np.unique(np.linspace(0, n, min(shards, n) + 1).astype(int))
     ends = np.append(start, len(data))
-    built = [transform(np.arange(ends[a], ends[b]), plan, code, prev) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    built = [transform(np.arange(ends[a], ends[b], dtype=np.int32), plan, code, prev) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     rotation, block = merge(built, plan, code, prev)
     inside = np.repeat(start + size - length, size) >= np.arange(len(data))
     place = np.where(inside[rotation], rotation, len(data))
@@ -336,190 +362,178 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shards: in
 # ------------------------------------------------------------ 2. contexts, buckets
 
 
-def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
-    """(o, t, runs): packed (start, end) of removed window starts."""
-    n = found.agg(F.sum(F.octet_length("places"))).first()[0] or 0
-    buckets = max(shuffle_parts(rows.sparkSession), math.ceil(n / (64 << 10)))
-    per_doc = found.where("o is not null").groupBy("o", "t").agg(F.collect_list("places").alias("places"))
-    hot = [unpack(r["places"])[0] for r in found.where("o is null").select("places").collect()]
+def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int, groups: int) -> DataFrame:
+    """(g, data): for groups of documents the runs of removed window starts."""
+    n = found.where("g >= 0").agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets = max(shuffle_parts(rows.sparkSession), math.ceil(n / (256 << 10)))
+    hot = [unpack(r["data"])[0] for r in found.where("g < 0").select("data").collect()]
     hot_set = rows.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(hot)) if hot else np.zeros(0, U64))
+    texts = squeezed(rows.where(F.octet_length("body") >= length).select("o", "t", "body"), groups)
 
-    def squeeze(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            body = pa.array([press.compress(x.as_buffer()) for x in batch.column("body")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), body], ["o", "t", "body"])
-
-    texts = rows.where(F.octet_length("body") >= length).select("o", "t", "body").mapInArrow(squeeze, "o long, t long, body binary")
-    joined = texts.join(per_doc, ["o", "t"])
-
-    def contexts(batches: Iterator) -> Iterator:
+    def contexts(key, docs, answers):
         import pyarrow as pa
         import zstandard
 
         open_ = zstandard.ZstdDecompressor()
         hot = hot_set.value
-        held: dict[tuple[int, bytes], list] = {}
-        size = 0
-
-        def flush():
-            bs, data = [], []
-            groups: dict[int, list] = {}
-            for (h, string), (o, t, a, later) in held.items():
-                groups.setdefault(int(mix(np.array([h], U64))[0] % U64(buckets)), []).append((h, string, o, t, a, later))
-            for b, g in groups.items():
-                bs.append(b)
-                late = [(i, *x) for i, m in enumerate(g) for x in m[5]]
-                data.append(pack(
-                    np.array([m[0] for m in g], U64), np.array([len(m[1]) for m in g], np.int32), np.array([m[2] for m in g], np.int64),
-                    np.array([m[3] for m in g], np.int64), np.array([m[4] for m in g], np.int64), np.frombuffer(b"".join(m[1] for m in g), np.uint8),
-                    *(np.array([x[k] for x in late], np.int64) for k in (1, 2, 3, 4)),
-                ))
-            return pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(data, pa.binary())], ["b", "data"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                o, t = batch.column("o")[i].as_py(), batch.column("t")[i].as_py()
-                raw = open_.decompress(batch.column("body")[i].as_py())
-                first, end, _, hashes = owners(np.frombuffer(raw, np.uint8), length, gram)
-                nth = np.unique(np.concatenate([unpack(x)[0] for x in batch.column("places")[i].as_py()]))
-                spread = np.isin(hashes[nth], hot) if len(hot) else np.zeros(len(nth), bool)
-                for k, is_hot in zip(nth.tolist(), spread.tolist(), strict=True):
-                    spans = [(s, s + 1) for s in range(first[k], end[k])] if is_hot else [(int(first[k]), int(end[k]))]
-                    for a, b in spans:
-                        string = raw[a : b + length - 1]
-                        h = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") if is_hot else int(hashes[k])
-                        had = held.get((h, string))
-                        if had is None:
-                            held[(h, string)] = [o, t, a, []]
-                            size += len(string) + 200
-                        elif (o, t, a) == (had[0], had[1], had[2]):
-                            continue  # a repeated row
-                        elif (o, t, a) < (had[0], had[1], had[2]):
-                            had[3].append((had[0], had[1], had[2], had[2] + b - a))
-                            had[:3] = [o, t, a]
-                        else:
-                            had[3].append((o, t, a, b))
-                if size >= 12 * BATCH:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
+        names = ["b", "late", "data"]
+        kinds = (pa.int32(), pa.bool_(), pa.binary())
+        table = lambda rows: pa.table([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], names)
+        if not docs.num_rows or not answers.num_rows:
+            return table([])
+        parts = [unpack(x.as_py()) for x in answers.column("data")]
+        wanted = by_document(*(np.concatenate([p[k] for p in parts]) for k in range(3)))
+        texts, found, at, seen = [], [], 0, set()
+        for o, t, body in zip(docs.column("o").to_pylist(), docs.column("t").to_pylist(), docs.column("body"), strict=True):
+            want = wanted.get((o, t))
+            if want is None or (o, t) in seen:  # a repeated row has the same contexts
+                continue
+            seen.add((o, t))
+            data = np.frombuffer(open_.decompress(body.as_buffer()), np.uint8)
+            a, b, h, whole = owners(data, length, gram)
+            nth = np.unique(want[0])
+            a, b, h, whole = a[nth], b[nth], h[nth], whole[nth]
+            spread = np.isin(h, hot) if len(hot) else np.zeros(0, bool)
+            if spread.any():
+                single, digest = windows_of(data, a[spread], b[spread], length)
+                a, b, h, whole = (np.concatenate([x[~spread], y]) for x, y in ((a, single), (b, single + 1), (h, digest), (whole, digest)))
+            texts.append(data)
+            found.append((h, whole, np.full(len(a), o), np.full(len(a), t), a, b, a + at))
+            at += len(data)
+        if not found:
+            return table([])
+        text = np.concatenate(texts)
+        h, whole, o, t, a, b, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        del texts, found
+        firsts, late = split_classes(h, whole, o, t, a)
+        out: list[tuple[int, bool, bytes]] = []
+        goal = spot(o[late], t[late], buckets)
+        order = np.argsort(goal, kind="stable")
+        for x, y in cuts(goal[order]):
+            ix = late[order[x:y]]
+            out.append((int(goal[order[x]]), True, pack(o[ix], t[ix], a[ix], b[ix])))
+        goal = (mix(h[firsts]) % U64(buckets)).astype(np.int32)
+        order = np.argsort(goal, kind="stable")
+        for x, y in cuts(goal[order]):
+            ix = firsts[order[x:y]]
+            size = b[ix] - a[ix] + length - 1
+            out.append((int(goal[order[x]]), False, pack(h[ix], whole[ix], o[ix], t[ix], a[ix], size.astype(np.int32), gathered(text, place[ix], size))))
+        return table(out)
 
     def decide(key, frame):
         import pandas as pd
 
-        parts = [unpack(x) for x in frame["data"]]
-        out = [np.concatenate([p[k] for p in parts]) for k in (6, 7, 8, 9)]
-        h, size, o, t, a = (np.concatenate([p[k] for p in parts]) for k in range(5))
-        data = np.concatenate([p[5] for p in parts])
-        size = size.astype(np.int64)
-        start = np.cumsum(size) - size
-        strings = [data[s : s + n].tobytes() for s, n in zip(start.tolist(), size.tolist(), strict=True)]
-        order = np.lexsort((a, t, o))
-        seen: dict = {}
-        firsts, late = [], []
-        for i in order.tolist():
-            first = seen.setdefault((int(h[i]), strings[i]), i)
-            if first == i:
-                firsts.append(i)
-            elif (o[i], t[i], a[i]) != (o[first], t[first], a[first]):  # else a repeated row
-                late.append(i)
-        del seen
-        late = np.array(late, np.int64)
-        gone = [np.concatenate([x, y]) for x, y in zip(out, (o[late], t[late], a[late], a[late] + size[late] - length + 1), strict=True)]
-        # strings that share a minimiser with another string, by minimiser, then by place
-        firsts = np.array(firsts, np.int64)
-        _, inv, times = np.unique(h[firsts], return_inverse=True, return_counts=True)
-        keep = times[inv] > 1
-        firsts, inv = firsts[keep], inv[keep]
-        by = np.argsort(inv, kind="stable")
-        firsts, inv = firsts[by], inv[by]
-        run = np.cumsum(size[firsts])
-        i = 0
-        while i < len(firsts):
-            j = int(np.searchsorted(run, (run[i - 1] if i else 0) + COLLECTION, "right"))
-            j = int(np.searchsorted(inv, inv[max(j - 1, i)], "right")) if j <= i or j >= len(inv) or inv[j] == inv[j - 1] else j
-            part = firsts[i:j]
-            part = part[np.lexsort((a[part], t[part], o[part]))]
-            sizes = size[part]
-            text = np.frombuffer(b"".join(strings[x] for x in part.tolist()), np.uint8)
-            later = repeated_windows(text, sizes, length)
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], later, [False]]).astype(np.int8)))
-            lo, hi = edge[::2], edge[1::2]
-            base = np.cumsum(sizes) - sizes
-            own = np.searchsorted(base, lo, "right") - 1
-            gone = [np.concatenate([x, y]) for x, y in zip(gone, (o[part][own], t[part][own], a[part][own] + lo - base[own], a[part][own] + hi - base[own]), strict=True)]
-            i = j
-        go, gt, ga, gb = gone
-        order = np.lexsort((ga, gt, go))
-        go, gt, ga, gb = go[order], gt[order], ga[order], gb[order]
-        cut = np.flatnonzero(np.append(True, (go[1:] != go[:-1]) | (gt[1:] != gt[:-1]))) if len(go) else np.zeros(0, int)
-        runs = [pack(ga[x:y], gb[x:y]) for x, y in zip(cut, np.append(cut[1:], len(go)), strict=True)] if len(go) else []
-        return pd.DataFrame({"o": go[cut], "t": gt[cut], "runs": pd.Series(runs, dtype="object")})
-
-    shipped = joined.mapInArrow(contexts, "b int, data binary")
-    return shipped.repartition(buckets, "b").groupBy("b").applyInPandas(decide, "o long, t long, runs binary")
+        gone = [unpack(x) for x in frame[frame["late"]]["data"]]
+        parts = [unpack(x) for x in frame[~frame["late"]]["data"]]
+        if parts:
+            h, whole, o, t, a, size, data = (np.concatenate([p[k] for p in parts]) for k in range(7))
+            size = size.astype(np.int64)
+            start = np.cumsum(size) - size
+            firsts, late = split_classes(h, whole, o, t, a)
+            gone.append([o[late], t[late], a[late], a[late] + size[late] - length + 1])
+            # strings that share a minimiser with another string; firsts are in the order of minimisers
+            many = np.append(False, h[firsts][1:] == h[firsts][:-1]) if len(firsts) else np.zeros(0, bool)
+            many |= np.append(many[1:], False)
+            firsts = firsts[many]
+            run, bounds = np.cumsum(size[firsts]), cuts(h[firsts])
+            i = 0
+            while i < len(bounds):
+                x, j = bounds[i][0], i
+                while j + 1 < len(bounds) and run[bounds[j + 1][1] - 1] - run[x] + size[firsts[x]] <= COLLECTION:
+                    j += 1
+                part = firsts[x : bounds[j][1]]
+                i = j + 1
+                part = part[np.lexsort((a[part], t[part], o[part]))]
+                sizes = size[part]
+                later = repeated_windows(gathered(data, start[part], sizes), sizes, length)
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], later, [False]]).astype(np.int8)))
+                lo, hi = edge[::2], edge[1::2]
+                base = np.cumsum(sizes) - sizes
+                own = np.searchsorted(base, lo, "right") - 1
+                shift = a[part][own] - base[own]
+                gone.append([o[part][own], t[part][own], shift + lo, shift + hi])
+        go, gt, ga, gb = (np.concatenate(x) for x in zip(*gone, strict=True))
+        goal = spot(go, gt, groups)
+        order = np.argsort(goal, kind="stable")
+        out = [(int(goal[order[x]]), pack(*(v[order[x:y]] for v in (go, gt, ga, gb)))) for x, y in cuts(goal[order])]
+        return pd.DataFrame({"g": pd.Series([x[0] for x in out], dtype="int32"), "data": pd.Series([x[1] for x in out], dtype="object")})
+
+    shipped = texts.groupBy("g").cogroup(found.where("g >= 0").groupBy("g")).applyInArrow(contexts, "b int, late boolean, data binary")
+    return shipped.repartition(buckets, "b").groupBy("b").applyInPandas(decide, "g int, data binary")
+
+
+def split_classes(h: np.ndarray, whole: np.ndarray, o: np.ndarray, t: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first occurrence of each string (in order of minimisers), and of later ones; repeats of one place are neither."""
+    order = np.lexsort((a, t, o, whole, h))
+    same = lambda v: v[order[1:]] == v[order[:-1]]
+    equal = np.append(False, same(h) & same(whole)) if len(order) else np.zeros(0, bool)
+    twice = np.append(False, equal[1:] & same(o) & same(t) & same(a)) if len(order) else equal
+    return order[~equal], order[equal & ~twice]
 
 
 # ------------------------------------------------------------ 4. what is left
 
 
-def covered(runs: list[bytes], length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte runs from packed runs of window starts."""
-    parts = [unpack(x) for x in runs]
-    a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) + length - 1
+def covered(a: np.ndarray, b: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal removed byte runs from runs [a, b) of window starts."""
     order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order])
+    a, b = a[order], np.maximum.accumulate(b[order] + length - 1)
     new = np.append(True, a[1:] > b[:-1])
     return list(zip(a[new].tolist(), b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)].tolist(), strict=True))
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(doc_id, o, t, n_bytes, spans array<struct<start,end>>, kept binary) of every row."""
-    rows = _documents(docs, id_col, text_col)
-    found = store(repeated(rows, length, gram, hot))
-    runs = store(removed_windows(rows, found, length, gram))
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, spans array<struct<start,end>>, kept binary, and a struct `carried` of the named columns) of every row."""
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(None).cast("string")
+    rows = _documents(docs.withColumn("__carried", carried), id_col, text_col, F.col("__carried").alias("carried"))
+    n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    groups = max(shuffle_parts(docs.sparkSession), math.ceil(n_bytes / GROUP))
+    found = store(repeated(rows, length, gram, groups, max(hot, n_bytes >> 24)))
+    runs = store(removed_windows(rows, found, length, gram, groups))
     drop_stored(found)
-    per_doc = runs.groupBy("o", "t").agg(F.collect_list("runs").alias("runs"))
+    long, text = T.LongType(), T.BinaryType()
 
-    def squeeze(batches: Iterator) -> Iterator:
+    def cut(key, docs, runs):
         import pyarrow as pa
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            body = pa.array([press.compress(x.as_buffer()) for x in batch.column("body")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "o", "t")), body], ["doc_id", "o", "t", "body"])
+        open_ = zstandard.ZstdDecompressor()
+        parts = [unpack(x.as_py()) for x in runs.column("data")] if runs.num_rows else []
+        gone_in = by_document(*(np.concatenate([p[k] for p in parts]) for k in range(4))) if parts else {}
+        sizes, spans, kept = [], [], []
+        for o, t, body in zip(docs.column("o").to_pylist(), docs.column("t").to_pylist(), docs.column("body"), strict=True):
+            raw = open_.decompress(body.as_buffer())
+            own = gone_in.get((o, t))
+            gone = covered(*own, length) if own else []
+            sizes.append(len(raw))
+            spans.append([{"start": s, "end": e} for s, e in gone])
+            if gone:
+                ends, begins = [0, *(e for _, e in gone)], [*(s for s, _ in gone), len(raw)]
+                raw = b"".join(raw[x:y] for x, y in zip(ends, begins, strict=True))
+            kept.append(raw)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table([docs.column("doc_id"), docs.column("carried"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "carried", "n_bytes", "spans", "kept"])
+
+    span = T.ArrayType(T.StructType([T.StructField("start", long), T.StructField("end", long)]))
+    out = T.StructType([T.StructField("doc_id", long), rows.schema["carried"], T.StructField("n_bytes", long), T.StructField("spans", span), T.StructField("kept", text)])
+    return squeezed(rows, groups).groupBy("g").cogroup(runs.groupBy("g")).applyInArrow(cut, out)
 
-    joined = rows.mapInArrow(squeeze, "doc_id long, o long, t long, body binary").join(per_doc, ["o", "t"], "left")
 
-    def cut(batches: Iterator) -> Iterator:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with their columns and what is left of each text; characters cut in two go."""
+    others = tuple(c for c in docs.columns if c != text_col)
+    got = dedup_substrings(docs, id_col, text_col, carry=others, **options)
+
+    def text(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        open_ = zstandard.ZstdDecompressor()
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sizes, spans, kept = [], [], []
-                for body, own in zip(part.column("body"), part.column("runs"), strict=True):
-                    raw = open_.decompress(body.as_py())
-                    gone = covered(own.as_py(), length) if own.is_valid else []
-                    ends = [0, *(e for _, e in gone)]
-                    begins = [*(s for s, _ in gone), len(raw)]
-                    sizes.append(len(raw))
-                    spans.append([{"start": s, "end": e} for s, e in gone])
-                    kept.append(b"".join(raw[x:y] for x, y in zip(ends, begins, strict=True)) if gone else raw)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "o", "t")), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "o", "t", "n_bytes", "spans", "kept"]
-                )
-
-    return joined.select("doc_id", "o", "t", "body", "runs").mapInArrow(cut, "doc_id long, o long, t long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+            body = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("carried"), body], ["carried", "body"])
+
+    schema = T.StructType([got.schema["carried"], T.StructField("body", T.StringType())])
+    rows = got.select("carried", "kept").mapInArrow(text, schema)
+    return rows.select(*[F.col("body").alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

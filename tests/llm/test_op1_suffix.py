@@ -55,14 +55,14 @@ def test_against_brute_force(spark, seed, hot):
 
 
 def test_small_batches_and_collections(spark):
-    old = m.BATCH, m.COLLECTION, m.PIECE
+    old = m.BATCH, m.COLLECTION, m.PIECE, m.GROUP
     rows = sample(7)
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     try:  # the workers are forked with these values
-        m.BATCH, m.COLLECTION, m.PIECE = 500, 400, 64
+        m.BATCH, m.COLLECTION, m.PIECE, m.GROUP = 500, 400, 64, 2000
         got = result(m.dedup_substrings(df, length=30, gram=10))
     finally:
-        m.BATCH, m.COLLECTION, m.PIECE = old
+        m.BATCH, m.COLLECTION, m.PIECE, m.GROUP = old
     assert got == brute([(d, t.encode()) for d, t in sorted(rows)], 30)
 
 
