@@ -1,13 +1,742 @@
-"""Registered queries of the memory engine."""
+"""Registered queries: each applies one operator to the driver's tables, with SQL of the same result where SQL can say it."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from engramma.functions import hv
+from engramma.functions import text as tx
+from engramma.operators import context, evaluate, graph, ingest, lifecycle, recall, surprise
+from engramma.operators import facts as fx
+from engramma.plans import model as m
+from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
 
-def queries():
-    return {}
+Q: dict = {}
+SQL: dict = {}
 
 
-def oracle_sql():
-    return {}
+def query(name: str, sql: str | None = None):
+    def register(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def r9(c: str):
+    return F.round(F.col(c), 9).alias(c)
+
+
+# ------------------------------------------------------------ text functions
+
+RX = lambda p: p.replace("'", "''")
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+
+
+@query("e1_tokenize", f"select doc_id, len({TOK.format('text')})::bigint n, coalesce(array_to_string({TOK.format('text')}[1:5], ' '), '') first5 from documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents").withColumn("ts", tx.tokens(F.col("text")))
+    return t.select("doc_id", F.size("ts").cast("long").alias("n"), F.array_join(F.slice("ts", 1, 5), " ").alias("first5"))
+
+
+@query("e3_trigrams", f"""with t as (select unnest({TOK.format('text')}) tok from benchmark), e as (select '#' || tok || '#' s from t)
+  select '§' || substr(s, i::int, 3) gram, count(*)::bigint n from e, unnest(range(1, len(s) - 1)) x(i) group by 1""")
+def _(spark, d):
+    t = read(spark, d, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("tok"))
+    return t.select(F.explode(tx.trigrams(F.col("tok"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("e10_clip01", "select c_custkey, round(greatest(0::double, least(1::double, c_acctbal / 5000)), 9) clipped from customer")
+def _(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.round(tx.clip01(F.col("c_acctbal") / 5000), 9).alias("clipped"))
+
+
+@query("e11_validate", r"""select doc_id, len(s)::bigint n, left(s, 20) head from (select doc_id, left(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 20000) s from documents) where s <> ''""")
+def _(spark, d):
+    t = read(spark, d, "documents").select("doc_id", tx.valid_text(F.col("text")).alias("s")).where("s is not null")
+    return t.select("doc_id", F.length("s").cast("long").alias("n"), F.substring("s", 1, 20).alias("head"))
+
+
+@query("e12_scan_secrets", "select doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when regexp_matches(text, '{RX(p)}') then '{label}' end" for p, label in tx.SECRETS) + "], lambda x: x is not null)), '; ') labels from documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(tx.secret_labels(F.col("text")), "; ").alias("labels"))
+
+
+def _redact_sql() -> str:
+    s = "text"
+    for i, p in enumerate(tx._KEEP_TWO):
+        s = f"regexp_replace({s}, '{RX(p)}', '{'\\1: ' if i == 5 else '\\1…'}{tx.MASK}', 'g')"
+    return f"select doc_id, sha256({s}) digest from documents"
+
+
+@query("e13_redact_secrets", _redact_sql())
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2(tx.redacted(F.col("text")), 256).alias("digest"))
+
+
+@query("e14_scan_injection", "select doc_id, " + " or ".join(f"regexp_matches(text, '{RX(p)}')" for p in tx.INJECTIONS) + " suspicious from documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.suspicious(F.col("text")).alias("suspicious"))
+
+
+@query("e15_plain", "select conv_id, turn, md5(strip_accents(lower(text))) digest from conversations")
+def _(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.md5(tx.plain(F.col("text")).cast("binary")).alias("digest"))
+
+
+EST = "case when len({0}) > 0 then greatest(1, round_even(len({0}) / 3.7::double, 0)::int) else 0 end"
+
+
+@query("e16_estimate_tokens", f"select doc_id, ({EST.format('text')})::int est from documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.estimated_tokens(F.col("text")).alias("est"))
+
+
+@query("e17_truncate", rf"""with c as (select doc_id, text, left(text, 74) cut, {EST.format('text')} est from documents),
+  w as (select *, case when contains(cut, ' ') and 74 - strpos(reverse(rpad(cut, 74, 'x')), ' ') > 44.4 then left(text, 74 - strpos(reverse(rpad(cut, 74, 'x')), ' ')) else cut end c2 from c)
+  select doc_id, case when est <= 20 then text else regexp_replace(c2, '[ .,;:—-]+$', '') || ' […]' end short from w""")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", tx.shortened(F.col("text"), 20).alias("short"))
+
+
+@query("e19_creative_fit", """select p_partkey, round(case when s < 0.55 or s > 0.72 then 0 when s <= 0.63 then (s - 0.55) / (0.63 - 0.55) else (0.72 - s) / (0.72 - 0.63) end, 9) fit
+  from (select p_partkey, (0.5::double + (p_partkey * 37 % 300)::double / 1000) s from part)""")
+def _(spark, d):
+    t = read(spark, d, "part").withColumn("s", 0.5 + F.col("p_partkey") * 37 % 300 / 1000.0)
+    return t.select("p_partkey", F.round(tx.creative_fit(F.col("s")), 9).alias("fit"))
+
+
+@query("e9_atomize")
+def _(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.posexplode(tx.atoms("text")).alias("n", "atom"))
+    return t.select("doc_id", "n", "atom")
+
+
+# ------------------------------------------------------------ hypervectors
+
+
+def _hv_sql(source: str, key: str, words: int = 4) -> str:
+    """Majority vectors of texts, word by word and bit by bit."""
+    return f"""tk as (select distinct {key} k, unnest({TOK.format('text')}) t from {source}),
+  vw as materialized (select t, w, ('0x' || substr(md5(t || ':' || w), 1, 15))::bigint v from (select distinct t from tk), range({words}) r(w)),
+  ob as (select k, w, b, count(*) n, sum((v >> b::int) & 1) ones from tk join vw using (t), range(60) s(b) group by 1, 2, 3),
+  hvs as (select k, w, sum(case when 2 * ones > n then 1::bigint << b::int else 0 end)::bigint v from ob group by 1, 2)"""
+
+
+@query("v3_bundle", f"with {_hv_sql('benchmark', 'item_id')} select k item_id, w::int word, v from hvs")
+def _(spark, d):
+    t = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4)
+    return t.select("item_id", F.posexplode("hv").alias("word", "v"))
+
+
+@query("v5_hamming", f"with {_hv_sql('benchmark', 'item_id')} select a.k a, b.k b, sum(bit_count(xor(a.v, b.v)))::int ham, round(1 - sum(bit_count(xor(a.v, b.v))) / 240.0::double, 9) sim from hvs a join hvs b on a.w = b.w and a.k < b.k group by 1, 2")
+def _(spark, d):
+    t = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4)
+    a, b = t.select(F.col("item_id").alias("a"), F.col("hv").alias("x")), t.select(F.col("item_id").alias("b"), F.col("hv").alias("y"))
+    both = a.join(b, F.col("a") < F.col("b"))
+    return both.select("a", "b", hv.sql_hamming(F.col("x"), F.col("y")).alias("ham"), F.round(hv.sql_similarity(F.col("x"), F.col("y"), 4), 9).alias("sim"))
+
+
+@query("v2_bind", f"with {_hv_sql('benchmark', 'item_id')} select a.k a, a.w::int word, xor(a.v, b.v) v from hvs a join hvs b on a.w = b.w and b.k = a.k + 1")
+def _(spark, d):
+    t = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4)
+    b = t.select((F.col("item_id") - 1).alias("item_id"), F.col("hv").alias("y"))
+    return t.join(b, "item_id").select(F.col("item_id").alias("a"), F.posexplode(hv.sql_bind(F.col("hv"), F.col("y"))).alias("word", "v"))
+
+
+@query("v1_encode_np")
+def _(spark, d):
+    t = read(spark, d, "benchmark").select("item_id", hv.encoder()("text").alias("hv"))
+    return t.select("item_id", F.length("hv").alias("bytes"), F.md5("hv").alias("digest"))
+
+
+@query("v3_bundle_np")
+def _(spark, d):
+    t = read(spark, d, "conversations").where("turn < 2").select("conv_id", hv.encoder(False)("text").alias("hv"))
+    return hv.bundled(t, "conv_id", "hv").select("conv_id", "n", F.md5("hv").alias("digest"))
+
+
+@query("e7_simhash")
+def _(spark, d):
+    t = read(spark, d, "embeddings").select("vec_id", hv.simhash_udf("embedding").alias("hv"))
+    return t.select("vec_id", F.md5("hv").alias("digest"))
+
+
+# ------------------------------------------------------------ scans and mutations
+
+FLAT = "id, namespace, kind, round(strength, 9) strength, access_count, consolidated, superseded, dormant"
+FLATC = ["id", "namespace", "kind", r9("strength"), "access_count", "consolidated", "superseded", "dormant"]
+
+
+@query("s1_scan_alive", f"with {MEM} select {FLAT} from mem where namespace in ('en', 'fr') and not consolidated and not dormant order by strength desc, last_access desc, id limit 100")
+def _(spark, d):
+    return lifecycle.scan(lifecycle.readable(m.memories(spark, d), "en", ("fr",)), limit=100).select(*FLATC)
+
+
+@query("s2_dump", f"with {MEM} select id, namespace, round(importance, 9) importance from mem order by importance desc, id limit 50")
+def _(spark, d):
+    return lifecycle.dump(m.memories(spark, d), "importance", 50).select("id", "namespace", r9("importance"))
+
+
+@query("s3_links_dump", f"with {LNK} select src, dst, round(weight, 9) weight, \"type\", status from lnk where status <> 'proposed'")
+def _(spark, d):
+    return m.links(spark, d).where("status <> 'proposed'").select("src", "dst", r9("weight"), "type", "status")
+
+
+@query("s4_get", f"with {MEM} select {FLAT} from mem where id = 42 and namespace <> '__self__'")
+def _(spark, d):
+    return lifecycle.readable(m.memories(spark, d), "en", ("*",)).where("id = 42").select(*FLATC)
+
+
+@query("s5_neighbours", f"with {LNK}, {NEI} select node, other, round(weight, 9) weight from nei")
+def _(spark, d):
+    return graph.neighbours(m.links(spark, d)).select("node", "other", r9("weight"))
+
+
+@query("s8_proposed_links", f"with {LNK} select src, dst from lnk where status = 'proposed'")
+def _(spark, d):
+    return m.links(spark, d).where("status = 'proposed'").select("src", "dst")
+
+
+@query("u3_touch", f"with {MEM}, h as (select user_id id, count(*) n from events group by 1) select mem.id, round(strength + 0.5 * coalesce(n, 0), 9) strength, access_count + coalesce(n, 0) access_count, case when n > 0 then 1740000000::double else last_access end last_access from mem left join h on mem.id = h.id")
+def _(spark, d):
+    hits = read(spark, d, "events").select(F.col("user_id").alias("id"))
+    return lifecycle.touch(m.memories(spark, d), hits, NOW).select("id", r9("strength"), "access_count", "last_access")
+
+
+@query("u4_reinforce", f"with {MEM}, h as (select user_id id, count(*) n from events where event_type = 'click' group by 1) select mem.id, round(strength + 0.7 * coalesce(n, 0), 9) strength, access_count + coalesce(n, 0) access_count from mem left join h on mem.id = h.id")
+def _(spark, d):
+    hits = read(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"))
+    return lifecycle.reinforce(m.memories(spark, d), hits).select("id", r9("strength"), "access_count")
+
+
+@query("u6_supersede", f"with {MEM}, x as (select doc_id from labels where quality = 0) select id, superseded or id in (from x) superseded, round(case when id in (from x) then least(strength, 0.3) else strength end, 9) strength, round(case when id in (from x) then least(confidence, 0.3) else confidence end, 9) confidence from mem")
+def _(spark, d):
+    ids = read(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    return lifecycle.mark(m.memories(spark, d), ids, "superseded").select("id", "superseded", r9("strength"), r9("confidence"))
+
+
+@query("u8_delete", f"with {LNK}, dead as (select p_partkey id from part where p_size % 10 = 0) select src, dst from lnk where src not in (from dead) and dst not in (from dead)")
+def _(spark, d):
+    dead = read(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("id"))
+    return lifecycle.delete(m.parts(spark, d), m.links(spark, d), dead)[1].select("src", "dst")
+
+
+@query("u10_reactivate", f"with {MEM}, x as (select doc_id from labels where quality = 1) select id, dormant and id not in (from x) dormant, case when id in (from x) then 1740000000::double else last_access end last_access from mem")
+def _(spark, d):
+    ids = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return lifecycle.mark(m.memories(spark, d), ids, "dormant", False, NOW).select("id", "dormant", "last_access")
+
+
+@query("u1_fold_links")
+def _(spark, d):
+    li = read(spark, d, "lineitem")
+    step = li.select(F.row_number().over(Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_orderkey", "l_linenumber")).alias("seq"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000).alias("dst"), F.col("l_discount").alias("w"))
+    kind = F.element_at(F.array(*map(F.lit, ("knn", "dream", "lexical"))), (F.col("seq") % 3 + 1).cast("int"))
+    arrivals = step.select("seq", "src", "dst", (F.col("w") * 5).alias("weight"), kind.alias("type"), F.when(kind == "dream", "proposed").otherwise("confirmed").alias("status"))
+    return graph.fold_links(arrivals).select("src", "dst", r9("weight"), "type", "status")
+
+
+SQL["u1_fold_links"] = """with recursive st as (select row_number() over (partition by l_partkey, l_suppkey order by l_orderkey, l_linenumber) seq, l_partkey src, l_suppkey + 1000000 dst, least(1::double, l_discount * 5) w from lineitem),
+  a as (select *, (['knn', 'dream', 'lexical'])[seq % 3 + 1] k, case when seq % 3 = 1 then 'proposed' else 'confirmed' end s, case seq % 3 when 0 then 0 when 1 then 1 else 4 end r from st),
+  f as (select src, dst, seq, w, k, s, r from a where seq = 1 union all
+    select f.src, f.dst, a.seq, case when a.r > f.r then a.w else f.w + 0.3 * (1 - f.w) end, case when a.r > f.r then a.k else f.k end, case when a.r > f.r then a.s else f.s end, greatest(a.r, f.r)
+    from f join a on a.src = f.src and a.dst = f.dst and a.seq = f.seq + 1)
+select src, dst, round(arg_max(w, seq), 9) weight, arg_max(k, seq) "type", arg_max(s, seq) status from f group by 1, 2"""
+
+
+@query("u2_link_status", f"with {LNK} select src, dst, \"type\", case when status = 'proposed' and \"type\" = 'dream' and src % 2 = 0 then 'confirmed' else status end status from lnk")
+def _(spark, d):
+    links = m.links(spark, d)
+    return graph.set_status(links, links.where("src % 2 = 0").select(F.col("dst").alias("a"), F.col("src").alias("b")), "confirmed").select("src", "dst", "type", "status")
+
+
+@query("u12_reclassify", f"""with {LNK}, {PRT}, mv as (select id from prt where namespace = 'Brand#11' and id % 2 = 0)
+  select src, dst, case when src in (from mv) then 'moved' else 'main' end namespace from lnk where (src in (from mv)) = (dst in (from mv))""")
+def _(spark, d):
+    parts = m.parts(spark, d)
+    links = m.links(spark, d).withColumn("namespace", F.lit("main"))
+    return lifecycle.reclassify(parts, links, parts.where("id % 2 = 0").select("id"), "Brand#11", "moved")[1].select("src", "dst", "namespace")
+
+
+@query("s10_append", "select r_regionkey::bigint id, r_name name from region union all select 4 + row_number() over (order by n_nationkey), n_name from nation")
+def _(spark, d):
+    old = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+    return lifecycle.append(old, read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")), "k").select(F.col("id").cast("long").alias("id"), "name")
+
+
+@query("a5_stats", f"""with {MEM}, {LNK}, e as (select src e from lnk where "type" = 'knn' union select dst from lnk where "type" = 'knn')
+  select count(*)::bigint total, count(*) filter (not consolidated and not dormant and not superseded)::bigint active, count(*) filter (dormant)::bigint dormant, count(*) filter (superseded)::bigint superseded,
+  count(*) filter (consolidated)::bigint consolidated, count(*) filter (kind = 'semantic')::bigint semantic, (select count(*) from e)::bigint covered from mem""")
+def _(spark, d):
+    return lifecycle.stats(m.memories(spark, d), m.links(spark, d))
+
+
+@query("a6_status", f"with {MEM} select namespace, count(*)::bigint n, count(*) filter (dormant)::bigint dormant, round(avg(strength), 6) mean_strength from mem group by 1")
+def _(spark, d):
+    return lifecycle.by_namespace(m.memories(spark, d))
+
+
+# ------------------------------------------------------------ forgetting, eviction, purge
+
+
+@query("w13_forget", f"""with {MEM}, x as (select *, not dormant and {DECAYED} < 0.15 and {RETENTION} < 0.4 and importance < 0.8 forgotten from mem)
+  select id, forgotten, dormant or forgotten dormant, round(case when not dormant and not forgotten then {DECAYED} else strength end, 9) strength from x""")
+def _(spark, d):
+    return lifecycle.forget(m.memories(spark, d), NOW).select("id", "forgotten", "dormant", r9("strength"))
+
+
+@query("w14_retention", f"with {MEM} select id, round({RETENTION}, 9) retention, round(least(access_count, 5)::double / 5, 9) utility from mem")
+def _(spark, d):
+    return m.memories(spark, d).select("id", F.round(lifecycle.retention(), 9).alias("retention"), F.round(lifecycle.utility(), 9).alias("utility"))
+
+
+@query("w15_purge", f"with {MEM} select id, namespace from mem where not (dormant and last_access < 1740000000::double - 30 * 86400)")
+def _(spark, d):
+    return lifecycle.purge(m.memories(spark, d), m.links(spark, d), NOW, older_than_days=30)[0].select("id", "namespace")
+
+
+@query("w3_evict", f"""with {MEM} select id, dormant, round({RETENTION}, 9) retention from mem where kind = 'episodic' and importance < 0.8
+  order by dormant desc, {RETENTION}, id limit greatest(0, (select count(*) from mem) - 900)""")
+def _(spark, d):
+    return lifecycle.evict(m.memories(spark, d), 900).select("id", "dormant", r9("retention"))
+
+
+# ------------------------------------------------------------ graph
+
+
+@query("g1_shown_edges", f"with {LNK}, n as (select p_partkey id from part where p_size < 25) select src, dst from lnk where src in (from n) and dst in (from n)")
+def _(spark, d):
+    return graph.shown_edges(m.links(spark, d), read(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("id"))).select("src", "dst")
+
+
+@query("g3_viewer_state", f"with {MEM} select id, case when dormant then 'dormant' when superseded then 'superseded' when id % 17 = 0 then 'atom' when kind = 'semantic' then 'semantic' else 'episodic' end state from mem")
+def _(spark, d):
+    return m.memories(spark, d).withColumn("is_atom", F.col("id") % 17 == 0).select("id", lifecycle.state().alias("state"))
+
+
+@query("g4_viewer_filter", f"with {MEM} select id from mem where namespace = 'fr' and kind = 'episodic' and contains(strip_accents(lower(text)), 'etre')")
+def _(spark, d):
+    return m.memories(spark, d).where((F.col("namespace") == "fr") & (F.col("kind") == "episodic") & F.contains(tx.plain(F.col("text")), F.lit("etre"))).select("id")
+
+
+@query("g5_soon_dormant", f"with {MEM} select id from mem where strength < 0.4 and 1740000000::double - last_access > 7 * 86400 and importance < 0.8")
+def _(spark, d):
+    return m.memories(spark, d).where(lifecycle.soon_dormant(NOW)).select("id")
+
+
+@query("g6_hops", f"""with recursive {LNK}, {NEI}, st as (select min(node) node from nei), bfs as (select node, 0 hop from st union select nei.other, hop + 1 from bfs join nei on bfs.node = nei.node where hop < 3)
+  select node, min(hop)::int hop from bfs group by 1""")
+def _(spark, d):
+    e = graph.neighbours(m.links(spark, d))
+    return graph.within_hops(e, e.agg(F.min("node").alias("node")), 3)
+
+
+@query("g7_hub", f"with {LNK}, {NEI} select node, count(*)::bigint degree from nei group by 1 order by 2 desc, 1 limit 1")
+def _(spark, d):
+    return graph.hub(graph.neighbours(m.links(spark, d)))
+
+
+@query("g8_list_view", f"""with {MEM}, atm as (select dst from (select doc_id + 1 dst from documents where doc_id % 6 = 0)) select id, round(strength, 9) strength from mem where id not in (from atm) order by mem.strength desc, id limit 100""")
+def _(spark, d):
+    links = read(spark, d, "documents").where("doc_id % 6 = 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("atom").alias("type"))
+    return context.list_view(m.memories(spark, d), links, "strength", 100).select("id", r9("strength"))
+
+
+@query("r15_components", f"""with recursive {LNK}, {NEI}, ed as (select distinct node, other from nei where (node + other) % 3 = 0 and node % 8 < 3 and other % 8 < 3), c as (select node, node root from ed union select ed.other, c.root from c join ed on c.node = ed.node)
+  select node, min(root) root from c group by 1""")
+def _(spark, d):
+    e = graph.neighbours(m.links(spark, d)).where("(node + other) % 3 = 0 and node % 8 < 3 and other % 8 < 3")
+    return graph.components(e)
+
+
+@query("r15_landmarks")
+def _(spark, d):
+    return graph.landmarks(graph.neighbours(m.links(spark, d)))
+
+
+@query("r11_navigation", f"""with {LNK}, {PRT}, own as (select id from prt where not superseded), k as (select * from lnk where "type" = 'knn' and src in (from own) and dst in (from own)), c as (select src e from k union select dst from k),
+  x as (select (select count(*) from own) n, (select count(*) from k) e, (select count(*) from c) c)
+  select n::bigint n, round(c::double / n, 9) coverage, round(2 * e::double / (n * (n - 1)), 9) density, n >= 32 and c::double / n >= 0.6 and 2 * e::double / (n * (n - 1)) < 0.75 navigate from x""")
+def _(spark, d):
+    return graph.navigation(m.parts(spark, d), m.links(spark, d))
+
+
+def _near_pairs(spark, d):
+    e = read(spark, d, "embeddings").where("vec_id < 200").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    a, b = e.select(F.col("vec_id").alias("id"), "label", F.col("x").alias("x1"), F.col("y").alias("y1")), e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return a.join(b, "label").where("id <> other").select("id", "other", F.round(1 - F.sqrt(F.pow(F.col("x1").cast("double") - F.col("x2"), 2) + F.pow(F.col("y1").cast("double") - F.col("y2"), 2)), 9).alias("sim"))
+
+
+@query("u13_reindex", """with e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings where vec_id < 200),
+  p as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id),
+  n as (select * from (select *, row_number() over (partition by id order by sim desc, other) r from p) where r <= 4)
+select least(id, other) src, greatest(id, other) dst, max(sim) weight from n where not (least(id, other) = 0) group by 1, 2""")
+def _(spark, d):
+    pairs = _near_pairs(spark, d)
+    old = pairs.where("id = 0").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    return graph.nearest_links(pairs, old, 4)
+
+
+def _activation(spark, d):
+    """Queries are regions; the activation of a part is a fixed function of both."""
+    q = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"))
+    act = (F.col("id") * 31 + F.col("query_id") * 17) % 1000 / 2500.0
+    return m.parts(spark, d).crossJoin(F.broadcast(q)).select("query_id", "id", act.alias("act"), "strength", "confidence", "superseded", "dormant")  # five rows
+
+
+ACT = "act as (select r_regionkey::bigint query_id, id, ((id * 31 + r_regionkey * 17) % 1000)::double / 2500 act, strength, confidence, superseded, dormant from prt, region)"
+
+
+def _spread_sql(hops: int, seeds: int, factor: float) -> str:
+    out = f"f0 as (select query_id, id node, act value from (select *, row_number() over (partition by query_id order by act desc, id) r from act) where r <= {seeds}), s0 as (select query_id, id, act, act spread from act)"
+    for h in range(1, hops + 1):
+        out += f""", g{h} as (select query_id, other id, max(value * weight * {factor}::double) got from f{h - 1} join nei using (node) group by 1, 2),
+  s{h} as (select s.query_id, s.id, act, case when got > spread then got else spread end spread, coalesce(got > spread, false) up from s{h - 1} s left join g{h} g on s.query_id = g.query_id and s.id = g.id),
+  f{h} as (select query_id, id node, spread value from s{h} where up)"""
+    return out
+
+
+@query("r5_spread", f"with {LNK}, {NEI}, {PRT}, {ACT}, {_spread_sql(2, 5, 0.5)} select query_id, id, round(spread, 9) spread from s2 where spread > act")
+def _(spark, d):
+    got = graph.spread(_activation(spark, d).select("query_id", "id", "act"), graph.neighbours(m.links(spark, d)), 5, 2)
+    return got.where("spread > act").select("query_id", "id", r9("spread"))
+
+
+@query("r19_muse", f"""with {LNK}, {NEI}, {PRT}, {ACT}, {_spread_sql(3, 3, 0.6)},
+  x as (select s.query_id, s.id, a.dormant, s.act, greatest(0, spread - s.act) gain from s3 s join act a on s.query_id = a.query_id and s.id = a.id),
+  y as (select *, case when gain >= 0.05 then gain * case when dormant then 1.6 else 1 end when dormant and act >= 0.12 then act * 0.5 end score from x),
+  z as (select *, row_number() over (partition by query_id order by score desc, id) r from y where score is not null)
+select query_id, id, round(score, 9) score, round(gain, 9) gain, dormant and gain >= 0.05 wakes from z where r <= 3""")
+def _(spark, d):
+    got = graph.muse(_activation(spark, d), graph.neighbours(m.links(spark, d)), 3, 3)
+    return got.select("query_id", "id", r9("score"), r9("gain"), "wakes")
+
+
+def _sim(a, b):
+    return 0.5 + (F.col(f"{a}.id") * 31 + F.col(f"{b}.id") * 17) % 300 / 1000.0
+
+
+@query("w16_dream", f"""with {LNK}, {NEI}, {PRT}, w as (select a.other a_id, b.other b_id, min(a.node) via from nei a join nei b on a.node = b.node and a.other < b.other group by 1, 2),
+  o as (select w.*, least(x.weight, y.weight) path from w join nei x on x.node = via and x.other = a_id join nei y on y.node = via and y.other = b_id where not exists (from nei where nei.node = a_id and nei.other = b_id)),
+  c as (select o.*, 0.5::double + ((a_id * 31 + b_id * 17) % 300)::double / 1000 sim, (p.confidence + q.confidence) / 2 conf, p.dormant or q.dormant latent from o join prt p on p.id = a_id join prt q on q.id = b_id),
+  f as (select *, case when sim < 0.55 or sim > 0.72 then 0 when sim <= 0.63 then (sim - 0.55) / (0.63 - 0.55) else (0.72 - sim) / (0.72 - 0.63) end fit from c)
+select a_id, b_id, via, round(path, 9) path, round(sim, 9) sim, round(fit * (0.5 + path) * (0.5 + conf) * case when latent then 1.15 else 1 end, 9) score from f where fit > 0
+order by round(fit * (0.5 + path) * (0.5 + conf) * case when latent then 1.15 else 1 end, 9) desc, a_id, b_id limit 20""")
+def _(spark, d):
+    got = graph.dream(m.parts(spark, d), graph.neighbours(m.links(spark, d)), _sim, 20)
+    return got.select("a_id", "b_id", "via", r9("path"), r9("sim"), r9("score"))
+
+
+# ------------------------------------------------------------ recall
+
+
+@query("r8_gate", f"""with {PRT}, {ACT}, o as (select *, row_number() over (partition by query_id order by act desc, id) r, count(*) over (partition by query_id) n from act),
+  g as (select query_id, max(act) best, count(*) filter (r > 5) n_tail, avg(act) filter (r > 5) mu, stddev_pop(act) filter (r > 5) sd from o group by 1)
+select query_id, round(best, 9) best, n_tail::bigint n_tail, round(mu, 9) mu, round(sd, 9) sd, case when best < 0.19 then 'nothing relevant' when best < mu + 2 * sd then 'nothing stands out' else 'answer' end reason from g""")
+def _(spark, d):
+    return recall.gate(_activation(spark, d).select("query_id", "id", "act")).select("query_id", r9("best"), F.col("n_tail").cast("long").alias("n_tail"), r9("mu"), r9("sd"), "reason")
+
+
+@query("r6_scores", f"""with {PRT}, {ACT}, s as (select *, act * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act),
+  r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank" from s)
+select query_id, "rank"::int "rank", id, round(score, 9) score from r where "rank" <= 5 and act >= 0.03""")
+def _(spark, d):
+    a = _activation(spark, d).withColumn("score", recall.score(F.col("act")))
+    top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return a.withColumn("rank", F.row_number().over(top)).where("rank <= 5 and act >= 0.03").select("query_id", "rank", "id", r9("score"))
+
+
+@query("r1_recall_sql", f"""with tx as (select conv_id * 1000 + turn k, text from conversations union all select -1 - item_id, text from benchmark), {_hv_sql('tx', 'k')},
+  q as (select * from hvs where k < 0), mm as (select * from hvs where k >= 0),
+  sim as (select -1 - q.k query_id, mm.k id, 1 - sum(bit_count(xor(q.v, mm.v))) / 240.0::double sim from q join mm on q.w = mm.w group by 1, 2),
+  a as (select *, greatest(0, 2 * (sim - 0.5)) act, greatest(0, 2 * (sim - 0.5)) * (0.7 + 0.3 * (id % 4) / 3::double) * (0.6 + 0.4 * (id % 11) / 10::double) score from sim),
+  r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank", row_number() over (partition by query_id order by act desc, id) dr, count(*) over (partition by query_id) n from a),
+  h as (select * from r where "rank" <= 5 and act >= 0.03), nt as (select query_id, count(*) nt from h group by 1),
+  g as (select r.query_id, max(act) best, avg(act) filter (dr > coalesce(nt, 5)) mu, stddev_pop(act) filter (dr > coalesce(nt, 5)) sd from r left join nt on r.query_id = nt.query_id group by 1)
+select h.query_id, "rank"::int "rank", id, round(sim, 9) sim, round(score, 9) score from h join g on h.query_id = g.query_id where best >= 0.19 and best >= mu + 2 * sd""")
+def _(spark, d):
+    mem = hv.sql_bundles(m.turns(spark, d), "seq", "text", 4).withColumnRenamed("seq", "id")
+    q = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "query_id")
+    sims = recall.sql_similarities(mem, q, 4).withColumn("strength", F.col("id") % 4).withColumn("confidence", F.col("id") % 11 / 10.0).withColumn("superseded", F.lit(False))
+    return recall.recall(sims).select("query_id", "rank", "id", r9("sim"), r9("score"))
+
+
+@query("r22_bm25", rf"""with d as (select doc_id id, {TOK.format('text')} ts from documents), n as (select count(*) n, avg(len(ts)) mean from d),
+  q as (select distinct item_id query_id, unnest({TOK.format('text')}) t from benchmark), tf as (select id, l, t, count(*) tf from (select id, len(ts) l, unnest(ts) t from d) group by 1, 2, 3),
+  df as (select t, count(*) df from tf group by 1),
+  s as (select query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) score from q join df using (t) join tf using (t), n group by 1, 2),
+  r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) "rank" from s)
+select query_id, "rank"::int "rank", id, round(score, 6) score from r where "rank" <= 5""")
+def _(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return recall.bm25(docs, q, tx.tokens(F.col("text")), tx.tokens(F.col("text"))).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query("r23_cosine", """with q as (select vec_id, embedding::double[] e from embeddings where vec_id % 50 = 0), r as (select vec_id, embedding::double[] e from embeddings),
+  c as (select q.vec_id query_id, r.vec_id id, round(list_cosine_similarity(q.e, r.e), 6) cos from q join r on q.vec_id <> r.vec_id)
+select query_id, max(cos) cos from c group by 1 having max(cos) > 0.35""")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    got = recall.cosine_best(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"))
+    return got.select("query_id", F.round("cos", 6).alias("cos"))
+
+
+@query("r12_recall_np")
+def _(spark, d):
+    return flagship(spark, d)
+
+
+# ------------------------------------------------------------ surprise and ingestion
+
+SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text')}[1:25] ts from conversations),
+  pos as (select seq, ts[i] t, case when i > 1 then ts[i - 1] end prev from ob, unnest(range(1, len(ts) + 1)) u(i)),
+  cw as (select seq, t, coalesce(sum(count(*)) over (partition by t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos group by 1, 2),
+  cp as (select seq, prev, t, coalesce(sum(count(*)) over (partition by prev, t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2, 3),
+  cc as (select seq, prev, coalesce(sum(count(*)) over (partition by prev order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2),
+  al as (select seq, len(ts) n, coalesce(sum(len(ts)) over (order by seq rows between unbounded preceding and 1 preceding), 0) c from ob),
+  pr as (select pos.seq, case when coalesce(cc.c, 0) > 0 then 0.6::double * (cp.c + 0.01::double) / (cc.c + 500::double) + 0.4::double * (cw.c + 0.01::double) / (al.c + 500::double) else (cw.c + 0.01::double) / (al.c + 500::double) end p
+    from pos join cw on pos.seq = cw.seq and pos.t = cw.t join al on pos.seq = al.seq left join cp on pos.seq = cp.seq and pos.prev = cp.prev and pos.t = cp.t left join cc on pos.seq = cc.seq and pos.prev = cc.prev),
+  sc as (select al.seq, n, round(coalesce(least(1, b / log2(50000::double)), 0), 12) s from al left join (select seq, avg(-log2(p)) b from pr group by 1) x on al.seq = x.seq),
+  hs as (select *, count(*) over w seen, quantile_cont(s, 0.2) over w low from sc window w as (order by seq rows between 300 preceding and 1 preceding))"""
+
+
+@query("w8_surprise", f"with {SUR} select seq, n::int n_tokens, round(s, 8) surprise, case when seen < 40 then s < 0.05 else s <= low end predictable from hs")
+def _(spark, d):
+    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), "seq", F.slice(tx.tokens(F.col("text")), 1, 25).alias("tokens"))
+    return surprise.surprise(obs).select("seq", "n_tokens", F.round("surprise", 8).alias("surprise"), "predictable")
+
+
+@query("u14_counts", rf"""with p as (select conv_id, {TOK.format('text')} ts from conversations), x as (select ts[i] token, case when i > 1 then ts[i - 1] end prev from p, unnest(range(1, len(ts) + 1)) u(i))
+  select context, token, sum(n)::bigint "count" from (select '' context, token, count(*) n from x group by 2 union all select prev, token, count(*) from x where prev is not null group by 1, 2) group by 1, 2""")
+def _(spark, d):
+    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), tx.tokens(F.col("text")).alias("tokens"))
+    empty = spark.createDataFrame([], "namespace string, context string, token string, count long")
+    return surprise.merged_counts(empty, obs).select("context", "token", "count")
+
+
+@query("w2_ingest")
+def _(spark, d):
+    return ingest.admit(m.turns(spark, d).select(F.col("role").alias("namespace"), "seq", F.substring("text", 1, 160).alias("text")))
+
+
+@query("w12_consolidate")
+def _(spark, d):
+    rows = m.turns(spark, d).where("conv_id < 60").select(F.col("seq").alias("id"), F.col("role").alias("namespace"), F.substring("text", 1, 120).alias("text"))
+    return ingest.consolidate(rows.withColumn("hv", hv.encoder(False)("text")).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
+
+
+# ------------------------------------------------------------ facts
+
+RUN = f"""{FCT}, rn as (select *, sum(chg) over (partition by subject, predicate order by valid_from, id) run from
+    (select *, case when "object" <> lag("object") over (partition by subject, predicate order by valid_from, id) then 1 else 0 end chg from fct)),
+  st as (select subject, predicate, run, min(valid_from) starts from rn group by 1, 2, 3), en as (select *, lead(starts) over (partition by subject, predicate order by run) valid_to from st),
+  ff as (select rn.id, rn.subject, rn.predicate, rn."object", rn.valid_from, en.valid_to from rn join en using (subject, predicate, run))"""
+
+
+@query("f5_remember_facts", f"with {RUN} select id, subject, \"object\", valid_from, valid_to from ff")
+def _(spark, d):
+    return fx.close_runs(m.facts(spark, d)).select("id", "subject", "object", "valid_from", "valid_to")
+
+
+@query("s6_facts_as_of", f"with {RUN} select id, subject, \"object\" from ff where valid_from <= 1704200000000000 and (valid_to is null or valid_to > 1704200000000000)")
+def _(spark, d):
+    return fx.as_of(fx.close_runs(m.facts(spark, d)), 1_704_200_000_000_000).select("id", "subject", "object")
+
+
+@query("s6_facts_current", f"with {RUN} select id, subject, \"object\" from ff where valid_to is null")
+def _(spark, d):
+    return fx.as_of(fx.close_runs(m.facts(spark, d))).select("id", "subject", "object")
+
+
+@query("f6_ask_exact", f"""with {RUN}, pr as (select c_custkey probe_id, 'user' || (c_custkey % 60) subject, 'last_event' predicate, 1704067200000000 + c_custkey * 7000000 "at" from customer)
+  select probe_id, arg_max("object", (valid_from, id)) filter (valid_from <= pr."at" and (valid_to is null or valid_to > pr."at")) "object" from pr left join ff using (subject, predicate) group by 1""")
+def _(spark, d):
+    c = F.col("c_custkey")
+    probes = read(spark, d, "customer").select(c.alias("probe_id"), F.concat(F.lit("user"), (c % 60).cast("string")).alias("subject"), F.lit("last_event").alias("predicate"), (F.lit(1_704_067_200_000_000) + c * 7_000_000).alias("at"))
+    return fx.ask_exact(fx.close_runs(m.facts(spark, d)), probes)
+
+
+@query("f4_contradicted", f"with {RUN} select id, subject, \"object\" from ff where valid_to is null and \"object\" <> 'click'")
+def _(spark, d):
+    facts = fx.close_runs(m.facts(spark, d))
+    return fx.contradicted(facts, facts.select("subject", "predicate", F.lit("click").alias("object"))).select("id", "subject", "object")
+
+
+@query("f6_ask_role")
+def _(spark, d):
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("subject"), F.lit("lies in").alias("predicate"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("object"), F.lit(0.0).alias("valid_from"), F.lit(None).cast("double").alias("valid_to"))
+    known = n.orderBy("id").first()
+    return fx.ask_role(n, {"subject": known["subject"], "predicate": "lies in"}, "object")
+
+
+# ------------------------------------------------------------ policy, budget, log
+
+
+# word borders spelled out, since RE2 knows ASCII words only
+_OUT, _IN = r"[^\p{L}\p{N}_]", r"[\p{L}\p{N}_]"
+_BORDERED = {p: RX(p[:-2] + f"(?:$|{_OUT})").replace(r"(?i)\b", f"(?i)(?:^|{_OUT})") for p in (context.CLEAR, context.DOUBTFUL, context.CREATIVE)}
+_AFFIRMS = f"(?i)(?:^|{_OUT})(?:(?:me llamo|prefiero|me gusta|odio|trabajo en|vivo en|recuerda que|apunta que|ten en cuenta que|i (?:am|prefer|use|like|hate)|my name is|remember that|note that)(?:$|{_OUT})|(?:soy |uso |mi ){_IN})"
+
+
+@query("r20_intent", rf"""select conv_id, turn, case when trim(text) = '' then 'empty' when regexp_matches(text, '{_BORDERED[context.CREATIVE]}') then 'creative'
+  when regexp_matches(text, '[?¿]') or regexp_matches(text, '{_BORDERED[context.CLEAR]}') then 'question_clear' when regexp_matches(text, '{_BORDERED[context.DOUBTFUL]}') then 'question_doubtful'
+  when regexp_matches(text, '{_AFFIRMS}') then 'affirms' else 'other' end intent from conversations""")
+def _(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", context.intent(F.col("text")).alias("intent"))
+
+
+@query("r20_policy")
+def _(spark, d):
+    mem = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "id")
+    msgs = m.turns(spark, d).where("role = 'user'").select(F.col("seq").alias("query_id"), "text")
+    q = hv.sql_bundles(msgs, "query_id", "text", 4)
+    sims = recall.sql_similarities(mem, q, 4).withColumn("strength", F.lit(1.0)).withColumn("confidence", F.lit(0.5)).withColumn("superseded", F.lit(False))
+    return context.decide(msgs, recall.recall(sims, k=3))
+
+
+@query("b1_budget")
+def _(spark, d):
+    lines = m.turns(spark, d).groupBy(F.col("conv_id").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("lines"))
+    return context.fit_budget(lines, 350).select("key", "omitted", "tokens", F.size("kept").alias("n_kept"))
+
+
+_T = f"({EST.format('text')})"
+_NOTE = "('(' || {0} || ' recuerdo(s) más no caben en el presupuesto de 350 tokens; pídelos con hc_recall si hacen falta)')"
+SQL["b1_budget"] = f"""with recursive t as (select conv_id k, row_number() over (partition by conv_id order by turn, text) - 1 i, {_T} c from conversations), s as (select k, count(*) n, sum(c) total from t group by 1),
+  cap as (select *, greatest(0, 350 - {EST.format(_NOTE.format("greatest(1, n - 1)"))}) cap from s),
+  f as (select t.k, t.i, t.c spent, 1 kept from t where i = 0 union all
+    select f.k, t.i, case when f.spent + t.c <= cap then f.spent + t.c else f.spent end, case when f.spent + t.c <= cap then f.kept + 1 else f.kept end from f join t on t.k = f.k and t.i = f.i + 1 join cap on cap.k = f.k),
+  l as (select k, arg_max(spent, i) spent, arg_max(kept, i) kept from f group by 1)
+select l.k "key", case when total <= 350 then 0 else n - kept end::int omitted, case when total <= 350 then total else spent + case when n > kept then {EST.format(_NOTE.format("(n - kept)"))} else 0 end end::int tokens,
+  case when total <= 350 then n else kept + case when n > kept then 1 else 0 end end::int n_kept from l join cap using (k)"""
+
+
+@query("b3_hook_strip", r"select conv_id, turn, trim(regexp_replace('<memory>x' || chr(10) || 'y</memory> ' || text, '(?s)<memory>.*?</memory>', '', 'g')) clean from conversations")
+def _(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", context.stripped(F.concat(F.lit("<memory>x\ny</memory> "), F.col("text"))).alias("clean"))
+
+
+@query("a2_actions", f"with {LOG} select distinct split_part(substr(line, 21), ' ', 1) \"action\" from lg")
+def _(spark, d):
+    return m.log_lines(spark, d).select(context.parsed_action().alias("action")).distinct()
+
+
+@query("a3_token_bill", f"""with {LOG}, x as (select regexp_extract(line, '(\\d+) tok', 1)::bigint n, nullif(regexp_extract(line, '\\(de (\\d+)', 1), '')::bigint o, starts_with(line, '2024-01-05') t from lg where split_part(substr(line, 21), ' ', 1) = 'tokens')
+  select coalesce(sum(n), 0)::bigint total, coalesce(sum(n) filter (t), 0)::bigint today, count(*)::bigint injections, coalesce(sum(greatest(0, o - n)) filter (o is not null), 0)::bigint saved, coalesce(round_even(avg(n), 0), 0)::bigint mean from x""")
+def _(spark, d):
+    return context.token_bill(m.log_lines(spark, d).select("value"), "2024-01-05")
+
+
+@query("a4_token_series", f"with {LOG} select line_no, substr(line, 1, 19) ts, regexp_extract(line, '(\\d+) tok', 1)::bigint tokens from lg where split_part(substr(line, 21), ' ', 1) = 'tokens' order by line_no desc limit 200")
+def _(spark, d):
+    return context.token_series(m.log_lines(spark, d))
+
+
+@query("s15_log_tail", f"with {LOG} select line_no, line from lg where starts_with(line, '2024-01-03') and split_part(substr(line, 21), ' ', 1) = 'error' and contains(strip_accents(lower(line)), '1 tok') order by line_no desc limit 20")
+def _(spark, d):
+    return context.log_tail(m.log_lines(spark, d), 20, "1 TÓK", "2024-01-03", "error").select("line_no", "line")
+
+
+@query("r21_identity", "select r_name kind, array_to_string(list(n_name order by n_nationkey), ', ') texts from (select * from nation join region on n_regionkey = r_regionkey order by n_nationkey desc limit 20) group by 1")
+def _(spark, d):
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    got = context.identity(n.select(F.col("n_nationkey").alias("id"), F.col("r_name").alias("kind"), F.col("n_name").alias("text"), F.col("n_nationkey").cast("double").alias("created")))
+    return got.select("kind", F.array_join("texts", ", ").alias("texts"))
+
+
+# ------------------------------------------------------------ evaluation
+
+
+@query("x1_rank_metrics", """with r as (select c_mktsegment category, case when c_custkey % 7 < 5 then c_custkey % 7 + 1 end rk from customer)
+  select category, count(*)::bigint n, round(avg(coalesce(1.0::double / rk, 0)), 9) mrr, round(avg(coalesce((rk <= 1)::int, 0)), 9) hit1, round(avg(coalesce((rk <= 3)::int, 0)), 9) hit3 from r group by 1""")
+def _(spark, d):
+    c = F.col("c_custkey")
+    ranks = read(spark, d, "customer").select(F.col("c_mktsegment").alias("category"), c.alias("query_id"), F.when(c % 7 < 5, c % 7 + 1).alias("rank"))
+    return evaluate.rank_metrics(ranks)
+
+
+@query("x2_nearest_rank", "select l_returnflag flag, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.95)::bigint + 1)] p95 from lineitem group by 1")
+def _(spark, d):
+    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(evaluate.nearest_rank(F.collect_list("l_quantity"), 0.95).alias("p95"))
+
+
+@query("x2_group_precision", """with h as (select vec_id query_id, vec_id + k id from embeddings, range(1, 6) r(k)), j as (select a.label = b.label ok from h join embeddings a on a.vec_id = h.id join embeddings b on b.vec_id = h.query_id)
+  select round(avg(ok::int), 9) "precision", count(*)::bigint n from j""")
+def _(spark, d):
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    hits = e.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("id"))
+    return evaluate.group_precision(hits, e)
+
+
+@query("x2_fidelity", """with ex as (select vec_id query_id, vec_id * 3 + k id from embeddings, range(5) r(k)), got as (select query_id, id from ex where id % 4 <> 1)
+  select round(avg(f), 9) fidelity, count(*)::bigint queries from (select ex.query_id, count(got.id)::double / 5 f from ex left join got on ex.query_id = got.query_id and ex.id = got.id group by 1)""")
+def _(spark, d):
+    exact = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.col("vec_id") * 3, F.col("vec_id") * 3 + 4)).alias("id"))
+    return evaluate.fidelity(exact.where("id % 4 <> 1"), exact, 5)
+
+
+@query("x3_sweep", """with o as (select o_orderkey % 2 = 0 positive, (o_orderkey * 37 % 100)::double / 200 best, (o_orderkey * 11 % 50)::double / 500 mu, (o_orderkey * 7 % 30)::double / 300 sd from orders),
+  g as (select f::double "floor", z::double z from (values (0.08), (0.17), (0.19)) a(f), (values (1.5), (2.0), (2.5)) b(z))
+select "floor", z, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (positive), 9) answered, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (not positive), 9) false_recall from o, g group by 1, 2""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    obs = read(spark, d, "orders").select((k % 2 == 0).alias("positive"), (k * 37 % 100 / 200.0).alias("best"), (k * 11 % 50 / 500.0).alias("mu"), (k * 7 % 30 / 300.0).alias("sd"))
+    return evaluate.sweep(obs, [0.08, 0.17, 0.19], [1.5, 2.0, 2.5])
+
+
+@query("x5_longitudinal", f"""with {RUN}, pr as (select c_custkey probe_id, 'user' || (c_custkey % 60) subject, 1704067200000000 + c_custkey * 7000000 "at" from customer),
+  t as (select probe_id, arg_max("object", (valid_from, id)) filter (valid_from <= pr."at" and (valid_to is null or valid_to > pr."at")) cur, list(distinct "object") filter (valid_to <= pr."at") stale from pr left join ff using (subject) group by 1),
+  x as (select *, case when probe_id % 3 = 0 then 'click' else cur end got from t where cur is not null)
+select count(*)::bigint probes, round(avg((coalesce(got, '') = cur)::int), 9) correct, round(avg(coalesce(list_contains(stale, got), false)::int), 9) contradicted from x""")
+def _(spark, d):
+    c = F.col("c_custkey")
+    probes = read(spark, d, "customer").select(c.alias("probe_id"), F.concat(F.lit("user"), (c % 60).cast("string")).alias("subject"), (F.lit(1_704_067_200_000_000) + c * 7_000_000).alias("at"))
+    both = probes.join(fx.close_runs(m.facts(spark, d)), "subject", "left")
+    holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
+    truth = both.groupBy("probe_id").agg(F.max(F.when(holds, F.struct("valid_from", "id", "object"))).alias("l"), F.collect_set(F.when(F.col("valid_to") <= F.col("at"), F.col("object"))).alias("stale"))
+    truth = truth.where("l is not null").select("probe_id", F.col("l.object").alias("current"), "stale")
+    return evaluate.longitudinal(truth.select("probe_id", F.when(F.col("probe_id") % 3 == 0, "click").otherwise(F.col("current")).alias("got")), truth)
+
+
+@query("x6_payload", f"""with x as (select conv_id q, sum({_T}) t from conversations group by 1)
+  select count(*)::bigint queries, round(avg(t), 9) mean, max(t)::bigint most, list_sort(list(t))[least(count(*), floor(count(*) * 0.95)::bigint + 1)]::bigint p95 from x""")
+def _(spark, d):
+    return evaluate.payload(read(spark, d, "conversations").withColumnRenamed("conv_id", "query_id"), tx.estimated_tokens(F.col("text")))
+
+
+@query("x7_injection_rates", """with t as (select event_type ns, event_id % 4 = 0 inj, case when user_id % 3 = 0 then 'click' else event_type end src from events)
+  select ns namespace, count(*)::bigint turns, round(avg(inj::int), 9) rate, round(coalesce(avg((src <> ns)::int) filter (inj), 0), 9) "foreign" from t group by 1""")
+def _(spark, d):
+    t = read(spark, d, "events").select(F.col("event_type").alias("namespace"), (F.col("event_id") % 4 == 0).alias("injected"), F.when(F.col("user_id") % 3 == 0, "click").otherwise(F.col("event_type")).alias("from_namespace"))
+    return evaluate.injection_rates(t)
+
+
+@query("x8_session_bill", "select conv_id, count(*)::bigint turns, sum(810 + case when role = 'user' then 350 else 0 end)::bigint tokens, least(count(*), 30)::bigint counted from conversations group by 1")
+def _(spark, d):
+    return evaluate.session_bill(read(spark, d, "conversations").select("conv_id", (F.col("role") == "user").alias("fires")), 810, 350, 30)
+
+
+# ------------------------------------------------------------ flagship
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms of documents, encoded bit-exactly, asked with the texts of `benchmark`: top 5 with abstention."""
+    docs = read(spark, sf_dir, "documents")
+    atoms = docs.select("doc_id", F.posexplode(tx.atoms("text")).alias("n", "atom"))
+    atoms = atoms.select((F.col("doc_id") * 100_000 + F.col("n")).alias("id"), "atom")
+    mem = atoms.select("id", hv.encoder()("atom").alias("hv"), F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
+    asks = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), hv.encoder()("text").alias("hv"))
+    return recall.search(mem, asks, 5)
+
+
+def queries() -> dict:
+    return dict(Q)
+
+
+def oracle_sql() -> dict:
+    return dict(SQL)
