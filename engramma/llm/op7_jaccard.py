@@ -2,12 +2,12 @@
 
 Documents are sets of hashed word shingles; equal sets are one class.  Two sets of
 Jaccard similarity t or more share an n-gram among the first n - ceil(t n) + 1 of
-each, whatever order all n-grams are put in; here those that are frequent anywhere
-come last, so columns that many unrelated documents share stay out of the product.
-The order needs no exact counts: a bounded table of heavy n-grams, counted over all
-text, is enough, and any table gives the same result.
+each, whatever order all n-grams are put in; here those of the rarest words come first
+and those that are frequent anywhere last, so columns that unrelated documents share stay
+out of the product.  The order needs no exact counts: hashed word counts and a bounded
+table of heavy n-grams, counted over all text, are enough, and any table gives the same result.
 
-Each remaining column names a pivot, its first document; (pivot, document) rows are
+Each remaining column names a pivot for each band of set sizes, its first document there; (pivot, document) rows are
 found by a map-side `min` and a join, so they are linear in the incidence however
 many documents share a column.  All documents of one pivot make a row block of the
 product.  Blocks beyond `TILE` rows are cut into pairs of row tiles; columns are multiplied in
@@ -24,43 +24,67 @@ Sets are compared by 64-bit hashes of shingles, and classes named by a 64-bit ha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import U64, blocks, drop_stored, mix, shuffle_parts, span_hashes, store
+from engramma.llm.common import U64, Block, blocks, drop_stored, mix, shuffle_parts, span_hashes, store
 from engramma.llm.components import components, forest
 
 TILE, COLUMNS = 512, 8192
 HEAVY = 1 << 18  # bound of the table of heavy n-grams, which is broadcast (about 2.5 MB)
+COUNTERS = 1 << 20  # of word counts; their logarithms are broadcast (1 MB)
+SLICES = 64
 
 
-def shingle_sets(block, k: int = 3) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each document; A-Z are lower-cased."""
+def word_slots(words: np.ndarray) -> np.ndarray:
+    return (words >> U64(44)).astype(np.int64)
+
+
+def shingle_sets(block, k: int = 3, levels: np.ndarray | None = None, slots: np.ndarray | None = None):
+    """Sorted distinct shingle hashes of each document; A-Z are lower-cased.
+
+    With `levels` (logarithms of word counts) also the sum of its words' levels for each
+    shingle, as a list in the same form; `slots` takes counts of the block's words."""
     starts, ends, doc = block.words(lower=True)
     words = span_hashes(block.data, starts, ends)
     bounds = np.searchsorted(doc, np.arange(block.n + 1))
-    out = []
-    grams = np.zeros(len(words), U64)
+    if slots is not None:
+        np.add(slots, np.bincount(word_slots(words), minlength=COUNTERS), out=slots)
+    grams, rank = np.zeros(len(words), U64), np.zeros(len(words), np.uint8)
     if len(words) >= k:
-        acc = np.zeros(len(words) - k + 1, U64)
+        n = len(words) - k + 1
+        acc = np.zeros(n, U64)
         for j in range(k):
             acc *= U64(0x9E6C63D0676A9A99)
-            acc += words[j : len(words) - k + 1 + j]
-        grams[: len(acc)] = mix(acc + U64(k))
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            acc += words[j : n + j]
+        grams[:n] = mix(acc + U64(k))
+        if levels is not None:
+            own = levels[word_slots(words)]
+            for j in range(k):
+                rank[:n] += own[j : n + j]
+    out, ranks, none = [], [], np.zeros(0, np.uint8)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(grams[a : b - k + 1]))
-        elif b > a:
+            if levels is None:
+                out.append(np.unique(grams[a : b - k + 1]))
+            else:
+                got, at = np.unique(grams[a : b - k + 1], return_index=True)
+                out.append(got)
+                ranks.append(rank[a:b][at])
+            continue
+        if b > a:
             h = U64(b - a)
             for w in words[a:b]:
                 h = mix(np.array([h * U64(0xC2B2AE3D27D4EB4F) + w], U64))[0]
             out.append(np.array([h], U64))
         else:
             out.append(np.zeros(0, U64))
-    return out
+        ranks.append(none if b == a else np.zeros(1, np.uint8))
+    return out if levels is None else (out, ranks)
 
 
 def class_name(s: np.ndarray) -> int:
@@ -73,22 +97,27 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc.alias("doc_id"), body.alias("body"), F.coalesce(doc, F.xxhash64(body)).alias("at"))
 
 
-def heavy_grams(rows: DataFrame, k: int, least: int = 3, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and the logarithms of their counts, sorted by hash; at most HEAVY."""
+def frequencies(rows: DataFrame, k: int, least: int = 3, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over all text: the most frequent shingles (at most HEAVY, sorted) with logarithms of their counts,
+    and logarithms of word counts by hashed slot."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        held, size = [], 0
+        held, size, slots = [], 0, np.zeros(COUNTERS, np.int64)
+        names = ["gram", "n", "part", "data"]
+        none = lambda n, kind: pa.nulls(n, kind)
 
         def flush():
             grams, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(n[often])], ["gram", "n"])
+            m = int(often.sum())
+            return pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(n[often]), none(m, pa.int32()), none(m, pa.binary())], names)
 
         for batch in batches:
             for block in blocks(batch.column("body")):
-                for s in shingle_sets(block, k):
+                for s in shingle_sets(block, k, slots=slots):
                     held.append(s)
                     size += len(s)
                 if size >= chunk:
@@ -96,32 +125,51 @@ def heavy_grams(rows: DataFrame, k: int, least: int = 3, chunk: int = 1 << 21) -
                     held, size = [], 0
         if held:
             yield flush()
+        if slots.any():
+            press = zstandard.ZstdCompressor(level=1)
+            data = pa.array([press.compress(x.tobytes()) for x in np.split(slots, SLICES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([none(SLICES, pa.int64()), none(SLICES, pa.int64()), pa.array(np.arange(SLICES), pa.int32()), data], names)
+
+    def add(key, frame):
+        import pandas as pd
+        import zstandard
 
-    got = rows.select("body").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = got.orderBy(F.desc("n"), "gram").limit(HEAVY).toPandas()
+        open_ = zstandard.ZstdDecompressor()
+        total = np.zeros(COUNTERS // SLICES, np.int64)
+        for raw in frame["data"]:
+            total += np.frombuffer(open_.decompress(raw), np.int64)
+        return pd.DataFrame({"part": [key[0]], "data": [np.log2(1.0 + total).round().astype(np.uint8).tobytes()]})
+
+    counted = store(rows.select("body").mapInArrow(count, "gram long, n long, part int, data binary"))
+    got = counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(HEAVY).toPandas()
     grams, n = got["gram"].to_numpy(np.int64).view(U64), got["n"].to_numpy(np.int64)
     order = np.argsort(grams)
-    return grams[order], (1 + np.log2(np.maximum(n[order], 1))).astype(np.uint8)
+    levels = np.zeros(COUNTERS, np.uint8)
+    width = COUNTERS // SLICES
+    for r in counted.where("part is not null").select("part", "data").groupBy("part").applyInPandas(add, "part int, data binary").collect():  # SLICES rows, 1 MB in all
+        levels[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
+    drop_stored(counted)
+    return grams[order], (1 + np.log2(np.maximum(n[order], 1))).astype(np.uint8), levels
 
 
-def features(rows: DataFrame, k: int, percent: int, heavy) -> DataFrame:
+def features(rows: DataFrame, k: int, percent: int, known) -> DataFrame:
     """Per row: set size, class, and the n-grams of its prefix."""
     spark = rows.sparkSession
-    table = spark.sparkContext.broadcast(heavy)
+    table = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        grams, level = table.value
+        grams, level, levels = table.value
         for batch in batches:
             for block in blocks(batch.column("body")):
-                sets = shingle_sets(block, k)
+                sets, ranks = shingle_sets(block, k, levels)
                 flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-                rank = np.zeros(len(flat), U64)
-                if len(grams):
+                rank = np.minimum(np.concatenate(ranks) if ranks else np.zeros(0, np.uint8), 95).astype(U64)
+                if len(grams):  # heavy n-grams come after all others
                     at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-                    rank = np.where(grams[at] == flat, level[at], 0).astype(U64)
-                order_key = (rank << U64(58)) | (flat >> U64(6))
+                    rank = np.where(grams[at] == flat, U64(96) + level[at].astype(U64), rank)
+                order_key = (rank << U64(56)) | (flat >> U64(8))
                 prefix, at = [], 0
                 for s in sets:
                     n = len(s)
@@ -138,22 +186,18 @@ def features(rows: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     return rows.select("doc_id", "at", "body").mapInArrow(run, "doc_id long, at long, n long, node long, prefix array<long>")
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, grams) of the wanted classes, from the texts of their first rows."""
+def squeezed(rows: DataFrame) -> DataFrame:
+    """(at, body): texts compressed one by one, which shuffle in half the bytes and in a third of their sets'."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for block in blocks(batch.column("body")):
-                sets = shingle_sets(block, k)
-                want = batch.column("node").slice(block.first, block.n).to_pylist()
-                pick = [i for i, s in enumerate(sets) if class_name(s) == want[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([want[i] for i in pick], pa.int64()), pa.array([len(sets[i]) for i in pick], pa.int64()), pa.array([sets[i].tobytes() for i in pick], pa.binary())], ["node", "n", "grams"]
-                )
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array([press.compress(x.as_buffer()) for x in batch.column("body")], pa.binary())], ["at", "body"])
 
-    return rows.join(wanted, "at").select("body", "node").mapInArrow(run, "node long, n long, grams binary").dropDuplicates(["node"])
+    return rows.select("at", "body").mapInArrow(run, "at long, body binary")
 
 
 def product(grams: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,31 +244,37 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataF
     spark = rows.sparkSession
     classes = feats.where("n > 0").groupBy("node").agg(F.min(F.struct("at", "n", "prefix")).alias("f")).select("node", "f.at", "f.n", "f.prefix")
     classes = store(classes)
-    cells = classes.select("node", "at", F.explode("prefix").alias("col"))
-    pivots = store(cells.groupBy("col").agg(F.min(F.struct("at", "node")).alias("p"), F.count("*").alias("c")).where("c > 1").select("col", F.col("p.node").alias("pivot")))
-    members = store(cells.join(pivots, "col").select("pivot", "node").distinct())
-    wanted = members.select("node").distinct().join(classes.select("node", "at"), "node")
-    sets = store(sets_of(rows, wanted, k))
-    sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c")))
+    # sizes of a linked pair lie in the same or neighbouring bands, so each set goes to its own band and the next
+    band = F.floor(F.log("n") / math.log(100 / percent * 1.001)).cast("int")
+    cells = classes.select("node", "at", F.explode(F.array(band, band + 1)).alias("band"), "prefix")
+    cells = cells.select("node", "at", "band", F.explode("prefix").alias("col")).select("node", "at", F.xxhash64("col", "band").alias("col"))
+    pivots = store(cells.groupBy("col").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("col", "pivot"))
+    members = store(cells.join(pivots, "col").select("pivot", "node", "at").distinct())
+    sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c")).where("c > 1"))
     tiles = F.ceil(F.col("c") / TILE).cast("int")
     units = members.join(sizes, "pivot").withColumn("tiles", tiles)
     units = units.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = units.select("pivot", "node", "tiles", F.col("mine").alias("tile"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    units = units.select("pivot", "node", "at", "tiles", F.col("mine").alias("tile"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     parts = shuffle_parts(spark) * 16
-    units = units.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(F.xxhash64("pivot", "lo", "hi")))
+    units = units.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(F.xxhash64("pivot", "lo", "hi"))).drop("tiles")
+    texts = squeezed(rows)
 
     def compare(key, frame):
         import pandas as pd
+        import zstandard
 
+        open_ = zstandard.ZstdDecompressor()
         out_u, out_v = [], []
         for (_, lo, hi), g in frame.groupby(["pivot", "lo", "hi"], sort=False):
+            g = g.drop_duplicates(["node", "body"]).sort_values(["tile", "node"])  # repeated rows
             if len(g) < 2:
                 continue
-            g = g.sort_values(["tile", "node"])
+            sets = [shingle_sets(Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0), k)[0] for raw in map(open_.decompress, g["body"])]
+            right = [class_name(s) == n for s, n in zip(sets, g["node"], strict=True)]  # else another text under the same id
+            g, grams = g[right], [s for s, ok in zip(sets, right, strict=True) if ok]
             node = g["node"].to_numpy()
-            grams = [np.frombuffer(x, U64) for x in g["grams"]]
             split = 0 if lo == hi else int((g["tile"] == lo).sum())
-            if lo != hi and split in (0, len(g)):
+            if len(g) < 2 or lo != hi and split in (0, len(g)):
                 continue
             x, y = product(grams, split, percent)
             if len(x):
@@ -233,25 +283,40 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataF
                     out_v.append(int(node[b]))
         return pd.DataFrame({"u": pd.Series(out_u, dtype="int64"), "v": pd.Series(out_v, dtype="int64")})
 
-    edges = store(units.join(sets, "node").groupBy("task").applyInPandas(compare, "u long, v long"))
-    drop_stored(members, sets, sizes, pivots)
+    edges = store(units.join(texts, "at").groupBy("task").applyInPandas(compare, "u long, v long"))
+    drop_stored(classes, members, sizes, pivots)
     return edges
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Features of all rows, and for each class its component's least doc_id and the key (`at`) of its first document."""
     rows = _rows(docs, id_col, text_col)
-    feats = store(features(rows, k, percent, heavy_grams(rows, k)))
+    feats = store(features(rows, k, percent, frequencies(rows, k)))
     edges = link_edges(rows, feats, k, percent)
     named = components(edges)
-    base = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    base = base.join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "at"))
+    base = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    base = base.join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", "first", F.coalesce("root", "node").alias("root"))
     base = store(base)
-    best = store(base.groupBy("root").agg(F.min("least").alias("component_id")))
-    per = store(base.join(best, "root").select("node", "component_id"))
+    best = store(base.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")))
+    return feats, store(base.select("node", "root").join(best, "root").select("node", "component_id", F.col("first.at").alias("keep")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    feats, per = classified(docs, id_col, text_col, k, percent)
     out = feats.select("doc_id", "n", "node").join(per, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """`docs` less all documents of each component but its first; repeated rows are one document."""
+    feats, per = classified(docs, id_col, text_col, k, percent)
+    gone = feats.where("n > 0").select("node", "at").join(per, "node").where("at <> keep").select(F.struct("node", "at").alias("_g"))
+    gone = store(gone.select(F.col("_g.at").alias("_gone")).distinct())
+    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    return docs.join(gone, key == F.col("_gone"), "left_anti")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
