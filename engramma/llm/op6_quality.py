@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engramma.llm.common import U64, blocks, id_and_bytes, mix, per_doc_cumulative, span_hashes
 
@@ -134,7 +135,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.types import StructType  # noqa: F401
 
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
@@ -146,6 +146,23 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that the rules keep."""
+    body = "__quality_body"
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index(body)
+            kept = [measure(block, rules)["kept"] for block in blocks(batch.column(at))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept))).select([n for n in batch.schema.names if n != body])
+
+    rows = docs.select("*", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(body))
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
