@@ -168,12 +168,16 @@ def _(spark, d):
 # ------------------------------------------------------------ scans and mutations
 
 FLAT = "id, namespace, kind, round(strength, 9) strength, access_count, consolidated, superseded, dormant"
-FLATC = ["id", "namespace", "kind", r9("strength"), "access_count", "consolidated", "superseded", "dormant"]
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "namespace", "kind", r9("strength"), "access_count", "consolidated", "superseded", "dormant")
+
 
 
 @query("s1_scan_alive", f"with {MEM} select {FLAT} from mem where namespace in ('en', 'fr') and not consolidated and not dormant order by strength desc, last_access desc, id limit 100")
 def _(spark, d):
-    return lifecycle.scan(lifecycle.readable(m.memories(spark, d), "en", ("fr",)), limit=100).select(*FLATC)
+    return flat(lifecycle.scan(lifecycle.readable(m.memories(spark, d), "en", ("fr",)), limit=100))
 
 
 @query("s2_dump", f"with {MEM} select id, namespace, round(importance, 9) importance from mem order by importance desc, id limit 50")
@@ -188,7 +192,7 @@ def _(spark, d):
 
 @query("s4_get", f"with {MEM} select {FLAT} from mem where id = 42 and namespace <> '__self__'")
 def _(spark, d):
-    return lifecycle.readable(m.memories(spark, d), "en", ("*",)).where("id = 42").select(*FLATC)
+    return flat(lifecycle.readable(m.memories(spark, d), "en", ("*",)).where("id = 42"))
 
 
 @query("s5_neighbours", f"with {LNK}, {NEI} select node, other, round(weight, 9) weight from nei")

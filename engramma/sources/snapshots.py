@@ -11,17 +11,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 7
 TABLES = ("memories", "links", "facts", "meta", "surprise_counts", "surprise_history")
-MEMORIES = T.StructType.fromDDL(
+MEMORIES = (
     "id long, text string, kind string, hv binary, novelty double, importance double, confidence double, strength double, access_count long, created double, "
     "last_access double, consolidated boolean, superseded boolean, dormant boolean, fact_id long, namespace string"
 )
-LINKS = T.StructType.fromDDL("src long, dst long, weight double, namespace string, type string, status string, created_at double")
-FACTS = T.StructType.fromDDL("id long, namespace string, fields map<string,string>, hv binary, valid_from double, valid_to double, supersedes long, source string")
-META = T.StructType.fromDDL("namespace string, key string, value string")
+LINKS = "src long, dst long, weight double, namespace string, type string, status string, created_at double"
+FACTS = "id long, namespace string, fields map<string,string>, hv binary, valid_from double, valid_to double, supersedes long, source string"
+META = "namespace string, key string, value string"
 
 
 def shared(spark: SparkSession) -> str:
