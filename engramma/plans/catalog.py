@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engramma.functions import hv
 from engramma.functions import text as tx
-from engramma.operators import context, evaluate, graph, ingest, lifecycle, recall, surprise
+from engramma.operators import context, evaluate, graph, ingest, lifecycle, maintain, navigate, recall, surprise
 from engramma.operators import facts as fx
 from engramma.plans import model as m
 from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
@@ -385,6 +385,73 @@ def _(spark, d):
     return graph.nearest_links(pairs, old, 4)
 
 
+PAIRS = """e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings where vec_id < 200),
+  pr as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)"""
+
+
+@query("w4_lexical_links", f"with {PAIRS} select id src, other dst, sim weight from pr where sim >= 0.58 and other < id")
+def _(spark, d):
+    return maintain.lexical_links(_near_pairs(spark, d)).select("src", "dst", "weight")
+
+
+@query("w5_near_links", f"""with {PAIRS}, b as (select *, row_number() over (partition by id order by sim desc, other) r, count(*) over (partition by id) n from pr where other < id)
+  select other src, id dst, sim weight from b where n >= 6 and r <= 4""")
+def _(spark, d):
+    pairs = _near_pairs(spark, d)
+    return maintain.near_links(pairs, pairs.select("id").distinct()).select("src", "dst", "weight")
+
+
+@query("w6_supersede_hints", f"with {PAIRS} select id, -max((sim, -other))[2] hint, max(sim) sim from pr where other < id group by 1 having max(sim) >= 0.72".replace("-max((sim, -other))[2]", "arg_max(other, (sim, -other))"))
+def _(spark, d):
+    return maintain.supersede_hints(_near_pairs(spark, d))
+
+
+@query("w11_update")
+def _(spark, d):
+    mem = m.memories(spark, d)
+    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), "text", F.when(F.col("item_id") % 2 == 0, F.col("item_id") * 3).alias("memory_id"))
+    near = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), (F.col("item_id") * 5 + 1).alias("id"), (F.lit(0.4) + F.col("item_id") % 5 / 10.0).alias("sim"))
+    return maintain.update(mem, asks, near, NOW)[1].select("src", "dst", "type")
+
+
+@query("w19_learn")
+def _(spark, d):
+    n = F.col("n_nationkey").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, maintain.KINDS)), (n % 4 + 1).cast("int"))
+    rules = read(spark, d, "nation").where("n_nationkey < 10").select((n + 1).alias("id"), kind.alias("kind"), F.col("n_name").alias("text"), F.lit("__self__").alias("namespace"), F.lit(0.95).alias("importance"), F.lit(1.0).alias("strength"),
+                                                                     F.lit(0).cast("long").alias("access_count"), F.lit(NOW).alias("created"), F.lit(NOW).alias("last_access"))
+    new = read(spark, d, "nation").select(n.alias("rule"), kind.alias("kind"), F.col("n_name").alias("text"))
+    pairs = new.select("rule", (F.col("rule") + 1).alias("id"), F.lit(1.0).alias("sim")).where("id <= 10")
+    return maintain.learn(rules, new, pairs, NOW).select("id", "kind", "text", "strength", "access_count")
+
+
+@query("w18_sleep")
+def _(spark, d):
+    rows = m.turns(spark, d).where("conv_id < 40").select(F.col("seq").alias("id"), F.col("role").alias("namespace"), F.substring("text", 1, 100).alias("text"), F.lit("episodic").alias("kind"), F.col("turn").alias("t"))
+    for c, v in (("novelty", 0.5), ("importance", 0.5), ("confidence", 0.5), ("strength", 1.0), ("created", NOW), ("last_access", NOW)):
+        rows = rows.withColumn(c, F.lit(v))
+    rows = rows.withColumn("access_count", F.lit(0).cast("long")).withColumn("hv", hv.encoder(False)("text")).drop("t")
+    for c in ("consolidated", "superseded", "dormant"):
+        rows = rows.withColumn(c, F.lit(False))
+    links = rows.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.7).alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status"))
+    out = maintain.sleep(rows, links, NOW, lambda a, b: F.lit(0.63))
+    return out["memories"].select("id", "namespace", "kind", "consolidated", "dormant")
+
+
+@query("r13_navigate")
+def _(spark, d):
+    mem = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", hv.simhash_udf("embedding").alias("hv"))
+    ring = read(spark, d, "embeddings").select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("dst")).where("dst is not null").select(F.col("vec_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
+    asks = mem.where("id % 50 = 0").select(F.col("id").alias("query_id"), "hv")
+    return navigate.search(mem, ring, asks, 5)
+
+
+@query("x10_clustered")
+def _(spark, d):
+    mem, _ = navigate.clustered(spark, 20, 50)
+    return mem.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 def _activation(spark, d):
     """Queries are regions; the activation of a part is a fixed function of both."""
     q = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"))
