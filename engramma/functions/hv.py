@@ -137,6 +137,17 @@ def simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda v: None if v is None else simhash(v).tobytes())
 
 
+@F.pandas_udf(T.BinaryType())
+def token_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield batch.map(lambda t: token_hv(t).tobytes())
+
+
+@F.pandas_udf(T.BinaryType())
+def permute_udf(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: permute(np.frombuffer(x, np.uint8)).tobytes())
+
+
 @F.pandas_udf(T.BinaryType())
 def bind_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).tobytes() for x, y in zip(a, b, strict=True)])

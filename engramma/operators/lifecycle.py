@@ -166,3 +166,23 @@ def state() -> Column:
 
 def soon_dormant(now: float) -> Column:
     return (F.col("strength") < 0.4) & (F.lit(now) - F.col("last_access") > 7 * 86400) & (F.col("importance") < PROTECTED)
+
+
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Key-value rows with changes laid over them."""
+    new = changes.select(*keys, F.col(value).alias("_new"))
+    return table.join(new, keys, "full").select(*keys, F.coalesce("_new", value).alias(value))
+
+
+def shadowed(facts: DataFrame, memories: DataFrame) -> DataFrame:
+    """Ids of facts whose text row sleeps or was superseded."""
+    gone = memories.where("dormant or superseded").select(F.col("id").alias("shadow"))
+    return facts.join(gone, F.col("id") == F.col("shadow"), "left_semi").select("id")
+
+
+def record(hits: DataFrame, memories: DataFrame, own: str) -> DataFrame:
+    """What recall hands out: text, utility, the project it comes from if foreign, and whether the text tries to steer a model."""
+    from engramma.functions.text import suspicious
+
+    both = hits.join(memories.select("id", "text", "kind", "namespace", "access_count"), "id")
+    return both.select("*", utility().alias("utility"), F.when(F.col("namespace") != own, F.col("namespace")).alias("project"), suspicious(F.col("text")).alias("untrusted"))

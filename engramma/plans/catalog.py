@@ -10,6 +10,7 @@ from engramma.functions import text as tx
 from engramma.operators import context, evaluate, graph, ingest, lifecycle, maintain, navigate, recall, surprise
 from engramma.operators import facts as fx
 from engramma.plans import model as m
+from engramma.sources.snapshots import parse_log
 from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
 
 Q: dict = {}
@@ -272,6 +273,49 @@ def _(spark, d):
     return lifecycle.append(old, read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")), "k").select(F.col("id").cast("long").alias("id"), "name")
 
 
+@query("s7_shadowed_facts", f"with {MEM} select event_id id from events where event_id in (select id from mem where dormant or superseded)")
+def _(spark, d):
+    return lifecycle.shadowed(m.facts(spark, d), m.memories(spark, d))
+
+
+@query("s12_meta_upsert", "select n_name \"key\", case when r_regionkey is null then n_nationkey::varchar else 'r' || r_name end \"value\" from nation left join region on n_nationkey = r_regionkey * 3")
+def _(spark, d):
+    old = read(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    keys = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_nationkey") == F.col("r_regionkey") * 3)
+    return lifecycle.upsert(old, keys.select(F.col("n_name").alias("key"), F.concat(F.lit("r"), "r_name").alias("value")), ["key"], "value")
+
+
+@query("u5_set_strength", f"with {MEM} select id, round(case when id % 4 = 0 then 0.25 else strength end, 9) strength from mem")
+def _(spark, d):
+    mem = m.memories(spark, d)
+    new = mem.where("id % 4 = 0").select("id", F.lit(0.25).alias("strength"))
+    return lifecycle.upsert(mem.select("id", "strength"), new, ["id"], "strength").select("id", r9("strength"))
+
+
+@query("u7_consolidated", f"with {MEM}, x as (select doc_id from labels where toxic = 1) select id, consolidated or id in (from x) consolidated from mem")
+def _(spark, d):
+    ids = read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    return lifecycle.mark(m.memories(spark, d), ids, "consolidated").select("id", "consolidated")
+
+
+@query("r10_records", f"with {MEM} select id, round(least(access_count, 5)::double / 5, 9) utility, case when namespace <> 'en' then namespace end project, " + " or ".join(f"regexp_matches(text, '{RX(p)}')" for p in tx.INJECTIONS) + " untrusted from mem where id % 3 = 0")
+def _(spark, d):
+    mem = m.memories(spark, d)
+    return lifecycle.record(mem.where("id % 3 = 0").select("id"), mem, "en").select("id", r9("utility"), "project", "untrusted")
+
+
+@query("w1_atomise_gate")
+def _(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.length("text").alias("n_chars"), F.size(tx.atoms("text")).alias("n_atoms"))
+    return t.select("doc_id", "n_atoms", ((F.col("n_chars") >= 500) & (F.col("n_atoms") >= 4)).alias("atomised"))
+
+
+@query("e2_token_vectors")
+def _(spark, d):
+    t = read(spark, d, "benchmark").select(F.explode(tx.tokens(F.col("text"))).alias("token")).distinct()
+    return t.select("token", F.md5(hv.token_udf("token")).alias("digest"), F.md5(hv.permute_udf(hv.token_udf("token"))).alias("rotated"))
+
+
 @query("a5_stats", f"""with {MEM}, {LNK}, e as (select src e from lnk where "type" = 'knn' union select dst from lnk where "type" = 'knn')
   select count(*)::bigint total, count(*) filter (not consolidated and not dormant and not superseded)::bigint active, count(*) filter (dormant)::bigint dormant, count(*) filter (superseded)::bigint superseded,
   count(*) filter (consolidated)::bigint consolidated, count(*) filter (kind = 'semantic')::bigint semantic, (select count(*) from e)::bigint covered from mem""")
@@ -624,6 +668,12 @@ def _(spark, d):
     return fx.as_of(fx.close_runs(m.facts(spark, d))).select("id", "subject", "object")
 
 
+@query("f8_facts_view", f"with {RUN} select subject, count(*)::bigint n, count(*) filter (valid_to is null)::bigint current from ff group by 1")
+def _(spark, d):
+    f = fx.close_runs(m.facts(spark, d))
+    return f.groupBy("subject").agg(F.count("*").alias("n"), F.count_if(F.col("valid_to").isNull()).alias("current"))
+
+
 @query("f6_ask_exact", f"""with {RUN}, pr as (select c_custkey probe_id, 'user' || (c_custkey % 60) subject, 'last_event' predicate, 1704067200000000 + c_custkey * 7000000 "at" from customer)
   select probe_id, arg_max("object", (valid_from, id)) filter (valid_from <= pr."at" and (valid_to is null or valid_to > pr."at")) "object" from pr left join ff using (subject, predicate) group by 1""")
 def _(spark, d):
@@ -703,6 +753,11 @@ def _(spark, d):
     return context.token_bill(m.log_lines(spark, d).select("value"), "2024-01-05")
 
 
+@query("a7_log_entries", f"with {LOG} select substr(line, 1, 19) ts, split_part(substr(line, 21), ' ', 1) \"action\", trim(substr(line, 31)) detail from lg")
+def _(spark, d):
+    return parse_log(m.log_lines(spark, d).select("value")).select("ts", "action", "detail")
+
+
 @query("a4_token_series", f"with {LOG} select line_no, substr(line, 1, 19) ts, regexp_extract(line, '(\\d+) tok', 1)::bigint tokens from lg where split_part(substr(line, 21), ' ', 1) = 'tokens' order by line_no desc limit 200")
 def _(spark, d):
     return context.token_series(m.log_lines(spark, d))
