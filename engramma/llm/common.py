@@ -51,13 +51,32 @@ def drop_stored(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes in this session, so that workers' memory does not follow text length."""
+    conf = docs.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = _number(conf.get(key))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return docs
+
+
+def _number(value: str) -> int:
+    digits = "".join(c for c in value if c.isdigit() or c == "-")
+    unit = {"k": 10, "m": 20, "g": 30}.get(value.lower().rstrip("b")[-1:], 0)
+    return int(digits or 0) << unit if int(digits or 0) > 0 else -1
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names: extra columns never clash."""
-    return docs.select(
+    return bounded_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"),
     )
@@ -154,10 +173,10 @@ class Block:
 
 
 def blocks(column, block_bytes: int = BLOCK_BYTES):
-    """Blocks of a binary Arrow column, each of whole documents and about `block_bytes`."""
+    """Blocks of a binary or string Arrow column (null: empty), each of whole documents and about `block_bytes`."""
     import pyarrow as pa
 
-    wide = column.type == pa.large_binary()
+    wide = column.type in (pa.large_binary(), pa.large_string())
     n = len(column)
     if not n:
         return

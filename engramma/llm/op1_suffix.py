@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramma.llm.common import _BYTE, U64, _powers, drop_stored, mix, shuffle_parts, store
+from engramma.llm.common import _BYTE, U64, _powers, bounded_batches, drop_stored, mix, shuffle_parts, store
 
 LENGTH, GRAM = 100, 32
 HOT = 1 << 16
@@ -126,7 +126,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 def _documents(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("o"), F.xxhash64(body).alias("t"), body.alias("body"), *more)
+    return bounded_batches(docs).select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("o"), F.xxhash64(body).alias("t"), body.alias("body"), *more)
 
 
 def spot(o: np.ndarray, t: np.ndarray, groups: int) -> np.ndarray:

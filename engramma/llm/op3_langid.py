@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import blocks
+from engramma.llm.common import blocks, bounded_batches
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 SAMPLE_PER_LANGUAGE = 256
@@ -243,7 +243,7 @@ def predict(docs: DataFrame, model: ByteGru | None, id_col: str = "doc_id", text
 
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out")
     letter = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), fold, letter)
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), fold, letter)
     return rows.mapInArrow(run, SCHEMA)
 
 

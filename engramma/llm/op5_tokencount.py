@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramma.llm.common import blocks, shuffle_parts, span_hashes, store
+from engramma.llm.common import blocks, bounded_batches, shuffle_parts, span_hashes, store
 
 DOCS_PER_FILE = 1024
 BLOCK_TOKENS = 1 << 15
@@ -96,7 +96,7 @@ def _file_of() -> object:
 
 def flat_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Flat token files of documents (16-bit word ids, END behind each), as blocks of fixed size; files are ranges of doc_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.select("doc_id", "body", _file_of().alias("file"), F.xxhash64("body").alias("tie"))
 
     def tokens(batches: Iterator) -> Iterator:

@@ -21,9 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from engramma.llm.common import U64, blocks, id_and_bytes, mix, per_doc_cumulative, span_hashes
+from engramma.llm.common import U64, blocks, bounded_batches, id_and_bytes, mix, per_doc_cumulative, span_hashes
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -148,19 +147,17 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that the rules keep."""
-    body = "__quality_body"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.schema.get_field_index(body)
-            kept = [measure(block, rules)["kept"] for block in blocks(batch.column(at))]
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            kept = [measure(block, rules)["kept"] for block in blocks(texts)]
             if kept:
-                yield batch.filter(pa.array(np.concatenate(kept))).select([n for n in batch.schema.names if n != body])
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
-    rows = docs.select("*", F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(body))
-    return rows.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,11 +166,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _later(n: int) -> str:
     return f"""
-  g{n} as (select doc_id, i, row_number() over (partition by doc_id, list_slice(ws, i, i + {n - 1}) order by i) k,
-                  count(*) over (partition by doc_id, list_slice(ws, i, i + {n - 1})) c
-           from w, unnest(range(1, len(ws) - {n - 2})) t(i) where len(ws) >= {n}),
+  s{n} as materialized (select doc_id, i, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') g from w, unnest(range(1, len(ws) - {n - 2})) t(i) where len(ws) >= {n}),
+  g{n} as (select doc_id, i, k, c from s{n} join (select doc_id, g, min(i) k, count(*) c from s{n} group by 1, 2 having count(*) > 1) using (doc_id, g)),
   p{n} as (select doc_id, sum(len(ws[p])) later_chars from w join
-            (select distinct doc_id, i + d p from g{n}, unnest(range(0, {n})) u(d) where k > 1) using (doc_id) group by 1)"""
+            (select distinct doc_id, i + d p from g{n}, unnest(range(0, {n})) u(d) where i > k) using (doc_id) group by 1)"""
 
 
 SQL = f"""

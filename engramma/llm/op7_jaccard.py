@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import U64, Block, blocks, drop_stored, mix, shuffle_parts, span_hashes, store
+from engramma.llm.common import U64, Block, blocks, bounded_batches, drop_stored, mix, shuffle_parts, span_hashes, store
 from engramma.llm.components import components, forest
 
 TILE, COLUMNS = 512, 8192
@@ -94,7 +94,7 @@ def class_name(s: np.ndarray) -> int:
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     doc = F.col(id_col).cast("long")
-    return docs.select(doc.alias("doc_id"), body.alias("body"), F.coalesce(doc, F.xxhash64(body)).alias("at"))
+    return bounded_batches(docs).select(doc.alias("doc_id"), body.alias("body"), F.coalesce(doc, F.xxhash64(body)).alias("at"))
 
 
 def frequencies(rows: DataFrame, k: int, least: int = 3, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
