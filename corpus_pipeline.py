@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from engramma.llm import op1_suffix, op4_packing, op6_quality, op7_jaccard, op8_lines
 from engramma.llm.common import store
 
+#: Words of a shingle and least similarity of near copies.
+SHINGLE, PERCENT = 5, 80
+
 
 def _filled(docs: DataFrame) -> DataFrame:
     docs = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -30,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op7_jaccard.keep_one(docs)
+    return op7_jaccard.keep_one(docs, k=SHINGLE, percent=PERCENT)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ import re
 from engramma.llm import op7_jaccard as m
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, k=3):
     def grams(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), text or ""))
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
     sets = [grams(t) for _, t in rows]
     comp = list(range(len(rows)))
@@ -47,11 +47,11 @@ def sample(seed=2, groups=14):
     return rows
 
 
-def compare(spark, rows):
+def compare(spark, rows, percent=90, k=3):
     none = lambda x: -1 if x is None else x
     df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, node string, n int").repartition(3)
-    got = sorted((none(r.doc_id), r.n_shingles, none(r.component_id)) for r in m.jaccard_components(df).collect())
-    assert got == brute(rows)
+    got = sorted((none(r.doc_id), r.n_shingles, none(r.component_id)) for r in m.jaccard_components(df, k=k, percent=percent).collect())
+    assert got == brute(rows, percent, k)
 
 
 def test_against_brute_force(spark):
@@ -70,6 +70,11 @@ def test_tiles_and_column_blocks(spark, monkeypatch):
         m.TILE, m.COLUMNS = old
 
 
+def test_other_lengths_and_bounds(spark):
+    compare(spark, sample(7, 10), 80, 5)
+    compare(spark, sample(8, 8), 60, 1)
+
+
 def test_empty(spark):
     assert m.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

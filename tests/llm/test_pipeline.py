@@ -45,7 +45,7 @@ def brute(rows):
     rows = [(d, t) for d, t in rows if t is not None and good(t)]
     gone = test_op8_lines.brute(rows)
     rows = filled([(d, "\n".join(s for n, s in enumerate(t.split("\n")) if n not in set(gone[d]))) for d, t in rows])
-    component = {d: c for d, _, c in test_op7_jaccard.brute(rows)}
+    component = {d: c for d, _, c in test_op7_jaccard.brute(rows, corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE)}
     rows = [(d, t) for d, t in rows if component[d] == d]
     seen, out = set(), []
     for d, t in rows:
