@@ -24,6 +24,7 @@ BITS, TIE_SEED, PROJECTION_SEED = 10_000, 0xC0FFEE, 42
 ROLE_SEEDS = {"subject": 70001, "predicate": 70002, "object": 70003, "time": 70004, "source": 70005}
 SEMANTIC_WEIGHT = 0.15
 WORDS = 20
+BLOCK_PARTS = 4096
 
 
 # ------------------------------------------------------------ numpy
@@ -47,12 +48,39 @@ def majority(ones: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(np.where(2 * ones > n, 1, np.where(2 * ones < n, 0, tie_bits())).astype(np.uint8))
 
 
+def ones_of(vectors: np.ndarray) -> np.ndarray:
+    """How many of the packed rows have each bit set, by carry-save addition of whole words: three
+    rows of one weight become one of that weight and one of the next, for all rows at once."""
+    words = -(-vectors.shape[1] // 8)
+    level = np.zeros((len(vectors), words * 8), np.uint8)
+    level[:, : vectors.shape[1]] = vectors
+    level = level.view(np.uint64)
+    total, weight = np.zeros(BITS, np.int32), 1
+    while len(level):
+        carries = []
+        while len(level) > 1:
+            n = len(level) // 3
+            if n == 0:
+                a, b = level
+                level, carry = (a ^ b)[None], (a & b)[None]
+            else:
+                a, b, c = level[:n], level[n : 2 * n], level[2 * n : 3 * n]
+                x = a ^ b
+                level, carry = np.concatenate([x ^ c, level[3 * n :]]), (a & b) | (x & c)
+            carries.append(carry)
+        total += weight * np.unpackbits(level[0].view(np.uint8))[:BITS].astype(np.int32)
+        level = np.concatenate(carries) if carries else level[:0]
+        level = level[level.any(1)]
+        weight *= 2
+    return total
+
+
 def bundle(vectors: list[np.ndarray]) -> np.ndarray:
     if not vectors:
         return random_hv(0)
     if len(vectors) == 1:
         return vectors[0].copy()
-    return majority(np.unpackbits(np.stack(vectors), axis=1)[:, :BITS].sum(0, dtype=np.int32), len(vectors))
+    return majority(ones_of(np.stack(vectors)), len(vectors))
 
 
 def permute(vector: np.ndarray, shift: int = 1) -> np.ndarray:
@@ -65,7 +93,7 @@ def similarity_batch(query: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return 1.0 - np.bitwise_count(np.bitwise_xor(matrix, query)).sum(1, dtype=np.int64) / BITS
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=20_000)
 def _token_bits(token: str) -> np.ndarray:
     return random_hv(int(hashlib.sha256(token.encode()).hexdigest()[:16], 16) % 2**32)
 
@@ -81,30 +109,34 @@ def encode_text(text: str, use_trigrams: bool = True, hook: Callable[[str], np.n
     words = re.findall(r"\w+", text.lower())
     if not words:
         return random_hv(0)
-    parts: dict[bytes, int] = {}
-    add = lambda v, k=1: parts.__setitem__(v.tobytes(), parts.get(v.tobytes(), 0) + k)
-    for word in words:
-        add(token_hv(word))
-        if use_trigrams:
+    vectors = [token_hv(w) for w in words]
+    parts = list(vectors)
+    parts += [a ^ b for a, b in zip(vectors, rotated(vectors[1:]), strict=False)]
+    if use_trigrams:
+        for word in words:
             edged = f"#{word}#"
-            for i in range(len(edged) - 2):
-                add(token_hv("§" + edged[i : i + 3]))
-    for a, b in zip(words, words[1:], strict=False):
-        add(token_hv(a) ^ permute(token_hv(b)))
+            parts += [token_hv("§" + edged[i : i + 3]) for i in range(len(edged) - 2)]
     if hook is not None:
         try:
-            add(hook(text), max(1, int(sum(parts.values()) * SEMANTIC_WEIGHT)))
+            parts += [hook(text)] * max(1, int(len(parts) * SEMANTIC_WEIGHT))
         except Exception:  # noqa: BLE001, S110 - a caller's model must not stop encoding
             pass
-    n = sum(parts.values())
+    ones, n = np.zeros(BITS, np.int32), len(parts)
     if n == 1:
-        return np.frombuffer(next(iter(parts)), np.uint8).copy()
-    ones = np.zeros(BITS, np.int32)
-    for raw, k in parts.items():
-        ones += k * np.unpackbits(np.frombuffer(raw, np.uint8))[:BITS].astype(np.int32)
+        return parts[0].copy()
+    for i in range(0, n, BLOCK_PARTS):  # memory stays bounded for long texts
+        ones += ones_of(np.stack(parts[i : i + BLOCK_PARTS]))
     return majority(ones, n)
 
 
+def rotated(vectors: list[np.ndarray]) -> np.ndarray:
+    """All vectors rotated by one bit, most significant first: each byte takes the last bit of the one before."""
+    if not vectors:
+        return np.zeros((0, BITS // 8), np.uint8)
+    m = np.stack(vectors)
+    return (m >> 1) | (np.roll(m, 1, axis=1) << 7)
+
+
 @functools.lru_cache(maxsize=4)
 def projection(dim: int) -> np.ndarray:
     return np.random.default_rng(PROJECTION_SEED).standard_normal((BITS, dim)).astype(np.float32)

@@ -45,6 +45,7 @@ def decide(messages: DataFrame, hits: DataFrame, musings: DataFrame | None = Non
     return rows.select("query_id", "intent", action.alias("action"), F.when(F.col("intent") == "empty", 0).otherwise(n).cast("long").alias("n_hits"))
 
 
+#: What stands for lines that do not fit (fixed value: its length is reserved).
 NOTICE = "({} recuerdo(s) más no caben en el presupuesto de {} tokens; pídelos con hc_recall si hacen falta)"
 
 

@@ -37,10 +37,10 @@ RX = lambda p: p.replace("'", "''")
 TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
-@query("e1_tokenize", f"select doc_id, len({TOK.format('text')})::bigint n, coalesce(array_to_string({TOK.format('text')}[1:5], ' '), '') first5 from documents")
+@query("e1_tokenize", f"select doc_id, len({TOK.format('text')})::bigint n, md5(coalesce(array_to_string({TOK.format('text')}, ' '), '')) digest from documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = read(spark, d, "documents").withColumn("ts", tx.tokens(F.col("text")))
-    return t.select("doc_id", F.size("ts").cast("long").alias("n"), F.array_join(F.slice("ts", 1, 5), " ").alias("first5"))
+    return t.select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ").cast("binary")).alias("digest"))
 
 
 @query("e3_trigrams", f"""with t as (select unnest({TOK.format('text')}) tok from benchmark), e as (select '#' || tok || '#' s from t)
@@ -55,10 +55,10 @@ def _(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.round(tx.clip01(F.col("c_acctbal") / 5000), 9).alias("clipped"))
 
 
-@query("e11_validate", r"""select doc_id, len(s)::bigint n, left(s, 20) head from (select doc_id, left(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 20000) s from documents) where s <> ''""")
+@query("e11_validate", r"""select doc_id, len(s)::bigint n, md5(s) digest from (select doc_id, left(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), 20000) s from documents) where s <> ''""")
 def _(spark, d):
     t = read(spark, d, "documents").select("doc_id", tx.valid_text(F.col("text")).alias("s")).where("s is not null")
-    return t.select("doc_id", F.length("s").cast("long").alias("n"), F.substring("s", 1, 20).alias("head"))
+    return t.select("doc_id", F.length("s").cast("long").alias("n"), F.md5(F.col("s").cast("binary")).alias("digest"))
 
 
 @query("e12_scan_secrets", "select doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"case when regexp_matches(text, '{RX(p)}') then '{label}' end" for p, label in tx.SECRETS) + "], lambda x: x is not null)), '; ') labels from documents")
@@ -156,7 +156,7 @@ def _(spark, d):
 
 @query("v3_bundle_np")
 def _(spark, d):
-    t = read(spark, d, "conversations").where("turn < 2").select("conv_id", hv.encoder(False)("text").alias("hv"))
+    t = read(spark, d, "conversations").select("conv_id", hv.encoder(False)("text").alias("hv"))
     return hv.bundled(t, "conv_id", "hv").select("conv_id", "n", F.md5("hv").alias("digest"))
 
 
@@ -224,9 +224,9 @@ def _(spark, d):
     return lifecycle.mark(m.memories(spark, d), ids, "superseded").select("id", "superseded", r9("strength"), r9("confidence"))
 
 
-@query("u8_delete", f"with {LNK}, dead as (select p_partkey id from part where p_size % 10 = 0) select src, dst from lnk where src not in (from dead) and dst not in (from dead)")
+@query("u8_delete", f"with {LNK}, dead as (select p_partkey id from part where p_size > 45) select src, dst from lnk where src not in (from dead) and dst not in (from dead)")
 def _(spark, d):
-    dead = read(spark, d, "part").where("p_size % 10 = 0").select(F.col("p_partkey").alias("id"))
+    dead = read(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("id"))
     return lifecycle.delete(m.parts(spark, d), m.links(spark, d), dead)[1].select("src", "dst")
 
 
@@ -253,18 +253,18 @@ SQL["u1_fold_links"] = """with recursive st as (select row_number() over (partit
 select src, dst, round(arg_max(w, seq), 9) weight, arg_max(k, seq) "type", arg_max(s, seq) status from f group by 1, 2"""
 
 
-@query("u2_link_status", f"with {LNK} select src, dst, \"type\", case when status = 'proposed' and \"type\" = 'dream' and src % 2 = 0 then 'confirmed' else status end status from lnk")
+@query("u2_link_status", f"with {LNK} select src, dst, \"type\", case when status = 'proposed' and \"type\" = 'dream' and weight >= 0.62 then 'confirmed' else status end status from lnk")
 def _(spark, d):
     links = m.links(spark, d)
-    return graph.set_status(links, links.where("src % 2 = 0").select(F.col("dst").alias("a"), F.col("src").alias("b")), "confirmed").select("src", "dst", "type", "status")
+    return graph.set_status(links, links.where("weight >= 0.62").select(F.col("dst").alias("a"), F.col("src").alias("b")), "confirmed").select("src", "dst", "type", "status")
 
 
-@query("u12_reclassify", f"""with {LNK}, {PRT}, mv as (select id from prt where namespace = 'Brand#11' and id % 2 = 0)
+@query("u12_reclassify", f"""with {LNK}, {PRT}, mv as (select id from prt where namespace = 'Brand#11' and strength < 2)
   select src, dst, case when src in (from mv) then 'moved' else 'main' end namespace from lnk where (src in (from mv)) = (dst in (from mv))""")
 def _(spark, d):
     parts = m.parts(spark, d)
     links = m.links(spark, d).withColumn("namespace", F.lit("main"))
-    return lifecycle.reclassify(parts, links, parts.where("id % 2 = 0").select("id"), "Brand#11", "moved")[1].select("src", "dst", "namespace")
+    return lifecycle.reclassify(parts, links, parts.where("strength < 2").select("id"), "Brand#11", "moved")[1].select("src", "dst", "namespace")
 
 
 @query("s10_append", "select r_regionkey::bigint id, r_name name from region union all select 4 + row_number() over (order by n_nationkey), n_name from nation")
@@ -285,10 +285,10 @@ def _(spark, d):
     return lifecycle.upsert(old, keys.select(F.col("n_name").alias("key"), F.concat(F.lit("r"), "r_name").alias("value")), ["key"], "value")
 
 
-@query("u5_set_strength", f"with {MEM} select id, round(case when id % 4 = 0 then 0.25 else strength end, 9) strength from mem")
+@query("u5_set_strength", f"with {MEM} select id, round(case when kind = 'semantic' then 0.25 else strength end, 9) strength from mem")
 def _(spark, d):
     mem = m.memories(spark, d)
-    new = mem.where("id % 4 = 0").select("id", F.lit(0.25).alias("strength"))
+    new = mem.where("kind = 'semantic'").select("id", F.lit(0.25).alias("strength"))
     return lifecycle.upsert(mem.select("id", "strength"), new, ["id"], "strength").select("id", r9("strength"))
 
 
@@ -298,10 +298,10 @@ def _(spark, d):
     return lifecycle.mark(m.memories(spark, d), ids, "consolidated").select("id", "consolidated")
 
 
-@query("r10_records", f"with {MEM} select id, round(least(access_count, 5)::double / 5, 9) utility, case when namespace <> 'en' then namespace end project, " + " or ".join(f"regexp_matches(text, '{RX(p)}')" for p in tx.INJECTIONS) + " untrusted from mem where id % 3 = 0")
+@query("r10_records", f"with {MEM} select id, round(least(access_count, 5)::double / 5, 9) utility, case when namespace <> 'en' then namespace end project, " + " or ".join(f"regexp_matches(text, '{RX(p)}')" for p in tx.INJECTIONS) + " untrusted from mem")
 def _(spark, d):
     mem = m.memories(spark, d)
-    return lifecycle.record(mem.where("id % 3 = 0").select("id"), mem, "en").select("id", r9("utility"), "project", "untrusted")
+    return lifecycle.record(mem.select("id"), mem, "en").select("id", r9("utility"), "project", "untrusted")
 
 
 @query("w1_atomise_gate")
@@ -390,15 +390,14 @@ def _(spark, d):
 
 @query("g8_list_view", f"""with {MEM}, atm as (select dst from (select doc_id + 1 dst from documents where doc_id % 6 = 0)) select id, round(strength, 9) strength from mem where id not in (from atm) order by mem.strength desc, id limit 100""")
 def _(spark, d):
-    links = read(spark, d, "documents").where("doc_id % 6 = 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("atom").alias("type"))
+    links = read(spark, d, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.when(F.col("doc_id") % 6 == 0, "atom").otherwise("lexical").alias("type"))
     return context.list_view(m.memories(spark, d), links, "strength", 100).select("id", r9("strength"))
 
 
-@query("r15_components", f"""with recursive {LNK}, {NEI}, ed as (select distinct node, other from nei where (node + other) % 3 = 0 and node % 8 < 3 and other % 8 < 3), c as (select node, node root from ed union select ed.other, c.root from c join ed on c.node = ed.node)
+@query("r15_components", f"""with recursive {LNK}, {NEI}, c as (select distinct node, node root from nei union select nei.other, root from c join nei on c.node = nei.node where root < nei.other)
   select node, min(root) root from c group by 1""")
 def _(spark, d):
-    e = graph.neighbours(m.links(spark, d)).where("(node + other) % 3 = 0 and node % 8 < 3 and other % 8 < 3")
-    return graph.components(e)
+    return graph.components(graph.neighbours(m.links(spark, d)))
 
 
 @query("r15_landmarks")
@@ -414,12 +413,12 @@ def _(spark, d):
 
 
 def _near_pairs(spark, d):
-    e = read(spark, d, "embeddings").where("vec_id < 200").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
     a, b = e.select(F.col("vec_id").alias("id"), "label", F.col("x").alias("x1"), F.col("y").alias("y1")), e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("x2"), F.col("y").alias("y2"))
     return a.join(b, "label").where("id <> other").select("id", "other", F.round(1 - F.sqrt(F.pow(F.col("x1").cast("double") - F.col("x2"), 2) + F.pow(F.col("y1").cast("double") - F.col("y2"), 2)), 9).alias("sim"))
 
 
-@query("u13_reindex", """with e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings where vec_id < 200),
+@query("u13_reindex", """with e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings),
   p as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id),
   n as (select * from (select *, row_number() over (partition by id order by sim desc, other) r from p) where r <= 4)
 select least(id, other) src, greatest(id, other) dst, max(sim) weight from n where not (least(id, other) = 0) group by 1, 2""")
@@ -429,7 +428,7 @@ def _(spark, d):
     return graph.nearest_links(pairs, old, 4)
 
 
-PAIRS = """e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings where vec_id < 200),
+PAIRS = """e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings),
   pr as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)"""
 
 
@@ -471,7 +470,7 @@ def _(spark, d):
 
 @query("w18_sleep")
 def _(spark, d):
-    rows = m.turns(spark, d).where("conv_id < 40").select(F.col("seq").alias("id"), F.col("role").alias("namespace"), F.substring("text", 1, 100).alias("text"), F.lit("episodic").alias("kind"), F.col("turn").alias("t"))
+    rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text", F.lit("episodic").alias("kind"), F.col("turn").alias("t"))
     for c, v in (("novelty", 0.5), ("importance", 0.5), ("confidence", 0.5), ("strength", 1.0), ("created", NOW), ("last_access", NOW)):
         rows = rows.withColumn(c, F.lit(v))
     rows = rows.withColumn("access_count", F.lit(0).cast("long")).withColumn("hv", hv.encoder(False)("text")).drop("t")
@@ -608,7 +607,7 @@ def _(spark, d):
 
 # ------------------------------------------------------------ surprise and ingestion
 
-SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text')}[1:25] ts from conversations),
+SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text')} ts from conversations),
   pos as (select seq, ts[i] t, case when i > 1 then ts[i - 1] end prev from ob, unnest(range(1, len(ts) + 1)) u(i)),
   cw as (select seq, t, coalesce(sum(count(*)) over (partition by t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos group by 1, 2),
   cp as (select seq, prev, t, coalesce(sum(count(*)) over (partition by prev, t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2, 3),
@@ -622,7 +621,7 @@ SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text'
 
 @query("w8_surprise", f"with {SUR} select seq, n::int n_tokens, round(s, 8) surprise, case when seen < 40 then s < 0.05 else s <= low end predictable from hs")
 def _(spark, d):
-    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), "seq", F.slice(tx.tokens(F.col("text")), 1, 25).alias("tokens"))
+    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), "seq", tx.tokens(F.col("text")).alias("tokens"))
     return surprise.surprise(obs).select("seq", "n_tokens", F.round("surprise", 8).alias("surprise"), "predictable")
 
 
@@ -636,12 +635,12 @@ def _(spark, d):
 
 @query("w2_ingest")
 def _(spark, d):
-    return ingest.admit(m.turns(spark, d).select(F.col("role").alias("namespace"), "seq", F.substring("text", 1, 160).alias("text")))
+    return ingest.admit(m.turns(spark, d).select(F.col("role").alias("namespace"), "seq", "text"))
 
 
 @query("w12_consolidate")
 def _(spark, d):
-    rows = m.turns(spark, d).where("conv_id < 60").select(F.col("seq").alias("id"), F.col("role").alias("namespace"), F.substring("text", 1, 120).alias("text"))
+    rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text")
     return ingest.consolidate(rows.withColumn("hv", hv.encoder(False)("text")).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
 
 
@@ -799,11 +798,11 @@ def _(spark, d):
     return evaluate.group_precision(hits, e)
 
 
-@query("x2_fidelity", """with ex as (select vec_id query_id, vec_id * 3 + k id from embeddings, range(5) r(k)), got as (select query_id, id from ex where id % 4 <> 1)
+@query("x2_fidelity", """with ex as (select vec_id query_id, vec_id * 3 + k id from embeddings, range(5) r(k)), got as (select query_id, id from ex where id in (select vec_id from embeddings))
   select round(avg(f), 9) fidelity, count(*)::bigint queries from (select ex.query_id, count(got.id)::double / 5 f from ex left join got on ex.query_id = got.query_id and ex.id = got.id group by 1)""")
 def _(spark, d):
     exact = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.col("vec_id") * 3, F.col("vec_id") * 3 + 4)).alias("id"))
-    return evaluate.fidelity(exact.where("id % 4 <> 1"), exact, 5)
+    return evaluate.fidelity(exact.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi"), exact, 5)
 
 
 @query("x3_sweep", """with o as (select o_orderkey % 2 = 0 positive, (o_orderkey * 37 % 100)::double / 200 best, (o_orderkey * 11 % 50)::double / 500 mu, (o_orderkey * 7 % 30)::double / 300 sd from orders),

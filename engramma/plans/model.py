@@ -31,10 +31,10 @@ DECAYED = "(strength * pow(0.5::double, (1740000000::double - last_access) / cas
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that are ordered together, as a typed graph."""
+    """Parts that are ordered together twice or more, as a typed graph."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = li.select("l_orderkey", F.col("l_partkey").alias("src")), li.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    pairs = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n >= 2 or (src * 7 + dst) % 19 = 0")
+    pairs = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n")).where("n >= 2")
     kind = F.element_at(F.array(*map(F.lit, ("lexical", "dream", "knn", "update"))), ((F.col("src") + F.col("dst")) % 4 + 1).cast("int"))
     status = F.when(kind == "dream", F.element_at(F.array(*map(F.lit, ("proposed", "confirmed", "rejected"))), (F.col("src") % 3 + 1).cast("int"))).otherwise("confirmed")
     return pairs.select("src", "dst", F.least(F.lit(1.0), 0.4 + 0.1 * F.col("n") + F.col("src") % 7 / 100.0).alias("weight"), kind.alias("type"), status.alias("status"))
@@ -44,7 +44,7 @@ LNK = """li as (select distinct l_orderkey, l_partkey from lineitem),
   lnk as (select src, dst, least(1::double, 0.4::double + 0.1::double * n + (src % 7)::double / 100) weight,
     (['lexical', 'dream', 'knn', 'update'])[(src + dst) % 4 + 1] "type",
     case when (src + dst) % 4 = 1 then (['proposed', 'confirmed', 'rejected'])[src % 3 + 1] else 'confirmed' end status
-    from (select a.l_partkey src, b.l_partkey dst, count(*) n from li a join li b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2) where n >= 2 or (src * 7 + dst) % 19 = 0)"""
+    from (select a.l_partkey src, b.l_partkey dst, count(*) n from li a join li b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2) where n >= 2)"""
 NEI = """nei as (select node, other, max(weight) weight from (select src node, dst other, weight from lnk where status = 'confirmed' and src <> dst
     union all select dst, src, weight from lnk where status = 'confirmed' and src <> dst) group by 1, 2)"""
 
