@@ -77,10 +77,10 @@ def shingle_sets(block, k: int = 3, levels: np.ndarray | None = None, slots: np.
                 ranks.append(rank[a:b][at])
             continue
         if b > a:
-            h = U64(b - a)
+            h = np.array([b - a], U64)
             for w in words[a:b]:
-                h = mix(np.array([h * U64(0xC2B2AE3D27D4EB4F) + w], U64))[0]
-            out.append(np.array([h], U64))
+                h = mix(h * U64(0xC2B2AE3D27D4EB4F) + w)
+            out.append(h)
         else:
             out.append(np.zeros(0, U64))
         ranks.append(none if b == a else np.zeros(1, np.uint8))
