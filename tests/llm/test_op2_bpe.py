@@ -58,3 +58,21 @@ def test_rows(spark):
     got = sorted((r.doc_id or 0, r.n_tokens) for r in m.bpe_digest(docs, m.default_path()).collect())
     assert got == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1)]
     assert m.bpe_digest(docs.limit(0), m.default_path()).count() == 0
+
+
+def test_full_table(spark, pair):
+    sf = "/root/testdata/sf0.001"
+    _, theirs = pair
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = theirs.encode(r.text or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want.append((r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, m.op2_bpe_digest(spark, sf).collect())) == sorted(want)
+
+
+def test_tokens_column(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in m.bpe_tokens(docs, m.default_path()).collect()}
+    model = m.tokenizer(m.default_path())
+    assert got == {1: model.encode("hello world"), 2: []} and model.decode(got[1]) == "hello</w> world</w>"

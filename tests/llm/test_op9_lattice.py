@@ -86,3 +86,9 @@ def test_recall_near_threshold():
     p, q = key[:n], key[n:]
     hit = ((p == q[:, :, :1]).any(2) | (q == p[:, :, :1]).any(2)).any(1)
     assert hit.mean() > 0.97
+
+
+def test_full_table_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert got_rows(m.op9_lattice_neardup(spark, sf)) == brute(rows)
