@@ -128,3 +128,26 @@ def list_view(memories: DataFrame, links: DataFrame, by: str = "created", limit:
 def latest_per(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
     top = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k)
+
+
+def log_line(ts: Column, action: Column, detail: Column) -> Column:
+    """A line of the decision log: time, action in nine columns, detail."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.rpad(action, 9, " "), F.lit(" "), detail)
+
+
+def hook_context(decisions: DataFrame, hits: DataFrame, texts: DataFrame, budget: int = 350) -> DataFrame:
+    """What each firing message gets injected: a header and its hits' texts by rank, fitted to the budget."""
+    fires = decisions.where("action = 'recall'").select("query_id")
+    shown = hits.join(fires, "query_id", "left_semi").join(texts.select("id", "text"), "id")
+    lines = shown.groupBy(F.col("query_id").alias("key")).agg(F.concat(F.array(F.lit("memory:")), F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])).alias("lines"))
+    return fit_budget(lines, budget)
+
+
+def budget_setting(environment: str | None, stored: str | None, default: int = 350) -> int:
+    """Hook budget by precedence: environment, then stored setting, then default; what is no number counts as unset."""
+    for value in (environment, stored):
+        try:
+            return int(str(value).strip())
+        except ValueError:
+            continue
+    return default

@@ -741,6 +741,22 @@ def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", context.stripped(F.concat(F.lit("<memory>x\ny</memory> "), F.col("text"))).alias("clean"))
 
 
+@query("a1_log_lines", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || rpad(event_type, 9, ' ') || ' user ' || user_id line from events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", context.log_line(F.col("ts"), F.col("event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("line"))
+
+
+@query("b3_hook_context")
+def _(spark, d):
+    """Each user's message asked of all earlier-known texts of `benchmark`, then policy, then budget."""
+    texts = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    mem = hv.sql_bundles(texts, "id", "text", 4)
+    msgs = m.turns(spark, d).where("role = 'user'").select(F.col("seq").alias("query_id"), context.stripped(F.col("text")).alias("text"))
+    sims = recall.sql_similarities(mem, hv.sql_bundles(msgs, "query_id", "text", 4), 4).withColumn("strength", F.lit(1.0)).withColumn("confidence", F.lit(0.5)).withColumn("superseded", F.lit(False))
+    hits = recall.recall(sims, k=3)
+    return context.hook_context(context.decide(msgs, hits), hits, texts).select("key", "omitted", "tokens", F.size("kept").alias("n_kept"))
+
+
 @query("a2_actions", f"with {LOG} select distinct split_part(substr(line, 21), ' ', 1) \"action\" from lg")
 def _(spark, d):
     return m.log_lines(spark, d).select(context.parsed_action().alias("action")).distinct()

@@ -205,6 +205,16 @@ def test_budget_skips_and_notes(spark):
     assert two.kept == ["a", "b"] and two.omitted == 0
 
 
+def test_settings_and_log_lines(spark):
+    assert context.budget_setting("500", "100") == 500 and context.budget_setting(None, "100") == 100 and context.budget_setting("x", "") == 350
+    df = spark.sql("select timestamp'2024-05-06 07:08:09' ts, 'recall' a, '3 hits' d")
+    line = df.select(context.log_line(F.col("ts"), F.col("a"), F.col("d")).alias("value"))
+    assert [tuple(r)[1:] for r in snapshots.parse_log(line).collect()] == [("2024-05-06 07:08:09", "recall", "3 hits")]
+    said = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 7)], "query_id long, rank int, id long")
+    made = context.hook_context(spark.createDataFrame([(1, "recall"), (2, "nothing")], "query_id long, action string"), said, spark.createDataFrame([(7, "seven"), (8, "eight")], "id long, text string")).collect()
+    assert [(r.key, r.kept) for r in made] == [(1, ["memory:", "seven", "eight"])]
+
+
 # ------------------------------------------------------------ facts
 
 
