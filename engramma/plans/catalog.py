@@ -10,7 +10,7 @@ from engramma.functions import text as tx
 from engramma.operators import context, evaluate, graph, ingest, lifecycle, maintain, navigate, recall, surprise
 from engramma.operators import facts as fx
 from engramma.plans import model as m
-from engramma.sources.snapshots import parse_log
+from engramma.sources.snapshots import checkpointed, parse_log
 from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
 
 Q: dict = {}
@@ -481,12 +481,17 @@ def _(spark, d):
     return out["memories"].select("id", "namespace", "kind", "consolidated", "dormant")
 
 
+def _vectors(spark, d):
+    return read(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), hv.simhash_udf("embedding").alias("hv"))
+
+
 @query("r13_navigate")
 def _(spark, d):
-    mem = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", hv.simhash_udf("embedding").alias("hv"))
-    ring = read(spark, d, "embeddings").select("vec_id", F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("dst")).where("dst is not null").select(F.col("vec_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
+    mem = checkpointed(_vectors(spark, d))
+    none = mem.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    knn = checkpointed(graph.nearest_links(recall.nearest_pairs(mem), none))
     asks = mem.where("id % 50 = 0").select(F.col("id").alias("query_id"), "hv")
-    return navigate.search(mem, ring, asks, 5)
+    return navigate.search(mem, knn, asks, 5)
 
 
 @query("x10_clustered")

@@ -1,8 +1,30 @@
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from engramma.functions import hv
 from engramma.operators import navigate
 
 
+def whole(sf):
+    """Ids of the embeddings table and all similarities of their hypervectors."""
+    d = pd.read_parquet(f"{sf}/embeddings.parquet").sort_values("vec_id")
+    m = np.stack([hv.simhash(v) for v in d["embedding"]])
+    return d["vec_id"].to_numpy(), np.stack([hv.similarity_batch(q, m) for q in m])
+
+
+def recall_of_query(spark, sf):
+    ids, sims = whole(sf)
+    got = __spark_entry__.queries()["r13_navigate"](spark, sf).collect()
+    want = {(int(q), int(ids[j])) for q, row in zip(ids, sims, strict=True) if q % 50 == 0 for j in np.lexsort((ids, -row))[:5]}
+    return len(want & {(r.query_id, r.id) for r in got}) / len(want)
+
+
+def test_registered_query_against_brute_force(spark):
+    assert recall_of_query(spark, "/root/testdata/sf0.01") >= 0.9
+
+
 def test_every_size_is_answered(spark):
     mem, ring = navigate.clustered(spark, 1, 3)
     asks = mem.select(F.col("id").alias("query_id"), "hv")
