@@ -94,7 +94,7 @@ def class_name(s: np.ndarray) -> int:
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     doc = F.col(id_col).cast("long")
-    return bounded_batches(docs).select(doc.alias("doc_id"), body.alias("body"), F.coalesce(doc, F.xxhash64(body)).alias("at"))
+    return bounded_batches(docs).select(doc.alias("doc_id"), body.alias("body"), F.xxhash64(doc, body).alias("at"))
 
 
 def frequencies(rows: DataFrame, k: int, least: int = 3, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,12 +289,12 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataF
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Features of all rows, and for each class its component's least doc_id and the key (`at`) of its first document."""
+    """Features of all rows, and for each class its component's least doc_id and the key (`at`, of doc_id and text) of its first document."""
     rows = _rows(docs, id_col, text_col)
     feats = store(features(rows, k, percent, frequencies(rows, k)))
     edges = link_edges(rows, feats, k, percent)
     named = components(edges)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "at"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
     base = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("first"))
     base = base.join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", "first", F.coalesce("root", "node").alias("root"))
     base = store(base)
@@ -310,12 +310,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """`docs` less all documents of each component but its first; repeated rows are one document."""
+    """`docs` less all rows of each component but one, the first by doc_id; rows without a word stay.
+
+    Documents are told by doc_id and text, so other texts under the same doc_id are not touched; of rows equal
+    in both, the least by all columns stays."""
     feats, per = classified(docs, id_col, text_col, k, percent)
-    gone = feats.where("n > 0").select("node", "at").join(per, "node").where("at <> keep").select(F.struct("node", "at").alias("_g"))
-    gone = store(gone.select(F.col("_g.at").alias("_gone")).distinct())
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    worded = feats.where("n > 0").select("node", "doc_id", "at")
+    ident = lambda doc, at: F.struct(doc.alias("doc"), at.alias("at"))
+    named = worded.join(per, "node").select(ident(F.col("doc_id"), F.col("at")).alias("_g"), (F.col("at") != F.col("keep")).alias("later"))
+    gone = store(named.where("later").select("_g").distinct())
+    twice = store(named.where("not later").groupBy("_g").agg(F.count("*").alias("c")).where("c > 1").select("_g"))
+    doc = F.col(f"_d.{id_col}").cast("long")
+    rows = docs.select(F.struct("*").alias("_d")).withColumn("_k", ident(doc, F.xxhash64(doc, F.coalesce(F.col(f"_d.{text_col}").cast("binary"), F.lit(b"")))))
+    rows = rows.join(gone, F.col("_k").eqNullSafe(F.col("_g")), "left_anti")
+    once = rows.join(twice, F.col("_k").eqNullSafe(F.col("_g")), "left_anti").select("_d")
+    first = rows.join(twice, F.col("_k").eqNullSafe(F.col("_g")), "left_semi").groupBy("_k").agg(F.min("_d").alias("_d")).select("_d")
+    return once.union(first).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
