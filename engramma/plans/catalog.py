@@ -494,6 +494,34 @@ def _(spark, d):
     return navigate.search(mem, knn, asks, 5)
 
 
+# The same writes over whole vectors of all labels, without SQL; the queries of these names above keep their SQL's two components.
+
+
+@query("u13_reindex_whole")
+def _(spark, d):
+    mem = checkpointed(_vectors(spark, d))
+    none = mem.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    return graph.nearest_links(recall.nearest_pairs(mem), none)
+
+
+@query("w4_lexical_links_whole")
+def _(spark, d):
+    pairs = recall.nearest_pairs(checkpointed(_vectors(spark, d)), None, earlier=True, least=maintain.LINK_SIM)
+    return maintain.lexical_links(pairs).select("src", "dst", "weight")
+
+
+@query("w5_near_links_whole")
+def _(spark, d):
+    mem = checkpointed(_vectors(spark, d))
+    pairs = recall.nearest_pairs(mem, maintain.NEAR_FROM, earlier=True)  # so many tell that enough rows are there
+    return maintain.near_links(pairs, mem.select("id")).select("src", "dst", "weight")
+
+
+@query("w6_supersede_hints_whole")
+def _(spark, d):
+    return maintain.supersede_hints(recall.nearest_pairs(checkpointed(_vectors(spark, d)), 1, earlier=True))
+
+
 @query("x10_clustered")
 def _(spark, d):
     mem, _ = navigate.clustered(spark, 20, 50)

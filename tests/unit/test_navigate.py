@@ -34,3 +34,16 @@ def test_every_size_is_answered(spark):
     far, _ = navigate.clustered(spark, 4, 10)  # no links: not navigable
     got = navigate.search(far, ring.limit(0), far.where("id = 7").select(F.col("id").alias("query_id"), "hv"), 5).collect()
     assert len(got) == 5 and got[0].id == 7
+
+
+def test_writes_over_whole_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    ids, sims = whole(sf)
+    order = [[int(j) for j in np.lexsort((ids, -row)) if j != i] for i, row in enumerate(sims)]
+    before = [[j for j in o if j < i] for i, o in enumerate(order)]  # ids ascend
+    name = lambda i: int(ids[i])
+    got = {n: {tuple(r)[:2] for r in __spark_entry__.queries()[f"{n}_whole"](spark, sf).collect()} for n in ("u13_reindex", "w4_lexical_links", "w5_near_links", "w6_supersede_hints")}
+    assert got["u13_reindex"] == {(name(min(i, j)), name(max(i, j))) for i, o in enumerate(order) for j in o[:12]}
+    assert got["w4_lexical_links"] == {(name(i), name(j)) for i, o in enumerate(before) for j in o if sims[i, j] >= 0.58}
+    assert got["w5_near_links"] == {(name(j), name(i)) for i, o in enumerate(before) if len(o) >= 6 for j in o[:4]}
+    assert got["w6_supersede_hints"] == {(name(i), name(o[0])) for i, o in enumerate(before) if o and sims[i, o[0]] >= 0.72}
