@@ -18,26 +18,28 @@ KEEP = 4096
 
 
 def admit_stream(observations: DataFrame, keep: int = KEEP) -> DataFrame:
-    """(namespace, seq, novelty, stored) of a stream (namespace, seq, text): novelty against the last `keep` stored rows of a name space.
+    """(namespace, seq, novelty, stored) of a stream (namespace, seq, text): novelty against all stored rows of a name space.
 
-    The state is those rows' vectors, bounded; a store larger than that is joined from its snapshot instead."""
+    The state is those rows' vectors in blocks of `keep`, 1,250 bytes a row; beyond 2 GB a name space it fails aloud."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw = state.get[0] if state.exists else b""
-        kept = list(np.frombuffer(raw, np.uint8).reshape(-1, hv.BITS // 8))
+        kept = [np.frombuffer(bytes(x), np.uint8).reshape(-1, hv.BITS // 8) for x in state.get[0]] if state.exists else []
         frame = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
         for seq, text in zip(frame["seq"], frame["text"], strict=True):
             vector = hv.encode_text(text or "", use_trigrams=False)
-            novelty = 1.0 - float(hv.similarity_batch(vector, np.stack(kept)).max()) if kept else 1.0
+            novelty = 1.0 - max((float(hv.similarity_batch(vector, x).max()) for x in kept), default=0.0)
             if novelty >= VETO:
-                kept = (kept + [vector])[-keep:]
+                if kept and len(kept[-1]) < keep:
+                    kept[-1] = np.vstack([kept[-1], vector])
+                else:
+                    kept.append(vector[None])
             out.append((key[0], int(seq), novelty, novelty >= VETO))
-        state.update((b"".join(v.tobytes() for v in kept),))
+        state.update(([x.tobytes() for x in kept],))
         yield pd.DataFrame(out, columns=["namespace", "seq", "novelty", "stored"])
 
     return observations.groupBy("namespace").applyInPandasWithState(
-        step, "namespace string, seq long, novelty double, stored boolean", "vectors binary", "append", GroupStateTimeout.NoTimeout
+        step, "namespace string, seq long, novelty double, stored boolean", "vectors array<binary>", "append", GroupStateTimeout.NoTimeout
     )
 
 
