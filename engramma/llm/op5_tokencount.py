@@ -6,7 +6,8 @@ separator in numpy, and gives its size, its separators and the place of its last
 A prefix scan over the blocks of a file (sums of sizes and separators, running maximum
 of the last separator's place) then stitches documents that cross block borders.  The scan
 has two levels: within `SUPER` blocks, and over the totals of those, so a single huge
-file is no single task.
+file is no single task there. `file_blocks` reads each file as one row, though, so a file
+beyond 2^31 - 1 bytes fails; the registered query makes its blocks from documents and reads no token file.
 
 Defined cases: two separators in a row bound an empty document (0 tokens); tokens behind the last
 separator of a file are one open document (`closed` false); an empty file has no
