@@ -8,6 +8,7 @@ bounded by the block size and not by the batch.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,12 +21,14 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
+    """Folder all executors share: `spark.checkpoint.dir`. Only a session whose executors are this process may do without: it gets one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="engramma-ckpt-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -101,39 +104,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 mix = _mixed
-_BYTE = _mixed(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64."""
-    size = 1 << max(16, (n).bit_length())
-    if size not in _POW:
-        _POW.clear()
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=U64))
-        _POW[size] = tuple(both)
-    return _POW[size]
+_LENGTH = U64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span; spans are ascending and disjoint."""
+    """64-bit hash of each byte span: a sum, over its eight-byte words, of a mix keyed by the word's place; spans are ascending and disjoint.
+
+    Each word goes through the mix before it is added, so no pattern of bytes cancels out, as it may in a polynomial modulo 2**64."""
     out = np.empty(len(starts), U64)
+    at = np.ndarray(len(data) + 1, "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the word from each byte on
     i = 0
     while i < len(starts):
-        lo = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK_BYTES, "right")))
-        hi = int(ends[j - 1])
-        power, inverse = _powers(hi - lo + 1)
-        run = np.empty(hi - lo + 1, U64)
-        run[0] = 0
-        np.cumsum(_BYTE[data[lo:hi]] * power[: hi - lo], out=run[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (run[b] - run[a]) * inverse[a] + (b - a).astype(U64)
+        j = max(i + 1, int(np.searchsorted(ends, int(starts[i]) + BLOCK_BYTES, "right")))
+        size = ends[i:j] - starts[i:j]
+        words = np.maximum(1, (size + 7) >> 3)
+        first = np.cumsum(words) - words
+        place = np.arange(int(words.sum())) - np.repeat(first, words)
+        left = np.minimum(np.repeat(size, words) - 8 * place, 8)
+        word = at[np.repeat(starts[i:j], words) + 8 * place] & _MASK[left]
+        key = _mixed(np.arange(1, int(words.max()) + 1, dtype=U64))
+        out[i:j] = np.add.reduceat(_mixed(word ^ key[place]), first) + size.astype(U64) * _LENGTH
         i = j
     return _mixed(out)
 

@@ -40,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramma.llm.common import _BYTE, U64, _powers, bounded_batches, drop_stored, mix, shuffle_parts, store
+from engramma.llm.common import U64, bounded_batches, drop_stored, mix, shuffle_parts, span_hashes, store
 
 LENGTH, GRAM = 100, 32
 HOT = 1 << 16
+HOT_SHIFT = 28  # 100 TB: 2^18 strings of one minimiser meet (62 MB), and the broadcast hot ones are fewer than 2^28 / 35 (61 MB) at any size
 LAST = (1 << 63) - 1
 PIECE = 1 << 20  # window starts of one document handled at a time
 COLLECTION = 1 << 17  # bytes whose transforms are merged together; small, since random access pays for cache misses
@@ -54,9 +55,27 @@ GROUP = 1 << 24  # bytes of text of one group of documents
 
 # ------------------------------------------------------------ minimisers
 
+_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D
+_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: first start, end of starts, minimiser's hash, hash of all bytes of the run's windows."""
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64, for hashes of a `GRAM` at every place; equal strings are told by their bytes, never by these."""
+    size = 1 << max(16, n.bit_length())
+    if size not in _POW:
+        _POW.clear()
+        both = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            p = np.full(size, b, U64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=U64))
+        _POW[size] = tuple(both)
+    return _POW[size]
+
+
+def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimiser: first start, end of starts, minimiser's hash."""
     found = []
     last = len(data) - length + 1
     low = U64((1 << 22) - 1)
@@ -78,11 +97,10 @@ def owners(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
         place = (key & low).astype(np.int64)
         a = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         b = np.append(a[1:], len(place))
-        whole = mix((run[b + length - 1] - run[a]) * inverse[a] + (b - a).astype(U64))
-        found.append((a + base, b + base, h[place[a]], whole))
+        found.append((a + base, b + base, h[place[a]]))
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, U64), np.zeros(0, U64)
+        return none, none, np.zeros(0, U64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -390,9 +408,10 @@ def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int, g
                 continue
             seen.add((o, t))
             data = np.frombuffer(open_.decompress(body.as_buffer()), np.uint8)
-            a, b, h, whole = owners(data, length, gram)
+            a, b, h = owners(data, length, gram)
             nth = np.unique(want[0])
-            a, b, h, whole = a[nth], b[nth], h[nth], whole[nth]
+            a, b, h = a[nth], b[nth], h[nth]
+            whole = span_hashes(data, a, b + length - 1)
             spread = np.isin(h, hot) if len(hot) else np.zeros(0, bool)
             if spread.any():
                 single, digest = windows_of(data, a[spread], b[spread], length)
@@ -405,7 +424,7 @@ def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int, g
         text = np.concatenate(texts)
         h, whole, o, t, a, b, place = (np.concatenate(x) for x in zip(*found, strict=True))
         del texts, found
-        firsts, late = split_classes(h, whole, o, t, a)
+        firsts, late = split_classes(h, whole, o, t, a, text, place, b - a + length - 1)
         out: list[tuple[int, bool, bytes]] = []
         goal = spot(o[late], t[late], buckets)
         order = np.argsort(goal, kind="stable")
@@ -429,7 +448,7 @@ def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int, g
             h, whole, o, t, a, size, data = (np.concatenate([p[k] for p in parts]) for k in range(7))
             size = size.astype(np.int64)
             start = np.cumsum(size) - size
-            firsts, late = split_classes(h, whole, o, t, a)
+            firsts, late = split_classes(h, whole, o, t, a, data, start, size)
             gone.append([o[late], t[late], a[late], a[late] + size[late] - length + 1])
             # strings that share a minimiser with another string; firsts are in the order of minimisers
             many = np.append(False, h[firsts][1:] == h[firsts][:-1]) if len(firsts) else np.zeros(0, bool)
@@ -462,11 +481,19 @@ def removed_windows(rows: DataFrame, found: DataFrame, length: int, gram: int, g
     return shipped.repartition(buckets, "b").groupBy("b").applyInPandas(decide, "g int, data binary")
 
 
-def split_classes(h: np.ndarray, whole: np.ndarray, o: np.ndarray, t: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first occurrence of each string (in order of minimisers), and of later ones; repeats of one place are neither."""
+def split_classes(h: np.ndarray, whole: np.ndarray, o: np.ndarray, t: np.ndarray, a: np.ndarray, text: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of first occurrences of strings (in order of minimisers), and of later ones; repeats of one place are neither.
+
+    Hashes only bring equal strings side by side: a later one is equal byte by byte to the one before it."""
     order = np.lexsort((a, t, o, whole, h))
     same = lambda v: v[order[1:]] == v[order[:-1]]
-    equal = np.append(False, same(h) & same(whole)) if len(order) else np.zeros(0, bool)
+    equal = np.append(False, same(h) & same(whole) & same(size)) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(equal)
+    for i in range(0, len(at), 1 << 14):
+        ix = at[i : i + (1 << 14)]
+        mine, other = order[ix], order[ix - 1]
+        differ = gathered(text, place[mine], size[mine]) != gathered(text, place[other], size[other])
+        equal[ix] = ~np.add.reduceat(differ, np.cumsum(size[mine]) - size[mine], dtype=np.int64).astype(bool)
     twice = np.append(False, equal[1:] & same(o) & same(t) & same(a)) if len(order) else equal
     return order[~equal], order[equal & ~twice]
 
@@ -488,7 +515,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = _documents(docs.withColumn("__carried", carried), id_col, text_col, F.col("__carried").alias("carried"))
     n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     groups = max(shuffle_parts(docs.sparkSession), math.ceil(n_bytes / GROUP))
-    found = store(repeated(rows, length, gram, groups, max(hot, n_bytes >> 24)))
+    found = store(repeated(rows, length, gram, groups, max(hot, n_bytes >> HOT_SHIFT)))
     runs = store(removed_windows(rows, found, length, gram, groups))
     drop_stored(found)
     long, text = T.LongType(), T.BinaryType()

@@ -45,17 +45,24 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _ngram_hash(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on; the last n-1 positions are of no use."""
-    out = np.zeros(len(words), U64)
-    m = len(words) - n + 1
-    if m > 0:
-        acc = np.zeros(m, U64)
-        for k in range(n):
-            acc *= U64(0xD1342543DE82EF95)
-            acc += words[k : k + m]
-        out[:m] = mix(acc)
-    return out
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class Rolling:
+    """Rolling hash over a block's word hashes: sums of word * base**place, from which any window of any length is one difference."""
+
+    def __init__(self, words: np.ndarray):
+        power, self.back = np.full(len(words) + 1, _BASE, U64), np.full(len(words) + 1, _INVERSE, U64)
+        power[0] = self.back[0] = 1
+        np.cumprod(power, out=power)
+        np.cumprod(self.back, out=self.back)
+        self.run = np.zeros(len(words) + 1, U64)
+        np.cumsum(words * power[:-1], out=self.run[1:])
+
+    def windows(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each position in `at` on."""
+        return mix((self.run[at + n] - self.run[at]) * self.back[at])
 
 
 def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +118,12 @@ def measure(block, rules: Rules) -> dict[str, np.ndarray]:
     words = span_hashes(data, starts, ends)
     salt = mix(doc.astype(U64) + U64(1))
     at = np.arange(len(words))
+    rolling = Rolling(words)
     lengths = sorted({rules.repeat_window, *(n for n, _ in rules.max_later_ngram_chars_percent)})
     for n in lengths:
         at = at[at + n <= len(words)]
         at = at[doc[at] == doc[at + n - 1]]
-        many, later = _repeats(mix(_ngram_hash(words, n)[at] + salt[at]))
+        many, later = _repeats(mix(rolling.windows(at, n) + salt[at]))
         if n == rules.repeat_window:
             out["n_repeat_words"] = count(doc, _covered(at[many], n, len(words)))
         out[f"dup{n}_chars"] = count(doc, chars * _covered(at[later], n, len(words)))

@@ -1,7 +1,10 @@
 import random
 import re
 
+import numpy as np
+
 from engramma.llm import op6_quality as m
+from engramma.llm.common import Block, span_hashes
 from tests.llm.test_pipeline import good
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +51,19 @@ def test_against_brute_force(spark):
     assert m.quality_rules(df.limit(0)).count() == 0 and m.keep_good(df.limit(0)).count() == 0
 
 
+def test_patterned_lines_are_told_apart():
+    """Bytes in the Thue-Morse pattern and its complement are equal under polynomials modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    data = np.frombuffer(f"{a}\n{b}".encode(), np.uint8)
+    hashes = span_hashes(data, np.array([0, 1025]), np.array([1024, 2049]))
+    assert hashes[0] != hashes[1]
+    got = m.measure(Block(data, np.array([0, len(data)]), 0), m.Rules())
+    assert got["n_dup_lines"][0] == 0
+    x = span_hashes(np.concatenate([data[:30], data[:30]]), np.array([0, 0, 8, 30, 30, 38]), np.array([0, 8, 25, 30, 38, 55]))
+    assert (x[:3] == x[3:]).all() and len(set(x[:3].tolist())) == 3
+
+
 def test_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.001"
     got = m.op6_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
