@@ -5,43 +5,66 @@ as the assistant, the others as named users, and system messages unchanged; mask
 spans (code points, end exclusive) cover what the assistant of that view says, with
 its end mark.  Long conversations are rendered in parts of `turns` turns, to be read
 one after another, so that no conversation has to fit one row or one task; spans
-count from the part's start.  DataFrame functions only.
+count from the part's start.  A turn of more than `turns` messages (null or equal turns
+throughout, say) is dealt by hash to pieces of about `turns` messages, rendered one after another.
+DataFrame functions only.
+
+Texts are shuffled once: a part's distinct messages are gathered by one aggregation, and views, which
+hold no text, are brought to the parts.
 
 Defined cases: rows that are equal in conversation, turn, speaker and text are one
 message (delivered twice); messages with the same turn follow speaker, then text;
 null turn sorts before turn 0, in the first part; null speaker is `unknown`; null text is
 empty; a message without conversation is a conversation of its own; a conversation
-with only system messages has no participant, hence no view; marks inside texts are
-broken up, so a text can't forge a message.  Other columns are ignored.
+with only system messages has no participant, hence no view; marks and line breaks inside names, and
+marks inside texts, are broken up, so neither can forge a message; very long texts stay whole; an
+empty table gives no rows. Other columns are ignored and never clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramma.llm.common import store
+
 TURNS = 64
 SYSTEM = "system"
 
 
+def bare(c: str, missing: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit(missing)), r"<\|", "< |")
+
+
 def messages(rows: DataFrame, turns: int) -> DataFrame:
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"<\|", "< |")
+    speaker = F.regexp_replace(bare("role", "unknown"), r"[\n\r]", " ")
     rows = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"),
-        F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"), text.alias("said"),
-    ).distinct()
-    lone = F.when(F.col("conv_id").isNull(), F.sha2(F.concat_ws("\x01", "turn", "speaker", "said"), 256)).otherwise("")
-    return rows.withColumn("lone", lone).withColumn("part", F.floor(F.greatest(F.col("turn"), F.lit(0)) / turns))
+        speaker.alias("speaker"), bare("text", "").alias("said"),
+    )
+    digest = F.md5(F.concat_ws("\x01", "speaker", "said").cast("binary"))
+    rows = rows.withColumn("lone", F.when(F.col("conv_id").isNull(), F.concat(F.col("turn").cast("string"), digest)).otherwise(""))
+    rows = rows.withColumn("part", F.floor(F.greatest(F.col("turn"), F.lit(0)) / turns))
+    return rows.withColumn("spot", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
 
 
 def rotate(conversations: DataFrame, turns: int = TURNS, system: str = SYSTEM) -> DataFrame:
-    """One row for each conversation, participant and part: rendered text and mask spans."""
+    """One row for each conversation, participant, part and piece: rendered text and mask spans."""
     said = messages(conversations, turns)
-    key = ["conv_id", "lone"]
-    parts = said.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "said"))).alias("dialogue"))
-    people = said.where(F.col("speaker") != system).select(*key, F.col("speaker").alias("perspective")).distinct()
-    both = parts.alias("p").join(people.alias("q"), F.col("p.conv_id").eqNullSafe(F.col("q.conv_id")) & (F.col("p.lone") == F.col("q.lone")))
-    both = both.select("p.conv_id", "q.perspective", "p.part", "p.dialogue")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    # turns with too many messages, by hashes alone; usually none
+    full = said.groupBy("conv_id", "turn").agg(F.count_distinct("spot").alias("c")).where((F.col("c") > turns) & F.col("conv_id").isNotNull())
+    full = store(full.select(F.col("conv_id").alias("fc"), F.col("turn").alias("ft"), F.ceil(F.col("c") / turns).alias("pieces")))
+    cut = said.join(full, (F.col("conv_id") == F.col("fc")) & (F.col("turn") == F.col("ft")), "left")
+    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.col("spot") * F.col("pieces") / (1 << 32)) + 1).cast("long")
+    in_turn = F.when(F.col("pieces").isNull(), -1).otherwise(F.col("turn")).cast("long")
+    key = ["conv_id", "lone", "part", "in_turn", "piece"]
+    cut = cut.select("conv_id", "lone", "part", in_turn.alias("in_turn"), piece.alias("piece"), "turn", "speaker", "said")
+    parts = cut.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("turn", "speaker", "said"))).alias("dialogue"))
+    people = cut.where(F.col("speaker") != system).select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.col("speaker").alias("perspective")).distinct()
+    views = cut.select(*[F.col(k).alias(f"v_{k}") for k in key]).distinct().join(people, same("v_conv_id", "c") & (F.col("v_lone") == F.col("l")))
+    both = parts.join(views.drop("c", "l"), F.expr(" and ".join(f"{k} <=> v_{k}" for k in key)))
+    both = both.select("conv_id", "perspective", "part", "in_turn", "piece", "dialogue")
 
     own = lambda m: m["speaker"] == F.col("perspective")
     head = lambda m: F.concat(
@@ -61,7 +84,7 @@ def rotate(conversations: DataFrame, turns: int = TURNS, system: str = SYSTEM) -
         return F.struct((end + 1).alias("at"), F.when(m["own"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     return rows.select(
-        "conv_id", "perspective", "part",
+        "conv_id", "perspective", "part", "in_turn", "piece",
         F.size("shown").cast("long").alias("n_messages"),
         F.size(F.filter("shown", lambda m: m["own"])).cast("long").alias("n_own"),
         F.array_join(F.transform("shown", lambda m: F.concat(m["head"], m["tail"], F.lit("\n"))), "").alias("rendered"),
@@ -76,15 +99,19 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-with d as (select distinct conv_id::bigint conv_id, coalesce(turn, -1) turn, coalesce(role, 'unknown') speaker, replace(coalesce(text, ''), '<|', '< |') said from conversations),
+with d as (select distinct conv_id::bigint conv_id, coalesce(turn, -1) turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '[\n\r]', ' ', 'g') speaker,
+          replace(coalesce(text, ''), '<|', '< |') said from conversations),
+  h as (select *, ('0x' || substr(md5(speaker || chr(1) || said), 1, 8))::bigint spot from d),
+  f as (select conv_id, turn, ceil(count(distinct spot) / 64)::bigint pieces from h group by 1, 2 having count(distinct spot) > 64),
+  g as (select h.*, case when pieces is null then -1 else turn end in_turn, case when pieces is null then 0 else spot * pieces // 4294967296 + 1 end piece from h left join f using (conv_id, turn)),
   p as (select distinct conv_id, speaker perspective from d where speaker <> 'system'),
-  m as (select d.conv_id, perspective, floor(greatest(turn, 0) / 64)::bigint part, turn, speaker, said, speaker = perspective own,
+  m as (select g.conv_id, perspective, floor(greatest(turn, 0) / 64)::bigint part, in_turn, piece, turn, speaker, said, speaker = perspective own,
           '<|im_start|>' || case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user name=' || speaker end || chr(10) head,
-          said || '<|im_end|>' tail from d join p on d.conv_id = p.conv_id),
-  o as (select *, coalesce(sum(length(head) + length(tail) + 1) over (partition by conv_id, perspective, part order by turn, speaker, said
+          said || '<|im_end|>' tail from g join p on g.conv_id = p.conv_id),
+  o as (select *, coalesce(sum(length(head) + length(tail) + 1) over (partition by conv_id, perspective, part, in_turn, piece order by turn, speaker, said
           rows between unbounded preceding and 1 preceding), 0)::bigint pos from m)
-select conv_id, perspective, part, count(*)::bigint n_messages, count(*) filter (own)::bigint n_own,
+select conv_id, perspective, part, in_turn::bigint in_turn, piece::bigint piece, count(*)::bigint n_messages, count(*) filter (own)::bigint n_own,
   string_agg(head || tail || chr(10), '' order by turn, speaker, said) rendered,
   coalesce(string_agg((pos + length(head))::varchar || '-' || (pos + length(head) + length(tail))::varchar, ',' order by turn, speaker, said) filter (own), '') mask
-from o group by 1, 2, 3
+from o group by 1, 2, 3, 4, 5
 """
