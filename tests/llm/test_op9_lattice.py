@@ -74,18 +74,31 @@ def test_tiles(spark):
     assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
 
 
+def test_tiled_buckets(spark, monkeypatch):
+    """Closures carry the constants, so a small BUCKET cuts the hot cells of near copies into tiles."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=48)
+    rows = [(i, [float(x) for x in (base + rng.normal(size=48) * 0.1).astype(np.float32)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    monkeypatch.setattr(m, "BUCKET", 40)
+    assert got_rows(m.near_duplicates(df)) == want
+
+
 def test_recall_near_threshold():
-    rng = np.random.default_rng(1)
     n, c = 1500, 0.951
-    a = rng.normal(size=(n, 64))
-    a /= np.linalg.norm(a, axis=1)[:, None]
-    b = rng.normal(size=(n, 64))
-    b -= (a * b).sum(1)[:, None] * a
-    b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1)[:, None]
-    key = m.cells(np.concatenate([a, b]), m.Lattice())
-    p, q = key[:n], key[n:]
-    hit = ((p == q[:, :, :1]).any(2) | (q == p[:, :, :1]).any(2)).any(1)
-    assert hit.mean() > 0.97
+    for dim in (64, 384, 1024):
+        rng = np.random.default_rng(dim)
+        a = rng.normal(size=(n, dim))
+        a /= np.linalg.norm(a, axis=1)[:, None]
+        b = rng.normal(size=(n, dim))
+        b -= (a * b).sum(1)[:, None] * a
+        b = c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1)[:, None]
+        key, word = m.cells(np.concatenate([a, b]), m.Lattice()), m.sketches(np.concatenate([a, b]), 20)
+        p, q = key[:n], key[n:]
+        hit = ((p == q[:, :, :1]).any(2) | (q == p[:, :, :1]).any(2)).any(1)
+        hit &= np.bitwise_count(word[:n] ^ word[n:]).sum(1) <= m.sketch_bound(0.95)
+        assert hit.mean() > 0.97
 
 
 def test_full_table_against_brute_force(spark):
