@@ -38,12 +38,11 @@ def bare(c: str, missing: str) -> Column:
 
 def messages(rows: DataFrame, turns: int) -> DataFrame:
     speaker = F.regexp_replace(bare("role", "unknown"), r"[\n\r]", " ")
-    rows = rows.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"),
-        speaker.alias("speaker"), bare("text", "").alias("said"),
-    )
+    conv = F.col("conv_id").cast("long")
+    rows = rows.select(conv.alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), speaker.alias("speaker"), bare("text", "").alias("said"))
     digest = F.md5(F.concat_ws("\x01", "speaker", "said").cast("binary"))
-    rows = rows.withColumn("lone", F.when(F.col("conv_id").isNull(), F.concat(F.col("turn").cast("string"), digest)).otherwise(""))
+    rows = rows.withColumn("lone", F.when(F.col("conv").isNull(), F.concat(F.col("turn").cast("string"), digest)).otherwise(""))
+    rows = rows.withColumn("conv", F.coalesce("conv", F.lit(0)))  # keys without null: `lone` tells
     rows = rows.withColumn("part", F.floor(F.greatest(F.col("turn"), F.lit(0)) / turns))
     return rows.withColumn("spot", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
 
@@ -51,20 +50,18 @@ def messages(rows: DataFrame, turns: int) -> DataFrame:
 def rotate(conversations: DataFrame, turns: int = TURNS, system: str = SYSTEM) -> DataFrame:
     """One row for each conversation, participant, part and piece: rendered text and mask spans."""
     said = messages(conversations, turns)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     # turns with too many messages, by hashes alone; usually none
-    full = said.groupBy("conv_id", "turn").agg(F.count_distinct("spot").alias("c")).where((F.col("c") > turns) & F.col("conv_id").isNotNull())
-    full = store(full.select(F.col("conv_id").alias("fc"), F.col("turn").alias("ft"), F.ceil(F.col("c") / turns).alias("pieces")))
-    cut = said.join(full, (F.col("conv_id") == F.col("fc")) & (F.col("turn") == F.col("ft")), "left")
+    full = said.where("lone = ''").groupBy("conv", "turn").agg(F.count_distinct("spot").alias("c")).where(F.col("c") > turns)
+    full = store(full.select(F.col("conv").alias("fc"), F.col("turn").alias("ft"), F.ceil(F.col("c") / turns).alias("pieces")))
+    cut = said.join(full, (F.col("conv") == F.col("fc")) & (F.col("turn") == F.col("ft")) & (F.col("lone") == ""), "left")
     piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.floor(F.col("spot") * F.col("pieces") / (1 << 32)) + 1).cast("long")
     in_turn = F.when(F.col("pieces").isNull(), -1).otherwise(F.col("turn")).cast("long")
-    key = ["conv_id", "lone", "part", "in_turn", "piece"]
-    cut = cut.select("conv_id", "lone", "part", in_turn.alias("in_turn"), piece.alias("piece"), "turn", "speaker", "said")
+    key = ["conv", "lone", "part", "in_turn", "piece"]
+    cut = cut.select("conv", "lone", "part", in_turn.alias("in_turn"), piece.alias("piece"), "turn", "speaker", "said")
     parts = cut.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("turn", "speaker", "said"))).alias("dialogue"))
-    people = cut.where(F.col("speaker") != system).select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.col("speaker").alias("perspective")).distinct()
-    views = cut.select(*[F.col(k).alias(f"v_{k}") for k in key]).distinct().join(people, same("v_conv_id", "c") & (F.col("v_lone") == F.col("l")))
-    both = parts.join(views.drop("c", "l"), F.expr(" and ".join(f"{k} <=> v_{k}" for k in key)))
-    both = both.select("conv_id", "perspective", "part", "in_turn", "piece", "dialogue")
+    people = cut.where(F.col("speaker") != system).select("conv", "lone", F.col("speaker").alias("perspective")).distinct()
+    views = cut.select(*key).distinct().join(people, ["conv", "lone"])
+    both = parts.join(views, key).select(F.when(F.col("lone") == "", F.col("conv")).alias("conv_id"), "perspective", "part", "in_turn", "piece", "dialogue")
 
     own = lambda m: m["speaker"] == F.col("perspective")
     head = lambda m: F.concat(
