@@ -4,14 +4,17 @@ A line is its text without white space at its ends, and its words are what singl
 blanks separate.  A line is removed if an earlier one (smaller doc_id, then line
 number) is equal, or, from `near_words` words on, is within one insertion, deletion or
 substitution of a word; earlier lines are taken from the input, removed or not.
-Lines of fewer than `min_bytes` bytes are left alone.
+Lines of fewer than `min_bytes` bytes (by default: blank ones) are left alone.
 
 Deletion neighbourhood: a line and its variants with one word left out are hashed;
 two lines are within the bound exactly if they share such a key (both with the same
-word left out, or one with none).  Since only the earliest neighbour matters, each
+word left out, or one with none).  A variant's hash is the sum of its words' hashes, each keyed by
+the word's place, so all variants of a line follow from two running sums and take time in proportion to its words.
+Since an earlier neighbour is all that matters, each
 key gives its least line by a map-side `min`, so that the work is linear in the
 variants however many lines share one; the pair found is then verified word by
-word.  Variants are only made for lines that can have a neighbour: of two lines within one
+word.  Where the least one fails that (two variants of one hash), all earlier lines of all keys of the
+line are verified, so a collision hides nothing.  Variants are only made for lines that can have a neighbour: of two lines within one
 edit, the first or the last half of the longer one's words agree, and then also half
 of the remainder; lines that share such a key with no other line are left out, which
 loses nothing.
@@ -21,7 +24,8 @@ Equal lines are one class (two 64-bit hashes) from the start.
 Defined cases: null text has one empty line; null doc_id orders after all others;
 rows with equal doc_id and text are one document (each row gets its result), rows
 with equal doc_id and other texts are ordered by text hash; other columns are kept
-by `dedup_lines` and never clash, since all helper columns live in structs.
+by `dedup_lines` and never clash, since all helper columns live in structs and the report takes a free name;
+a line of any length is compared whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 
 from engramma.llm.common import drop_stored, store
 
-MIN_BYTES, NEAR_WORDS = 32, 10
+MIN_BYTES, NEAR_WORDS = 1, 6
+BITS61 = (1 << 61) - 1
+CHUNK = 256
 LAST = (1 << 63) - 1
 
 
@@ -97,6 +103,69 @@ def within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
+def add(x: Column, y: Column) -> Column:
+    return (x + y).bitwiseAND(F.lit(BITS61))
+
+
+def running(values: Column) -> Column:
+    """Sums modulo 2**61 of what is before each element, and of all. A step copies the sums so far: for short arrays."""
+    zero = F.lit(0).cast("long")
+    step = lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x)))
+    return F.aggregate(values, F.array(zero), step)
+
+
+def running_by_chunk(s: Column, shift: int) -> Column:
+    """For each chunk of words the sums of the hashes before each word and before the next chunk, over the whole line; a word's hash is keyed by its place, less `shift`."""
+    words = rf"(?!\z)((?:[^ ]* ){{0,{CHUNK - 1}}}+[^ ]*+)(?: |\z)"
+    place = lambda w, k, i: F.xxhash64(w, k * CHUNK + i - shift).bitwiseAND(F.lit(BITS61))
+    inside = F.transform(F.regexp_extract_all(s, F.lit(words), 1), lambda c, k: running(F.transform(F.split(c, " "), lambda w, i: place(w, k, i))))
+    before = running(F.transform(inside, lambda r: F.element_at(r, -1)))
+    return F.zip_with(inside, F.slice(before, 1, F.size(inside)), lambda r, b: F.transform(r, lambda x: add(x, b)))
+
+
+def variant_hashes(s: Column) -> Column:
+    """Hash of the line, then of each of its variants with one word left out, in order."""
+    head, behind = running_by_chunk(s, 0), running_by_chunk(s, 1)  # words behind the gap move up by one place
+    before = F.flatten(F.transform(head, lambda r: F.slice(r, 1, F.size(r) - 1)))
+    through = F.flatten(F.transform(behind, lambda r: F.slice(r, 2, F.size(r) - 1)))
+    last = lambda x: F.element_at(F.element_at(x, -1), -1)
+    gap = F.zip_with(before, through, lambda x, y: x - y)
+    return F.concat(F.array(last(head)), F.zip_with(gap, F.array_repeat(last(behind), n_words(s)), add))
+
+
+def near_pairs(variants: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(first, w): lines with an earlier one that shares a key; the least one by key, or, for the lines of `wanted`, each."""
+    keys = ["v", "longer"]
+    if wanted is not None:
+        mine = variants.join(wanted, "first", "left_semi")
+        others = variants.select(*keys, F.col("dropped").alias("d"), F.col("first").alias("w")).join(mine.select(*keys).distinct(), keys, "left_semi")
+        same = ((F.col("d") == F.col("dropped")) & (F.col("d") > 0)) | ((F.col("d") == 0) != (F.col("dropped") == 0))
+        return mine.join(others, keys).where((F.col("w") < F.col("first")) & same).select("first", "w").distinct()
+    by_word = variants.where("dropped > 0").groupBy(*keys, "dropped").agg(F.min("first").alias("w"), F.count("*").alias("c")).where("c > 1")
+    by_key = variants.groupBy(*keys).agg(F.min(F.when(F.col("dropped") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("dropped") > 0, F.col("first"))).alias("cut"))
+    by_word, by_key = store(by_word), store(by_key.where("whole is not null and cut is not null"))
+    pairs = variants.join(by_word, [*keys, "dropped"]).select("first", "w")
+    pairs = pairs.union(variants.join(by_key, keys).select("first", F.when(F.col("dropped") == 0, F.col("cut")).otherwise(F.col("whole"))))
+    return pairs.where("w < first").groupBy("first").agg(F.min("w").alias("w"))
+
+
+def near_lines(known: DataFrame, near_words: int) -> DataFrame:
+    """(at) of lines (first, s, size) that have an earlier one within one edit."""
+    hashed = known.select("first", "size", F.posexplode(variant_hashes(F.col("s"))).alias("dropped", "v"))
+    # dropped: number of the word left out, 0 for none; longer: words of the longer line of a pair with this key
+    longer = F.when(F.col("dropped") == 0, F.col("size") + 1).otherwise(F.col("size"))
+    variants = store(hashed.select("first", "dropped", longer.alias("longer"), "v").where(F.col("longer") >= near_words))
+    left = known.select(F.col("first").alias("f1"), F.col("s").alias("s1"))
+    near = within_one_edit(F.split("s", " "), F.split("s1", " "))
+    verified = lambda pairs: pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).select("first", near.alias("near"))
+    checked = store(verified(near_pairs(variants)))
+    at = checked.where("near").select(F.col("first").alias("at"))
+    if checked.where("not near").isEmpty():
+        return at
+    more = verified(near_pairs(variants, checked.where("not near").select("first"))).where("near")
+    return at.union(store(more.select(F.col("first").alias("at")).distinct()))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, near_words: int = NEAR_WORDS) -> DataFrame:
     """(k, gone): of each document that loses lines, their numbers from 0 on."""
     lines = lines_of(docs, id_col, text_col, min_bytes)
@@ -106,7 +175,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     halves = F.when(F.col("n") >= near_words - 1, _keys(F.col("s"), F.col("n"), _halves))
     classes = store(sized.select("at", "h", halves.alias("halves")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
 
-    # near neighbours
     near = _shared(classes.where("halves is not null").select("first", "halves"), F.col("halves"), F.col("first"))
     wanted = near.groupBy(F.struct("i.o", "i.t").alias("k")).agg(F.collect_set("i.n").alias("ns"))
     texts = docs.select(document_key(id_col, text_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
@@ -116,32 +184,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = store(known.withColumn("size", n_words(F.col("s"))))
     close = _shared(known, _keys(F.col("s"), F.col("size"), _three_quarters), F.col("first"))
     known = store(known.join(close.withColumnRenamed("i", "first"), "first", "left_semi"))
-    # dropped: number of the word left out, 0 for none; longer: words of the longer line of a pair with this key
-    size = F.col("size")
-    cuts = known.select("first", "s", "size", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
-    head, tail = first_words(F.col("s"), F.col("dropped") - 1), last_words(F.col("s"), size - F.col("dropped"))
-    rest = F.when(F.col("dropped") == 0, F.col("s")).when(F.col("dropped") == 1, tail).when(F.col("dropped") == size, head).otherwise(F.concat(head, F.lit(" "), tail))
-    variants = cuts.select("first", "dropped", F.when(F.col("dropped") == 0, size + 1).otherwise(size).alias("longer"), F.xxhash64(rest).alias("v"))
-    variants = store(variants.where(F.col("longer") >= near_words))
-    by_word = variants.where("dropped > 0").groupBy("v", "longer", "dropped").agg(F.min("first").alias("w"), F.count("*").alias("c")).where("c > 1")
-    by_key = variants.groupBy("v", "longer").agg(F.min(F.when(F.col("dropped") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("dropped") > 0, F.col("first"))).alias("cut"))
-    by_word, by_key = store(by_word), store(by_key.where("whole is not null and cut is not null"))
-    pairs = variants.join(by_word, ["v", "longer", "dropped"]).select("first", "w")
-    pairs = pairs.union(variants.join(by_key, ["v", "longer"]).select("first", F.when(F.col("dropped") == 0, F.col("cut")).otherwise(F.col("whole"))))
-    pairs = pairs.where("w < first").groupBy("first").agg(F.min("w").alias("w"))
-    left = known.select(F.col("first").alias("f1"), F.col("s").alias("s1"))
-    near_pair = within_one_edit(F.split("s", " "), F.split("s1", " "))
-    checked = pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).where(near_pair).select(F.col("first").alias("at"))
 
     # all later occurrences of a class, and first occurrences with an earlier neighbour
     many = store(classes.where("c > 1").select("h", "first"))
     again = occurrences.join(many, "h").where("at <> first").select("at")
-    gone = again.union(checked).groupBy(F.struct("at.o", "at.t").alias("k")).agg(F.sort_array(F.collect_set("at.n")).alias("gone"))
+    gone = again.union(near_lines(known, near_words)).groupBy(F.struct("at.o", "at.t").alias("k")).agg(F.sort_array(F.collect_set("at.n")).alias("gone"))
     return gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """`docs` with `text` less the removed lines, and a struct `lines` (total, removed)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: str | None = "lines", **limits) -> DataFrame:
+    """`docs` with `text` less the removed lines, and a struct (total, removed) named `report`, with underscores before it if `docs` has such a column."""
     gone = store(removed_lines(docs, id_col, text_col, **limits).select(F.struct(F.col("k"), F.col("gone")).alias("_g")))
     rows = docs.select(F.struct("*").alias("_d"), document_key(id_col, text_col).alias("_k"))
     rows = rows.join(gone, F.col("_k") == F.col("_g.k"), "left")
@@ -149,8 +201,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(ls, lambda x, i: ~F.array_contains(F.col("_g.gone"), i))
     body = F.when(F.col("_g.gone").isNull(), F.col("_d")[text_col]).otherwise(F.array_join(kept, "\n"))
     fields = [body.alias(c) if c == text_col else F.col("_d")[c].alias(c) for c in docs.columns]
-    total = F.struct(F.size(ls).cast("long").alias("total"), F.coalesce(F.size("_g.gone"), F.lit(0)).cast("long").alias("removed")).alias("lines")
-    return rows.select(*fields, total)
+    if report is None:
+        return rows.select(*fields)
+    while report in docs.columns:
+        report = f"_{report}"
+    total = F.struct(F.size(ls).cast("long").alias("total"), F.coalesce(F.size("_g.gone"), F.lit(0)).cast("long").alias("removed"))
+    return rows.select(*fields, total.alias(report))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +218,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int n, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
   w as materialized (select doc_id, n, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) s from l),
-  e as materialized (select *, string_split(s, ' ') ws, min(doc_id * 1000000 + n) over (partition by s) f from w where strlen(s) >= 32),
-  c as materialized (select distinct s, ws, f from e where len(ws) >= 9),
+  e as materialized (select *, string_split(s, ' ') ws, min(doc_id * 1000000 + n) over (partition by s) f from w where s <> ''),
+  c as materialized (select distinct s, ws, f from e where len(ws) >= 5),
   v as materialized (select f, i, case when i = 0 then len(ws) + 1 else len(ws) end longer,
           case when i = 0 then s else array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') end var from c, unnest(range(0, len(ws) + 1)) t(i)),
-  a as (select a.f from v a join (select var, longer, i, min(f) f from v where i > 0 and longer >= 10 group by 1, 2, 3) b
+  a as (select a.f from v a join (select var, longer, i, min(f) f from v where i > 0 and longer >= 6 group by 1, 2, 3) b
           on a.var = b.var and a.longer = b.longer and a.i = b.i and b.f < a.f
         union all
-        select a.f from v a join (select var, longer, i = 0 whole, min(f) f from v where longer >= 10 group by 1, 2, 3) b
+        select a.f from v a join (select var, longer, i = 0 whole, min(f) f from v where longer >= 6 group by 1, 2, 3) b
           on a.var = b.var and a.longer = b.longer and (a.i = 0) <> b.whole and b.f < a.f),
   g as (select distinct doc_id, n from e where doc_id * 1000000 + n <> f or f in (select f from a)),
   r as (select w.doc_id, count(*) n_lines, count(g.n) n_removed, coalesce(string_agg(line, chr(10) order by w.n) filter (g.n is null), '') kept

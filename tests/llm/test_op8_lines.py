@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from engramma.llm import op8_lines as m
 
@@ -12,7 +15,7 @@ def close(a, b):
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :] or a == b
 
 
-def brute(rows, min_bytes=32, near=10):
+def brute(rows, min_bytes=1, near=6):
     """rows in order of documents; numbers of the lines that go."""
     lines = [(d, n, s) for d, text in rows for n, s in enumerate(x.strip(" \t\r\x0b\x0c") for x in (text or "").split("\n"))]
     lines = [x for x in lines if len(x[2].encode()) >= min_bytes]
@@ -34,7 +37,7 @@ def result(df):
 def sample(seed):
     rng = random.Random(seed)
     vocab = ["word%d" % i for i in range(60)]
-    pool = [[rng.choice(vocab) for _ in range(rng.choice([3, 9, 10, 11, 14, 20]))] for _ in range(12)]
+    pool = [[rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 6, 9, 10, 14, 20]))] for _ in range(12)]
     rows = []
     for d in range(40):
         out = []
@@ -64,10 +67,10 @@ def test_against_brute_force(spark):
 def test_texts_and_odd_rows(spark):
     line = "one two three four five six seven eight nine ten eleven"
     rows = [(None, line), (1, f"{line}\nshort\n{line} \nend"), (2, None), (3, ""), (4, line.replace("five", "5")), (4, line.replace("five", "5")), (5, "a\n" + line + " twelve thirteen"), (6, "é" * 90000 + " x")]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, lines int")
-    got = m.dedup_lines(df.drop("lines"))
-    assert got.columns == ["doc_id", "text", "lines"]
-    texts = sorted((r.doc_id or 0, r.text or "", r.lines.removed) for r in got.collect())
+    df = spark.createDataFrame([(*r, 9, "x", "y") for r in rows], "doc_id long, text string, lines int, _g string, k string")
+    got = m.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "lines", "_g", "k", "_lines"] and m.dedup_lines(df, report=None).columns == df.columns
+    texts = sorted((r.doc_id or 0, r.text or "", r._lines.removed) for r in got.collect())
     assert [x for x in texts if x[0] != 6] == [
         (0, "", 1), (1, f"{line}\nshort\nend", 1), (2, "", 0), (3, "", 0), (4, "", 1), (4, "", 1), (5, "a\n" + line + " twelve thirteen", 0)]
     assert m.removed_lines(df.limit(0)).count() == 0
@@ -79,6 +82,25 @@ def test_hot_template(spark):
     assert got == {i: [0] for i in range(1, 300)}
 
 
+def test_long_lines_take_time_in_proportion(spark):
+    words = ["w%d" % (i * i % 9973) for i in range(60_000)]
+    other = words[:30_000] + words[30_001:]
+    apart = words[:10] + ["x"] + words[11:40_000] + ["y"] + words[40_001:]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(apart))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    assert result(df) == {2: [0]}
+    assert time.perf_counter() - began < 30
+
+
+def test_colliding_hashes_hide_nothing(spark, monkeypatch):
+    """All variants of a line get one hash: the least line of the key is mostly no neighbour."""
+    monkeypatch.setattr(m, "variant_hashes", lambda s: F.transform(F.sequence(F.lit(0), F.size(F.split(s, " "))), lambda i: F.lit(7).cast("long")))
+    rows = sample(3)
+    want = {d: x for d, x in brute(rows).items() if x}
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 def test_native(spark):
     plan = m.op8_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
