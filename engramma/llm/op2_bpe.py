@@ -3,19 +3,20 @@
 A merge can be kept from happening only by a merge of lower rank that takes its
 right part first, and that one by a still lower one further right.  The longest
 such chain in a merge list, in symbols, is a sufficient lookahead: once that many
-symbols follow a token, later input can't change it.  The transducer keeps a
-window of block + lookahead symbols and emits the tokens that are stable, so
+symbols follow a token, later input can't change it.  The transducer, which encodes every word, keeps a
+window of block + 2 lookaheads of symbols and emits the tokens that are stable (at the end of a word: all), so
 memory is constant however long a word is.  A token border of the full encoding
 splits it into the encodings of both sides, so restarting behind a border is exact.
 
 Decoding turns tokens into bytes and pushes them through an incremental state
 machine that holds back at most three bytes of an unfinished code point.
 
-Words repeat, so each worker keeps the last words' tokens in a cache of bounded
-size.  No shuffle: one pass over the table.
+Words repeat, so each worker keeps the last words' finished output in a table of bounded
+size.  Texts are read in slices cut at white space, and long words in blocks.  No shuffle: one pass over the table, in batches of bounded size.
 
 Defined cases: null text is the empty text (0 tokens); null `doc_id` stays null;
-repeated rows give repeated results; other columns are ignored.
+repeated rows give repeated results; very long texts and words are encoded whole, slice by slice; an
+empty table gives no rows; other columns are ignored and never clash.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramma.llm.common import bounded_batches
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE_WORDS = 250_000
-BLOCK = 4096
+BLOCK = 1024  # symbols pushed at once
+SLICE = 1 << 16  # characters of text looked at together
 
 
 def byte_alphabet() -> list[str]:
@@ -117,6 +121,7 @@ class Transducer:
         self.merges, self.block, self.pending, self.width = merges, block, [], 0
 
     def push(self, symbols: list[int], spans) -> list[int]:
+        """Tokens that no later input can change."""
         out: list[int] = []
         self.pending += symbols
         while len(self.pending) >= self.block + 2 * self.merges.lookahead:
@@ -131,6 +136,7 @@ class Transducer:
         return out
 
     def finish(self) -> list[int]:
+        """The word ends here, so all that is left is stable."""
         out, self.pending = self.merges.encode(self.pending), []
         return out
 
@@ -160,6 +166,18 @@ class ByteToText:
         return out
 
 
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """A text in pieces of about `size` characters, cut before a blank or a line break, where no word and no composed character is cut."""
+    at, n = 0, len(text)
+    while at < n:
+        end = min(at + size, n)
+        if end < n:
+            near = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+            end = near if near > at else min((p for p in (text.find(" ", end), text.find("\n", end)) if p >= 0), default=n)
+        yield text[at:end]
+        at = end
+
+
 class WordBpe:
     """A tokenizer file with word ends (`</w>`): NFC, lower case, white space dropped."""
 
@@ -178,7 +196,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.find = regex.compile(self.PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").splititer
+        self.machine = Transducer(self.merges)
         alphabet = byte_alphabet()
         self.inner = [model["vocab"][c] for c in alphabet]
         self.final = [model["vocab"][c + self.suffix] for c in alphabet]
@@ -191,36 +210,47 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # each character on its own: no final sigma
 
-    def word(self, word: str) -> list[int]:
-        raw = word.encode("utf-8")
-        symbols = [self.inner[b] for b in raw[:-1]]
-        symbols.append(self.final[raw[-1]])
-        if len(symbols) <= BLOCK:
-            return self.merges.encode(symbols)
-        machine, out = Transducer(self.merges), []
-        for i in range(0, len(symbols), BLOCK):
-            out += machine.push(symbols[i : i + BLOCK], self.spans)
-        return out + machine.finish()
+    def word(self, word: str) -> Iterator[list[int]]:
+        """A word's ids, as the transducer gives them."""
+        machine, inner, n = self.machine, self.inner, len(word)
+        for i in range(0, n, BLOCK):
+            symbols = [inner[b] for b in word[i : i + BLOCK].encode("utf-8")]
+            if i + BLOCK >= n:
+                symbols[-1] = self.final[word[-1].encode("utf-8")[-1]]
+            if out := machine.push(symbols, self.spans):
+                yield out
+        yield machine.finish()
+
+    def output(self, ids: list[int]) -> tuple[bytes, bytes]:
+        """Ids as 32-bit little-endian integers, and their tokens' texts as bytes."""
+        return b"".join(i.to_bytes(4, "little") for i in ids), b" ".join(self.texts[i].encode("utf-8") for i in ids)
 
     def packed(self, word: str) -> tuple[bytes, bytes]:
-        """A word's ids as 32-bit little-endian integers, and its tokens' texts as bytes."""
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        ids = self.word(word)
-        out = b"".join(i.to_bytes(4, "little") for i in ids), b" ".join(self.texts[i].encode("utf-8") for i in ids)
+        """Output of a word of at most BLOCK characters."""
+        out = self.output([i for part in self.word(word) for i in part])
         if len(word) <= 64:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
             self.cache[word] = out
         return out
 
-    def pieces(self, text: str, step: int = 50_000) -> Iterator[list[tuple[bytes, bytes]]]:
+    def pieces(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Output of a text, some words at a time."""
         get, packed = self.cache.get, self.packed
         for k, part in enumerate(self.cut(text)):
             if k % 2:
                 yield [(self.special[part].to_bytes(4, "little"), part.encode("utf-8"))]
                 continue
-            words = self.find(self.normal(part))
-            for i in range(0, len(words), step):
-                yield [get(w) or packed(w) for w in words[i : i + step]]
+            for piece in slices(part):
+                words = self.find(self.normal(piece))
+                if len(piece) <= BLOCK or max(map(len, words), default=0) <= BLOCK:
+                    yield [get(w) or packed(w) for w in words]
+                else:
+                    for w in words:
+                        if len(w) <= BLOCK:
+                            yield [get(w) or packed(w)]
+                        else:
+                            yield from ([self.output(ids)] for ids in self.word(w) if ids)
 
     def encode(self, text: str) -> list[int]:
         ids = b"".join(p[0] for piece in self.pieces(text) for p in piece)
@@ -252,6 +282,10 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+
+
 def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode each text with the tokenizer file at `path` (on every executor)."""
 
@@ -266,8 +300,7 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 got = [model.digest(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in zip(*got, strict=True))], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    return rows.mapInArrow(run, SCHEMA)
+    return _rows(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
 def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,8 +315,7 @@ def bpe_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 part = batch.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.encode(t.as_py()) for t in part.column(1)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def default_path() -> str:

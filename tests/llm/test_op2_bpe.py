@@ -45,6 +45,20 @@ def test_transducer_small_blocks(pair):
         assert most <= 16 + 2 * mine.merges.lookahead + 7
 
 
+def test_slices_and_long_words(pair):
+    mine, theirs = pair
+    rng = random.Random(8)
+    long = "".join(rng.choice("aeinrsthé") for _ in range(5000))
+    texts = ["a b" * 50000, long + " x " + long, "\u0301 e\u0301" * 30000, "日本語" * 40000, "!" * 70000 + " " * 70000 + "end", "ΑΣ ΣΑΣ " * 12000, ("w" * 70000 + "<|endoftext|>") * 2]
+    for t in texts:
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert mine.encode(t) == ids, t[:40]
+        assert "".join(m.slices(t, 1000)) == t
+    assert max(map(len, m.slices("a b" * 50000))) <= m.SLICE
+    assert [i for part in mine.word(long) for i in part] == mine.merges.encode([mine.inner[b] for b in long.encode()[:-1]] + [mine.final[long.encode()[-1]]])
+    assert len(list(mine.word(long))) > 2 and mine.machine.pending == []
+
+
 def test_byte_to_text_at_any_cut():
     raw = "aé日\U0001f600z".encode() + b"\xff\xe2\x82"
     for step in (1, 2, 3, 5):
