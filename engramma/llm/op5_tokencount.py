@@ -1,19 +1,22 @@
 """Token counts of documents in flat, unindexed token files by a separator scan.
 
 A token file is a run of fixed-width ids in which an end-of-document id closes each
-document; there is no index.  Files are cut into blocks; each block is searched for the
+document; there is no index.  Files are read in ranges, a block each; every block is searched for the
 separator in numpy, and gives its size, its separators and the place of its last one.
 A prefix scan over the blocks of a file (sums of sizes and separators, running maximum
 of the last separator's place) then stitches documents that cross block borders.  The scan
 has two levels: within `SUPER` blocks, and over the totals of those, so a single huge
-file is no single task there. `file_blocks` reads each file as one row, though, so a file
-beyond 2^31 - 1 bytes fails; the registered query makes its blocks from documents and reads no token file.
+file is no single task anywhere.
+
+`flat_blocks` makes such files from documents with a real vocabulary (16-bit ids of the transducer of `op2_bpe`, end id 65535): each
+partition of the table writes one flat run of ids, cut into blocks with no regard to documents; nothing is shuffled,
+and a document repeated in many rows stays where it is.  Beside a block go the doc_ids of the documents that close in it.
 
 Defined cases: two separators in a row bound an empty document (0 tokens); tokens behind the last
 separator of a file are one open document (`closed` false); an empty file has no
-documents. In `flat_blocks`, null or empty text is an empty document, null doc_id goes
-to files of negative number by its text, repeated rows are documents of their own, and
-other columns are ignored.
+documents; a file whose size is no multiple of the id's width raises an error. In `flat_blocks`, null or empty text is an empty document, null doc_id stays
+null, repeated rows are documents of their own, a text of any length goes piece by piece, an empty table gives no rows and
+other columns are ignored and never clash.
 """
 
 from __future__ import annotations
@@ -24,26 +27,46 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramma.llm.common import blocks, bounded_batches, shuffle_parts, span_hashes, store
+from engramma.llm import op2_bpe
+from engramma.llm.common import bounded_batches, drop_stored, shuffle_parts, store
 
-DOCS_PER_FILE = 1024
 BLOCK_TOKENS = 1 << 15
 SUPER = 1024
 END = 65535
 
 
 def file_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of flat token files in a folder that Spark can read."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
+    """(file, block, payload) of flat token files of any size. The listing is Spark's; executors open each file at a block's offset
+    (any URI that `pyarrow.fs` can open), so no row holds more than a block."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
     size = block_tokens * width
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
-    cut = raw.where("length > 0").select("file", "content", at.alias("block"))
-    return cut.select("file", "block", F.expr(f"substring(content, cast(block * {size} + 1 as int), {size})").alias("payload"))
+    ranges = listed.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        held: tuple = (None, None)
+        for batch in batches:
+            for file, length, block in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "block")), strict=True):
+                if length % width:
+                    raise ValueError(f"{file}: {length} bytes are no whole number of {width}-byte ids")
+                if held[0] != file:
+                    if held[1] is not None:
+                        held[1].close()
+                    system, inner = fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file://") else file)
+                    held = file, system.open_input_file(inner)
+                raw = held[1].read_at(min(size, length - block * size), block * size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "payload"])
+
+    spread = ranges.repartition(shuffle_parts(spark), "file", F.floor(F.col("block") / 64))  # neighbours share a reader
+    return spread.mapInArrow(read, "file string, block long, payload binary")
 
 
 def separators(rows: DataFrame, end: int, width: int) -> DataFrame:
-    """(file, block, size, ends): ends are the places of the separator in each block."""
+    """(file, block, size, ends) and, if given, docs: ends are the places of the separator in each block."""
     kind = {"bigint": "long"}.get(dict(rows.dtypes)["file"], dict(rows.dtypes)["file"])
+    named = "docs" in rows.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -57,9 +80,11 @@ def separators(rows: DataFrame, end: int, width: int) -> DataFrame:
                 found.append(np.flatnonzero(tokens == end).astype(np.int32))
             cut = np.cumsum([0, *map(len, found)]).astype(np.int32)
             ends = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int32()), ends], ["file", "block", "size", "ends"])
+            more = ["docs"] if named else []
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int32()), ends, *(batch.column(c) for c in more)], ["file", "block", "size", "ends", *more])
 
-    return rows.select("file", "block", "payload").where("payload is not null").mapInArrow(run, f"file {kind}, block long, size int, ends array<int>")
+    picked = bounded_batches(rows).select("file", "block", "payload", *(["docs"] if named else [])).where("payload is not null")
+    return picked.mapInArrow(run, f"file {kind}, block long, size int, ends array<int>" + (", docs array<long>" if named else ""))
 
 
 def prefix_scan(found: DataFrame) -> DataFrame:
@@ -79,79 +104,63 @@ def prefix_scan(found: DataFrame) -> DataFrame:
 
 
 def count_tokens(rows: DataFrame, end: int = END, width: int = 2) -> DataFrame:
-    """(file, doc_no, start_token, n_tokens, closed) of every document in blocks (file, block, payload)."""
+    """(file, doc_no, start_token, n_tokens, closed) of every document in blocks (file, block, payload); with `docs` (an id for each
+    separator of the block) also doc_id."""
     found = store(separators(rows, end, width))
+    named = "docs" in rows.columns
     known = found.join(prefix_scan(found), ["file", "block"])
     each = known.where(F.size("ends") > 0).select("*", F.posexplode("ends").alias("k", "at"))
     begin = F.when(F.col("k") == 0, F.col("last_before")).otherwise(F.col("tokens_before") + F.col("ends")[F.col("k") - 1]) + 1
-    closed = each.select("file", (F.col("docs_before") + F.col("k")).alias("doc_no"), begin.alias("start_token"), (F.col("tokens_before") + F.col("at") - begin).alias("n_tokens"), F.lit(True).alias("closed"))
+    doc = [F.col("docs")[F.col("k")].alias("doc_id")] if named else []
+    closed = each.select("file", (F.col("docs_before") + F.col("k")).alias("doc_no"), begin.alias("start_token"), (F.col("tokens_before") + F.col("at") - begin).alias("n_tokens"), F.lit(True).alias("closed"), *doc)
     place = F.max(F.when(F.size("ends") > 0, F.col("tokens_before") + F.element_at("ends", -1)))
     tails = known.groupBy("file").agg(F.max(F.col("tokens_before") + F.col("size")).alias("all"), F.coalesce(place, F.lit(-1).cast("long")).alias("last"), F.sum(F.size("ends")).alias("docs"))
-    tails = tails.where("all - last > 1").select("file", F.col("docs").alias("doc_no"), (F.col("last") + 1).alias("start_token"), (F.col("all") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("closed"))
+    doc = [F.lit(None).cast("long").alias("doc_id")] if named else []
+    tails = tails.where("all - last > 1").select("file", F.col("docs").alias("doc_no"), (F.col("last") + 1).alias("start_token"), (F.col("all") - F.col("last") - 1).alias("n_tokens"), F.lit(False).alias("closed"), *doc)
     return closed.union(tails)
 
 
-def _file_of() -> object:
-    return F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("body"), F.lit(DOCS_PER_FILE))).otherwise(F.floor(F.col("doc_id") / DOCS_PER_FILE)).cast("long")
-
+def flat_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(file, block, payload, docs): flat runs of 16-bit ids of the tokenizer file at `path`, END behind each document, one run for each partition.
 
-def flat_blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Flat token files of documents (16-bit word ids, END behind each), as blocks of fixed size; files are ranges of doc_id."""
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    rows = rows.select("doc_id", "body", _file_of().alias("file"), F.xxhash64("body").alias("tie"))
+    Store the result before it is used twice: the number of a file is its partition's."""
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), F.spark_partition_id().cast("long").alias("file"))
 
-    def tokens(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for block in blocks(batch.column("body")):
-                starts, ends, doc = block.words()
-                ids = (span_hashes(block.data, starts, ends) % np.uint64(END)).astype("<u2")
-                cut = np.searchsorted(doc, np.arange(block.n + 1))
-                raw = [ids[a:b].tobytes() + b"\xff\xff" for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                keys = [batch.column(c).slice(block.first, block.n) for c in ("file", "doc_id", "tie")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(raw, pa.binary())], ["file", "doc_id", "tie", "raw"])
-
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        model = op2_bpe.tokenizer(path)
+        if max(model.texts) >= END:
+            raise ValueError("ids don't fit 16 bits")
+        size, held, docs, number, file = block_tokens * 2, bytearray(), [], 0, None
+        names = ["file", "block", "payload", "docs"]
+
+        def block(payload: bytes, n: int):
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.binary()), pa.array([docs], pa.list_(pa.int64()))], names)
 
-        size, file, held, number = block_tokens * 2, None, bytearray(), 0
-        out: list[tuple[int, int, bytes]] = []
         for batch in batches:
-            for f, raw in zip(batch.column("file").to_pylist(), batch.column("raw"), strict=True):
-                if f != file:
-                    if held:
-                        out.append((file, number, bytes(held)))
-                    file, held, number = f, bytearray(), 0
-                held += raw.as_py()
-                while len(held) >= size:
-                    out.append((file, number, bytes(held[:size])))
-                    del held[:size]
-                    number += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.binary()))], ["file", "block", "payload"])
-                out = []
+            for doc, text, file in zip(*(batch.column(c) for c in ("doc_id", "body", "file")), strict=True):  # noqa: B020
+                file = file.as_py()  # noqa: PLW2901
+                for piece in model.pieces(text.as_py()):
+                    held += np.frombuffer(b"".join(p[0] for p in piece), "<u4").astype("<u2").tobytes()
+                    while len(held) >= size:
+                        yield block(bytes(held[:size]), number)
+                        del held[:size]
+                        docs, number = [], number + 1
+                held += b"\xff\xff"
+                docs.append(doc.as_py())
+                if len(held) >= size:  # the separator filled the block
+                    yield block(bytes(held), number)
+                    held, docs, number = bytearray(), [], number + 1
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([bytes(held)], pa.binary())], ["file", "block", "payload"])
+            yield block(bytes(held), number)
 
-    flat = rows.mapInArrow(tokens, "file long, doc_id long, tie long, raw binary")
-    flat = flat.repartition(shuffle_parts(docs.sparkSession), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "tie")
-    return flat.select("file", "raw").mapInArrow(cut, "file long, block long, payload binary")
+    return rows.mapInArrow(run, "file long, block long, payload binary, docs array<long>")
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = count_tokens(store(flat_blocks(docs)))
-    ids = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body")).select("doc_id", _file_of().alias("file"), F.xxhash64("body").alias("tie"))
-    order = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
-    ids = ids.select("doc_id", "file", (F.row_number().over(order) - 1).cast("long").alias("doc_no"))
-    got = counts.join(ids, ["file", "doc_no"], "left")
+    blocks = store(flat_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"), op2_bpe.default_path()))
+    got = count_tokens(blocks)
+    drop_stored(blocks)  # counts read only what the scan stored
     return got.select("doc_id", F.col("file").alias("file_no"), "doc_no", "start_token", "n_tokens", "closed")
-
-
-SQL = r"""
-with w as (select doc_id, doc_id // 1024 file_no, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint n_tokens from documents)
-select doc_id, file_no::bigint file_no, (row_number() over o - 1)::bigint doc_no,
-  coalesce(sum(n_tokens + 1) over (partition by file_no order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint start_token, n_tokens, true closed
-from w window o as (partition by file_no order by doc_id)
-"""

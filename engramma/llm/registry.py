@@ -10,7 +10,7 @@ _TABLE = [
     ("op2_bpe", "op2_bpe_digest", None),
     ("op3_langid", "op3_language_id", None),
     ("op4_packing", "op4_best_fit_packing", None),
-    ("op5_tokencount", "op5_separator_scan", "SQL"),
+    ("op5_tokencount", "op5_separator_scan", None),
     ("op6_quality", "op6_quality_rules", "SQL"),
     ("op7_jaccard", "op7_ngram_jaccard", None),
     ("op8_lines", "op8_line_dedup", "SQL"),
