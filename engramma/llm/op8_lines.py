@@ -8,7 +8,7 @@ Lines of fewer than `min_bytes` bytes (by default: blank ones) are left alone.
 
 Deletion neighbourhood: a line and its variants with one word left out are hashed;
 two lines are within the bound exactly if they share such a key (both with the same
-word left out, or one with none).  A variant's hash is the sum of its words' hashes, each keyed by
+word left out, or one with none).  Beyond `DIRECT` words a variant's hash is the sum of its words' hashes, each keyed by
 the word's place, so all variants of a line follow from two running sums and take time in proportion to its words.
 Since an earlier neighbour is all that matters, each
 key gives its least line by a map-side `min`, so that the work is linear in the
@@ -38,6 +38,7 @@ from engramma.llm.common import drop_stored, store
 MIN_BYTES, NEAR_WORDS = 1, 6
 BITS61 = (1 << 61) - 1
 CHUNK = 256
+DIRECT = 128  # pairs whose longer line has at most so many words: their variants are hashed as they are, which is quicker for short lines
 LAST = (1 << 63) - 1
 
 
@@ -133,6 +134,12 @@ def variant_hashes(s: Column) -> Column:
     return F.concat(F.array(last(head)), F.zip_with(gap, F.array_repeat(last(behind), n_words(s)), add))
 
 
+def without_word(s: Column, size: Column, dropped: Column) -> Column:
+    """The line less a word, or whole (0)."""
+    head, tail = first_words(s, dropped - 1), last_words(s, size - dropped)
+    return F.when(dropped == 0, s).when(dropped == 1, tail).when(dropped == size, head).otherwise(F.concat(head, F.lit(" "), tail))
+
+
 def near_pairs(variants: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(first, w): lines with an earlier one that shares a key; the least one by key, or, for the lines of `wanted`, each."""
     keys = ["v", "longer"]
@@ -151,10 +158,13 @@ def near_pairs(variants: DataFrame, wanted: DataFrame | None = None) -> DataFram
 
 def near_lines(known: DataFrame, near_words: int) -> DataFrame:
     """(at) of lines (first, s, size) that have an earlier one within one edit."""
-    hashed = known.select("first", "size", F.posexplode(variant_hashes(F.col("s"))).alias("dropped", "v"))
     # dropped: number of the word left out, 0 for none; longer: words of the longer line of a pair with this key
-    longer = F.when(F.col("dropped") == 0, F.col("size") + 1).otherwise(F.col("size"))
-    variants = store(hashed.select("first", "dropped", longer.alias("longer"), "v").where(F.col("longer") >= near_words))
+    size, longer = F.col("size"), F.when(F.col("dropped") == 0, F.col("size") + 1).otherwise(F.col("size")).alias("longer")
+    cuts = known.where(size <= DIRECT).select("first", "s", "size", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
+    short = cuts.select("first", "dropped", longer, F.xxhash64(without_word(F.col("s"), size, F.col("dropped"))).alias("v")).where(F.col("longer") <= DIRECT)
+    long = known.where(size >= DIRECT).select("first", "size", F.posexplode(variant_hashes(F.col("s"))).alias("dropped", "v"))
+    long = long.select("first", "dropped", longer, "v").where(F.col("longer") > DIRECT)
+    variants = store(short.union(long).where(F.col("longer") >= near_words))
     left = known.select(F.col("first").alias("f1"), F.col("s").alias("s1"))
     near = within_one_edit(F.split("s", " "), F.split("s1", " "))
     verified = lambda pairs: pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).select("first", near.alias("near"))

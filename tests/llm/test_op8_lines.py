@@ -56,8 +56,9 @@ def sample(seed):
     return rows
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2):
+def test_against_brute_force(spark, monkeypatch):
+    for seed, direct in ((1, 128), (2, 9), (4, 0)):
+        monkeypatch.setattr(m, "DIRECT", direct)
         rows = sample(seed)
         want = {d: x for d, x in brute(rows).items() if x}
         df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, s string, n int").repartition(4)
@@ -95,6 +96,7 @@ def test_long_lines_take_time_in_proportion(spark):
 
 def test_colliding_hashes_hide_nothing(spark, monkeypatch):
     """All variants of a line get one hash: the least line of the key is mostly no neighbour."""
+    monkeypatch.setattr(m, "DIRECT", 0)
     monkeypatch.setattr(m, "variant_hashes", lambda s: F.transform(F.sequence(F.lit(0), F.size(F.split(s, " "))), lambda i: F.lit(7).cast("long")))
     rows = sample(3)
     want = {d: x for d, x in brute(rows).items() if x}
