@@ -192,21 +192,15 @@ def similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(1.0 - np.bitwise_count(x ^ y).sum(1, dtype=np.int64) / BITS)
 
 
-@F.pandas_udf(T.BinaryType())
-def bundle_agg(v: pd.Series) -> bytes:
-    """Grouped aggregate: majority of a group's vectors."""
-    return bundle([np.frombuffer(x, np.uint8) for x in v]).tobytes()
-
-
 def bundled(rows: DataFrame, key: str, hv: str) -> DataFrame:
     """Majority by key with partial sums of ones per task, so a large group never meets whole."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for batch in batches:
-            for k, raw in zip(batch[key], batch[hv], strict=True):
+            for k, vectors in batch.groupby(key, sort=False, dropna=False)[hv]:
                 ones, n = sums.get(k, (0, 0))
-                sums[k] = (ones + np.unpackbits(np.frombuffer(raw, np.uint8))[:BITS].astype(np.int32), n + 1)
+                sums[k] = (ones + ones_of(np.frombuffer(b"".join(vectors), np.uint8).reshape(len(vectors), -1)), n + len(vectors))
             if len(sums) > 2000:
                 yield _sums(sums, key)
                 sums = {}

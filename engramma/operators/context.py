@@ -45,18 +45,19 @@ def decide(messages: DataFrame, hits: DataFrame, musings: DataFrame | None = Non
     return rows.select("query_id", "intent", action.alias("action"), F.when(F.col("intent") == "empty", 0).otherwise(n).cast("long").alias("n_hits"))
 
 
-#: What stands for lines that do not fit (fixed value: its length is reserved).
-NOTICE = "({} recuerdo(s) más no caben en el presupuesto de {} tokens; pídelos con hc_recall si hacen falta)"
+#: What stands for lines that do not fit: number left out, budget. Its length is reserved.
+NOTICE = "({} more memories do not fit the budget of {} tokens; ask for them if needed)"
 
 
-def fit_budget(lines: DataFrame, budget: int) -> DataFrame:
+def fit_budget(lines: DataFrame, budget: int, notice_text: str = NOTICE) -> DataFrame:
     """(key, kept, omitted, tokens) for (key, lines): the header always, then whole lines while they fit; the notice is reserved for.
 
     A fold over each array, since a line that is too long is passed over and a later one may fit.
     """
     cost = F.transform("lines", lambda s: estimated_tokens(s))
     total = F.aggregate(cost, F.lit(0), lambda a, c: a + c)
-    notice = lambda n: F.concat(F.lit("("), n.cast("string"), F.lit(NOTICE.split("{}")[1] + str(budget) + NOTICE.split("{}")[2]))
+    lead, middle, tail = notice_text.split("{}")
+    notice = lambda n: F.concat(F.lit(lead), n.cast("string"), F.lit(f"{middle}{budget}{tail}"))
     rows = lines.select("key", "lines", cost.alias("cost"), total.alias("total"))
     cap = F.greatest(F.lit(0), F.lit(budget) - estimated_tokens(notice(F.greatest(F.lit(1), F.size("lines") - 1))))
     start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<int>").alias("kept"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramma.operators.order import nearest_ranks
+
 
 def rank_metrics(ranks: DataFrame) -> DataFrame:
     """Per category over (category, query_id, rank or null): mean reciprocal rank, hits at 1 and 3."""
@@ -14,11 +16,6 @@ def rank_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(one), 9).alias("mrr"), F.round(at(1), 9).alias("hit1"), F.round(at(3), 9).alias("hit3"))
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place min(n - 1, int(q n)) of the sorted array."""
-    return F.element_at(F.array_sort(values), F.least(F.size(values), F.floor(F.size(values) * q).cast("int") + 1))
-
-
 def fidelity(got: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Mean share of the exact top-k that an approximate search finds; both (query_id, id)."""
     both = exact.join(got.select("query_id", "id").distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
@@ -53,7 +50,8 @@ def longitudinal(answers: DataFrame, truth: DataFrame) -> DataFrame:
 def payload(hits: DataFrame, tokens: Column) -> DataFrame:
     """Tokens that each query's hits cost, summed up: mean, greatest, 95th percentile."""
     per = hits.groupBy("query_id").agg(F.sum(tokens).alias("t"))
-    return per.agg(F.count("*").alias("queries"), F.round(F.avg("t"), 9).alias("mean"), F.max("t").alias("most"), nearest_rank(F.collect_list("t"), 0.95).alias("p95"))
+    p95 = nearest_ranks(per.withColumn("all", F.lit(1)), ["all"], "t", 0.95).select(F.col("t").alias("p95"))
+    return per.agg(F.count("*").alias("queries"), F.round(F.avg("t"), 9).alias("mean"), F.max("t").alias("most")).crossJoin(p95)  # one row each
 
 
 def injection_rates(turns: DataFrame) -> DataFrame:

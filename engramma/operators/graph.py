@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramma.functions.text import creative_fit
+from engramma.operators.order import kth
 from engramma.sources.snapshots import checkpointed
 
 #: Fixed values of the graph.
@@ -18,20 +19,23 @@ def rank(kind: Column, status: Column) -> Column:
     return F.when(kind == "knn", 0).when(status == "rejected", 3).when(kind == "dream", F.when(status == "proposed", 1).otherwise(2)).otherwise(4)
 
 
-def fold_links(arrivals: DataFrame) -> DataFrame:
-    """One link for each (src, dst) from arrivals (seq, src, dst, weight, type, status), in order of seq."""
-    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight")))
-    step = F.struct("seq", weight.alias("weight"), "type", "status", rank(F.col("type"), F.col("status")).alias("rank"))
-    grouped = arrivals.where("src <> dst").groupBy("src", "dst").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+def fold_links(arrivals: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """One link for each (src, dst) from arrivals (seq, src, dst, weight, type, status), in order of seq, and before them the stored links.
 
-    def merge(acc: Column, new: Column) -> Column:
-        grown = F.when(acc["status"] == "rejected", acc["weight"]).otherwise(acc["weight"] + GROWTH * (1 - acc["weight"]))
-        same = F.struct(acc["seq"].alias("seq"), grown.alias("weight"), acc["type"].alias("type"), acc["status"].alias("status"), acc["rank"].alias("rank"))
-        return F.when(new["rank"] > acc["rank"], new).otherwise(same)
-
-    rest = F.slice("steps", F.lit(2), F.size("steps"))
-    done = grouped.select("src", "dst", F.aggregate(rest, F.col("steps")[0], merge).alias("l"))
-    return done.select("src", "dst", "l.weight", "l.type", "l.status")
+    The first arrival of the greatest rank settles type, status and the weight to start from; each one after it only lets the weight grow by
+    a share of what is missing (a rejected link's stays), so a count is all that is needed of them, however many there are."""
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight").cast("double")))
+    cols = ["src", "dst", F.col("seq").cast("long").alias("seq"), weight.alias("weight"), "type", "status"]
+    all_ = arrivals.select(*cols)
+    if stored is not None:
+        all_ = all_.unionByName(stored.withColumn("seq", F.lit(-(1 << 62))).select(*cols))
+    all_ = all_.where("src <> dst")
+    first = F.max(F.struct(rank(F.col("type"), F.col("status")).alias("rank"), (-F.col("seq")).alias("minus"), "weight", "type", "status"))
+    settled = all_.groupBy("src", "dst").agg(first.alias("l"))
+    later = all_.select("src", "dst", "seq").join(settled.select("src", "dst", (-F.col("l.minus")).alias("at")), ["src", "dst"]).where("seq > at").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    grown = 1 - (1 - F.col("l.weight")) * F.pow(F.lit(1 - GROWTH), F.coalesce("n", F.lit(0)))
+    kept = F.when(F.col("l.status") == "rejected", F.col("l.weight")).otherwise(grown)
+    return settled.join(later, ["src", "dst"], "left").select("src", "dst", kept.alias("weight"), "l.type", "l.status")
 
 
 def set_status(links: DataFrame, pairs: DataFrame, status: str) -> DataFrame:
@@ -113,10 +117,10 @@ def dream(nodes: DataFrame, edges: DataFrame, similarity, bridges: int = 5) -> D
     n = cand.count()
     local = ideal = 0.0
     if n >= 5:
-        local = cand.select("sim").orderBy("sim", "a_id", "b_id").offset(n // 2).limit(1).first()["sim"]
+        local = kth(cand, "sim", n // 2)
     gaps = cand.where((F.col("path") >= LINK_SIM) & (F.col("path") > F.col("sim"))).select((F.col("path") - F.col("sim")).alias("gap"))
     if (m := gaps.count()) > 0:
-        ideal = gaps.orderBy("gap").offset(max(0, int(m * 0.9) - 1)).limit(1).first()["gap"]
+        ideal = kth(gaps, "gap", max(0, int(m * 0.9) - 1))
     tent = creative_fit(F.col("sim"))
     calibrate = F.lit(local > 0.72 and ideal > 0) & (tent <= 0) & (F.col("path") > F.col("sim"))
     fit = F.when(calibrate, F.least(F.lit(1.0), (F.col("path") - F.col("sim")) / F.lit(ideal or 1.0))).otherwise(tent)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramma.operators.order import least_rows
+
 #: Fixed values of the memory model.
 HALF_LIFE_S, SEMANTIC_FACTOR = 14 * 86400.0, 5.0
 FORGET_FLOOR, RETENTION_FLOOR, PROTECTED, UTILITY_CAP = 0.15, 0.40, 0.8, 5.0
@@ -79,10 +81,13 @@ def delete(memories: DataFrame, links: DataFrame, dead: DataFrame) -> tuple[Data
 
 
 def evict(memories: DataFrame, capacity: int) -> DataFrame:
-    """Ids to drop so that `capacity` rows stay: dormant first, then least retention; only unprotected episodes."""
+    """Ids to drop so that `capacity` rows stay: dormant first, then least retention; only unprotected episodes.
+
+    The cut is found by histograms and applied as a filter, so nothing is sorted however many rows go."""
     over = max(0, memories.count() - capacity)
     able = memories.where((F.col("kind") == "episodic") & (F.col("importance") < PROTECTED))
-    return able.orderBy(F.desc("dormant"), retention(), "id").limit(over).select("id", "dormant", retention().alias("retention"))
+    able = able.select("id", "dormant", retention().alias("retention"), (~F.col("dormant")).cast("int").alias("awake"))
+    return least_rows(able, ["awake", "retention", "id"], over).drop("awake")
 
 
 def touch(memories: DataFrame, hits: DataFrame, now: float) -> DataFrame:
@@ -175,8 +180,8 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], value: str) ->
 
 
 def shadowed(facts: DataFrame, memories: DataFrame) -> DataFrame:
-    """Ids of facts whose text row sleeps or was superseded."""
-    gone = memories.where("dormant or superseded").select(F.col("id").alias("shadow"))
+    """Ids of facts whose text row (the memory that names the fact) sleeps or was superseded."""
+    gone = memories.where("(dormant or superseded) and fact_id is not null").select(F.col("fact_id").alias("shadow"))
     return facts.join(gone, F.col("id") == F.col("shadow"), "left_semi").select("id")
 
 

@@ -9,11 +9,28 @@ from pyspark.sql import functions as F
 VOCABULARY, ALPHA, BIGRAM, UNIGRAM, HISTORY, PERCENTILE, MIN_HISTORY, FALLBACK = 50_000, 0.01, 0.6, 0.4, 300, 0.2, 40, 0.05
 
 
-def surprise(observations: DataFrame) -> DataFrame:
+SPAN = 1 << 14  # sequence numbers, or places, that one window task has
+
+
+def running_before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """`rows` with `before`: the sum of `value` of the name space's earlier rows. Sums within spans of the order, then over the spans."""
+    span = F.floor(F.col(order) / SPAN)
+    inner = Window.partitionBy("namespace", "span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("span", span).withColumn("inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    spans = inside.groupBy("namespace", "span").agg(F.sum(value).alias("v"))
+    outer = Window.partitionBy("namespace").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("namespace", "span", F.coalesce(F.sum("v").over(outer), F.lit(0)).alias("ahead"))
+    return inside.join(spans, ["namespace", "span"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("span", "inside", "ahead")
+
+
+def surprise(observations: DataFrame, counts: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """(namespace, seq, surprise, predictable) of (namespace, seq, tokens), as if learnt in order of seq.
 
     Counts before an observation are running sums per word, pair and context, so each window is
-    partitioned by name space and word, not by name space alone.
+    partitioned by name space and word; sums over all words go by spans of seq, and the percentile of the last scores
+    by spans of places that overlap by the history's length. No window holds a whole name space.
+
+    `counts` (namespace, context, token, count) and `history` (namespace, id, score) are what was learnt and scored before.
     """
     obs = observations.select("namespace", "seq", "tokens")
     pos = obs.select("namespace", "seq", F.posexplode("tokens").alias("i", "t"), "tokens")
@@ -23,21 +40,51 @@ def surprise(observations: DataFrame) -> DataFrame:
     word = seen(pos, ["t"], "c_word")
     pair = seen(pos.where("prev is not null"), ["prev", "t"], "c_pair")
     ctx = seen(pos.where("prev is not null"), ["prev"], "c_ctx")
-    total = obs.withColumn("n", F.size("tokens")).withColumn("c_all", F.coalesce(F.sum("n").over(before()), F.lit(0))).select("namespace", "seq", "c_all", F.col("n").alias("n_tokens"))
-    full = pos.join(word, ["namespace", "seq", "t"]).join(pair, ["namespace", "seq", "prev", "t"], "left").join(ctx, ["namespace", "seq", "prev"], "left").join(total, ["namespace", "seq"])
+    sized = obs.select("namespace", "seq", F.size("tokens").alias("n_tokens"), F.lit(1).alias("one"))
+    total = running_before(sized, "seq", "n_tokens").withColumnRenamed("before", "c_all")
+    if counts is not None:
+        uni = counts.where("context = ''").groupBy("namespace", F.col("token").alias("t")).agg(F.sum("count").alias("s"))
+        two = counts.where("context <> ''").groupBy("namespace", F.col("context").alias("prev"), F.col("token").alias("t")).agg(F.sum("count").alias("s"))
+        grown = lambda df, stored, keys, name: df.join(stored, ["namespace", *keys], "left").withColumn(name, F.col(name) + F.coalesce("s", F.lit(0))).drop("s")
+        word, pair = grown(word, uni, ["t"], "c_word"), grown(pair, two, ["prev", "t"], "c_pair")
+        ctx = grown(ctx, two.groupBy("namespace", "prev").agg(F.sum("s").alias("s")), ["prev"], "c_ctx")
+        total = grown(total, uni.groupBy("namespace").agg(F.sum("s").alias("s")), [], "c_all")
+    full = pos.join(word, ["namespace", "seq", "t"]).join(pair, ["namespace", "seq", "prev", "t"], "left").join(ctx, ["namespace", "seq", "prev"], "left").join(total.select("namespace", "seq", "c_all"), ["namespace", "seq"])
     space = ALPHA * VOCABULARY
     uni = (F.col("c_word") + ALPHA) / (F.col("c_all") + space)
     bi = (F.col("c_pair") + ALPHA) / (F.col("c_ctx") + space)
     p = F.when(F.coalesce("c_ctx", F.lit(0)) > 0, BIGRAM * bi + UNIGRAM * uni).otherwise(uni)
     bits = full.groupBy("namespace", "seq").agg(F.avg(-F.log2(p)).alias("bits"))
     scored = total.join(bits, ["namespace", "seq"], "left")
-    s = F.coalesce(F.least(F.lit(1.0), F.col("bits") / F.log2(F.lit(float(VOCABULARY)))), F.lit(0.0))
-    scored = scored.withColumn("surprise", F.round(s, 12))
-    frame = Window.partitionBy("namespace").orderBy("seq").rowsBetween(-HISTORY, -1)
-    low = F.expr(f"percentile(surprise, {PERCENTILE}) over (partition by namespace order by seq rows between {HISTORY} preceding and 1 preceding)")
-    scored = scored.withColumn("seen", F.count("*").over(frame)).withColumn("low", low)
+    s = F.when(F.col("bits").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("bits") / F.log2(F.lit(float(VOCABULARY)))))  # without words: 0
+    scored = scored.select("namespace", "seq", "n_tokens", "one", F.round(s, 12).alias("surprise"))
+    placed = running_before(scored, "seq", "one").withColumnRenamed("before", "place").withColumn("own", F.lit(True))
+    if history is not None:
+        old = recent(history.select("namespace", "id", "score"))
+        none = F.lit(None)
+        old = old.select("namespace", none.cast("long").alias("seq"), none.cast("int").alias("n_tokens"), F.lit(1).alias("one"), F.col("score").alias("surprise"), (-F.col("back")).cast("long").alias("place"), F.lit(False).alias("own"))
+        placed = placed.unionByName(old)
+    chunk = F.floor(F.col("place") / SPAN)
+    ahead = F.floor((F.col("place") + HISTORY) / SPAN)  # the next span, for rows that its first ones look back to
+    each = placed.withColumn("home", F.when(F.col("own"), chunk)).withColumn("chunk", F.explode(F.array_distinct(F.array(F.greatest(chunk, F.lit(0)), ahead))))
+    frame = f"over (partition by namespace, chunk order by place rows between {HISTORY} preceding and 1 preceding)"
+    each = each.withColumn("low", F.expr(f"percentile(surprise, {PERCENTILE}) {frame}")).withColumn("seen", F.expr(f"count(*) {frame}"))
     predictable = F.when(F.col("seen") < MIN_HISTORY, F.col("surprise") < FALLBACK).otherwise(F.col("surprise") <= F.col("low"))
-    return scored.select("namespace", "seq", "n_tokens", "surprise", predictable.alias("predictable"))
+    return each.where("own and home = chunk").select("namespace", "seq", "n_tokens", "surprise", predictable.alias("predictable"))
+
+
+def recent(history: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """The last `keep` scores of each name space, with `back`: 1 for the latest. (A limited rank: each task keeps its own best first.)"""
+    last = Window.partitionBy("namespace").orderBy(F.desc("id"))
+    return history.withColumn("back", F.row_number().over(last)).where(F.col("back") <= keep)
+
+
+def merged_history(stored: DataFrame, scored: DataFrame, keep: int = HISTORY) -> DataFrame:
+    """Bounded history (id, namespace, score) after scored observations (namespace, seq, surprise); ids go on behind the stored ones."""
+    top = stored.groupBy("namespace").agg(F.max("id").alias("top"))
+    new = running_before(scored.withColumn("one", F.lit(1)), "seq", "one").join(top, "namespace", "left")
+    new = new.select("namespace", (F.coalesce("top", F.lit(0)) + 1 + F.col("before")).alias("id"), F.col("surprise").alias("score"))
+    return recent(stored.select("namespace", "id", "score").unionByName(new), keep).select("id", "namespace", "score")
 
 
 def merged_counts(stored: DataFrame, observations: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from engramma.functions import hv
 from engramma.functions import text as tx
 from engramma.operators import context, evaluate, graph, ingest, lifecycle, maintain, navigate, recall, surprise
 from engramma.operators import facts as fx
+from engramma.operators.order import nearest_ranks
 from engramma.plans import model as m
 from engramma.sources.snapshots import checkpointed, parse_log
 from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
@@ -273,7 +274,7 @@ def _(spark, d):
     return lifecycle.append(old, read(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k")), "k").select(F.col("id").cast("long").alias("id"), "name")
 
 
-@query("s7_shadowed_facts", f"with {MEM} select event_id id from events where event_id in (select id from mem where dormant or superseded)")
+@query("s7_shadowed_facts", f"with {MEM} select event_id id from events where event_id in (select fact_id from mem where dormant or superseded)")
 def _(spark, d):
     return lifecycle.shadowed(m.facts(spark, d), m.memories(spark, d))
 
@@ -648,7 +649,7 @@ SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text'
   al as (select seq, len(ts) n, coalesce(sum(len(ts)) over (order by seq rows between unbounded preceding and 1 preceding), 0) c from ob),
   pr as (select pos.seq, case when coalesce(cc.c, 0) > 0 then 0.6::double * (cp.c + 0.01::double) / (cc.c + 500::double) + 0.4::double * (cw.c + 0.01::double) / (al.c + 500::double) else (cw.c + 0.01::double) / (al.c + 500::double) end p
     from pos join cw on pos.seq = cw.seq and pos.t = cw.t join al on pos.seq = al.seq left join cp on pos.seq = cp.seq and pos.prev = cp.prev and pos.t = cp.t left join cc on pos.seq = cc.seq and pos.prev = cc.prev),
-  sc as (select al.seq, n, round(coalesce(least(1, b / log2(50000::double)), 0), 12) s from al left join (select seq, avg(-log2(p)) b from pr group by 1) x on al.seq = x.seq),
+  sc as (select al.seq, n, round(case when b is null then 0 else least(1, b / log2(50000::double)) end, 12) s from al left join (select seq, avg(-log2(p)) b from pr group by 1) x on al.seq = x.seq),
   hs as (select *, count(*) over w seen, quantile_cont(s, 0.2) over w low from sc window w as (order by seq rows between 300 preceding and 1 preceding))"""
 
 
@@ -681,13 +682,37 @@ def _(spark, d):
 
 RUN = f"""{FCT}, rn as (select *, sum(chg) over (partition by subject, predicate order by valid_from, id) run from
     (select *, case when "object" <> lag("object") over (partition by subject, predicate order by valid_from, id) then 1 else 0 end chg from fct)),
-  st as (select subject, predicate, run, min(valid_from) starts from rn group by 1, 2, 3), en as (select *, lead(starts) over (partition by subject, predicate order by run) valid_to from st),
-  ff as (select rn.id, rn.subject, rn.predicate, rn."object", rn.valid_from, en.valid_to from rn join en using (subject, predicate, run))"""
+  st as (select subject, predicate, run, min(valid_from) starts, arg_min(id, (valid_from, id)) head from rn group by 1, 2, 3),
+  en as (select *, lead(starts) over w valid_to, lag(head) over w past from st window w as (partition by subject, predicate order by run)),
+  ff as (select rn.id, rn.subject, rn.predicate, rn."object", rn.valid_from, en.valid_to, case when rn.id = head then past end supersedes from rn join en using (subject, predicate, run))"""
 
 
-@query("f5_remember_facts", f"with {RUN} select id, subject, \"object\", valid_from, valid_to from ff")
+@query("f5_remember_facts", f"with {RUN} select id, subject, \"object\", valid_from, valid_to, supersedes from ff")
 def _(spark, d):
-    return fx.close_runs(m.facts(spark, d)).select("id", "subject", "object", "valid_from", "valid_to")
+    """Half of the facts are stored and closed among themselves, then the later ones arrive."""
+    facts = m.facts(spark, d).withColumn("supersedes", F.lit(None).cast("long"))
+    half = facts.agg(F.percentile("valid_from", 0.5)).first()[0]
+    stored, _ = fx.remember(facts.limit(0).withColumn("valid_to", F.col("valid_from")), facts.where(F.col("valid_from") <= half).drop("supersedes"))
+    got, _ = fx.remember(checkpointed(stored), facts.where(F.col("valid_from") > half).drop("supersedes"))
+    return got.select("id", "subject", "object", "valid_from", "valid_to", "supersedes")
+
+
+@query("f5_shadows", f"with {FCT} select id fact_id, subject || ' ' || predicate || ' ' || \"object\" \"text\" from fct")
+def _(spark, d):
+    facts = m.facts(spark, d)
+    return fx.remember(fx.close_runs(facts).limit(0), facts)[1].select("fact_id", "text")
+
+
+@query("u11_close_fact", f"with {RUN} select id, case when id % 3 = 0 and valid_to is null then 1900000000000000 else valid_to end valid_to from ff")
+def _(spark, d):
+    facts = fx.close_runs(m.facts(spark, d))
+    return fx.close(facts, facts.where("id % 3 = 0").select("id"), 1_900_000_000_000_000).select("id", "valid_to")
+
+
+@query("s11_add_fact", "select n_nationkey::bigint id, n_name subject from nation union all select 25 + row_number() over (order by r_regionkey) - 1, r_name from region")
+def _(spark, d):
+    old = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("subject"))
+    return lifecycle.append(old, read(spark, d, "region").select(F.col("r_name").alias("subject"), F.col("r_regionkey").alias("k")), "k").select(F.col("id").cast("long").alias("id"), "subject")
 
 
 @query("s6_facts_as_of", f"with {RUN} select id, subject, \"object\" from ff where valid_from <= 1704200000000000 and (valid_to is null or valid_to > 1704200000000000)")
@@ -722,9 +747,10 @@ def _(spark, d):
 
 @query("f6_ask_role")
 def _(spark, d):
+    """Each nation's region is asked of the stored facts of all nations."""
     n = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("subject"), F.lit("lies in").alias("predicate"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("object"), F.lit(0.0).alias("valid_from"), F.lit(None).cast("double").alias("valid_to"))
-    known = n.orderBy("id").first()
-    return fx.ask_role(n, {"subject": known["subject"], "predicate": "lies in"}, "object")
+    asks = n.select(F.col("id").alias("question_id"), "subject", "predicate", F.lit("object").alias("role"), F.lit(None).cast("double").alias("at"))
+    return fx.ask_roles(checkpointed(fx.encoded(n)), asks)
 
 
 # ------------------------------------------------------------ policy, budget, log
@@ -759,7 +785,7 @@ def _(spark, d):
 
 
 _T = f"({EST.format('text')})"
-_NOTE = "('(' || {0} || ' recuerdo(s) más no caben en el presupuesto de 350 tokens; pídelos con hc_recall si hacen falta)')"
+_NOTE = "('(' || {0} || ' more memories do not fit the budget of 350 tokens; ask for them if needed)')"
 SQL["b1_budget"] = f"""with recursive t as (select conv_id k, row_number() over (partition by conv_id order by turn, text) - 1 i, {_T} c from conversations), s as (select k, count(*) n, sum(c) total from t group by 1),
   cap as (select *, greatest(0, 350 - {EST.format(_NOTE.format("greatest(1, n - 1)"))}) cap from s),
   f as (select t.k, t.i, t.c spent, 1 kept from t where i = 0 union all
@@ -836,7 +862,7 @@ def _(spark, d):
 
 @query("x2_nearest_rank", "select l_returnflag flag, list_sort(list(l_quantity))[least(count(*), floor(count(*) * 0.95)::bigint + 1)] p95 from lineitem group by 1")
 def _(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(evaluate.nearest_rank(F.collect_list("l_quantity"), 0.95).alias("p95"))
+    return nearest_ranks(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("p95")), ["flag"], "p95", 0.95)
 
 
 @query("x2_group_precision", """with h as (select vec_id query_id, vec_id + k id from embeddings, range(1, 6) r(k)), j as (select a.label = b.label ok from h join embeddings a on a.vec_id = h.id join embeddings b on b.vec_id = h.query_id)

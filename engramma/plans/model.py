@@ -19,13 +19,15 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (d % 97 / 97.0).alias("novelty"), (d * 37 % 101 / 100.0).alias("importance"), (d * 53 % 101 / 100.0).alias("confidence"),
         (d * 13 % 300 / 100.0).alias("strength"), (d % 9).alias("access_count"), (F.lit(1_700_000_000.0) + d * 3600).alias("created"),
         (F.lit(NOW) - d * 7919 % 9_000_000).alias("last_access"), (d % 11 == 0).alias("consolidated"), (d % 13 == 0).alias("superseded"), (d % 5 == 0).alias("dormant"),
+        F.when(d % 4 == 1, d * 7 % 1000).alias("fact_id"),
     )
 
 
 MEM = """mem as (select doc_id id, lang namespace, case when doc_id % 7 = 0 then 'semantic' else 'episodic' end kind, text,
   (doc_id % 97)::double / 97 novelty, (doc_id * 37 % 101)::double / 100 importance, (doc_id * 53 % 101)::double / 100 confidence,
   (doc_id * 13 % 300)::double / 100 strength, doc_id % 9 access_count, 1700000000::double + doc_id * 3600 created,
-  1740000000::double - doc_id * 7919 % 9000000 last_access, doc_id % 11 = 0 consolidated, doc_id % 13 = 0 superseded, doc_id % 5 = 0 dormant from documents)"""
+  1740000000::double - doc_id * 7919 % 9000000 last_access, doc_id % 11 = 0 consolidated, doc_id % 13 = 0 superseded, doc_id % 5 = 0 dormant,
+  case when doc_id % 4 = 1 then doc_id * 7 % 1000 end fact_id from documents)"""
 RETENTION = "(0.4::double * importance + 0.3::double * confidence + 0.3::double * (least(access_count, 5)::double / 5))"
 DECAYED = "(strength * pow(0.5::double, (1740000000::double - last_access) / case when kind = 'semantic' then 6048000::double else 1209600::double end))"
 

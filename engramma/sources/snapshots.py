@@ -1,16 +1,21 @@
 """Versioned snapshots of the store, checkpoints, backups, and readers of logs and conversation sets.
 
-A store is a folder of versions; a small manifest table names the current one, so that a
-write is all or nothing: tables are written to a new version first, then the manifest.
+A store is a folder of versions; a small manifest file names the tables of each, so that a
+write is all or nothing: tables are written to a fresh folder of their own first, then the manifest is
+created, which fails if another writer has made that version meanwhile.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA_VERSION = 7
 TABLES = ("memories", "links", "facts", "meta", "surprise_counts", "surprise_history")
@@ -23,12 +28,24 @@ FACTS = "id long, namespace string, fields map<string,string>, hv binary, valid_
 META = "namespace string, key string, value string"
 
 
+COUNTS = "namespace string, context string, token string, count long"
+HISTORY = "id long, namespace string, score double"
+DECLARED = dict(zip(TABLES, (MEMORIES, LINKS, FACTS, META, COUNTS, HISTORY), strict=True))
+#: What a column that an older version lacks is filled with; others become null.
+DEFAULTS = {"kind": "episodic", "novelty": 1.0, "importance": 0.5, "confidence": 0.5, "strength": 1.0, "access_count": 0, "consolidated": False, "superseded": False, "dormant": False,
+            "type": "lexical", "status": "confirmed", "namespace": "default"}
+STATUSES = ("confirmed", "proposed", "rejected")
+
+
 def shared(spark: SparkSession) -> str:
+    """Folder all executors share; a session may do without the setting only if its executors are this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="engramma-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -41,6 +58,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def evolved(name: str, df: DataFrame) -> DataFrame:
+    """A table as the current schema has it: missing columns with their defaults, states of links that don't exist made `confirmed`; columns of its own stay."""
+    want = T.StructType.fromDDL(DECLARED[name])
+    here = set(df.columns)
+    more = [f for f in want if f.name not in here]
+    out = df.select("*", *[F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in more])
+    if name == "links":
+        status = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("confirmed")
+        out = out.withColumn("status", status)
+    return out
+
+
 class Store:
     """Snapshots under `root` (any path that Spark can write)."""
 
@@ -59,32 +88,66 @@ class Store:
     def current(self) -> int | None:
         return max(self.versions(), default=None)
 
-    def commit(self, **tables: DataFrame) -> int:
-        """Write the given tables as a new version; others carry over by reference."""
-        last = self.current()
+    def commit(self, base: int | None = None, **tables: DataFrame) -> int:
+        """Write the given tables as the version behind `base` (the version that was read; the current one if not given); others
+        carry over by reference. If that version exists by then, nothing is changed and an error is raised."""
+        last = (self.current() if base is None else base) or None  # 0: nothing was there
         new = (last or 0) + 1
-        where = {} if last is None else self._where(last)
+        manifest = {} if last is None else self._manifest(last)["tables"]
+        own = f"{self.root}/data/{uuid.uuid4().hex}"
         for name, df in tables.items():
             if name not in TABLES:
                 raise ValueError(name)
-            writer = df.write.mode("overwrite")
+            writer = df.write.mode("errorifexists")
             if name == "memories":
                 writer = writer.partitionBy("namespace")
-            writer.parquet(f"{self.root}/v{new}/{name}")
-            where[name] = f"{self.root}/v{new}/{name}"
-        rows = [(name, place, SCHEMA_VERSION) for name, place in sorted(where.items())]
-        self.spark.createDataFrame(rows, "name string, place string, schema_version int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/staged{new}")
+            writer.parquet(f"{own}/{name}")
+            manifest[name] = {"place": f"{own}/{name}", "schema": json.loads(df.schema.json())}
+        try:
+            self._publish(new, json.dumps({"schema_version": SCHEMA_VERSION, "tables": manifest}))
+        except Exception as error:
+            fs, path = self._fs()
+            fs.delete(path(own), True)
+            raise RuntimeError(f"version {new} was not written: another writer took it, or the folder can't be written") from error
+        return new
+
+    def _publish(self, version: int, text: str) -> None:
+        """Create the manifest of a version in one step, or fail if there is one: a whole file is linked (local) or renamed (elsewhere) to a name that must be free."""
         fs, path = self._fs()
+        jvm = self.spark.sparkContext._jvm
+        staged, final = path(f"{self.root}/staged/{uuid.uuid4().hex}"), path(f"{self.root}/manifest/{version}")
+        out = fs.create(staged, False)
+        out.write(bytearray(text.encode()))
+        out.close()
         fs.mkdirs(path(f"{self.root}/manifest"))
-        if not fs.rename(path(f"{self.root}/staged{new}"), path(f"{self.root}/manifest/{new}")):
-            raise RuntimeError("another writer took this version")
-        return new
+        if fs.getScheme() == "file":
+            os.link(staged.toUri().getPath(), final.toUri().getPath())
+            fs.delete(staged, False)
+        else:
+            options = jvm.org.apache.hadoop.fs.Options
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = getattr(options, "Rename").NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, final, none)
+
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/manifest/{version}", wholetext=True).first()[0])
 
     def _where(self, version: int) -> dict[str, str]:
-        return {r["name"]: r["place"] for r in self.spark.read.parquet(f"{self.root}/manifest/{version}").collect()}
+        return {name: t["place"] for name, t in self._manifest(version)["tables"].items()}
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._where(version or self.current())[name])
+        """A table with the types it was written with, brought to the current schema."""
+        manifest = self._manifest(version or self.current())
+        entry = manifest["tables"][name]
+        got = self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(entry["place"])
+        return evolved(name, got) if manifest["schema_version"] < SCHEMA_VERSION else got
+
+    def migrate(self) -> int | None:
+        """Write the tables of an older schema as a version of the current one; the old version stays until vacuumed. None if there is nothing to do."""
+        now = self.current()
+        if now is None or self._manifest(now)["schema_version"] >= SCHEMA_VERSION:
+            return None
+        return self.commit(now, **{name: self.table(name, now) for name in self._where(now)})
 
     def rollback(self, version: int) -> None:
         fs, path = self._fs()
@@ -123,11 +186,38 @@ class Store:
         return self.commit(**{name: other.table(name) for name in other._where(other.current())})
 
     def health(self) -> dict:
+        """Whether the current version can be read with its schema and the folder written (tried with a file)."""
         now = self.current()
         if now is None:
             return {"ok": False, "reason": "empty"}
-        counts = {name: self.table(name).count() for name in self._where(now)}
-        return {"ok": True, "version": now, "schema_version": SCHEMA_VERSION, "rows": counts}
+        manifest = self._manifest(now)
+        counts, lacking = {}, {}
+        for name in manifest["tables"]:
+            table = self.table(name, now)
+            counts[name] = table.count()
+            missing = {f.name for f in T.StructType.fromDDL(DECLARED[name])} - set(table.columns)
+            if missing and name != "memories" or missing - {"hv", "novelty", "fact_id"}:
+                lacking[name] = sorted(missing)
+        fs, path = self._fs()
+        probe = path(f"{self.root}/probe-{uuid.uuid4().hex}")
+        try:
+            fs.create(probe, False).close()
+            writable = bool(fs.delete(probe, False))
+        except Exception:  # noqa: BLE001 - the answer is what is asked for
+            writable = False
+        return {"ok": writable and not lacking, "version": now, "schema_version": manifest["schema_version"], "rows": counts, "lacking": lacking, "writable": writable}
+
+
+def write_json(views: dict[str, DataFrame], folder: str) -> None:
+    """Views (list, graph, facts, status, tokens, log, ...) as folders of JSON lines, an object a row; nulls are written too."""
+    for name, df in views.items():
+        df.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{folder.rstrip('/')}/{name}")
+
+
+def write_text(lines: DataFrame, folder: str) -> None:
+    """One column of lines as text, in order of line_no: files follow one another by name."""
+    ordered = lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.col("line").alias("value"))
+    ordered.write.mode("errorifexists").text(folder)
 
 
 SESSIONS = "question_id string, question_type string, question string, answer string, haystack_session_ids array<string>, haystack_sessions array<array<struct<role:string,content:string>>>, answer_session_ids array<string>"

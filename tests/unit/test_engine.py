@@ -58,6 +58,8 @@ def test_atoms():
     assert tx.split_atoms("corto") == ["corto"] and tx.split_atoms(" ") == [] and tx.split_atoms(None) == []
     long = "the first part is long enough to stand alone here, but the second part also goes on for quite a while because it must pass the limit of one hundred and sixty characters"
     assert len(tx.split_atoms(long)) == 3
+    assert tx.split_atoms("e.g. this one is whole. etc.\nand so on it goes; yes") == ["this one is whole.", "etc.  and so on it goes;"]
+    assert tx.split_atoms("Wait... what is this?! no way") == ["what is this?!"] and tx.split_atoms("...") == ["..."] and tx.split_atoms("a. b. c.") == ["a. b. c."]
     assert tx.split_atoms("One sentence here\nanother sentence there") == ["One sentence here", "another sentence there"]
 
 
@@ -102,6 +104,30 @@ def test_link_states(spark, arrivals, want):
     assert len(got) == 1 and (got[0].type, got[0].status, round(got[0].weight, 9)) == (want[0], want[1], round(want[2], 9))
 
 
+def test_fold_links_onto_stored_ones(spark):
+    rng = np.random.default_rng(3)
+    kinds = [("knn", "confirmed"), ("dream", "proposed"), ("dream", "confirmed"), ("dream", "rejected"), ("lexical", "confirmed")]
+    ranks = [0, 1, 2, 3, 4]
+    arrivals = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 4)), float(rng.random()), *kinds[rng.integers(0, 5)]) for i in range(150)]
+    state = {}
+    for _, a, b, w, t, s in arrivals:
+        if a == b:
+            continue
+        r = ranks[kinds.index((t, s))]
+        if (a, b) not in state or r > state[a, b][3]:
+            state[a, b] = (w, t, s, r)
+        else:
+            v, u, x, q = state[a, b]
+            state[a, b] = (v if x == "rejected" else v + 0.3 * (1 - v), u, x, q)
+    schema = "seq int, src long, dst long, weight double, type string, status string"
+    want = sorted((a, b, round(v[0], 9), v[1], v[2]) for (a, b), v in state.items())
+    short = lambda df: sorted((r.src, r.dst, round(r.weight, 9), r.type, r.status) for r in df.collect())
+    df = spark.createDataFrame(arrivals, schema)
+    assert short(graph.fold_links(df)) == want
+    stored = graph.fold_links(df.where("seq < 70"))
+    assert short(graph.fold_links(df.where("seq >= 70"), stored)) == want
+
+
 def test_bad_status(spark):
     with pytest.raises(ValueError):
         graph.set_status(spark.range(0), spark.range(0), "maybe")
@@ -201,7 +227,7 @@ def test_budget_skips_and_notes(spark):
     lines = ["header", "x" * 400, "short line", "y" * 500, "another short"]
     got = context.fit_budget(spark.createDataFrame([(1, lines), (2, ["a", "b"])], "key int, lines array<string>"), 60).collect()
     one, two = (next(r for r in got if r.key == k) for k in (1, 2))
-    assert one.kept[:3] == ["header", "short line", "another short"] and one.omitted == 2 and one.tokens <= 60 and "2 recuerdo(s)" in one.kept[3]
+    assert one.kept[:3] == ["header", "short line", "another short"] and one.omitted == 2 and one.tokens <= 60 and "2 more memories" in one.kept[3]
     assert two.kept == ["a", "b"] and two.omitted == 0
 
 
@@ -221,12 +247,40 @@ def test_settings_and_log_lines(spark):
 def test_valid_time(spark):
     df = spark.createDataFrame([(1, "s", "p", "A", 1.0), (2, "s", "p", "A", 2.0), (3, "s", "p", "B", 5.0), (4, "s", None, "C", 6.0), (5, "s", "p", "A", 9.0)], "id long, subject string, predicate string, object string, valid_from double")
     closed = facts.close_runs(df)
-    assert {r.id: r.valid_to for r in closed.collect()} == {1: 5.0, 2: 5.0, 3: 9.0, 4: None, 5: None}
+    assert {r.id: (r.valid_to, r.supersedes) for r in closed.collect()} == {1: (5.0, None), 2: (5.0, None), 3: (9.0, 1), 4: (None, None), 5: (None, 3)}
     assert rows(facts.as_of(closed, 4.0).select("id")) == [(1,), (2,)] and rows(facts.as_of(closed).select("id")) == [(4,), (5,)]
     probes = spark.createDataFrame([(1, "s", "p", 0.5), (2, "s", "p", 5.0), (3, "s", "p", 100.0)], "probe_id int, subject string, predicate string, at double")
     assert rows(facts.ask_exact(closed, probes).where("object is not null")) == [(2, "B"), (3, "A")]
 
 
+def test_remember_facts_in_two_writes(spark):
+    schema = "id long, subject string, predicate string, object string, valid_from double, source string"
+    one = spark.createDataFrame([(1, "s", "p", "A", 1.0, None), (2, " ", "p", None, 2.0, None), (3, "t", "p", "X", 2.0, "mail")], schema)
+    two = spark.createDataFrame([(4, " s ", "p", "B", 5.0, None), (5, "s", "p", "B", 6.0, None), (6, "t", "p", "X", 7.0, None), (7, "s", "p", "C", 8.0, None)], schema)
+    empty = facts.close_runs(one).limit(0)
+    stored, shadows = facts.remember(empty, one)
+    assert rows(shadows.select("fact_id", "text")) == [(1, "s p A"), (3, "t p X mail")]  # one field is no fact
+    got, _ = facts.remember(stored, two)
+    assert {r.id: (r.valid_to, r.supersedes) for r in got.collect()} == {1: (5.0, None), 3: (None, None), 4: (8.0, 1), 5: (8.0, None), 6: (None, None), 7: (None, 4)}
+    shut = facts.close(got, spark.createDataFrame([(1,), (3,), (99,)], "id long"), 50.0)
+    assert {r.id: r.valid_to for r in shut.collect()} == {1: 5.0, 3: 50.0, 4: 8.0, 5: 8.0, 6: None, 7: None}
+
+
+def test_shadowed_goes_by_fact_id(spark):
+    mem = spark.createDataFrame([(1, 30, True, False), (2, 20, False, True), (3, 10, False, False), (4, None, True, False)], "id long, fact_id long, dormant boolean, superseded boolean")
+    assert rows(lifecycle.shadowed(spark.createDataFrame([(i,) for i in (1, 2, 10, 20, 30)], "id long"), mem)) == [(20,), (30,)]
+
+
+def test_ask_roles_in_batch(spark):
+    data = [(1, "ana", "lives in", "madrid", 0.0, 5.0), (2, "ana", "lives in", "oslo", 5.0, None), (3, "eva", "likes", "chess", 0.0, None)]
+    df = facts.encoded(spark.createDataFrame(data, "id long, subject string, predicate string, object string, valid_from double, valid_to double"))
+    asks = spark.createDataFrame([(1, "object", None, "ana", "lives in"), (2, "object", 1.0, "ana", "lives in"), (3, "subject", None, None, "likes"), (4, "object", None, "nobody", "does")], "question_id long, role string, at double, subject string, predicate string")
+    got = {r.question_id: r.answer for r in facts.ask_roles(df, asks).collect()}
+    assert got == {1: "oslo", 2: "madrid", 3: "eva", 4: None}
+    with pytest.raises(ValueError):
+        facts.ask_roles(df, asks.withColumn("role", F.lit("colour")))
+
+
 def test_ask_role(spark):
     data = [(1, "ana", "lives in", "madrid", 0.0, None), (2, "luis", "works at", "factory", 0.0, None), (3, "eva", "likes", "chess", 0.0, None)]
     df = spark.createDataFrame(data, "id long, subject string, predicate string, object string, valid_from double, valid_to double")
@@ -286,13 +340,53 @@ def test_store(spark, tmp_path):
     store.rollback(1)
     assert store.table("memories").count() == 2
     assert store.restore(str(tmp_path / "b")) == 2 and store.table("memories").count() == 1
-    assert store.health() == {"ok": True, "version": 2, "schema_version": 7, "rows": {"memories": 1, "links": 1}}
+    assert store.health() == {"ok": True, "version": 2, "schema_version": 7, "rows": {"memories": 1, "links": 1}, "lacking": {}, "writable": True}
     store.vacuum()
     assert store.versions() == [2] and store.table("links").count() == 1
     with pytest.raises(ValueError):
         store.commit(other=links)
 
 
+def test_second_writer_fails_and_changes_nothing(spark, tmp_path):
+    one, two = (snapshots.Store(spark, str(tmp_path / "s")) for _ in range(2))
+    one.commit(memories=memories(spark, [dict(id=1)]))
+    base = two.current()
+    assert one.commit(memories=memories(spark, [dict(id=1), dict(id=2)])) == 2
+    with pytest.raises(RuntimeError):
+        two.commit(base, memories=memories(spark, [dict(id=9)]))
+    assert rows(one.table("memories").select("id")) == [(1,), (2,)] and one.versions() == [1, 2]
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 2  # the loser's data is gone
+    empty = snapshots.Store(spark, str(tmp_path / "e"))
+    empty.commit(0, memories=memories(spark, [dict(id=1)]))
+    with pytest.raises(RuntimeError):
+        empty.commit(0, memories=memories(spark, [dict(id=9)]))
+    assert rows(empty.table("memories").select("id")) == [(1,)]
+
+
+def test_types_are_kept_and_old_schemas_migrate(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "s"))
+    store.commit(memories=memories(spark, [dict(id=1, namespace="007"), dict(id=2, namespace="1.50")]))
+    assert {r.namespace for r in store.table("memories").collect()} == {"007", "1.50"}
+    links = spark.createDataFrame([(1, 2, 0.5, "odd"), (2, 3, 0.4, "rejected")], "src long, dst long, weight double, status string")
+    old, snapshots.SCHEMA_VERSION = snapshots.SCHEMA_VERSION, 4
+    try:
+        store.commit(links=links)
+    finally:
+        snapshots.SCHEMA_VERSION = old
+    assert store.migrate() == 3 and store.migrate() is None
+    got = {r.src: (r.status, r.type, r.namespace) for r in store.table("links").collect()}
+    assert got == {1: ("confirmed", "lexical", "default"), 2: ("rejected", "lexical", "default")} and store.table("memories").count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"line {i}", None) for i in range(40)], "line_no int, line string, extra string").repartition(5)
+    snapshots.write_json({"log": df}, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j" / "log")).count() == 40 and "extra" in spark.read.text(str(tmp_path / "j" / "log")).first()[0]
+    snapshots.write_text(df, str(tmp_path / "t"))
+    files = sorted(p for p in (tmp_path / "t").iterdir() if p.name.startswith("part"))
+    assert "".join(p.read_text() for p in files) == "".join(f"line {i}\n" for i in range(40))
+
+
 def test_sessions(spark, tmp_path):
     item = {"question_id": "q1_abs", "question_type": "t", "question": "?", "answer": "", "haystack_session_ids": ["s1", "s2"], "haystack_sessions": [[{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], [{"role": "user", "content": "c"}]], "answer_session_ids": ["s2"]}
     path = tmp_path / "x.json"
