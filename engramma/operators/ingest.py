@@ -1,85 +1,212 @@
-"""Steps that depend on order: admitting observations one after another, and grouping for consolidation.
+"""Steps that depend on order: admitting observations one after another, remembering documents with their atoms, and grouping for consolidation.
 
-Both work per name space in pieces; within a piece order decides, so an Arrow function runs it.
+Admission goes in blocks of bounded size, by order: a block is compared with all that was admitted before it by a distributed scan, and
+only within the block does one task decide row by row. Grouping decides within connected components of like pairs, which never meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engramma.functions import hv
 from engramma.functions import text as tx
+from engramma.operators import graph, recall
 from engramma.operators.surprise import surprise
-
-VETO, JOIN = 0.06, 0.60
-
-
-def redundant(frame: pd.DataFrame) -> pd.DataFrame:
-    """In order of seq: novelty against what was stored before; vetoed if too like, and then its best match is reinforced."""
-    frame = frame.sort_values("seq", kind="stable")
-    kept = np.zeros((max(1, len(frame)), hv.BITS // 8), np.uint8)
-    ids: list[int] = []
-    out = []
-    for seq, raw, predictable in zip(frame["seq"], frame["hv"], frame["predictable"], strict=True):
-        vector = np.frombuffer(raw, np.uint8)
-        sims = hv.similarity_batch(vector, kept[: len(ids)])
-        best = int(np.argmax(sims)) if len(ids) else -1
-        novelty = 1.0 - float(sims[best]) if len(ids) else 1.0
-        veto = novelty < VETO or bool(predictable)
-        if not veto:
-            kept[len(ids)] = vector
-            ids.append(int(seq))
-        out.append((seq, novelty, not veto, ids[best] if novelty < VETO and best >= 0 else None))
-    got = pd.DataFrame(out, columns=["seq", "novelty", "stored", "reinforces"])
-    got["namespace"] = frame["namespace"].iloc[0]
-    got["reinforces"] = got["reinforces"].astype("Int64")
-    return got[["namespace", "seq", "novelty", "stored", "reinforces"]]
-
-
-def admit(observations: DataFrame) -> DataFrame:
-    """(namespace, seq, novelty, stored, reinforces): the double veto of novelty and surprise.
-
-    Surprise is a window query; only the redundancy pass is sequential, per name space."""
-    tokens = observations.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens"))
-    flags = surprise(tokens).select("namespace", "seq", "predictable")
-    rows = observations.withColumn("hv", hv.encoder(False)("text")).join(flags, ["namespace", "seq"])
-    got = rows.select("namespace", "seq", "hv", "predictable").groupBy("namespace").applyInPandas(redundant, "namespace string, seq long, novelty double, stored boolean, reinforces long")
-    return got.withColumn("novelty", F.round("novelty", 6))
-
-
-def _groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """Greedy groups in order of id whose members are all alike."""
-    frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-    m = np.frombuffer(b"".join(frame["hv"]), np.uint8).reshape(len(frame), -1)
-    free = np.ones(len(frame), bool)
-    out = []
-    for i in range(len(frame)):
-        if not free[i]:
+from engramma.sources.snapshots import checkpointed
+
+#: Fixed values of the write path.
+VETO, JOIN, ATOMISE_CHARS, ATOMISE_ATOMS, ATOM_WEIGHT = 0.06, 0.60, 500, 4, 0.9
+BLOCK = 2048
+MAX_ATOMS = 1 << 12  # of a text, which is cut to 20,000 characters and whose atoms have 12 or more each
+
+
+def admit(observations: DataFrame, stored: DataFrame | None = None, reads: DataFrame | None = None, predictable: DataFrame | None = None, bits: int = hv.BITS) -> DataFrame:
+    """(namespace, seq, novelty, stored, reinforces): the double veto of novelty and surprise, in order of seq (unique).
+
+    observations (namespace, seq, text, and hv if not to be encoded here); stored (id, namespace, hv) are active rows from before; reads
+    (namespace, reads) names the foreign name spaces a name space sees. An observation is compared with all rows it can see, stored before or
+    admitted meanwhile; if it is too like one, that one is reinforced. `predictable` (namespace, seq, predictable) replaces the surprise of the texts."""
+    rows = observations if "hv" in observations.columns else observations.withColumn("hv", hv.encoder(False)("text"))
+    if predictable is None:
+        predictable = surprise(observations.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens")))
+    flags = predictable.select("namespace", "seq", "predictable")
+    rows = checkpointed(rows.join(flags, ["namespace", "seq"], "left").select("namespace", "seq", "hv", F.coalesce("predictable", F.lit(False)).alias("predictable")))
+    kind = dict(rows.dtypes)["hv"]
+    known = rows.select(F.col("seq").alias("id"), "namespace", "hv").limit(0) if stored is None else stored.select(F.col("id").cast("long").alias("id"), "namespace", "hv")
+    known = checkpointed(known)
+    sees = {} if reads is None else reads.groupBy("namespace").agg(F.collect_set("reads").alias("r")).collect()  # a row for each name space with foreign ones
+    sees = {r["namespace"]: set(r["r"]) for r in sees} if sees else {}
+    out, last = None, None
+    while True:
+        ends = (rows if last is None else rows.where(F.col("seq") > last)).orderBy("seq").limit(BLOCK).agg(F.max("seq"), F.count("*")).first()
+        if not ends[1]:
+            break
+        block = rows.where(F.col("seq") <= ends[0]) if last is None else rows.where((F.col("seq") > last) & (F.col("seq") <= ends[0]))
+        done = checkpointed(_admit_block(block, known, sees, bits, kind))
+        decided = done.drop("hv")
+        out = decided if out is None else out.unionByName(decided)
+        known = known.unionByName(done.where("stored").select(F.col("seq").alias("id"), "namespace", "hv"))
+        last = ends[0]
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "namespace string, seq long, novelty double, stored boolean, reinforces long")
+    return out.withColumn("novelty", F.round("novelty", 6))
+
+
+def _admit_block(block: DataFrame, known: DataFrame, sees: dict, bits: int, kind: str) -> DataFrame:
+    """Decisions on at most BLOCK observations, with their vectors."""
+    held = block.orderBy("seq").collect()  # at most BLOCK rows of 1,250 bytes
+    spaces = sorted({r["namespace"] for r in held})
+    sent = block.sparkSession.sparkContext.broadcast(([r["seq"] for r in held], [r["namespace"] for r in held], recall.matrix(pd.Series([r["hv"] for r in held])), sees))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seqs, names, q, sees = sent.value
+        top: dict[int, tuple[float, int]] = {}
+        for batch in batches:
+            for space, part in batch.groupby("namespace", sort=False):
+                m, ids = recall.matrix(part["hv"]), part["id"].to_numpy()
+                for i, name in enumerate(names):
+                    if name == space or space in sees.get(name, ()):
+                        sim = recall.alike(q[i], m, bits)
+                        j = np.lexsort((ids, -sim))[0]
+                        top[i] = max(top.get(i, (-1.0, 0)), (float(sim[j]), -int(ids[j])))
+        yield pd.DataFrame([(seqs[i], s, -minus) for i, (s, minus) in top.items()], columns=["seq", "sim", "id"])
+
+    visible = sorted({x for name in spaces for x in sees.get(name, ())} | set(spaces))
+    from_before = known.where(F.col("namespace").isin(*visible)).mapInPandas(best, "seq long, sim double, id long")
+    from_before = from_before.groupBy("seq").agg(F.max(F.struct("sim", (-F.col("id")).alias("minus"))).alias("b")).select("seq", F.col("b.sim").alias("sim"), (-F.col("b.minus")).alias("id"))
+    given = block.join(from_before, "seq", "left")
+
+    def decide(key, frame):
+        frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
+        m = recall.matrix(frame["hv"])
+        names, seqs = frame["namespace"].tolist(), frame["seq"].tolist()
+        kept: dict[str, list[int]] = {}
+        out = []
+        for i, (name, sim, ident, predictable) in enumerate(zip(names, frame["sim"], frame["id"], frame["predictable"], strict=True)):
+            top = (float(sim), -int(ident)) if sim == sim else (-1.0, 0)
+            able = [j for space in {name, *sees.get(name, ())} for j in kept.get(space, ())]
+            if able:
+                sims = recall.alike(m[i], m[able], bits)
+                j = max(range(len(able)), key=lambda x: (sims[x], -seqs[able[x]]))
+                top = max(top, (float(sims[j]), -int(seqs[able[j]])))
+            novelty = 1.0 - top[0] if top[0] >= 0 else 1.0
+            veto = novelty < VETO or bool(predictable)
+            if not veto:
+                kept.setdefault(name, []).append(i)
+            out.append((name, seqs[i], novelty, not veto, -top[1] if novelty < VETO else None, frame["hv"].iloc[i]))
+        got = pd.DataFrame(out, columns=["namespace", "seq", "novelty", "stored", "reinforces", "hv"])
+        got["reinforces"] = got["reinforces"].astype("Int64")
+        return got
+
+    return given.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(decide, f"namespace string, seq long, novelty double, stored boolean, reinforces long, hv {kind}")
+
+
+def atom_rows(documents: DataFrame) -> DataFrame:
+    """(namespace, seq, source, n, text): valid texts as sources (n = 0), and the atoms of long ones behind them; seq = id * MAX_ATOMS + n."""
+    whole = documents.select("namespace", F.col("id").alias("source"), tx.valid_text(F.col("text")).alias("text")).where("text is not null")
+    pieces = whole.withColumn("atoms", tx.atoms("text"))
+    pieces = pieces.withColumn("atoms", F.when((F.length("text") >= ATOMISE_CHARS) & (F.size("atoms") >= ATOMISE_ATOMS), F.col("atoms")).otherwise(F.array().cast("array<string>")))
+    each = pieces.select("namespace", "source", F.posexplode(F.concat(F.array("text"), "atoms")).alias("n", "text"))
+    return each.select("namespace", (F.col("source") * MAX_ATOMS + F.col("n")).alias("seq"), "source", "n", "text")
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of the rows of `atom_rows` are observed, and their surprise.
+
+    Atoms of a source that is predictable are not; what is observed changes the counts of all that follows. So flags and rows are taken in turns until they agree:
+    each turn settles at least the first source that was wrong, and an agreement is what going one by one gives."""
+    silent = rows.select("source").limit(0)
+    while True:
+        now = rows.join(silent, "source", "left_anti").unionByName(rows.where("n = 0").join(silent, "source", "left_semi"))
+        flags = checkpointed(surprise(now.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens"))))
+        atomised = rows.where("n = 1").select("source", (F.col("seq") - 1).alias("seq"))
+        quiet = checkpointed(flags.where("predictable").join(atomised, "seq").select("source"))
+        if not quiet.join(silent, "source", "left_anti").limit(1).count() and not silent.join(quiet, "source", "left_anti").limit(1).count():
+            return now, flags
+        silent = quiet
+
+
+def remember(documents: DataFrame, stored: DataFrame | None = None, reads: DataFrame | None = None, redact: bool = False) -> dict[str, DataFrame]:
+    """What remembering documents (id, namespace, text) in order of id does, as one write: `decisions`, new `memories`, and `links`.
+
+    Texts are stripped and cut; those with secrets are flagged (`secrets`) and, if asked, redacted. Long ones are stored whole and as atoms, which hang on
+    their source, or on what it reinforced, by an `atom` link; a source that surprise rejects has no atoms. Every new row is linked to rows as like as `graph.LINK_SIM`."""
+    rows = atom_rows(documents).withColumn("secrets", tx.secret_labels(F.col("text")))
+    rows = checkpointed(rows.withColumn("text", tx.redacted(F.col("text"))) if redact else rows)
+    now, flags = observed(rows)
+    now = checkpointed(now.withColumn("hv", hv.encoder()("text")))
+    decisions = admit(now, stored, reads, flags)
+    decisions = checkpointed(now.select("seq", "source", "n", "text", "secrets").join(decisions, "seq"))
+    fresh = decisions.where("stored").join(now.select("seq", "hv"), "seq").select(F.col("seq").alias("id"), "namespace", "text", "hv", "novelty", F.when(F.col("n") > 0, "atom").otherwise("source").alias("part"))
+    holder = decisions.where("n = 0").select(F.col("source").alias("of"), F.coalesce("reinforces", F.when(F.col("stored"), F.col("seq"))).alias("src"))
+    atoms = decisions.where("n > 0 and stored").join(holder, F.col("source") == F.col("of")).where("src is not null")
+    hung = atoms.select("src", F.col("seq").alias("dst"), F.lit(ATOM_WEIGHT).alias("weight"), F.lit("atom").alias("type"), F.lit("confirmed").alias("status"))
+    fresh = checkpointed(fresh)
+    everything = fresh.select("id", "namespace", "hv")
+    if stored is not None:
+        everything = everything.unionByName(stored.select("id", "namespace", "hv"))
+    pairs = recall.nearest_pairs(everything, None, least=graph.LINK_SIM, within="namespace")
+    new = pairs.join(fresh.select("id"), "id", "left_semi").where("other < id")
+    like = new.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status"))
+    return {"decisions": decisions, "memories": fresh, "links": hung.unionByName(like)}
+
+
+def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
+    """Groups in one component of like pairs (a < b): each free row takes the next rows that are like all it has taken."""
+    like: dict[int, set[int]] = {}
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        like.setdefault(a, set()).add(b)
+        like.setdefault(b, set()).add(a)
+    free, out = set(like), []
+    for i in sorted(like):
+        if i not in free:
             continue
-        able = free & (np.arange(len(frame)) > i)
-        able &= hv.similarity_batch(m[i], m) >= JOIN
-        members, free[i] = [i], False
-        while able.any():
-            j = int(np.argmax(able))
+        free.discard(i)
+        able = sorted(j for j in like[i] if j > i and j in free)
+        members = [i]
+        while able:
+            j = able.pop(0)
             members.append(j)
-            free[j] = able[j] = False
-            able &= hv.similarity_batch(m[j], m) >= JOIN
+            able = [x for x in able if x in like[j]]
+        free.difference_update(members)
         if len(members) > 1:
-            g = frame.iloc[members]
-            body = "[agrupado x{}]\n· {}".format(len(g), "\n· ".join(g["text"]))
-            vector = hv.bundle([m[j] for j in members]).tobytes()
-            out.append((frame["namespace"].iloc[0], int(g["id"].iloc[0]), list(map(int, g["id"])), body, vector, float(g["importance"].max()), float(g["confidence"].mean()), float(g["novelty"].mean())))
-    return pd.DataFrame(out, columns=["namespace", "first_id", "members", "text", "hv", "importance", "confidence", "novelty"])
-
-
-def consolidate(rows: DataFrame) -> DataFrame:
-    """New semantic rows from episodes (id, namespace, text, hv, importance, confidence, novelty) that are all alike."""
-    return rows.select("id", "namespace", "text", "hv", "importance", "confidence", "novelty").groupBy("namespace").applyInPandas(
-        _groups, "namespace string, first_id long, members array<long>, text string, hv binary, importance double, confidence double, novelty double"
-    )
+            out += [(i, j) for j in members]
+    return pd.DataFrame(out, columns=["first_id", "id"]).astype("int64")
+
+
+def groups_of(rows: DataFrame, bits: int = hv.BITS) -> DataFrame:
+    """(first_id, id): greedy groups, in order of id, of rows (id, namespace, hv) that are all alike."""
+    pairs = checkpointed(recall.nearest_pairs(rows, None, earlier=True, least=JOIN, within="namespace", bits=bits).select(F.col("other").alias("a"), F.col("id").alias("b")))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    roots = graph.components(checkpointed(both))
+    return pairs.join(roots, F.col("a") == F.col("node")).select("root", "a", "b").groupBy("root").applyInPandas(lambda frame: _greedy(frame), "first_id long, id long")
+
+
+def consolidate(rows: DataFrame, summarizer: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """New semantic rows from episodes (id, namespace, text, hv, importance, confidence, novelty) that are all alike; `summarizer` makes a text of a group's texts."""
+    rows = rows.select("id", "namespace", "text", "hv", "importance", "confidence", "novelty")
+    members = checkpointed(groups_of(rows))
+    full = rows.join(members, "id")
+    vectors = hv.bundled(full.select("first_id", "hv"), "first_id", "hv").select("first_id", "hv")
+    each = F.array_sort(F.collect_list(F.struct("id", "text")))
+    got = full.groupBy("namespace", "first_id").agg(each.alias("m"), F.max("importance").alias("importance"), F.avg("confidence").alias("confidence"), F.avg("novelty").alias("novelty"))
+    texts = F.transform("m", lambda x: x["text"])
+    body: Column = F.concat(F.lit("[agrupado x"), F.size("m").cast("string"), F.lit("]"), F.array_join(F.transform(texts, lambda t: F.concat(F.lit("\n· "), t)), ""))
+    if summarizer is not None:
+
+        @F.pandas_udf(T.StringType())
+        def summary(groups: pd.Series) -> pd.Series:
+            return groups.map(lambda x: summarizer(list(x)))
+
+        body = summary(texts)
+    got = got.join(vectors, "first_id")
+    return got.select("namespace", "first_id", F.transform("m", lambda x: x["id"]).alias("members"), body.alias("text"), "hv", "importance", "confidence", "novelty")
 
 
 def inherit(groups: DataFrame, neighbours: DataFrame) -> DataFrame:
