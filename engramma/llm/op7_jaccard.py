@@ -18,8 +18,9 @@ spanning forest of its links: pairs are never emitted.
 Defined cases: no words, empty or null text: empty set, linked with nothing,
 component of its own; one or two words: the sequence is the one shingle. Null doc_id
 stays null and takes part; a component is named by its least non-null doc_id (null if there is
-none). Repeated rows are equal sets and give a row each. Other columns are ignored.
-Sets are compared by 64-bit hashes of shingles, and classes named by a 64-bit hash.
+none). Repeated rows are equal sets and give a row each; a text goes to a task once, however often it is there. Very long texts
+are one set each; an empty table gives no rows. Other columns are ignored and never clash.
+Sets are compared by 64-bit hashes of shingles; a class is told by 128 bits of hash of its set, and numbered.
 """
 
 from __future__ import annotations
@@ -87,8 +88,11 @@ def shingle_sets(block, k: int = 3, levels: np.ndarray | None = None, slots: np.
     return out if levels is None else (out, ranks)
 
 
-def class_name(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s + U64(len(s))).sum(dtype=U64)], U64)).view(np.int64)[0])
+def class_name(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit hashes of a set."""
+    size = U64(len(s))
+    sums = np.array([mix(s + size).sum(dtype=U64), mix(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64) + size], U64)
+    return tuple(mix(sums).view(np.int64).tolist())
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,23 +183,25 @@ def features(rows: DataFrame, k: int, percent: int, known) -> DataFrame:
                 cut = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
                 ids, key = (batch.column(c).slice(block.first, block.n) for c in ("doc_id", "at"))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, key, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_name(s) for s in sets], pa.int64()), lists], ["doc_id", "at", "n", "node", "prefix"]
-                )
+                node, twin = (pa.array(x, pa.int64()) for x in zip(*map(class_name, sets), strict=True))
+                yield pa.RecordBatch.from_arrays([ids, key, pa.array([len(s) for s in sets], pa.int64()), node, twin, lists], ["doc_id", "at", "n", "node", "twin", "prefix"])
 
-    return rows.select("doc_id", "at", "body").mapInArrow(run, "doc_id long, at long, n long, node long, prefix array<long>")
+    return rows.select("doc_id", "at", "body").mapInArrow(run, "doc_id long, at long, n long, node long, twin long, prefix array<long>")
 
 
 def squeezed(rows: DataFrame) -> DataFrame:
-    """(at, body): texts compressed one by one, which shuffle in half the bytes and in a third of their sets'."""
+    """(at, body): texts compressed one by one, which shuffle in half the bytes and in a third of their sets'; a task sends rows of one `at` and length once."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=3)
+        press, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array([press.compress(x.as_buffer()) for x in batch.column("body")], pa.binary())], ["at", "body"])
+            at, body = batch.column("at").to_numpy(), batch.column("body")
+            size = np.array([len(x.as_buffer()) for x in body], np.int64)
+            new = [i for i, key in enumerate(zip(at.tolist(), size.tolist(), strict=True)) if key not in seen and not seen.add(key)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array([press.compress(body[i].as_buffer()) for i in new], pa.binary())], ["at", "body"])
 
     return rows.select("at", "body").mapInArrow(run, "at long, body binary")
 
@@ -239,25 +245,28 @@ def product(grams: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarr
     return left[i], right[j]
 
 
-def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (u, v) between classes that span all links."""
+def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) between numbers of classes that span all links, and the classes (node, twin, num)."""
     spark = rows.sparkSession
-    classes = feats.where("n > 0").groupBy("node").agg(F.min(F.struct("at", "n", "prefix")).alias("f")).select("node", "f.at", "f.n", "f.prefix")
-    classes = store(classes)
+    classes = feats.where("n > 0").groupBy("node", "twin").agg(F.min(F.struct("at", "n", "prefix")).alias("f")).select("node", "twin", "f.at", "f.n", "f.prefix")
+    classes = store(classes.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand
     # sizes of a linked pair lie in the same or neighbouring bands, so each set goes to its own band and the next
     band = F.floor(F.log("n") / math.log(100 / percent * 1.001)).cast("int")
-    cells = classes.select("node", "at", F.explode(F.array(band, band + 1)).alias("band"), "prefix")
-    cells = cells.select("node", "at", "band", F.explode("prefix").alias("col")).select("node", "at", F.xxhash64("col", "band").alias("col"))
+    cells = classes.select("num", "at", F.explode(F.array(band, band + 1)).alias("band"), "prefix")
+    cells = cells.select("num", "at", "band", F.explode("prefix").alias("col")).select("num", "at", F.xxhash64("col", "band").alias("col"))
     pivots = store(cells.groupBy("col").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("col", "pivot"))
-    members = store(cells.join(pivots, "col").select("pivot", "node", "at").distinct())
+    members = store(cells.join(pivots, "col").select("pivot", "num", "at").distinct())
     sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c")).where("c > 1"))
     tiles = F.ceil(F.col("c") / TILE).cast("int")
     units = members.join(sizes, "pivot").withColumn("tiles", tiles)
-    units = units.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = units.select("pivot", "node", "at", "tiles", F.col("mine").alias("tile"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    parts = shuffle_parts(spark) * 16
+    units = units.withColumn("mine", F.pmod(F.xxhash64("num"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    units = units.select("pivot", "num", "at", "tiles", F.col("mine").alias("tile"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    # small blocks share a task, by their number; a tile pair of a large block has a task of its own
+    parts = max(shuffle_parts(spark) * 16, math.ceil(members.count() / TILE))
     units = units.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(F.xxhash64("pivot", "lo", "hi"))).drop("tiles")
-    texts = squeezed(rows)
+    units = units.join(classes.select("num", "node", "twin"), "num")
+    wanted = members.join(sizes, "pivot", "left_semi").select("at").distinct()
+    texts = squeezed(rows).join(wanted, "at", "left_semi").dropDuplicates(["at", "body"])
 
     def compare(key, frame):
         import pandas as pd
@@ -266,13 +275,13 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataF
         open_ = zstandard.ZstdDecompressor()
         out_u, out_v = [], []
         for (_, lo, hi), g in frame.groupby(["pivot", "lo", "hi"], sort=False):
-            g = g.drop_duplicates(["node", "body"]).sort_values(["tile", "node"])  # repeated rows
+            g = g.sort_values(["tile", "num"])
             if len(g) < 2:
                 continue
             sets = [shingle_sets(Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0), k)[0] for raw in map(open_.decompress, g["body"])]
-            right = [class_name(s) == n for s, n in zip(sets, g["node"], strict=True)]  # else another text under the same id
+            right = [class_name(s) == n for s, n in zip(sets, zip(g["node"], g["twin"], strict=True), strict=True)]  # else another text under the same key
             g, grams = g[right], [s for s, ok in zip(sets, right, strict=True) if ok]
-            node = g["node"].to_numpy()
+            node = g["num"].to_numpy()
             split = 0 if lo == hi else int((g["tile"] == lo).sum())
             if len(g) < 2 or lo != hi and split in (0, len(g)):
                 continue
@@ -284,28 +293,29 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> DataF
         return pd.DataFrame({"u": pd.Series(out_u, dtype="int64"), "v": pd.Series(out_v, dtype="int64")})
 
     edges = store(units.join(texts, "at").groupBy("task").applyInPandas(compare, "u long, v long"))
-    drop_stored(classes, members, sizes, pivots)
-    return edges
+    drop_stored(members, sizes, pivots)
+    return edges, classes
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Features of all rows, and for each class its component's least doc_id and the key (`at`, of doc_id and text) of its first document."""
     rows = _rows(docs, id_col, text_col)
     feats = store(features(rows, k, percent, frequencies(rows, k)))
-    edges = link_edges(rows, feats, k, percent)
+    edges, classes = link_edges(rows, feats, k, percent)
     named = components(edges)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    base = feats.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), first.alias("first"))
-    base = base.join(named.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("node", "least", "first", F.coalesce("root", "node").alias("root"))
+    base = feats.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("least"), first.alias("first")).join(classes.select("node", "twin", "num"), ["node", "twin"])
+    base = base.join(named.withColumnRenamed("node", "m"), F.col("num") == F.col("m"), "left").select("node", "twin", "least", "first", F.coalesce("root", "num").alias("root"))
     base = store(base)
+    drop_stored(classes, edges, named)
     best = store(base.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")))
-    return feats, store(base.select("node", "root").join(best, "root").select("node", "component_id", F.col("first.at").alias("keep")))
+    return feats, store(base.select("node", "twin", "root").join(best, "root").select("node", "twin", "component_id", F.col("first.at").alias("keep")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     feats, per = classified(docs, id_col, text_col, k, percent)
-    out = feats.select("doc_id", "n", "node").join(per, "node", "left")
+    out = feats.select("doc_id", "n", "node", "twin").join(per, ["node", "twin"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -315,11 +325,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     Documents are told by doc_id and text, so other texts under the same doc_id are not touched; of rows equal
     in both, the least by all columns stays."""
     feats, per = classified(docs, id_col, text_col, k, percent)
-    worded = feats.where("n > 0").select("node", "doc_id", "at")
+    worded = feats.where("n > 0").select("node", "twin", "doc_id", "at")
     ident = lambda doc, at: F.struct(doc.alias("doc"), at.alias("at"))
-    named = worded.join(per, "node").select(ident(F.col("doc_id"), F.col("at")).alias("_g"), (F.col("at") != F.col("keep")).alias("later"))
+    named = worded.join(per, ["node", "twin"]).select(ident(F.col("doc_id"), F.col("at")).alias("_g"), (F.col("at") != F.col("keep")).alias("later"))
     gone = store(named.where("later").select("_g").distinct())
     twice = store(named.where("not later").groupBy("_g").agg(F.count("*").alias("c")).where("c > 1").select("_g"))
+    drop_stored(feats, per)
     doc = F.col(f"_d.{id_col}").cast("long")
     rows = docs.select(F.struct("*").alias("_d")).withColumn("_k", ident(doc, F.xxhash64(doc, F.coalesce(F.col(f"_d.{text_col}").cast("binary"), F.lit(b"")))))
     rows = rows.join(gone, F.col("_k").eqNullSafe(F.col("_g")), "left_anti")

@@ -25,3 +25,11 @@ def test_one_row_of_copies_stays(spark):
     assert [r for r in got if r[1]].count((2, A)) == 1 and got.count((None, C)) == 1 and (4, D) in got and (None, D) not in got
     assert len([r for r in got if r[0] == 3]) == len([r for r in got if r[0] == 5]) == 1
     assert got.count((6, "")) == 2 and (None, None) in got and (9, G) in got and (None, H) in got
+
+
+def test_clashing_names_and_many_equal_rows(spark):
+    near = A.replace("a30", "x")
+    rows = [(2, A, "u", 1)] * 400 + [(3, near, "v", 2), (4, B, "w", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, node int").repartition(4)
+    got = m.keep_one(df, k=5, percent=80)
+    assert got.columns == df.columns and sorted((r.doc_id, r._gone) for r in got.collect()) == [(2, "u"), (4, "w")]
