@@ -197,11 +197,12 @@ def learnable(docs: DataFrame, id_col: str, lang_col: str, text_col: str) -> Dat
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(lang, spot, windows): the training rows of each language, in windows."""
     rows = learnable(docs, id_col, lang_col, text_col)
-    # about how many distinct rows a language has; a share of them passes before texts are cut
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("spot", 0.02).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(1.6 * per_language) / F.col("n"))
-    picked = rows.join(sizes.select(F.col("lang").alias("l"), share.alias("share")), F.col("lang") == F.col("l"))
-    picked = picked.where(F.col("spot").cast("double") / F.lit(2.0**64) + F.lit(0.5) < F.col("share"))
+    # about how many distinct rows a language has; a share of them passes before texts are cut, by an expression: joining by language would bring all texts of one together
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("spot", 0.02).alias("n")).collect()  # a row for each language, as the model has an output for each
+    if not sizes:
+        return rows.select("lang", "spot", F.lit(b"").alias("windows")).limit(0)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.6 * per_language / r["n"]))])
+    picked = rows.where(F.col("spot").cast("double") / F.lit(2.0**64) + F.lit(0.5) < share[F.col("lang")])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

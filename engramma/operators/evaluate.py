@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramma.operators.order import nearest_ranks
@@ -65,3 +65,15 @@ def injection_rates(turns: DataFrame) -> DataFrame:
 def session_bill(turns: DataFrame, announced: int, hook: int, memory_turns: int) -> DataFrame:
     """Tokens of a session: tools announced each turn, plus what fires; per conversation of (conv_id, fires)."""
     return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.lit(announced) + F.when(F.col("fires"), hook).otherwise(0)).alias("tokens"), F.least(F.count("*"), F.lit(memory_turns)).alias("counted"))
+
+
+def ablate(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rank metrics of the wanted rows (query_id, id) with parts of the score alone: likeness, with strength, with confidence, with spreading.
+
+    candidates (query_id, id, act, spread, strength, confidence); rows without likeness to any query still have a rank."""
+    strength, confidence = 0.7 + 0.3 * F.least(F.col("strength"), F.lit(3.0)) / 3, 0.6 + 0.4 * F.col("confidence")
+    arms = {"plain": F.col("act"), "strength": F.col("act") * strength, "confidence": F.col("act") * confidence, "spread": F.col("spread")}
+    each = candidates.select("query_id", "id", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.round(v, 12).alias("v")) for a, v in arms.items()])).alias("u"))
+    order = Window.partitionBy("u.arm", "query_id").orderBy(F.desc("u.v"), "id")
+    ranks = each.withColumn("rank", F.row_number().over(order)).join(wanted, ["query_id", "id"])
+    return rank_metrics(ranks.select(F.col("u.arm").alias("category"), "query_id", "rank"))

@@ -129,6 +129,54 @@ def dream(nodes: DataFrame, edges: DataFrame, similarity, bridges: int = 5) -> D
     return scored.orderBy(F.desc(F.round("score", 9)), "a_id", "b_id").limit(bridges)
 
 
+def dream_all(nodes: DataFrame, edges: DataFrame, similarity, bridges: int = 5) -> DataFrame:
+    """Bridges of every name space of the nodes (each calibrated by itself), the most alike first. One dream a name space: there are few."""
+    spaces = [r["namespace"] for r in nodes.select("namespace").distinct().orderBy("namespace").collect()]
+    out = None
+    for space in spaces:
+        own = nodes.where(F.col("namespace").eqNullSafe(F.lit(space)))
+        one = dream(own.drop("namespace"), edges, similarity, bridges).withColumn("namespace", F.lit(space).cast("string"))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc(F.round("sim", 9)), "namespace", "a_id", "b_id") if out is not None else None
+
+
+def capped(links: DataFrame, most: int = 40) -> DataFrame:
+    """Nearest links (src, dst, weight) with at most `most` a node: a link stays if it is among the strongest of both its ends."""
+    both = links.select("src", "dst", "weight", F.col("src").alias("node")).union(links.select("src", "dst", "weight", F.col("dst").alias("node")))
+    best = Window.partitionBy("node").orderBy(F.desc("weight"), "src", "dst")
+    kept = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
+    return kept.groupBy("src", "dst", "weight").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+
+
+def coverage(edges: DataFrame, samples: int = 8) -> DataFrame:
+    """One row: nodes, components, mean degree, mean share of nodes within two steps of sample nodes (spread over the ids by hash), and whether shortcuts are needed."""
+    degree = degrees(edges)
+    heads = components(edges).select("root").distinct().agg(F.count("*").alias("components"))
+    one = degree.agg(F.count("*").alias("nodes"), F.avg("degree").alias("mean_degree")).crossJoin(heads)  # one row each
+    start = degree.select("node").orderBy(F.md5(F.col("node").cast("string").cast("binary")), "node").limit(samples).select(F.col("node").alias("start"))
+    near = start.join(edges.select(F.col("node").alias("start"), F.col("other").alias("mid")), "start")
+    far = near.join(edges.select(F.col("node").alias("mid"), F.col("other").alias("end")), "mid").select("start", "end")
+    reach = near.select("start", F.col("mid").alias("end")).union(far).union(start.select("start", F.col("start").alias("end"))).distinct().groupBy("start").agg(F.count("*").alias("c"))
+    two = reach.agg(F.avg("c").alias("c"))
+    share = F.when(F.col("nodes") > 0, F.col("c") / F.col("nodes")).otherwise(0.0)
+    dense = (F.col("components") == 1) & (F.col("mean_degree") >= 8) & (share >= 0.30)
+    return one.crossJoin(two).select("nodes", "components", F.round("mean_degree", 9).alias("mean_degree"), F.round(share, 9).alias("two_hops"), (~dense).alias("shortcuts"))
+
+
+def with_shortcuts(edges: DataFrame, per_node: int = 2, seed: int = 0) -> DataFrame:
+    """`edges` and, where `coverage` asks for them, links of every node to `per_node` others drawn by hash, both ways, of no weight."""
+    if not coverage(edges).first()["shortcuts"]:
+        return edges
+    nodes = degrees(edges).select("node")
+    n = nodes.count()
+    placed = nodes.repartitionByRange("node").sortWithinPartitions("node")  # numbered by range and place in it
+    placed = checkpointed(placed.select("node", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(n)).alias("slot")))
+    pick = placed.select("node", F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(seed + 1 + i)), F.lit(n)) for i in range(per_node)])).alias("slot"))
+    drawn = pick.join(placed.select("slot", F.col("node").alias("other")), "slot").where("node <> other").select("node", "other")
+    both = drawn.union(drawn.select("other", "node")).distinct().join(edges.select("node", "other"), ["node", "other"], "left_anti")
+    return edges.select("node", "other", "weight").unionByName(both.withColumn("weight", F.lit(0.0)))
+
+
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(node, hop): everything reachable in so many steps, with its distance."""
     seen = start.select("node", F.lit(0).alias("hop"))

@@ -191,3 +191,15 @@ def record(hits: DataFrame, memories: DataFrame, own: str) -> DataFrame:
 
     both = hits.join(memories.select("id", "text", "kind", "namespace", "access_count"), "id")
     return both.select("*", utility().alias("utility"), F.when(F.col("namespace") != own, F.col("namespace")).alias("project"), suspicious(F.col("text")).alias("untrusted"))
+
+
+def timeline(memories: DataFrame) -> DataFrame:
+    """Rows by day of writing (UTC) and kind."""
+    day = F.date_format(F.timestamp_seconds("created"), "yyyy-MM-dd")
+    return memories.groupBy(day.alias("day"), "kind").agg(F.count("*").alias("n"), F.count_if("dormant").alias("dormant"))
+
+
+def scatter(memories: DataFrame, step: float = 0.1) -> DataFrame:
+    """Rows by importance and confidence, in squares of `step`."""
+    cell = lambda c: F.round(F.floor(F.col(c) * F.lit(1 / step)) / F.lit(1 / step), 9).alias(c)
+    return memories.groupBy(cell("importance"), cell("confidence")).agg(F.count("*").alias("n"))

@@ -63,10 +63,35 @@ def learn(rules: DataFrame, new: DataFrame, pairs: DataFrame, now: float) -> Dat
     return lifecycle.append(touched, fresh, "rule").drop("rule")
 
 
-def sleep(memories: DataFrame, links: DataFrame, now: float, similarity, bridges: int = 5) -> dict[str, DataFrame]:
-    """Consolidate, forget, dream: new memories, groups, and proposed bridges. memories need hv."""
+def unlearn(memories: DataFrame, links: DataFrame, ids: DataFrame, space: str = "__self__") -> tuple[DataFrame, DataFrame]:
+    """Without the named rules, and without their links; ids of other name spaces are ignored. Older snapshots hold them until vacuumed."""
+    own = memories.where(F.col("namespace") == space).join(ids.select("id").distinct(), "id", "left_semi")
+    return lifecycle.delete(memories, links, own)
+
+
+def autosleep(meta: DataFrame, writes: DataFrame, every: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Counters of writes by name space, and the name spaces that are due to sleep.
+
+    meta (namespace, key, value) holds the counter `writes`; writes (namespace) are new rows. The counter starts again only by `slept`, when the sleep succeeded."""
+    new = writes.groupBy("namespace").agg(F.count("*").alias("n"))
+    counter = meta.where("key = 'writes'").select("namespace", F.col("value").cast("long").alias("was"))
+    both = counter.join(new, "namespace", "full").select("namespace", (F.coalesce("was", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("total"))
+    kept = meta.where("key <> 'writes'").select("namespace", "key", "value")
+    rows = both.select("namespace", F.lit("writes").alias("key"), F.col("total").cast("string").alias("value"))
+    return kept.unionByName(rows), both.where(F.col("total") >= every).select("namespace")
+
+
+def slept(meta: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Counters of the named name spaces at zero."""
+    named = spaces.select(F.col("namespace").alias("done")).distinct()
+    hit = F.col("done").isNotNull() & (F.col("key") == "writes")
+    return meta.join(named, F.col("namespace") == F.col("done"), "left").select("namespace", "key", F.when(hit, "0").otherwise(F.col("value")).alias("value"))
+
+
+def sleep(memories: DataFrame, links: DataFrame, now: float, similarity, bridges: int = 5, summarizer=None) -> dict[str, DataFrame]:
+    """Consolidate, forget, dream: new memories, groups, and proposed bridges. memories need hv, which `similarity` of a dream may read."""
     eps = memories.where("kind = 'episodic' and not consolidated and not dormant")
-    groups = ingest.consolidate(eps)
+    groups = ingest.consolidate(eps, summarizer)
     members = groups.select(F.explode("members").alias("id"))
     marked = lifecycle.mark(memories, members, "consolidated")
     fresh = groups.select("first_id", "namespace", "text", "hv", "importance", "confidence", "novelty", F.lit("semantic").alias("kind"), F.lit(1.0).alias("strength"), F.lit(0).cast("long").alias("access_count"),
@@ -75,7 +100,7 @@ def sleep(memories: DataFrame, links: DataFrame, now: float, similarity, bridges
     forgotten = lifecycle.forget(grown.drop("first_id"), now).drop("forgotten")
     new_ids = grown.where("first_id is not null").select("first_id", F.col("id").alias("src"))
     inherited = ingest.inherit(groups, graph.neighbours(links)).join(new_ids, "first_id").select("src", "dst", "weight", F.lit("consolidation").alias("type"), F.lit("confirmed").alias("status"))
-    nodes = forgotten.where("not superseded").select("id", "confidence", "dormant")
+    nodes = forgotten.where("not superseded").select("id", "confidence", "dormant", "hv")
     dreams = graph.dream(nodes, graph.neighbours(links.select(inherited.columns).unionByName(inherited)), similarity, bridges)
     proposed = dreams.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"), F.lit(0.5).alias("weight"), F.lit("dream").alias("type"), F.lit("proposed").alias("status"))
     return {"memories": forgotten, "groups": groups, "links": links.select(inherited.columns).unionByName(inherited).unionByName(proposed), "bridges": dreams}

@@ -395,17 +395,45 @@ def _(spark, d):
     return context.list_view(m.memories(spark, d), links, "strength", 100).select("id", r9("strength"))
 
 
+@query("g9_timeline", f"with {MEM} select strftime(to_timestamp(created) at time zone 'UTC', '%Y-%m-%d') \"day\", kind, count(*)::bigint n, count(*) filter (dormant)::bigint dormant from mem group by 1, 2")
+def _(spark, d):
+    return lifecycle.timeline(m.memories(spark, d))
+
+
+@query("g9_scatter", f"with {MEM} select round(floor(importance * 10) / 10, 9) importance, round(floor(confidence * 10) / 10, 9) confidence, count(*)::bigint n from mem group by 1, 2")
+def _(spark, d):
+    return lifecycle.scatter(m.memories(spark, d))
+
+
 @query("r15_components", f"""with recursive {LNK}, {NEI}, c as (select distinct node, node root from nei union select nei.other, root from c join nei on c.node = nei.node where root < nei.other)
   select node, min(root) root from c group by 1""")
 def _(spark, d):
     return graph.components(graph.neighbours(m.links(spark, d)))
 
 
-@query("r15_landmarks")
+_COMP = """c as (select distinct node, node root from nei union select nei.other, root from c join nei on c.node = nei.node where root < nei.other), cc as (select node, min(root) root from c group by 1),
+  dg as (select node, count(*) degree from nei group by 1)"""
+
+
+@query("r15_landmarks", f"with recursive {LNK}, {NEI}, {_COMP} select root, arg_max(node, (degree, -node)) landmark, max(degree)::bigint degree from cc join dg using (node) group by 1")
 def _(spark, d):
     return graph.landmarks(graph.neighbours(m.links(spark, d)))
 
 
+@query("r15_coverage", f"""with recursive {LNK}, {NEI}, {_COMP}, sp as (select node from dg order by md5(node::varchar), node limit 8),
+  rc as (select sp.node s, a.other e from sp join nei a on a.node = sp.node union select sp.node, b.other from sp join nei a on a.node = sp.node join nei b on b.node = a.other union select node, node from sp),
+  x as (select (select count(*) from dg) nodes, (select count(distinct root) from cc) components, (select avg(degree) from dg) mean_degree, (select avg(n) from (select count(*) n from rc group by s)) / (select count(*) from dg) share)
+select nodes::bigint nodes, components::bigint components, round(mean_degree, 9) mean_degree, round(share, 9) two_hops, not (components = 1 and mean_degree >= 8 and share >= 0.3) shortcuts from x""")
+def _(spark, d):
+    return graph.coverage(checkpointed(graph.neighbours(m.links(spark, d))))
+
+
+@query("r16_capped", f"""with {LNK}, b as (select src, dst, weight, src node from lnk union all select src, dst, weight, dst from lnk), r as (select *, row_number() over (partition by node order by weight desc, src, dst) r from b)
+select src, dst, round(weight, 9) weight from r where r <= 5 group by src, dst, weight having count(*) = 2""")
+def _(spark, d):
+    return graph.capped(m.links(spark, d), 5).select("src", "dst", r9("weight"))
+
+
 @query("r11_navigation", f"""with {LNK}, {PRT}, own as (select id from prt where not superseded), k as (select * from lnk where "type" = 'knn' and src in (from own) and dst in (from own)), c as (select src e from k union select dst from k),
   x as (select (select count(*) from own) n, (select count(*) from k) e, (select count(*) from c) c)
   select n::bigint n, round(c::double / n, 9) coverage, round(2 * e::double / (n * (n - 1)), 9) density, n >= 32 and c::double / n >= 0.6 and 2 * e::double / (n * (n - 1)) < 0.75 navigate from x""")
@@ -413,60 +441,152 @@ def _(spark, d):
     return graph.navigation(m.parts(spark, d), m.links(spark, d))
 
 
-def _near_pairs(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    a, b = e.select(F.col("vec_id").alias("id"), "label", F.col("x").alias("x1"), F.col("y").alias("y1")), e.select(F.col("vec_id").alias("other"), "label", F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return a.join(b, "label").where("id <> other").select("id", "other", F.round(1 - F.sqrt(F.pow(F.col("x1").cast("double") - F.col("x2"), 2) + F.pow(F.col("y1").cast("double") - F.col("y2"), 2)), 9).alias("sim"))
+# ------------------------------------------------------------ turns as memories, texts of `benchmark` as queries, vectors of 240 bits
 
+BITS240 = 240
+TX = f"tx as (select conv_id * 1000 + turn k, text from conversations union all select -1 - item_id, text from benchmark), {_hv_sql('tx', 'k')}"
+SIMS = "sm as (select -1 - q.k query_id, mm.k id, 1 - sum(bit_count(xor(q.v, mm.v))) / 240.0::double sim from hvs q join hvs mm on q.w = mm.w where q.k < 0 and mm.k >= 0 group by 1, 2)"
+ACT = "act as (select query_id, id, sim, greatest(0, 2 * (sim - 0.5)) act, (id % 4)::double strength, (id % 11)::double / 10 confidence, id % 13 = 0 superseded, id % 5 = 0 dormant from sm)"
+PAIRS = """rl as (select conv_id * 1000 + turn k, role from conversations), ps as (select x.k id, y.k other, 1 - sum(bit_count(xor(x.v, y.v))) / 240.0::double sim from hvs x join hvs y on x.w = y.w and x.k >= 0 and y.k >= 0 and x.k <> y.k group by 1, 2),
+  pr as (select ps.* from ps join rl a on a.k = id join rl b on b.k = other where a.role = b.role)"""
+TNEI = "nei as (select id node, other, sim weight from ps where sim >= 0.62)"
+
+
+def _turn_vectors(spark, d):
+    """Turns with their vectors and flags."""
+    mem = hv.sql_bundles(m.turns(spark, d), "seq", "text", 4).withColumnRenamed("seq", "id")
+    mem = mem.join(m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text"), "id")
+    i = F.col("id")
+    return mem.withColumns({"strength": (i % 4).cast("double"), "confidence": i % 11 / 10.0, "superseded": i % 13 == 0, "dormant": i % 5 == 0})
+
+
+def _query_vectors(spark, d):
+    return hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "query_id")
+
+
+def _activation(spark, d):
+    """The activation of every turn by every query."""
+    mem = _turn_vectors(spark, d)
+    sims = recall.similarities(mem, _query_vectors(spark, d), BITS240)
+    return sims.withColumn("act", recall.activation(F.col("sim"))).join(mem.select("id", "strength", "confidence", "superseded", "dormant"), "id")
 
-@query("u13_reindex", """with e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings),
-  p as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id),
-  n as (select * from (select *, row_number() over (partition by id order by sim desc, other) r from p) where r <= 4)
-select least(id, other) src, greatest(id, other) dst, max(sim) weight from n where not (least(id, other) = 0) group by 1, 2""")
+
+def _turn_edges(spark, d):
+    """Turns as like as 0.62, both ways, by an exact join."""
+    near = recall.nearest_pairs(checkpointed(_turn_vectors(spark, d).select("id", "hv")), None, least=0.62, bits=BITS240)
+    return checkpointed(near.select(F.col("id").alias("node"), "other", F.col("sim").alias("weight")))
+
+
+def _turn_pairs(spark, d, n: int | None = None, **options):
+    return recall.nearest_pairs(checkpointed(_turn_vectors(spark, d).select("id", "hv", "namespace")), n, within="namespace", bits=BITS240, **options)
+
+
+@query("u13_reindex", f"""with {TX}, {PAIRS}, n as (select * from (select *, row_number() over (partition by id order by sim desc, other) r from pr) where r <= 12)
+select least(id, other) src, greatest(id, other) dst, round(max(sim), 9) weight from n where greatest(id, other) <> least(id, other) + 2 group by 1, 2""")
 def _(spark, d):
-    pairs = _near_pairs(spark, d)
-    old = pairs.where("id = 0").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    return graph.nearest_links(pairs, old, 4)
+    """The twelve nearest of each turn within its role; turns two apart are linked already."""
+    old = m.turns(spark, d).select(F.col("seq").alias("src"), (F.col("seq") + 2).alias("dst"))
+    return graph.nearest_links(_turn_pairs(spark, d, 12), old, 12).select("src", "dst", r9("weight"))
 
 
-PAIRS = """e as (select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings),
-  pr as (select a.vec_id id, b.vec_id other, round(1 - sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) sim from e a join e b on a.label = b.label and a.vec_id <> b.vec_id)"""
+@query("w4_lexical_links", f"with {TX}, {PAIRS} select id src, other dst, round(sim, 9) weight from pr where sim >= 0.58 and other < id")
+def _(spark, d):
+    return maintain.lexical_links(_turn_pairs(spark, d, earlier=True, least=maintain.LINK_SIM)).select("src", "dst", r9("weight"))
 
 
-@query("w4_lexical_links", f"with {PAIRS} select id src, other dst, sim weight from pr where sim >= 0.58 and other < id")
+@query("w5_near_links", f"""with {TX}, {PAIRS}, b as (select *, row_number() over (partition by id order by sim desc, other) r, count(*) over (partition by id) n from pr where other < id)
+  select other src, id dst, round(sim, 9) weight from b where n >= 6 and r <= 4""")
 def _(spark, d):
-    return maintain.lexical_links(_near_pairs(spark, d)).select("src", "dst", "weight")
+    pairs = _turn_pairs(spark, d, maintain.NEAR_FROM, earlier=True)  # so many tell that enough rows are there
+    return maintain.near_links(pairs, pairs.select(F.col("other").alias("id")).distinct()).select("src", "dst", r9("weight"))
 
 
-@query("w5_near_links", f"""with {PAIRS}, b as (select *, row_number() over (partition by id order by sim desc, other) r, count(*) over (partition by id) n from pr where other < id)
-  select other src, id dst, sim weight from b where n >= 6 and r <= 4""")
+@query("w6_supersede_hints", f"""with {_hv_sql('documents', 'doc_id')}, lg as (select doc_id k, lang from documents),
+  pr as (select x.k id, y.k other, 1 - sum(bit_count(xor(x.v, y.v))) / 240.0::double sim from hvs x join hvs y on x.w = y.w and y.k < x.k join lg a on a.k = x.k join lg b on b.k = y.k where a.lang = b.lang group by 1, 2)
+select id, arg_max(other, (sim, -other)) hint, round(max(sim), 9) sim from pr group by 1 having max(sim) >= 0.72""")
 def _(spark, d):
-    pairs = _near_pairs(spark, d)
-    return maintain.near_links(pairs, pairs.select("id").distinct()).select("src", "dst", "weight")
+    """Documents as memories: which earlier one of its language each may replace."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("namespace"), "text")
+    vectors = hv.sql_bundles(docs, "id", "text", 4).join(docs.select("id", "namespace"), "id")
+    pairs = recall.nearest_pairs(checkpointed(vectors), 1, earlier=True, within="namespace", bits=BITS240)
+    return maintain.supersede_hints(pairs).select("id", "hint", r9("sim"))
 
 
-@query("w6_supersede_hints", f"with {PAIRS} select id, -max((sim, -other))[2] hint, max(sim) sim from pr where other < id group by 1 having max(sim) >= 0.72".replace("-max((sim, -other))[2]", "arg_max(other, (sim, -other))"))
+@query("w2_ingest_sql", f"""with recursive {TX}, {PAIRS}, od as (select id, row_number() over (order by id) i from (select distinct k id from hvs where k >= 0)), n as (select count(*) n from od),
+  st as (select 1::bigint i, id, 1::double nov, true ok, null::bigint ref, [id] held from od where i = 1 union all
+    select od.i, od.id, any_value(1 - coalesce(b.s, 0)), any_value(coalesce(b.s, 0) <= 0.94), any_value(case when b.s > 0.94 then b.o end), any_value(case when coalesce(b.s, 0) <= 0.94 then list_append(st.held, od.id) else st.held end)
+    from st join od on od.i = st.i + 1 left join lateral (select max(sim) s, arg_max(other, (sim, -other)) o from pr where pr.id = od.id and list_contains(st.held, pr.other)) b on true group by od.i, od.id)
+select id seq, round(nov, 6) novelty, ok stored, ref reinforces from st""")
 def _(spark, d):
-    return maintain.supersede_hints(_near_pairs(spark, d))
+    """Turns observed one after another in their roles' name spaces; without the veto of surprise."""
+    rows = _turn_vectors(spark, d).select("namespace", F.col("id").alias("seq"), "hv")
+    calm = rows.select("namespace", "seq", F.lit(False).alias("predictable"))
+    return ingest.admit(rows, predictable=calm, bits=BITS240).select("seq", "novelty", "stored", "reinforces")
 
 
-@query("w11_update")
+@query("w11_update", f"""with {TX}, {SIMS}, al as (select k id from (select distinct k from hvs where k >= 0) where k % 13 <> 0), bs as (select query_id, arg_max(id, (sim, -id)) found, max(sim) sim from sm join al using (id) group by 1),
+  rq as (select item_id request, case when item_id % 2 = 0 then item_id * 1000 end memory_id from benchmark),
+  tg as (select request, coalesce(al.id, case when memory_id is null and sim >= 0.6 then found end) target from rq left join al on al.id = memory_id left join bs on query_id = request),
+  nw as (select request, (select max(k) from hvs) + row_number() over (order by request) id from rq)
+select nw.id src, target dst, 'update' "type" from tg join nw using (request) where target is not null""")
 def _(spark, d):
-    mem = m.memories(spark, d)
-    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), "text", F.when(F.col("item_id") % 2 == 0, F.col("item_id") * 3).alias("memory_id"))
-    near = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), (F.col("item_id") * 5 + 1).alias("id"), (F.lit(0.4) + F.col("item_id") % 5 / 10.0).alias("sim"))
+    """Half of the requests name a turn, the others go by likeness."""
+    mem = _turn_vectors(spark, d)
+    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), "text", F.when(F.col("item_id") % 2 == 0, F.col("item_id") * 1000).alias("memory_id"))
+    near = recall.closest(mem.where("not superseded"), _query_vectors(spark, d), 1, BITS240).select(F.col("query_id").alias("request"), "id", "sim")
     return maintain.update(mem, asks, near, NOW)[1].select("src", "dst", "type")
 
 
-@query("w19_learn")
+@query("w11_update_rows", f"""with {TX}, {SIMS}, al as (select k id from (select distinct k from hvs where k >= 0) where k % 13 <> 0), bs as (select query_id, arg_max(id, (sim, -id)) found, max(sim) sim from sm join al using (id) group by 1),
+  rq as (select item_id request, case when item_id % 2 = 0 then item_id * 1000 end memory_id from benchmark),
+  tg as (select request, coalesce(al.id, case when memory_id is null and sim >= 0.6 then found end) target from rq left join al on al.id = memory_id left join bs on query_id = request),
+  old as (select distinct k id from hvs where k >= 0)
+select id, id % 13 = 0 or id in (select target from tg where target is not null) superseded, round(case when id in (select target from tg where target is not null) then least((id % 4)::double, 0.3) else (id % 4)::double end, 9) strength from old
+union all select (select max(id) from old) + row_number() over (order by request), false, 1 from rq""")
 def _(spark, d):
+    """The rows after the writes of w11_update: marked ones, and new ones behind them."""
+    mem = _turn_vectors(spark, d)
+    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("request"), "text", F.when(F.col("item_id") % 2 == 0, F.col("item_id") * 1000).alias("memory_id"))
+    near = recall.closest(mem.where("not superseded"), _query_vectors(spark, d), 1, BITS240).select(F.col("query_id").alias("request"), "id", "sim")
+    return maintain.update(mem, asks, near, NOW)[0].select("id", "superseded", r9("strength"))
+
+
+@query("w1_remember")
+def _(spark, d):
+    """Turns remembered in order, with atoms and links, by what their vectors of 10,000 bits and surprise say."""
+    turns = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text")
+    got = ingest.remember(turns)["decisions"]
+    return got.select("namespace", "seq", "source", "n", F.array_join("secrets", "; ").alias("secrets"), "novelty", "stored", "reinforces")
+
+
+_RULES = f"""nt as (select n_nationkey k, n_name || ' ' || (['regla', 'preferencia', 'decision', 'leccion'])[n_nationkey % 4 + 1] \"text\" from nation), {_hv_sql('nt', 'k')},
+  kn as (select x.k rule, y.k + 1 id, 1 - sum(bit_count(xor(x.v, y.v))) / 240.0::double sim from hvs x join hvs y on x.w = y.w and y.k < 10 group by 1, 2),
+  hit as (select rule, arg_max(id, (sim, -id)) id from kn where sim >= 0.9 group by 1)"""
+
+
+@query("w19_learn", f"""with {_RULES}, n as (select id, count(*) n from hit group by 1),
+  fresh as (select n_nationkey k, 10 + row_number() over (order by n_nationkey) id from nation where n_nationkey not in (select rule from hit))
+select (n_nationkey + 1)::bigint id, (['regla', 'preferencia', 'decision', 'leccion'])[n_nationkey % 4 + 1] kind, n_name \"text\", 1 + 0.5 * coalesce(n, 0)::double strength, coalesce(n, 0)::bigint access_count
+  from nation left join n on n.id = n_nationkey + 1 where n_nationkey < 10
+union all select fresh.id, (['regla', 'preferencia', 'decision', 'leccion'])[k % 4 + 1], n_name, 1, 0 from fresh join nation on k = n_nationkey""")
+def _(spark, d):
+    """Ten nations are known rules; all are learnt again, and told by the likeness of their texts with their kinds."""
     n = F.col("n_nationkey").cast("long")
     kind = F.element_at(F.array(*map(F.lit, maintain.KINDS)), (n % 4 + 1).cast("int"))
     rules = read(spark, d, "nation").where("n_nationkey < 10").select((n + 1).alias("id"), kind.alias("kind"), F.col("n_name").alias("text"), F.lit("__self__").alias("namespace"), F.lit(0.95).alias("importance"), F.lit(1.0).alias("strength"),
                                                                      F.lit(0).cast("long").alias("access_count"), F.lit(NOW).alias("created"), F.lit(NOW).alias("last_access"))
     new = read(spark, d, "nation").select(n.alias("rule"), kind.alias("kind"), F.col("n_name").alias("text"))
-    pairs = new.select("rule", (F.col("rule") + 1).alias("id"), F.lit(1.0).alias("sim")).where("id <= 10")
-    return maintain.learn(rules, new, pairs, NOW).select("id", "kind", "text", "strength", "access_count")
+    labelled = lambda rows, key: hv.sql_bundles(rows.select(key, F.concat_ws(" ", "text", "kind").alias("text")), key, "text", 4)
+    sims = recall.similarities(labelled(rules, "id"), labelled(new, "rule").withColumnRenamed("rule", "query_id"), BITS240)
+    return maintain.learn(rules, new, sims.withColumnRenamed("query_id", "rule"), NOW).select("id", "kind", "text", "strength", "access_count")
+
+
+@query("w19_unlearn", f"with {MEM} select id, namespace from mem where not (namespace = 'fr' and id % 10 = 3)")
+def _(spark, d):
+    """Rules (here: the rows of one name space) that no longer hold go for good; ids of other name spaces change nothing."""
+    mem = m.memories(spark, d)
+    links = m.links(spark, d)
+    return maintain.unlearn(mem, links, mem.where("id % 10 = 3").select("id"), "fr")[0].select("id", "namespace")
 
 
 @query("w18_sleep")
@@ -478,7 +598,7 @@ def _(spark, d):
     for c in ("consolidated", "superseded", "dormant"):
         rows = rows.withColumn(c, F.lit(False))
     links = rows.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.7).alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status"))
-    out = maintain.sleep(rows, links, NOW, lambda a, b: F.lit(0.63))
+    out = maintain.sleep(rows, links, NOW, lambda a, b: hv.similarity_udf(F.col(f"{a}.hv"), F.col(f"{b}.hv")))
     return out["memories"].select("id", "namespace", "kind", "consolidated", "dormant")
 
 
@@ -525,18 +645,19 @@ def _(spark, d):
 
 @query("x10_clustered")
 def _(spark, d):
-    mem, _ = navigate.clustered(spark, 20, 50)
-    return mem.groupBy("cluster").agg(F.count("*").alias("n"))
-
-
-def _activation(spark, d):
-    """Queries are regions; the activation of a part is a fixed function of both."""
-    q = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("query_id"))
-    act = (F.col("id") * 31 + F.col("query_id") * 17) % 1000 / 2500.0
-    return m.parts(spark, d).crossJoin(F.broadcast(q)).select("query_id", "id", act.alias("act"), "strength", "confidence", "superseded", "dormant")  # five rows
-
-
-ACT = "act as (select r_regionkey::bigint query_id, id, ((id * 31 + r_regionkey * 17) % 1000)::double / 2500 act, strength, confidence, superseded, dormant from prt, region)"
+    """Beams of several widths over rings of generated vectors: fidelity to the exact search, share of hits of the query's group, share of rows visited."""
+    mem, ring = navigate.clustered(spark, 20, 50)
+    mem = checkpointed(mem)
+    asks = mem.where("id % 25 = 3").select(F.col("id").alias("query_id"), "hv")
+    exact = checkpointed(recall.closest(mem, asks, 5).select("query_id", "id"))
+    labels = mem.select("id", F.col("cluster").alias("label"))
+    out = None
+    for ef in (6, 24):
+        got = checkpointed(navigate.search(mem, ring, asks, 5, ef))
+        one = evaluate.fidelity(got, exact, 5).crossJoin(evaluate.group_precision(got, labels).select("precision")).crossJoin(got.agg(F.round(F.avg("visited") / mem.count(), 9).alias("visited")))
+        one = one.withColumn("ef", F.lit(ef))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _spread_sql(hops: int, seeds: int, factor: float) -> str:
@@ -548,48 +669,61 @@ def _spread_sql(hops: int, seeds: int, factor: float) -> str:
     return out
 
 
-@query("r5_spread", f"with {LNK}, {NEI}, {PRT}, {ACT}, {_spread_sql(2, 5, 0.5)} select query_id, id, round(spread, 9) spread from s2 where spread > act")
+@query("r5_spread", f"with {TX}, {SIMS}, {ACT}, {PAIRS}, {TNEI}, {_spread_sql(2, 5, 0.5)} select query_id, id, round(spread, 9) spread from s2 where spread > act")
 def _(spark, d):
-    got = graph.spread(_activation(spark, d).select("query_id", "id", "act"), graph.neighbours(m.links(spark, d)), 5, 2)
+    got = graph.spread(checkpointed(_activation(spark, d).select("query_id", "id", "act")), _turn_edges(spark, d), 5, 2)
     return got.where("spread > act").select("query_id", "id", r9("spread"))
 
 
-@query("r19_muse", f"""with {LNK}, {NEI}, {PRT}, {ACT}, {_spread_sql(3, 3, 0.6)},
+@query("r19_muse", f"""with {TX}, {SIMS}, {ACT}, {PAIRS}, {TNEI}, {_spread_sql(3, 3, 0.6)},
   x as (select s.query_id, s.id, a.dormant, s.act, greatest(0, spread - s.act) gain from s3 s join act a on s.query_id = a.query_id and s.id = a.id),
   y as (select *, case when gain >= 0.05 then gain * case when dormant then 1.6 else 1 end when dormant and act >= 0.12 then act * 0.5 end score from x),
   z as (select *, row_number() over (partition by query_id order by score desc, id) r from y where score is not null)
 select query_id, id, round(score, 9) score, round(gain, 9) gain, dormant and gain >= 0.05 wakes from z where r <= 3""")
 def _(spark, d):
-    got = graph.muse(_activation(spark, d), graph.neighbours(m.links(spark, d)), 3, 3)
+    got = graph.muse(checkpointed(_activation(spark, d)), _turn_edges(spark, d), 3, 3)
     return got.select("query_id", "id", r9("score"), r9("gain"), "wakes")
 
 
-def _sim(a, b):
-    return 0.5 + (F.col(f"{a}.id") * 31 + F.col(f"{b}.id") * 17) % 300 / 1000.0
-
-
-@query("w16_dream", f"""with {LNK}, {NEI}, {PRT}, w as (select a.other a_id, b.other b_id, min(a.node) via from nei a join nei b on a.node = b.node and a.other < b.other group by 1, 2),
+@query("w16_dream", f"""with {TX}, {PAIRS}, {TNEI}, prt as (select distinct k id, (k % 11)::double / 10 confidence, k % 5 = 0 dormant from hvs where k >= 0),
+  w as (select a.other a_id, b.other b_id, min(a.node) via from nei a join nei b on a.node = b.node and a.other < b.other group by 1, 2),
   o as (select w.*, least(x.weight, y.weight) path from w join nei x on x.node = via and x.other = a_id join nei y on y.node = via and y.other = b_id where not exists (from nei where nei.node = a_id and nei.other = b_id)),
-  c as (select o.*, 0.5::double + ((a_id * 31 + b_id * 17) % 300)::double / 1000 sim, (p.confidence + q.confidence) / 2 conf, p.dormant or q.dormant latent from o join prt p on p.id = a_id join prt q on q.id = b_id),
+  c as (select o.*, ps.sim, (p.confidence + q.confidence) / 2 conf, p.dormant or q.dormant latent from o join ps on ps.id = a_id and ps.other = b_id join prt p on p.id = a_id join prt q on q.id = b_id),
   f as (select *, case when sim < 0.55 or sim > 0.72 then 0 when sim <= 0.63 then (sim - 0.55) / (0.63 - 0.55) else (0.72 - sim) / (0.72 - 0.63) end fit from c)
 select a_id, b_id, via, round(path, 9) path, round(sim, 9) sim, round(fit * (0.5 + path) * (0.5 + conf) * case when latent then 1.15 else 1 end, 9) score from f where fit > 0
 order by round(fit * (0.5 + path) * (0.5 + conf) * case when latent then 1.15 else 1 end, 9) desc, a_id, b_id limit 20""")
 def _(spark, d):
-    got = graph.dream(m.parts(spark, d), graph.neighbours(m.links(spark, d)), _sim, 20)
+    """Turns that one turn is like but that are not alike themselves, by their own vectors."""
+    nodes = checkpointed(_turn_vectors(spark, d).select("id", "confidence", "dormant", "hv"))
+    got = graph.dream(nodes, _turn_edges(spark, d), lambda a, b: hv.sql_similarity(F.col(f"{a}.hv"), F.col(f"{b}.hv"), 4), 20)
     return got.select("a_id", "b_id", "via", r9("path"), r9("sim"), r9("score"))
 
 
+@query("g2_dream_all", f"""with {TX}, {PAIRS}, nei as (select id node, other, sim weight from pr where sim >= 0.62), prt as (select distinct k id, role, (k % 11)::double / 10 confidence, k % 5 = 0 dormant from hvs join rl using (k) where k >= 0),
+  w as (select a.other a_id, b.other b_id, min(a.node) via from nei a join nei b on a.node = b.node and a.other < b.other group by 1, 2),
+  o as (select w.*, least(x.weight, y.weight) path from w join nei x on x.node = via and x.other = a_id join nei y on y.node = via and y.other = b_id where not exists (from nei where nei.node = a_id and nei.other = b_id)),
+  c as (select o.*, p.role, pr.sim, (p.confidence + q.confidence) / 2 conf, p.dormant or q.dormant latent from o join pr on pr.id = a_id and pr.other = b_id join prt p on p.id = a_id join prt q on q.id = b_id),
+  f as (select *, case when sim < 0.55 or sim > 0.72 then 0 when sim <= 0.63 then (sim - 0.55) / (0.63 - 0.55) else (0.72 - sim) / (0.72 - 0.63) end fit from c),
+  z as (select *, row_number() over (partition by role order by round(fit * (0.5 + path) * (0.5 + conf) * case when latent then 1.15 else 1 end, 9) desc, a_id, b_id) r from f where fit > 0)
+select role namespace, a_id, b_id, round(sim, 9) sim from z where r <= 5""")
+def _(spark, d):
+    """Bridges of every name space."""
+    nodes = checkpointed(_turn_vectors(spark, d).select("id", "namespace", "confidence", "dormant", "hv"))
+    got = graph.dream_all(nodes, _turn_edges(spark, d), lambda a, b: hv.sql_similarity(F.col(f"{a}.hv"), F.col(f"{b}.hv"), 4), 5)
+    return got.select("namespace", "a_id", "b_id", r9("sim"))
+
+
 # ------------------------------------------------------------ recall
 
 
-@query("r8_gate", f"""with {PRT}, {ACT}, o as (select *, row_number() over (partition by query_id order by act desc, id) r, count(*) over (partition by query_id) n from act),
+@query("r8_gate", f"""with {TX}, {SIMS}, {ACT}, o as (select *, row_number() over (partition by query_id order by act desc, id) r, count(*) over (partition by query_id) n from act),
   g as (select query_id, max(act) best, count(*) filter (r > 5) n_tail, avg(act) filter (r > 5) mu, stddev_pop(act) filter (r > 5) sd from o group by 1)
 select query_id, round(best, 9) best, n_tail::bigint n_tail, round(mu, 9) mu, round(sd, 9) sd, case when best < 0.19 then 'nothing relevant' when best < mu + 2 * sd then 'nothing stands out' else 'answer' end reason from g""")
 def _(spark, d):
     return recall.gate(_activation(spark, d).select("query_id", "id", "act")).select("query_id", r9("best"), F.col("n_tail").cast("long").alias("n_tail"), r9("mu"), r9("sd"), "reason")
 
 
-@query("r6_scores", f"""with {PRT}, {ACT}, s as (select *, act * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act),
+@query("r6_scores", f"""with {TX}, {SIMS}, {ACT}, s as (select *, act * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act),
   r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank" from s)
 select query_id, "rank"::int "rank", id, round(score, 9) score from r where "rank" <= 5 and act >= 0.03""")
 def _(spark, d):
@@ -598,19 +732,33 @@ def _(spark, d):
     return a.withColumn("rank", F.row_number().over(top)).where("rank <= 5 and act >= 0.03").select("query_id", "rank", "id", r9("score"))
 
 
-@query("r1_recall_sql", f"""with tx as (select conv_id * 1000 + turn k, text from conversations union all select -1 - item_id, text from benchmark), {_hv_sql('tx', 'k')},
-  q as (select * from hvs where k < 0), mm as (select * from hvs where k >= 0),
-  sim as (select -1 - q.k query_id, mm.k id, 1 - sum(bit_count(xor(q.v, mm.v))) / 240.0::double sim from q join mm on q.w = mm.w group by 1, 2),
-  a as (select *, greatest(0, 2 * (sim - 0.5)) act, greatest(0, 2 * (sim - 0.5)) * (0.7 + 0.3 * (id % 4) / 3::double) * (0.6 + 0.4 * (id % 11) / 10::double) score from sim),
-  r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank", row_number() over (partition by query_id order by act desc, id) dr, count(*) over (partition by query_id) n from a),
-  h as (select * from r where "rank" <= 5 and act >= 0.03), nt as (select query_id, count(*) nt from h group by 1),
-  g as (select r.query_id, max(act) best, avg(act) filter (dr > coalesce(nt, 5)) mu, stddev_pop(act) filter (dr > coalesce(nt, 5)) sd from r left join nt on r.query_id = nt.query_id group by 1)
-select h.query_id, "rank"::int "rank", id, round(sim, 9) sim, round(score, 9) score from h join g on h.query_id = g.query_id where best >= 0.19 and best >= mu + 2 * sd""")
+def _gated(spread: str) -> str:
+    """Ranking and abstention over act and a table `fin` (query_id, id, final)."""
+    return f"""a as (select act.*, final, final * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act join {spread} using (query_id, id)),
+  r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank", row_number() over (partition by query_id order by act desc, id) dr from a),
+  h as (select * from r where "rank" <= 5 and final >= 0.03), nt as (select query_id, count(*) nt from h group by 1),
+  g as (select r.query_id, max(act) best, avg(act) filter (dr > nt) mu, stddev_pop(act) filter (dr > nt) sd from r join nt on r.query_id = nt.query_id group by 1)
+select h.query_id, "rank"::int "rank", id, round(sim, 9) sim, round(score, 9) score from h join g on h.query_id = g.query_id where best >= 0.19 and best >= mu + 2 * sd"""
+
+
+@query("r1_recall_sql", f"with {TX}, {SIMS}, {ACT}, fin as (select query_id, id, act final from act), {_gated('fin')}")
 def _(spark, d):
-    mem = hv.sql_bundles(m.turns(spark, d), "seq", "text", 4).withColumnRenamed("seq", "id")
-    q = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "query_id")
-    sims = recall.sql_similarities(mem, q, 4).withColumn("strength", F.col("id") % 4).withColumn("confidence", F.col("id") % 11 / 10.0).withColumn("superseded", F.lit(False))
-    return recall.recall(sims).select("query_id", "rank", "id", r9("sim"), r9("score"))
+    got = recall.search(_turn_vectors(spark, d), _query_vectors(spark, d), bits=BITS240)
+    return got.select("query_id", "rank", "id", r9("sim"), r9("score"))
+
+
+@query("r1_recall_hops", f"with {TX}, {SIMS}, {ACT}, {PAIRS}, {TNEI}, {_spread_sql(1, 5, 0.5)}, fin as (select query_id, id, spread final from s1), {_gated('fin')}")
+def _(spark, d):
+    """Recall with its usual one round of spreading, from the partial lists alone."""
+    got = recall.search(checkpointed(_turn_vectors(spark, d)), _query_vectors(spark, d), edges=_turn_edges(spark, d), hops=1, bits=BITS240)
+    return got.select("query_id", "rank", "id", r9("sim"), r9("score"))
+
+
+@query("r9_touches", f"with {TX}, {SIMS}, {ACT}, fin as (select query_id, id, act final from act), hit as (with {_gated('fin')}) select id, count(*)::bigint n from hit where score >= 0.10 group by 1")
+def _(spark, d):
+    """What recall would reinforce."""
+    got = recall.search(_turn_vectors(spark, d), _query_vectors(spark, d), bits=BITS240)
+    return recall.touches(got).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query("r22_bm25", rf"""with d as (select doc_id id, {TOK.format('text')} ts from documents), n as (select count(*) n, avg(len(ts)) mean from d),
@@ -659,6 +807,23 @@ def _(spark, d):
     return surprise.surprise(obs).select("seq", "n_tokens", F.round("surprise", 8).alias("surprise"), "predictable")
 
 
+@query("u15_seeded_surprise", f"with {SUR} select seq, n::int n_tokens, round(s, 8) surprise, case when seen < 40 then s < 0.05 else s <= low end predictable from hs where seq >= 30000")
+def _(spark, d):
+    """Later turns, scored with the counts and the history that the earlier ones left."""
+    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), "seq", tx.tokens(F.col("text")).alias("tokens"))
+    early, late = obs.where("seq < 30000"), obs.where("seq >= 30000")
+    counts = checkpointed(surprise.merged_counts(spark.createDataFrame([], "namespace string, context string, token string, count long"), early))
+    history = checkpointed(surprise.merged_history(spark.createDataFrame([], "id long, namespace string, score double"), surprise.surprise(early)))
+    return surprise.surprise(late, counts, history).select("seq", "n_tokens", F.round("surprise", 8).alias("surprise"), "predictable")
+
+
+@query("u14_history", f"with {SUR} select row_number() over (order by seq)::bigint id, round(s, 8) score from hs qualify row_number() over (order by seq desc) <= 300")
+def _(spark, d):
+    obs = m.turns(spark, d).select(F.lit("all").alias("namespace"), "seq", tx.tokens(F.col("text")).alias("tokens"))
+    got = surprise.merged_history(spark.createDataFrame([], "id long, namespace string, score double"), surprise.surprise(obs))
+    return got.select("id", F.round("score", 8).alias("score"))
+
+
 @query("u14_counts", rf"""with p as (select conv_id, {TOK.format('text')} ts from conversations), x as (select ts[i] token, case when i > 1 then ts[i - 1] end prev from p, unnest(range(1, len(ts) + 1)) u(i))
   select context, token, sum(n)::bigint "count" from (select '' context, token, count(*) n from x group by 2 union all select prev, token, count(*) from x where prev is not null group by 1, 2) group by 1, 2""")
 def _(spark, d):
@@ -769,13 +934,32 @@ def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", context.intent(F.col("text")).alias("intent"))
 
 
-@query("r20_policy")
+_MSGS = f"""tx as (select -1 - (conv_id * 1000 + turn) k, text from conversations where role = 'user' union all select item_id, text from benchmark), {_hv_sql('tx', 'k')}, {SIMS},
+  act as (select query_id, id, sim, greatest(0, 2 * (sim - 0.5)) act, 1::double strength, 0.5::double confidence, false superseded from sm), fin as (select query_id, id, act final from act)"""
+_INTENT = rf"""case when trim(text) = '' then 'empty' when regexp_matches(text, '{_BORDERED[context.CREATIVE]}') then 'creative'
+  when regexp_matches(text, '[?¿]') or regexp_matches(text, '{_BORDERED[context.CLEAR]}') then 'question_clear' when regexp_matches(text, '{_BORDERED[context.DOUBTFUL]}') then 'question_doubtful'
+  when regexp_matches(text, '{_AFFIRMS}') then 'affirms' else 'other' end"""
+_SURE = rf"case when regexp_matches(text, '[?¿]') or regexp_matches(text, '{_BORDERED[context.CLEAR]}') then 'clear' when regexp_matches(text, '{_BORDERED[context.DOUBTFUL]}') then 'doubtful' end"
+_HITS3 = _gated("fin").replace('"rank" <= 5 and final', '"rank" <= 3 and final').replace('round(sim, 9) sim, round(score, 9) score', 'act, score')
+_DECIDED = f"""hit as (with {_HITS3}), b as (select query_id, count(*) n, count(*) filter (act >= 0.18) n_sim, max(score) filter ("rank" = 1) top, count(*) filter (score >= 0.10 and act >= 0.18) n_vol from hit group by 1),
+  ms as (select conv_id * 1000 + turn query_id, text, {_INTENT} intent, {_SURE} sure, regexp_matches(text, '{_AFFIRMS}') affirms from conversations where role = 'user'),
+  dc as (select ms.*, case when sure = 'clear' then coalesce(n, 0) when sure is not null then coalesce(n_sim, 0) when affirms then 0 else coalesce(n_vol, 0) end nh, top from ms left join b using (query_id)),
+  de as (select query_id, intent, case when intent = 'empty' then 'nothing' when sure is null and affirms then case when coalesce(top >= 0.12, false) then 'update?' else 'remember?' end when nh > 0 then 'recall' else 'nothing' end "action",
+    case when intent = 'empty' then 0 else nh end n_hits from dc)"""
+
+
+def _answered(spark, d, strip: bool):
+    """Users' messages, their three best texts of `benchmark`, and those texts."""
+    texts = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    mem = hv.sql_bundles(texts, "id", "text", 4).withColumns({"strength": F.lit(1.0), "confidence": F.lit(0.5), "superseded": F.lit(False)})
+    msgs = m.turns(spark, d).where("role = 'user'").select(F.col("seq").alias("query_id"), (context.stripped(F.col("text")) if strip else F.col("text")).alias("text"))
+    return msgs, recall.search(mem, hv.sql_bundles(msgs, "query_id", "text", 4), 3, bits=BITS240), texts
+
+
+@query("r20_policy", f'with {_MSGS}, {_DECIDED} select query_id, intent, "action", n_hits::bigint n_hits from de')
 def _(spark, d):
-    mem = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "id")
-    msgs = m.turns(spark, d).where("role = 'user'").select(F.col("seq").alias("query_id"), "text")
-    q = hv.sql_bundles(msgs, "query_id", "text", 4)
-    sims = recall.sql_similarities(mem, q, 4).withColumn("strength", F.lit(1.0)).withColumn("confidence", F.lit(0.5)).withColumn("superseded", F.lit(False))
-    return context.decide(msgs, recall.recall(sims, k=3))
+    msgs, hits, _ = _answered(spark, d, False)
+    return context.decide(msgs, hits)
 
 
 @query("b1_budget")
@@ -805,14 +989,17 @@ def _(spark, d):
     return read(spark, d, "events").select("event_id", context.log_line(F.col("ts"), F.col("event_type"), F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("line"))
 
 
-@query("b3_hook_context")
+@query("b3_hook_context", f"""with recursive {_MSGS}, {_DECIDED}, li as (select query_id k, hit."rank" i, {_T.replace('text', 'bm.text')} c from hit join benchmark bm on bm.item_id = hit.id where query_id in (select query_id from de where "action" = 'recall')),
+  t as (select k, row_number() over (partition by k order by i) i, c from li union all select distinct k, 0, 2 from li), s as (select k, count(*) n, sum(c) total from t group by 1),
+  cap as (select *, greatest(0, 350 - {EST.format(_NOTE.format("greatest(1, n - 1)"))}) cap from s),
+  f as (select t.k, t.i, t.c spent, 1 kept from t where i = 0 union all
+    select f.k, t.i, case when f.spent + t.c <= cap then f.spent + t.c else f.spent end, case when f.spent + t.c <= cap then f.kept + 1 else f.kept end from f join t on t.k = f.k and t.i = f.i + 1 join cap on cap.k = f.k),
+  l as (select k, arg_max(spent, i) spent, arg_max(kept, i) kept from f group by 1)
+select l.k "key", case when total <= 350 then 0 else n - kept end::int omitted, case when total <= 350 then total else spent + case when n > kept then {EST.format(_NOTE.format("(n - kept)"))} else 0 end end::int tokens,
+  case when total <= 350 then n else kept + case when n > kept then 1 else 0 end end::int n_kept from l join cap using (k)""")
 def _(spark, d):
-    """Each user's message asked of all earlier-known texts of `benchmark`, then policy, then budget."""
-    texts = read(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    mem = hv.sql_bundles(texts, "id", "text", 4)
-    msgs = m.turns(spark, d).where("role = 'user'").select(F.col("seq").alias("query_id"), context.stripped(F.col("text")).alias("text"))
-    sims = recall.sql_similarities(mem, hv.sql_bundles(msgs, "query_id", "text", 4), 4).withColumn("strength", F.lit(1.0)).withColumn("confidence", F.lit(0.5)).withColumn("superseded", F.lit(False))
-    hits = recall.recall(sims, k=3)
+    """Each user's message asked of the texts of `benchmark`, then policy, then budget."""
+    msgs, hits, texts = _answered(spark, d, True)
     return context.hook_context(context.decide(msgs, hits), hits, texts).select("key", "omitted", "tokens", F.size("kept").alias("n_kept"))
 
 
@@ -865,28 +1052,61 @@ def _(spark, d):
     return nearest_ranks(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("p95")), ["flag"], "p95", 0.95)
 
 
-@query("x2_group_precision", """with h as (select vec_id query_id, vec_id + k id from embeddings, range(1, 6) r(k)), j as (select a.label = b.label ok from h join embeddings a on a.vec_id = h.id join embeddings b on b.vec_id = h.query_id)
+_NEAREST = """e as (select vec_id, label, embedding::double[] v from embeddings), q as (select * from e where vec_id % 50 = 0),
+  ex as (select * from (select q.vec_id query_id, e.vec_id id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.v, e.v), 9) desc, e.vec_id) r from q join e on q.vec_id <> e.vec_id) where r <= 5)"""
+
+
+def _nearest_five(spark, d, dims: int | None = None):
+    """(query_id, id): the five nearest by cosine to each vector whose id is divisible by 50, by all or the first components."""
+    v = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), v.alias("v"))
+    return recall.cosine_nearest(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 5).select("query_id", "id")
+
+
+@query("x2_group_precision", f"""with {_NEAREST}, j as (select a.label = b.label ok from ex join e a on a.vec_id = ex.id join e b on b.vec_id = ex.query_id)
   select round(avg(ok::int), 9) "precision", count(*)::bigint n from j""")
 def _(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    hits = e.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 5)).alias("id"))
-    return evaluate.group_precision(hits, e)
+    return evaluate.group_precision(_nearest_five(spark, d), read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"))
 
 
-@query("x2_fidelity", """with ex as (select vec_id query_id, vec_id * 3 + k id from embeddings, range(5) r(k)), got as (select query_id, id from ex where id in (select vec_id from embeddings))
-  select round(avg(f), 9) fidelity, count(*)::bigint queries from (select ex.query_id, count(got.id)::double / 5 f from ex left join got on ex.query_id = got.query_id and ex.id = got.id group by 1)""")
+@query("x2_fidelity", f"""with {_NEAREST}, ap as (select * from (select q.vec_id query_id, e.vec_id id, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.v[1:32], e.v[1:32]), 9) desc, e.vec_id) r from q join e on q.vec_id <> e.vec_id) where r <= 5)
+  select round(avg(f), 9) fidelity, count(*)::bigint queries from (select ex.query_id, count(ap.id)::double / 5 f from ex left join ap on ex.query_id = ap.query_id and ex.id = ap.id group by 1)""")
 def _(spark, d):
-    exact = read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.col("vec_id") * 3, F.col("vec_id") * 3 + 4)).alias("id"))
-    return evaluate.fidelity(exact.join(read(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi"), exact, 5)
+    """How much of the exact search a search by half of the components finds."""
+    return evaluate.fidelity(_nearest_five(spark, d, 32), _nearest_five(spark, d), 5)
 
 
-@query("x3_sweep", """with o as (select o_orderkey % 2 = 0 positive, (o_orderkey * 37 % 100)::double / 200 best, (o_orderkey * 11 % 50)::double / 500 mu, (o_orderkey * 7 % 30)::double / 300 sd from orders),
+@query("x3_sweep", f"""with {TX}, {SIMS}, {PAIRS}, own as (select distinct k from hvs where k >= 0 and k % 7 = 0),
+  al as (select false pos, query_id, id, greatest(0, 2 * (sim - 0.5)) act from sm union all select true, id, other, greatest(0, 2 * (sim - 0.5)) from ps where id in (from own) union all select true, k, k, 1 from own),
+  r as (select *, row_number() over (partition by pos, query_id order by act desc, id) r from al), o as (select pos positive, query_id, max(act) best, avg(act) filter (r > 5) mu, stddev_pop(act) filter (r > 5) sd from r group by 1, 2),
   g as (select f::double "floor", z::double z from (values (0.08), (0.17), (0.19)) a(f), (values (1.5), (2.0), (2.5)) b(z))
-select "floor", z, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (positive), 9) answered, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (not positive), 9) false_recall from o, g group by 1, 2""")
-def _(spark, d):
-    k = F.col("o_orderkey")
-    obs = read(spark, d, "orders").select((k % 2 == 0).alias("positive"), (k * 37 % 100 / 200.0).alias("best"), (k * 11 % 50 / 500.0).alias("mu"), (k * 7 % 30 / 300.0).alias("sd"))
-    return evaluate.sweep(obs, [0.08, 0.17, 0.19], [1.5, 2.0, 2.5])
+select "floor", z, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (positive), 6) answered, round(avg((best >= "floor" and not best < mu + z * sd)::int) filter (not positive), 6) false_recall from o, g group by 1, 2""")
+def _(spark, d):
+    """Turns that are asked for by their own text should be answered; texts of `benchmark` are about something else."""
+    mem = checkpointed(_turn_vectors(spark, d))
+    asked = {True: mem.where("id % 7 = 0").select(F.col("id").alias("query_id"), "hv"), False: _query_vectors(spark, d)}
+    signals = None
+    for positive, queries in asked.items():
+        act = recall.similarities(mem, queries, BITS240).select("query_id", "id", recall.activation(F.col("sim")).alias("act"))
+        one = recall.gate(checkpointed(act)).select(F.lit(positive).alias("positive"), "best", "mu", "sd")
+        signals = one if signals is None else signals.unionByName(one)
+    got = evaluate.sweep(signals, [0.08, 0.17, 0.19], [1.5, 2.0, 2.5])
+    return got.select("floor", "z", F.round("answered", 6).alias("answered"), F.round("false_recall", 6).alias("false_recall"))
+
+
+@query("x4_ablations", f"""with {TX}, {PAIRS}, {TNEI}, own as (select distinct k from hvs where k >= 0 and k % 7 = 0), sm as (select id query_id, other id, sim from ps where id in (from own)), {ACT}, {_spread_sql(1, 5, 0.5)},
+  v as (select query_id, id, act, spread, strength, confidence, superseded from act join (select query_id, id, spread from s1) using (query_id, id)),
+  x as (select unnest([{{'arm': 'plain', 'v': act}}, {{'arm': 'strength', 'v': act * (0.7 + 0.3 * least(strength, 3) / 3)}}, {{'arm': 'confidence', 'v': act * (0.6 + 0.4 * confidence)}}, {{'arm': 'spread', 'v': spread}}]) u, query_id, id from v),
+  r as (select u.arm arm, query_id, id, row_number() over (partition by u.arm, query_id order by round(u.v, 12) desc, id) rk from x), w as (select query_id, max(act) best from act group by 1), tg as (select query_id, min(id) id from act join w using (query_id) where act = best group by 1)
+select arm category, count(*)::bigint n, round(avg(1.0::double / rk), 9) mrr, round(avg((rk <= 1)::int), 9) hit1, round(avg((rk <= 3)::int), 9) hit3 from r join tg using (query_id, id) group by 1""")
+def _(spark, d):
+    """What each part of the score does to the rank of a turn's nearest other turn."""
+    mem = checkpointed(_turn_vectors(spark, d))
+    sims = recall.similarities(mem, mem.where("id % 7 = 0").select(F.col("id").alias("query_id"), "hv"), BITS240).where("id <> query_id")
+    act = checkpointed(sims.withColumn("act", recall.activation(F.col("sim"))).join(mem.select("id", "strength", "confidence", "superseded"), "id"))
+    best = act.groupBy("query_id").agg(F.max(F.struct("act", (-F.col("id")).alias("minus"))).alias("b")).select("query_id", (-F.col("b.minus")).alias("id"))
+    spread = graph.spread(act.select("query_id", "id", "act"), _turn_edges(spark, d), 5, 1).select("query_id", "id", "spread")
+    return evaluate.ablate(act.join(spread, ["query_id", "id"]), best)
 
 
 @query("x5_longitudinal", f"""with {RUN}, pr as (select c_custkey probe_id, 'user' || (c_custkey % 60) subject, 1704067200000000 + c_custkey * 7000000 "at" from customer),
@@ -931,7 +1151,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = atoms.select((F.col("doc_id") * 100_000 + F.col("n")).alias("id"), "atom")
     mem = atoms.select("id", hv.encoder()("atom").alias("hv"), F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
     asks = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), hv.encoder()("text").alias("hv"))
-    return recall.search(mem, asks, 5)
+    return recall.search(mem, asks, 5).select("query_id", "rank", "id", "sim", "score")
 
 
 def queries() -> dict:

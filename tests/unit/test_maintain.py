@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramma.functions import hv
-from engramma.operators import maintain, navigate, recall
+from engramma.operators import graph, maintain, navigate, recall
 from tests.unit.test_engine import memories, rows
 
 
@@ -62,3 +62,35 @@ def test_navigation_is_faithful(spark):
     wide = mem.withColumn("strength", F.lit(1.0)).withColumn("confidence", F.lit(0.5)).withColumn("superseded", F.lit(False))
     exact = recall.search(wide, asks, 1)
     assert rows(exact.select("query_id", "id")) == [(i, i) for i in range(3, 240, 40)]
+
+
+def test_unlearn_and_autosleep(spark):
+    mem = memories(spark, [dict(id=1, namespace="__self__"), dict(id=2, namespace="__self__"), dict(id=3, namespace="a")])
+    links = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    left, edges = maintain.unlearn(mem, links, spark.createDataFrame([(1,), (3,)], "id long"))
+    assert rows(left.select("id")) == [(2,), (3,)] and rows(edges) == [(2, 3)]
+    meta = spark.createDataFrame([("a", "writes", "48"), ("a", "other", "x"), ("b", "writes", "7")], "namespace string, key string, value string")
+    new, due = maintain.autosleep(meta, spark.createDataFrame([("a",), ("a",), ("c",)], "namespace string"))
+    assert rows(new) == [("a", "other", "x"), ("a", "writes", "50"), ("b", "writes", "7"), ("c", "writes", "1")] and rows(due) == [("a",)]
+    assert rows(maintain.slept(new, due)) == [("a", "other", "x"), ("a", "writes", "0"), ("b", "writes", "7"), ("c", "writes", "1")]
+
+
+def test_graph_structure(spark):
+    ring = [(i, (i + 1) % 12, 1.0) for i in range(12)]
+    both = spark.createDataFrame([e for a, b, w in ring for e in ((a, b, w), (b, a, w))], "node long, other long, weight double")
+    got = graph.coverage(both).first()
+    assert (got.nodes, got.components, got.mean_degree, round(got.two_hops, 6), got.shortcuts) == (12, 1, 2.0, round(5 / 12, 6), True)
+    more = graph.with_shortcuts(both)
+    assert more.count() > both.count() and rows(more.where("weight > 0")) == rows(both)
+    dense = spark.createDataFrame([(a, b, 1.0) for a in range(10) for b in range(10) if a != b], "node long, other long, weight double")
+    assert graph.with_shortcuts(dense).count() == 90
+    star = spark.createDataFrame([(0, i, i / 10) for i in range(1, 9)] + [(7, 8, 0.01)], "src long, dst long, weight double")
+    assert rows(graph.capped(star, 3).select("src", "dst")) == [(0, 6), (0, 7), (0, 8), (7, 8)]
+
+
+def test_dream_of_every_name_space(spark):
+    nodes = spark.createDataFrame([(i, "a" if i < 4 else "b", 0.5, False) for i in range(8)], "id long, namespace string, confidence double, dormant boolean")
+    pairs = [(0, 1), (1, 2), (4, 5), (5, 6), (3, 4), (2, 3)]
+    e = spark.createDataFrame([x for a, b in pairs for x in ((a, b, 0.9), (b, a, 0.9))], "node long, other long, weight double")
+    got = graph.dream_all(nodes, e, lambda a, b: F.lit(0.6) + F.col(f"{a}.id") / 100, 2).collect()
+    assert [(r.namespace, r.a_id, r.b_id) for r in got] == [("b", 4, 6), ("a", 1, 3), ("a", 0, 2)]
