@@ -8,9 +8,12 @@ bounded by the block size and not by the batch.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,31 +37,63 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors,
     and gives a plain scan below later joins, so that adaptive execution may split skewed keys."""
     spark = df.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/engramma/{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(out)
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at the end, but for those given to the function it yields."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    outer = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(outer)
+        stay = {name for df in kept for file in df.inputFiles() for name in made if name.rsplit("/", 1)[1] in file}
+        if (above := _MADE.get()) is not None:
+            above.extend(stay)  # an outer scratch sees to them
+        for name in made:
+            if name not in stay:
+                _delete(spark, name)
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Delete tables written by `store` that no later step reads."""
     for df in frames:
         for name in df.inputFiles()[:1]:
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            if "/engramma/" in path.toString():
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if "/engramma/" in name:
+                _delete(df.sparkSession, name.rsplit("/", 1)[0])
 
 
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def bounded_batches(docs: DataFrame) -> DataFrame:
-    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes in this session, so that workers' memory does not follow text length."""
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, so that workers' memory does not follow text length.
+
+    These are settings of the session, read when a plan runs, after the operator has returned: they stay as set here (a smaller value of the caller's stays too)."""
     conf = docs.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = _number(conf.get(key))

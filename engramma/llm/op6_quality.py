@@ -11,7 +11,8 @@ one document, if longer).
 
 Defined cases: null or empty text has no words and fails the base rule; null
 `doc_id` is kept as null; repeated rows give repeated result rows; other columns
-are ignored; an empty table gives an empty result.
+are ignored and never clash; a very long text is a block of its own; an empty table gives an empty result.
+Lines and n-grams are compared by 64-bit hashes of mixes keyed by place.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramma.llm.common import U64, bounded_batches, drop_stored, mix, shuffle_parts, store
+from engramma.llm.common import U64, bounded_batches, mix, scratch, shuffle_parts, store
 from engramma.llm.components import components, forest
 
 TILE = 1024
@@ -337,26 +337,25 @@ def linked(unit: np.ndarray, tile: np.ndarray, across: bool, threshold: float):
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, cfg: Lattice = Lattice(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    all_ = sound_rows(rows, id_col, vec_col)
-    sound = all_.where("v is not null")
-    keyed = store(all_.select("vec_id", "a", "b"))
-    classes = keyed.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
-    met = store(candidates(sound, keyed.where("a is not null").count(), threshold, cfg))
-    groups = components(met)
-    grouped = sound.join(groups, F.col("a") == F.col("node")).groupBy("root", "a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
-    members = store(grouped.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand
-    drop_stored(met, groups)
-    found = store(group_links(members, threshold))
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "m")
-    named = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    per = members.select("num", "a", "b", "least").join(counts, F.col("num") == F.col("m"), "left").join(named.withColumnRenamed("root", "head"), F.col("num") == F.col("node"), "left")
-    per = per.select("a", "b", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("head", "num").alias("head"))
-    best = per.groupBy("head").agg(F.min("least").alias("component_id"))
-    per = store(per.join(best, "head").select("a", "b", "n", "component_id", F.lit(True).alias("in_group")))
-    drop_stored(found, members, named)
-    per = classes.join(per, ["a", "b"], "left")
-    comp = F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("least"))
-    per = store(per.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), comp.alias("component_id")))
+    with scratch(rows.sparkSession) as keep:
+        all_ = sound_rows(rows, id_col, vec_col)
+        sound = all_.where("v is not null")
+        keyed = keep(store(all_.select("vec_id", "a", "b")))
+        classes = keyed.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+        met = store(candidates(sound, keyed.where("a is not null").count(), threshold, cfg))
+        groups = components(met)
+        grouped = sound.join(groups, F.col("a") == F.col("node")).groupBy("root", "a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+        members = store(grouped.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand
+        found = store(group_links(members, threshold))
+        counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "m")
+        named = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        per = members.select("num", "a", "b", "least").join(counts, F.col("num") == F.col("m"), "left").join(named.withColumnRenamed("root", "head"), F.col("num") == F.col("node"), "left")
+        per = per.select("a", "b", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("head", "num").alias("head"))
+        best = per.groupBy("head").agg(F.min("least").alias("component_id"))
+        per = store(per.join(best, "head").select("a", "b", "n", "component_id", F.lit(True).alias("in_group")))
+        per = classes.join(per, ["a", "b"], "left")
+        comp = F.when(F.col("in_group"), F.col("component_id")).otherwise(F.col("least"))
+        per = keep(store(per.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), comp.alias("component_id"))))
     out = keyed.join(per, ["a", "b"], "left")
     comp = F.when(F.col("a").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(comp == F.col("vec_id"), F.col("vec_id").isNull() & comp.isNull())
