@@ -30,20 +30,25 @@ a line of any length is compared whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import drop_stored, store
+from engramma.llm.common import scratch, store
 
 MIN_BYTES, NEAR_WORDS = 1, 6
 BITS61 = (1 << 61) - 1
 CHUNK = 256
 DIRECT = 128  # pairs whose longer line has at most so many words: their variants are hashed as they are, which is quicker for short lines
 LAST = (1 << 63) - 1
+WHITE = " \t\r\x0b\x0c"
 
 
 def bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    """Without white space at its ends; most lines have none there, and trimming looks at all of a line."""
+    edges = [f(line, F.lit(c)) for c in WHITE for f in (F.startswith, F.endswith)]
+    return F.when(functools.reduce(lambda x, y: x | y, edges), F.btrim(line, F.lit(WHITE))).otherwise(line)
 
 
 def n_words(s: Column) -> Column:
@@ -58,15 +63,19 @@ def last_words(s: Column, n: Column) -> Column:
     return F.call_function("substring_index", s, F.lit(" "), -n)
 
 
-def document_key(id_col: str, text_col: str) -> Column:
-    return F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t"))
+# Keys are columns of longs and no structs, which sort many times slower.
+AT = ["o", "t", "n"]  # order of all lines of the corpus: document, text of equal documents, line
+
+
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("t")]
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
-    """(at, s): at orders all lines of the corpus."""
+    """(o, t, n, s): place and text of each line."""
     text = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
-    out = docs.select(document_key(id_col, text_col).alias("k"), F.posexplode(text).alias("n", "line"))
-    return out.select(F.struct("k.o", "k.t", "n").alias("at"), bare(F.col("line")).alias("s")).where(F.octet_length("s") >= min_bytes)
+    out = docs.select(*document_key(id_col, text_col), F.posexplode(text).alias("n", "line"))
+    return out.select(*AT, bare(F.col("line")).alias("s")).where(F.octet_length("s") >= min_bytes)
 
 
 def _keys(s: Column, n: Column, pieces) -> Column:
@@ -87,11 +96,11 @@ def _three_quarters(first, last, half, part):
     return [[first(half + part)], [first(half), last(part)], [last(half + part)], [last(half), first(part)]]
 
 
-def _shared(rows: DataFrame, keys: Column, ident: Column) -> DataFrame:
-    """Identities that have a key in common with another one."""
-    each = rows.select(ident.alias("i"), F.explode(F.array_distinct(keys)).alias("key"))
+def _shared(rows: DataFrame, keys: Column, ident: list[str]) -> DataFrame:
+    """Identities (columns) that have a key in common with another one."""
+    each = rows.select(*ident, F.explode(F.array_distinct(keys)).alias("key"))
     common = store(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    return each.join(common, "key", "left_semi").select("i").distinct()
+    return each.join(common, "key", "left_semi").select(*ident).distinct()
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -141,72 +150,74 @@ def without_word(s: Column, size: Column, dropped: Column) -> Column:
 
 
 def near_pairs(variants: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(first, w): lines with an earlier one that shares a key; the least one by key, or, for the lines of `wanted`, each."""
+    """(id, w): lines with an earlier one that shares a key; the least one by key, or, for the lines of `wanted`, each."""
     keys = ["v", "longer"]
     if wanted is not None:
-        mine = variants.join(wanted, "first", "left_semi")
-        others = variants.select(*keys, F.col("dropped").alias("d"), F.col("first").alias("w")).join(mine.select(*keys).distinct(), keys, "left_semi")
+        mine = variants.join(wanted, "id", "left_semi")
+        others = variants.select(*keys, F.col("dropped").alias("d"), F.col("id").alias("w")).join(mine.select(*keys).distinct(), keys, "left_semi")
         same = ((F.col("d") == F.col("dropped")) & (F.col("d") > 0)) | ((F.col("d") == 0) != (F.col("dropped") == 0))
-        return mine.join(others, keys).where((F.col("w") < F.col("first")) & same).select("first", "w").distinct()
-    by_word = variants.where("dropped > 0").groupBy(*keys, "dropped").agg(F.min("first").alias("w"), F.count("*").alias("c")).where("c > 1")
-    by_key = variants.groupBy(*keys).agg(F.min(F.when(F.col("dropped") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("dropped") > 0, F.col("first"))).alias("cut"))
+        return mine.join(others, keys).where((F.col("w") < F.col("id")) & same).select("id", "w").distinct()
+    by_word = variants.where("dropped > 0").groupBy(*keys, "dropped").agg(F.min("id").alias("w"), F.count("*").alias("c")).where("c > 1")
+    by_key = variants.groupBy(*keys).agg(F.min(F.when(F.col("dropped") == 0, F.col("id"))).alias("whole"), F.min(F.when(F.col("dropped") > 0, F.col("id"))).alias("cut"))
     by_word, by_key = store(by_word), store(by_key.where("whole is not null and cut is not null"))
-    pairs = variants.join(by_word, [*keys, "dropped"]).select("first", "w")
-    pairs = pairs.union(variants.join(by_key, keys).select("first", F.when(F.col("dropped") == 0, F.col("cut")).otherwise(F.col("whole"))))
-    return pairs.where("w < first").groupBy("first").agg(F.min("w").alias("w"))
+    pairs = variants.join(by_word, [*keys, "dropped"]).select("id", "w")
+    pairs = pairs.union(variants.join(by_key, keys).select("id", F.when(F.col("dropped") == 0, F.col("cut")).otherwise(F.col("whole"))))
+    return pairs.where("w < id").groupBy("id").agg(F.min("w").alias("w"))
 
 
 def near_lines(known: DataFrame, near_words: int) -> DataFrame:
-    """(at) of lines (first, s, size) that have an earlier one within one edit."""
+    """Places (o, t, n) of lines (id, place, s, size), numbered in order, that have an earlier one within one edit."""
     # dropped: number of the word left out, 0 for none; longer: words of the longer line of a pair with this key
     size, longer = F.col("size"), F.when(F.col("dropped") == 0, F.col("size") + 1).otherwise(F.col("size")).alias("longer")
-    cuts = known.where(size <= DIRECT).select("first", "s", "size", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
-    short = cuts.select("first", "dropped", longer, F.xxhash64(without_word(F.col("s"), size, F.col("dropped"))).alias("v")).where(F.col("longer") <= DIRECT)
-    long = known.where(size >= DIRECT).select("first", "size", F.posexplode(variant_hashes(F.col("s"))).alias("dropped", "v"))
-    long = long.select("first", "dropped", longer, "v").where(F.col("longer") > DIRECT)
+    cuts = known.where(size <= DIRECT).select("id", "s", "size", F.explode(F.sequence(F.lit(0), size)).alias("dropped"))
+    short = cuts.select("id", "dropped", longer, F.xxhash64(without_word(F.col("s"), size, F.col("dropped"))).alias("v")).where(F.col("longer") <= DIRECT)
+    long = known.where(size >= DIRECT).select("id", "size", F.posexplode(variant_hashes(F.col("s"))).alias("dropped", "v"))
+    long = long.select("id", "dropped", longer, "v").where(F.col("longer") > DIRECT)
     variants = store(short.union(long).where(F.col("longer") >= near_words))
-    left = known.select(F.col("first").alias("f1"), F.col("s").alias("s1"))
+    left = known.select(F.col("id").alias("w"), F.col("s").alias("s1"))
     near = within_one_edit(F.split("s", " "), F.split("s1", " "))
-    verified = lambda pairs: pairs.join(known, "first").join(left, F.col("w") == F.col("f1")).select("first", near.alias("near"))
+    verified = lambda pairs: pairs.join(known, "id").join(left, "w").select("id", *AT, near.alias("near"))
     checked = store(verified(near_pairs(variants)))
-    at = checked.where("near").select(F.col("first").alias("at"))
+    at = checked.where("near").select(*AT)
     if checked.where("not near").isEmpty():
         return at
-    more = verified(near_pairs(variants, checked.where("not near").select("first"))).where("near")
-    return at.union(store(more.select(F.col("first").alias("at")).distinct()))
+    more = verified(near_pairs(variants, checked.where("not near").select("id"))).where("near")
+    return at.union(store(more.select(*AT).distinct()))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(k, gone): of each document that loses lines, their numbers from 0 on."""
-    lines = lines_of(docs, id_col, text_col, min_bytes)
-    hashes = F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))
-    occurrences = lines.select("at", hashes.alias("h"))
-    sized = lines.select("at", hashes.alias("h"), "s", n_words(F.col("s")).alias("n"))
-    halves = F.when(F.col("n") >= near_words - 1, _keys(F.col("s"), F.col("n"), _halves))
-    classes = store(sized.select("at", "h", halves.alias("halves")).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
-
-    near = _shared(classes.where("halves is not null").select("first", "halves"), F.col("halves"), F.col("first"))
-    wanted = near.groupBy(F.struct("i.o", "i.t").alias("k")).agg(F.collect_set("i.n").alias("ns"))
-    texts = docs.select(document_key(id_col, text_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    texts = texts.join(wanted, "k").dropDuplicates(["k"])
-    texts = texts.select("k", F.explode("ns").alias("n"), F.split("body", "\n").alias("ls"))
-    known = texts.select(F.struct("k.o", "k.t", "n").alias("first"), bare(F.element_at("ls", F.col("n") + 1)).alias("s"))
+    """(o, t, gone): of each document that loses lines, their numbers from 0 on."""
+    hashes = [F.xxhash64("s").alias("ha"), F.xxhash64(F.lit(1), "s").alias("hb")]
+    lines = lines_of(docs, id_col, text_col, min_bytes).select(*AT, *hashes, "s", n_words(F.col("s")).alias("words"))
+    halves = F.when(F.col("words") >= near_words - 1, _keys(F.col("s"), F.col("words"), _halves))
+    classes = lines.select(*AT, "ha", "hb", halves.alias("halves")).groupBy("ha", "hb").agg(F.min(F.struct(*AT)).alias("at"), F.count("*").alias("c"), F.first("halves").alias("halves"))
+    classes = store(classes.select("ha", "hb", "at.*", "c", "halves"))
+
+    near = _shared(classes.where("halves is not null"), F.col("halves"), AT)
+    wanted = near.groupBy("o", "t").agg(F.collect_set("n").alias("ns"))
+    texts = docs.select(*document_key(id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    texts = texts.join(wanted, ["o", "t"]).dropDuplicates(["o", "t"])
+    texts = texts.select("o", "t", F.explode("ns").alias("n"), F.split("body", "\n").alias("ls"))
+    known = texts.select(*AT, bare(F.element_at("ls", F.col("n") + 1)).alias("s"))
     known = store(known.withColumn("size", n_words(F.col("s"))))
-    close = _shared(known, _keys(F.col("s"), F.col("size"), _three_quarters), F.col("first"))
-    known = store(known.join(close.withColumnRenamed("i", "first"), "first", "left_semi"))
+    close = _shared(known, _keys(F.col("s"), F.col("size"), _three_quarters), AT)
+    # numbers in the order of places: ranges follow one another, and so do numbers within one; written once, so they stand
+    ordered = store(known.join(close, AT, "left_semi")).repartitionByRange(*AT).sortWithinPartitions(*AT)
+    known = store(ordered.withColumn("id", F.monotonically_increasing_id()))
 
     # all later occurrences of a class, and first occurrences with an earlier neighbour
-    many = store(classes.where("c > 1").select("h", "first"))
-    again = occurrences.join(many, "h").where("at <> first").select("at")
-    gone = again.union(near_lines(known, near_words)).groupBy(F.struct("at.o", "at.t").alias("k")).agg(F.sort_array(F.collect_set("at.n")).alias("gone"))
+    many = store(classes.where("c > 1").select("ha", "hb", *[F.col(c).alias(f"f{c}") for c in AT]))
+    again = lines.select(*AT, "ha", "hb").join(many, ["ha", "hb"]).where("o <> fo or t <> ft or n <> fn").select(*AT)
+    gone = again.union(near_lines(known, near_words)).groupBy("o", "t").agg(F.sort_array(F.collect_set("n")).alias("gone"))
     return gone
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: str | None = "lines", **limits) -> DataFrame:
     """`docs` with `text` less the removed lines, and a struct (total, removed) named `report`, with underscores before it if `docs` has such a column."""
-    gone = store(removed_lines(docs, id_col, text_col, **limits).select(F.struct(F.col("k"), F.col("gone")).alias("_g")))
-    rows = docs.select(F.struct("*").alias("_d"), document_key(id_col, text_col).alias("_k"))
-    rows = rows.join(gone, F.col("_k") == F.col("_g.k"), "left")
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(store(removed_lines(docs, id_col, text_col, **limits).select(F.struct("o", "t", "gone").alias("_g"))))
+    rows = docs.select(F.struct("*").alias("_d"), F.struct(*document_key(id_col, text_col)).alias("_k"))
+    rows = rows.join(gone, (F.col("_k.o") == F.col("_g.o")) & (F.col("_k.t") == F.col("_g.t")), "left")
     ls = F.split(F.coalesce(F.col("_d")[text_col].cast("string"), F.lit("")), "\n")
     kept = F.filter(ls, lambda x, i: ~F.array_contains(F.col("_g.gone"), i))
     body = F.when(F.col("_g.gone").isNull(), F.col("_d")[text_col]).otherwise(F.array_join(kept, "\n"))

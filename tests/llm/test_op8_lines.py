@@ -31,7 +31,7 @@ def brute(rows, min_bytes=1, near=6):
 
 
 def result(df):
-    return {r.k.o: r.gone for r in m.removed_lines(df).collect()}
+    return {r.o: r.gone for r in m.removed_lines(df).collect()}
 
 
 def sample(seed):
