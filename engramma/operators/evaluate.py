@@ -38,13 +38,31 @@ def sweep(observations: DataFrame, floors: list[float], zs: list[float]) -> Data
     return rows.groupBy(F.col("g.floor").alias("floor"), F.col("g.z").alias("z")).agg(rate(True).alias("answered"), rate(False).alias("false_recall"))
 
 
-def longitudinal(answers: DataFrame, truth: DataFrame) -> DataFrame:
-    """Contradiction and correctness of answers (probe_id, got) against truth (probe_id, current, stale array)."""
-    both = truth.join(answers, "probe_id", "left")
-    return both.agg(
-        F.count("*").alias("probes"), F.round(F.avg(F.coalesce((F.col("got") == F.col("current")).cast("double"), F.lit(0.0))), 9).alias("correct"),
-        F.round(F.avg(F.coalesce(F.array_contains("stale", F.col("got")).cast("double"), F.lit(0.0))), 9).alias("contradicted"),
-    )
+def longitudinal(answers: DataFrame, truth: DataFrame, probes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Contradiction and correctness of answers (probe_id, got) to probes (probe_id, subject, at) against truth (probe_id, current).
+
+    An answer contradicts if a fact of the subject with that object had ended by then: the first end of each subject and object tells."""
+    ends = facts.where("valid_to is not null").groupBy("subject", F.col("object").alias("got")).agg(F.min("valid_to").alias("ended"))
+    both = truth.join(answers, "probe_id", "left").join(probes.select("probe_id", "subject", "at"), "probe_id").join(ends, ["subject", "got"], "left")
+    mean = lambda c: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), 9)
+    return both.agg(F.count("*").alias("probes"), mean(F.col("got") == F.col("current")).alias("correct"), mean(F.col("ended") <= F.col("at")).alias("contradicted"))
+
+
+def forgetting(memories: DataFrame, noise: DataFrame, valuable: float = 0.8) -> DataFrame:
+    """One row: share of noise (ids) that sleeps, share of important rows that don't, share of all rows awake."""
+    rows = memories.join(noise.select(F.col("id").alias("noise")).distinct(), F.col("id") == F.col("noise"), "left")
+    share = lambda ok, when: F.round(F.avg(F.when(when, ok.cast("double"))), 9)
+    awake = ~F.col("dormant")
+    return rows.agg(share(~awake, F.col("noise").isNotNull()).alias("noise_forgotten"), share(awake, F.col("importance") >= valuable).alias("valuable_kept"), share(awake, F.lit(True)).alias("awake"))
+
+
+def selective(hits: DataFrame, asks: DataFrame) -> DataFrame:
+    """One row over asks (query_id, wanted; null: nothing should be answered): share answered, share of the others abstained from, precision of what was answered."""
+    first = hits.where("rank = 1").select("query_id", "id")
+    both = asks.select("query_id", "wanted").join(first, "query_id", "left")
+    able, said = F.col("wanted").isNotNull(), F.col("id").isNotNull()
+    share = lambda ok, when: F.round(F.avg(F.when(when, F.coalesce(ok, F.lit(False)).cast("double"))), 9)
+    return both.agg(share(said, able).alias("answered"), share(~said, ~able).alias("abstained"), share(F.col("id") == F.col("wanted"), said).alias("precision"))
 
 
 def payload(hits: DataFrame, tokens: Column) -> DataFrame:

@@ -134,12 +134,12 @@ def _(spark, d):
     return t.select("item_id", F.posexplode("hv").alias("word", "v"))
 
 
-@query("v5_hamming", f"with {_hv_sql('benchmark', 'item_id')} select a.k a, b.k b, sum(bit_count(xor(a.v, b.v)))::int ham, round(1 - sum(bit_count(xor(a.v, b.v))) / 240.0::double, 9) sim from hvs a join hvs b on a.w = b.w and a.k < b.k group by 1, 2")
+@query("v5_hamming", f"""with {_hv_sql('benchmark', 'item_id')}, p as (select a.k a, b.k b, sum(bit_count(xor(a.v, b.v)))::int ham from hvs a join hvs b on a.w = b.w and a.k <> b.k group by 1, 2)
+select a, b, ham, round(1 - ham / 240.0::double, 9) sim from p qualify row_number() over (partition by a order by ham, b) <= 3""")
 def _(spark, d):
-    t = hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4)
-    a, b = t.select(F.col("item_id").alias("a"), F.col("hv").alias("x")), t.select(F.col("item_id").alias("b"), F.col("hv").alias("y"))
-    both = a.join(b, F.col("a") < F.col("b"))
-    return both.select("a", "b", hv.sql_hamming(F.col("x"), F.col("y")).alias("ham"), F.round(hv.sql_similarity(F.col("x"), F.col("y"), 4), 9).alias("sim"))
+    """The three nearest texts of each, and how far they are."""
+    near = recall.nearest_pairs(hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "id"), 3, bits=240)
+    return near.select(F.col("id").alias("a"), F.col("other").alias("b"), F.round((1 - F.col("sim")) * 240).cast("int").alias("ham"), r9("sim"))
 
 
 @query("v2_bind", f"with {_hv_sql('benchmark', 'item_id')} select a.k a, a.w::int word, xor(a.v, b.v) v from hvs a join hvs b on a.w = b.w and b.k = a.k + 1")
@@ -1115,12 +1115,31 @@ def _(spark, d):
 select count(*)::bigint probes, round(avg((coalesce(got, '') = cur)::int), 9) correct, round(avg(coalesce(list_contains(stale, got), false)::int), 9) contradicted from x""")
 def _(spark, d):
     c = F.col("c_custkey")
-    probes = read(spark, d, "customer").select(c.alias("probe_id"), F.concat(F.lit("user"), (c % 60).cast("string")).alias("subject"), (F.lit(1_704_067_200_000_000) + c * 7_000_000).alias("at"))
-    both = probes.join(fx.close_runs(m.facts(spark, d)), "subject", "left")
-    holds = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
-    truth = both.groupBy("probe_id").agg(F.max(F.when(holds, F.struct("valid_from", "id", "object"))).alias("l"), F.collect_set(F.when(F.col("valid_to") <= F.col("at"), F.col("object"))).alias("stale"))
-    truth = truth.where("l is not null").select("probe_id", F.col("l.object").alias("current"), "stale")
-    return evaluate.longitudinal(truth.select("probe_id", F.when(F.col("probe_id") % 3 == 0, "click").otherwise(F.col("current")).alias("got")), truth)
+    probes = read(spark, d, "customer").select(c.alias("probe_id"), F.concat(F.lit("user"), (c % 60).cast("string")).alias("subject"), F.lit("last_event").alias("predicate"), (F.lit(1_704_067_200_000_000) + c * 7_000_000).alias("at"))
+    facts = checkpointed(fx.close_runs(m.facts(spark, d)))
+    truth = fx.ask_exact(facts, probes).where("object is not null").select("probe_id", F.col("object").alias("current"))
+    answers = truth.select("probe_id", F.when(F.col("probe_id") % 3 == 0, "click").otherwise(F.col("current")).alias("got"))
+    return evaluate.longitudinal(answers, truth, probes, facts)
+
+
+@query("x5_forgetting", f"""with {MEM}, x as (select mem.*, quality, not dormant and {DECAYED} < 0.15 and {RETENTION} < 0.4 and importance < 0.8 forgotten from mem left join labels on labels.doc_id = mem.id)
+select round(avg((dormant or forgotten)::int) filter (quality = 0), 9) noise_forgotten, round(avg((not (dormant or forgotten))::int) filter (importance >= 0.8), 9) valuable_kept, round(avg((not (dormant or forgotten))::int), 9) awake from x""")
+def _(spark, d):
+    """What forgetting does to documents of bad quality, and to important ones."""
+    noise = read(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    return evaluate.forgetting(lifecycle.forget(m.memories(spark, d), NOW), noise)
+
+
+@query("x6_selective", f"""with tx as (select conv_id * 1000 + turn k, text from conversations union all select -1 - item_id, text from benchmark union all select -1000000 - (conv_id * 1000 + turn), text from conversations where (conv_id * 1000 + turn) % 7 = 0), {_hv_sql('tx', 'k')}, {SIMS},
+  act as (select query_id, id, sim, greatest(0, 2 * (sim - 0.5)) act, 1::double strength, 0.5::double confidence, false superseded from sm), fin as (select query_id, id, act final from act), hit as (with {_gated('fin')}),
+  q as (select distinct query_id from sm), t as (select q.query_id, q.query_id >= 999999 able, hit.id from q left join hit on hit.query_id = q.query_id and hit."rank" = 1)
+select round(avg((id is not null)::int) filter (able), 9) answered, round(avg((id is null)::int) filter (not able), 9) abstained, round(avg((able and id = query_id - 999999)::int) filter (id is not null), 9) "precision" from t""")
+def _(spark, d):
+    """Turns asked for by their own text should be answered with themselves; texts of `benchmark` should not be answered."""
+    mem = checkpointed(_turn_vectors(spark, d).withColumns({"strength": F.lit(1.0), "confidence": F.lit(0.5), "superseded": F.lit(False)}))
+    able = mem.where("id % 7 = 0").select((F.col("id") + 999_999).alias("query_id"), "hv", F.col("id").alias("wanted"))
+    asks = checkpointed(able.unionByName(_query_vectors(spark, d).withColumn("wanted", F.lit(None).cast("long"))))
+    return evaluate.selective(recall.search(mem, asks, bits=BITS240), asks)
 
 
 @query("x6_payload", f"""with x as (select conv_id q, sum({_T}) t from conversations group by 1)
