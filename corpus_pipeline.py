@@ -5,6 +5,11 @@ each group of near copies stays; long repeated byte strings are cut; what is lef
 sequences.  Documents that a cut leaves without a word go as well.  Each stage's rows
 are written and read again as the next one's documents; all but the last return the
 columns of `documents`, with `n_chars` following the text.
+
+Defined cases: rows without text or without a word fail the quality rules. Rows of one doc_id with different texts are
+documents of their own in every stage; rows equal in doc_id and text are copies, of which one stays; null doc_ids order last and
+stay null. More columns than those of `documents` pass through all stages but the last, whatever their names. Very long texts are
+cut nowhere. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramma.llm import op1_suffix, op4_packing, op6_quality, op7_jaccard, op8_lines
-from engramma.llm.common import store
+from engramma.llm.common import drop_stored, store
 
 #: Words of a shingle and least similarity of near copies.
 SHINGLE, PERCENT = 5, 80
@@ -52,8 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = store(docs)
+            if last is not None:
+                drop_stored(last)
+            last = docs
     return docs
