@@ -99,6 +99,27 @@ def test_planted_rows(spark, tmp_path):
     assert {0, 3, 4, 9} <= {d for d, _ in want} and not {1, 2, 5, 6, 7, 8} & {d for d, _ in want}
 
 
+def test_equal_ids_null_ids_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(12)
+    words = lambda n: " ".join("v%d" % rng.randrange(5000) for _ in range(n))
+    a, b, c, d = (words(120) for _ in range(4))
+    near = a.split(" ")
+    near[60] = "changed"
+    rows = [(1, a), (2, " ".join(near)), (2, b), (2, b), (3, c), (None, d), (None, d), (None, None), (4, a), (5, c + "\n" + words(90))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lines int, _gone string, _d int, _k int, k string, lone string"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 2, 3, "y", "z") for i, t in rows], schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns and docs.where("lines <> 1 or _gone <> 'x' or _d <> 2 or _k <> 3 or k <> 'y' or lone <> 'z'").count() == 0, name
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in docs.collect())
+    assert [g[0] for g in got] == [-1, 1, 2, 3, 5] and dict(got)[2] == b and dict(got)[1] == a and dict(got)[-1] == d
+    assert c not in dict(got)[5] and len(dict(got)[5].split()) == 90
+    packed_ = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece_len) for r in packed_) == [(i, len(t.encode())) for i, t in got]
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     empty = docs.limit(0)
