@@ -32,13 +32,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import U64, Block, blocks, bounded_batches, drop_stored, mix, shuffle_parts, span_hashes, store
+from engramma.llm.common import U64, Block, blocks, bounded_batches, drop_stored, mix, scratch, shuffle_parts, span_hashes, store
 from engramma.llm.components import components, forest
 
 TILE, COLUMNS = 512, 8192
 HEAVY = 1 << 18  # bound of the table of heavy n-grams, which is broadcast (about 2.5 MB)
 COUNTERS = 1 << 20  # of word counts; their logarithms are broadcast (1 MB)
 SLICES = 64
+MARKS = 1 << 25  # bits of the tables of shared columns and of wanted texts, which are broadcast (4 MB); a full one only lets more rows through
+BAND = 0x9E3779B97F4A7  # times the band's number, in a column's key
 
 
 def word_slots(words: np.ndarray) -> np.ndarray:
@@ -189,19 +191,67 @@ def features(rows: DataFrame, k: int, percent: int, known) -> DataFrame:
     return rows.select("doc_id", "at", "body").mapInArrow(run, "doc_id long, at long, n long, node long, twin long, prefix array<long>")
 
 
-def squeezed(rows: DataFrame) -> DataFrame:
-    """(at, body): texts compressed one by one, which shuffle in half the bytes and in a third of their sets'; a task sends rows of one `at` and length once."""
+def marked(wanted: DataFrame) -> np.ndarray:
+    """Bits of the values of the only column, a long, modulo MARKS."""
+
+    def mark(key, table):
+        import pyarrow as pa
+
+        bits = np.zeros(MARKS // SLICES, bool)
+        bits[table.column("bit").to_numpy() - key[0].as_py() * (MARKS // SLICES)] = True
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    bit = F.pmod(wanted.columns[0], F.lit(MARKS))
+    places = wanted.select(bit.alias("bit")).distinct().withColumn("part", F.floor(F.col("bit") / (MARKS // SLICES)).cast("int"))
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in places.groupBy("part").applyInArrow(mark, "part int, bits binary").collect():  # SLICES rows, 4 MB in all
+        out[r["part"] * (len(out) // SLICES) : (r["part"] + 1) * (len(out) // SLICES)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values % MARKS
+    return bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 != 0
+
+
+def shared_cells(classes: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(num, at, col) of the marked columns of each class (num, at, band, prefix), in its own band and the next."""
+    sent = classes.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("prefix")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            col, band = lists.flatten().to_numpy(), batch.column("band").to_numpy().astype(np.int64)[row]
+            both = np.concatenate([col ^ (band * BAND), col ^ ((band + 1) * BAND)])
+            pick = np.flatnonzero(is_marked(sent.value, both))
+            at = pa.array(np.concatenate([row, row])[pick])
+            yield pa.RecordBatch.from_arrays([batch.column("num").take(at), batch.column("at").take(at), pa.array(both[pick])], ["num", "at", "col"])
+
+    return classes.select("num", "at", "band", "prefix").mapInArrow(run, "num long, at long, col long")
+
+
+def squeezed(rows: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(at, body): marked texts, compressed one by one, which shuffle in half the bytes and in a third of their sets'; a task sends rows of one `at` and length once."""
+    sent = rows.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        press, seen = zstandard.ZstdCompressor(level=3), set()
+        press, seen, bits = zstandard.ZstdCompressor(level=3), set(), sent.value
         for batch in batches:
             at, body = batch.column("at").to_numpy(), batch.column("body")
-            size = np.array([len(x.as_buffer()) for x in body], np.int64)
-            new = [i for i, key in enumerate(zip(at.tolist(), size.tolist(), strict=True)) if key not in seen and not seen.add(key)]
-            yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array([press.compress(body[i].as_buffer()) for i in new], pa.binary())], ["at", "body"])
+            out_at, out = [], []
+            for i in np.flatnonzero(is_marked(bits, at)).tolist():
+                raw = body[i].as_buffer()
+                if (key := (int(at[i]), len(raw))) not in seen:
+                    seen.add(key)
+                    out_at.append(key[0])
+                    out.append(press.compress(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(out_at, pa.int64()), pa.array(out, pa.binary())], ["at", "body"])
 
     return rows.select("at", "body").mapInArrow(run, "at long, body binary")
 
@@ -252,10 +302,11 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> tuple
     classes = store(classes.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand
     # sizes of a linked pair lie in the same or neighbouring bands, so each set goes to its own band and the next
     band = F.floor(F.log("n") / math.log(100 / percent * 1.001)).cast("int")
-    cells = classes.select("num", "at", F.explode(F.array(band, band + 1)).alias("band"), "prefix")
-    cells = cells.select("num", "at", "band", F.explode("prefix").alias("col")).select("num", "at", F.xxhash64("col", "band").alias("col"))
+    banded = classes.select("num", "at", band.alias("band"), "prefix")
+    cells = banded.select("at", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "prefix").select("at", "band", F.explode("prefix").alias("col"))
+    cells = cells.select("at", F.col("col").bitwiseXOR(F.col("band").cast("long") * F.lit(BAND)).alias("col"))
     pivots = store(cells.groupBy("col").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("col", "pivot"))
-    members = store(cells.join(pivots, "col").select("pivot", "num", "at").distinct())
+    members = store(shared_cells(bounded_batches(banded), marked(pivots.select("col"))).join(pivots, "col").select("pivot", "num", "at").distinct())
     sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c")).where("c > 1"))
     tiles = F.ceil(F.col("c") / TILE).cast("int")
     units = members.join(sizes, "pivot").withColumn("tiles", tiles)
@@ -266,7 +317,7 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> tuple
     units = units.withColumn("task", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("pivot"), F.lit(parts))).otherwise(F.xxhash64("pivot", "lo", "hi"))).drop("tiles")
     units = units.join(classes.select("num", "node", "twin"), "num")
     wanted = members.join(sizes, "pivot", "left_semi").select("at").distinct()
-    texts = squeezed(rows).join(wanted, "at", "left_semi").dropDuplicates(["at", "body"])
+    texts = squeezed(rows, marked(wanted)).dropDuplicates(["at", "body"])
 
     def compare(key, frame):
         import pandas as pd
@@ -300,16 +351,16 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> tuple
 def classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Features of all rows, and for each class its component's least doc_id and the key (`at`, of doc_id and text) of its first document."""
     rows = _rows(docs, id_col, text_col)
-    feats = store(features(rows, k, percent, frequencies(rows, k)))
-    edges, classes = link_edges(rows, feats, k, percent)
-    named = components(edges)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
-    base = feats.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("least"), first.alias("first")).join(classes.select("node", "twin", "num"), ["node", "twin"])
-    base = base.join(named.withColumnRenamed("node", "m"), F.col("num") == F.col("m"), "left").select("node", "twin", "least", "first", F.coalesce("root", "num").alias("root"))
-    base = store(base)
-    drop_stored(classes, edges, named)
-    best = store(base.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")))
-    return feats, store(base.select("node", "twin", "root").join(best, "root").select("node", "twin", "component_id", F.col("first.at").alias("keep")))
+    with scratch(docs.sparkSession) as keep:
+        feats = keep(store(features(rows, k, percent, frequencies(rows, k))))
+        edges, classes = link_edges(rows, feats, k, percent)
+        named = components(edges)
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
+        base = feats.where("n > 0").groupBy("node", "twin").agg(F.min("doc_id").alias("least"), first.alias("first")).join(classes.select("node", "twin", "num"), ["node", "twin"])
+        base = base.join(named.withColumnRenamed("node", "m"), F.col("num") == F.col("m"), "left").select("node", "twin", "least", "first", F.coalesce("root", "num").alias("root"))
+        base = store(base)
+        best = store(base.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")))
+        return feats, keep(store(base.select("node", "twin", "root").join(best, "root").select("node", "twin", "component_id", F.col("first.at").alias("keep"))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
