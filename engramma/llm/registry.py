@@ -16,6 +16,7 @@ _TABLE = [
     ("op8_lines", "op8_line_dedup", "SQL"),
     ("op9_lattice", "op9_lattice_neardup", None),
     ("op10_chat", "op10_chat_rotation", "SQL"),
+    ("op11_audit", "op11_filter_audit", "SQL"),
     ("op13_tiktoken", "op13_tiktoken_digest", None),
 ]
 
