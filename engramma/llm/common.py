@@ -174,11 +174,11 @@ class Block:
     def n(self) -> int:
         return len(self.offsets) - 1
 
-    def words(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and document (in the block) of all words `[^\\x20\\x09-\\x0D]+`."""
+    def words(self, lower: bool = False, gaps: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and document (in the block) of all words: maximal runs of bytes that `gaps` doesn't mark (by default `[^\\x20\\x09-\\x0D]+`)."""
         if lower:
             self.data = _LOWER[self.data]
-        gap = _WS[self.data]
+        gap = gaps[self.data]
         cut = np.ones(len(gap) + 1, bool)
         cut[1:] = np.append(gap[1:], True) if len(gap) else True
         word = ~gap

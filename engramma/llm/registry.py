@@ -17,6 +17,7 @@ _TABLE = [
     ("op9_lattice", "op9_lattice_neardup", None),
     ("op10_chat", "op10_chat_rotation", "SQL"),
     ("op11_audit", "op11_filter_audit", "SQL"),
+    ("op12_search", "op12_ranked_search", "SQL"),
     ("op13_tiktoken", "op13_tiktoken_digest", None),
 ]
 
