@@ -1,7 +1,7 @@
 """Steps that depend on order: admitting observations one after another, remembering documents with their atoms, and grouping for consolidation.
 
-Admission goes in blocks of bounded size, by order: a block is compared with all that was admitted before it by a distributed scan, and
-only within the block does one task decide row by row. Grouping decides within connected components of like pairs, which never meet.
+Admission settles rows that are too like each other in rounds, and compares every row with all admitted before it in one distributed scan:
+the number of jobs doesn't grow with the rows. Grouping decides within connected components of like pairs, which never meet.
 """
 
 from __future__ import annotations
@@ -22,89 +22,118 @@ from engramma.sources.snapshots import checkpointed
 
 #: Fixed values of the write path.
 VETO, JOIN, ATOMISE_CHARS, ATOMISE_ATOMS, ATOM_WEIGHT = 0.06, 0.60, 500, 4, 0.9
-BLOCK = 2048
+BLOCK = 2048  # open rows that one task may settle
+TABLES, WIDTH, SAMPLE_SEED = 48, 32, 11  # sampled bits: a pair that differs in 6 % of its bits shares a key but once in 1,200 times, one that differs in a third once in 9,000 tables
 MAX_ATOMS = 1 << 12  # of a text, which is cut to 20,000 characters and whose atoms have 12 or more each
 
 
 def admit(observations: DataFrame, stored: DataFrame | None = None, reads: DataFrame | None = None, predictable: DataFrame | None = None, bits: int = hv.BITS) -> DataFrame:
-    """(namespace, seq, novelty, stored, reinforces): the double veto of novelty and surprise, in order of seq (unique).
+    """(namespace, seq, novelty, stored, reinforces): the double veto of novelty and surprise, as if in order of seq (unique).
 
     observations (namespace, seq, text, and hv if not to be encoded here); stored (id, namespace, hv) are active rows from before; reads
     (namespace, reads) names the foreign name spaces a name space sees. An observation is compared with all rows it can see, stored before or
-    admitted meanwhile; if it is too like one, that one is reinforced. `predictable` (namespace, seq, predictable) replaces the surprise of the texts."""
-    rows = observations if "hv" in observations.columns else observations.withColumn("hv", hv.encoder(False)("text"))
+    admitted meanwhile; if it is too like one, that one is reinforced. `predictable` (namespace, seq, predictable) replaces the surprise of the texts.
+
+    Only rows too like each other depend on one another. Those are found by sampled bits and settled in rounds (`_settled`); then every row is compared with all that was
+    admitted before it, which gives its novelty and tells whether a pair was missed. If so, the pairs found are added and the rounds run again: the first wrong
+    decision is right from then on, and where none is found all are what going one by one gives."""
+    rows = observations if "hv" in observations.columns else observations.withColumn("hv", hv.encoder()("text"))
     if predictable is None:
         predictable = surprise(observations.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens")))
     flags = predictable.select("namespace", "seq", "predictable")
     rows = checkpointed(rows.join(flags, ["namespace", "seq"], "left").select("namespace", "seq", "hv", F.coalesce("predictable", F.lit(False)).alias("predictable")))
-    kind = dict(rows.dtypes)["hv"]
-    known = rows.select(F.col("seq").alias("id"), "namespace", "hv").limit(0) if stored is None else stored.select(F.col("id").cast("long").alias("id"), "namespace", "hv")
-    known = checkpointed(known)
-    sees = {} if reads is None else reads.groupBy("namespace").agg(F.collect_set("reads").alias("r")).collect()  # a row for each name space with foreign ones
-    sees = {r["namespace"]: set(r["r"]) for r in sees} if sees else {}
-    out, last = None, None
+    none = rows.select("seq").select(F.lit(0.0).alias("sim"), F.col("seq").alias("id"), "seq").limit(0)
+    before = none if stored is None else checkpointed(recall.best_match(rows, _seen(stored.select(F.col("id").cast("long").alias("id"), "namespace", "hv"), reads), bits))
+    alike = F.lit(1.0) - F.col("sim") < VETO
+    able = rows.where("not predictable").join(before.where(alike).select("seq"), "seq", "left_anti")
+    able = able.groupBy("namespace", "hv").agg(F.min("seq").alias("seq"))  # of equal vectors only the first can be admitted
+    able = checkpointed(able.mapInPandas(_sampler(bits, dict(rows.dtypes)["hv"]), f"namespace string, seq long, hv {dict(rows.dtypes)['hv']}, keys array<long>"))
+    missed = None
     while True:
-        ends = (rows if last is None else rows.where(F.col("seq") > last)).orderBy("seq").limit(BLOCK).agg(F.max("seq"), F.count("*")).first()
-        if not ends[1]:
+        kept = checkpointed(_settled(able, reads, missed, bits))
+        fresh = kept.select(F.col("seq").alias("id"), "namespace", "hv")
+        meanwhile = checkpointed(recall.best_match(rows, _seen(fresh, reads), bits, earlier=True))
+        wrong = checkpointed(meanwhile.where(alike).join(kept.select("seq"), "seq", "left_semi").select("seq", "id"))
+        if wrong.isEmpty():
             break
-        block = rows.where(F.col("seq") <= ends[0]) if last is None else rows.where((F.col("seq") > last) & (F.col("seq") <= ends[0]))
-        done = checkpointed(_admit_block(block, known, sees, bits, kind))
-        decided = done.drop("hv")
-        out = decided if out is None else out.unionByName(decided)
-        known = known.unionByName(done.where("stored").select(F.col("seq").alias("id"), "namespace", "hv"))
-        last = ends[0]
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "namespace string, seq long, novelty double, stored boolean, reinforces long")
-    return out.withColumn("novelty", F.round("novelty", 6))
-
-
-def _admit_block(block: DataFrame, known: DataFrame, sees: dict, bits: int, kind: str) -> DataFrame:
-    """Decisions on at most BLOCK observations, with their vectors."""
-    held = block.orderBy("seq").collect()  # at most BLOCK rows of 1,250 bytes
-    spaces = sorted({r["namespace"] for r in held})
-    sent = block.sparkSession.sparkContext.broadcast(([r["seq"] for r in held], [r["namespace"] for r in held], recall.matrix(pd.Series([r["hv"] for r in held])), sees))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seqs, names, q, sees = sent.value
-        top: dict[int, tuple[float, int]] = {}
+        missed = wrong if missed is None else checkpointed(missed.unionByName(wrong).distinct())
+    best = before.unionByName(meanwhile).groupBy("seq").agg(F.max(F.struct("sim", (-F.col("id")).alias("minus"))).alias("b"))
+    got = rows.select("namespace", "seq").join(best, "seq", "left").join(kept.select("seq", F.lit(True).alias("kept")), "seq", "left")
+    novelty = F.coalesce(F.lit(1.0) - F.col("b.sim"), F.lit(1.0))
+    return got.select("namespace", "seq", F.round(novelty, 6).alias("novelty"), F.coalesce("kept", F.lit(False)).alias("stored"), F.when(novelty < VETO, -F.col("b.minus")).alias("reinforces"))
+
+
+def _seen(rows: DataFrame, reads: DataFrame | None) -> DataFrame:
+    """Rows once for each name space that sees them (`viewer`): their own, and those that read it."""
+    own = rows.withColumn("viewer", F.col("namespace"))
+    if reads is None:
+        return own
+    foreign = reads.where("namespace <> reads").select(F.col("reads").alias("namespace"), F.col("namespace").alias("viewer")).distinct()
+    return own.unionByName(rows.join(foreign, "namespace"))
+
+
+def _sampler(bits: int, kind: str) -> Callable:
+    """Adds `keys`: for each of TABLES tables, WIDTH bits of the vector that the table draws."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng(SAMPLE_SEED)
+        drawn = None
         for batch in batches:
-            for space, part in batch.groupby("namespace", sort=False):
-                m, ids = recall.matrix(part["hv"]), part["id"].to_numpy()
-                for i, name in enumerate(names):
-                    if name == space or space in sees.get(name, ()):
-                        sim = recall.alike(q[i], m, bits)
-                        j = np.lexsort((ids, -sim))[0]
-                        top[i] = max(top.get(i, (-1.0, 0)), (float(sim[j]), -int(ids[j])))
-        yield pd.DataFrame([(seqs[i], s, -minus) for i, (s, minus) in top.items()], columns=["seq", "sim", "id"])
-
-    visible = sorted({x for name in spaces for x in sees.get(name, ())} | set(spaces))
-    from_before = known.where(F.col("namespace").isin(*visible)).mapInPandas(best, "seq long, sim double, id long")
-    from_before = from_before.groupBy("seq").agg(F.max(F.struct("sim", (-F.col("id")).alias("minus"))).alias("b")).select("seq", F.col("b.sim").alias("sim"), (-F.col("b.minus")).alias("id"))
-    given = block.join(from_before, "seq", "left")
-
-    def decide(key, frame):
+            if not len(batch):
+                continue
+            m = recall.matrix(batch["hv"])
+            if drawn is None:
+                usable = np.arange(m.shape[1] * 64) if kind != "binary" else np.arange(bits)
+                if kind != "binary":
+                    usable = usable[(usable % 64 < 56) | (usable % 64 >= 60)]  # words of 60 bits
+                drawn = [np.sort(rng.choice(usable, min(WIDTH, len(usable)), replace=False)) for _ in range(TABLES)]
+            flat = np.unpackbits(m.view(np.uint8), axis=1)
+            place = 1 << np.arange(WIDTH, dtype=np.int64)
+            keys = np.stack([flat[:, at].astype(np.int64) @ place[: len(at)] + (t << WIDTH) for t, at in enumerate(drawn)], axis=1)
+            yield batch[["namespace", "seq", "hv"]].assign(keys=list(keys))
+
+    return run
+
+
+def _settled(able: DataFrame, reads: DataFrame | None, missed: DataFrame | None, bits: int) -> DataFrame:
+    """Of rows (namespace, seq, hv, keys) those that are too like no earlier kept row they see, told by shared keys and by `missed` pairs (seq, id).
+
+    In a round, a row that comes first in every bucket of its keys is kept: whatever is like it, shares a key with it and comes later. Rows that share a bucket with a kept row are
+    compared with it, and go if too like. So a bucket of any size costs one comparison a row and round. The last few are settled in one task."""
+    kind = dict(able.dtypes)["hv"]
+    if missed is not None:
+        pair = F.explode(F.array(F.col("seq"), F.col("id")))
+        more = missed.select(pair.alias("seq"), (-F.col("seq") - 1).alias("key")).groupBy("seq").agg(F.collect_set("key").alias("more"))  # keys of sampled bits are not negative
+        able = checkpointed(able.join(more, "seq", "left").withColumn("keys", F.when(F.col("more").isNull(), F.col("keys")).otherwise(F.concat("keys", "more"))).drop("more"))
+    kept, open_ = able.limit(0).select("namespace", "seq", "hv"), able
+    while open_.count() > BLOCK:
+        members = _seen(open_.select("namespace", "seq", F.explode("keys").alias("key")), reads)
+        first = members.groupBy("viewer", "key").agg(F.min(F.struct("seq", "namespace")).alias("f")).where("f.namespace = viewer")
+        leads = first.groupBy(F.col("f.seq").alias("seq")).agg(F.count("*").alias("n"))
+        chosen = checkpointed(open_.join(leads, "seq").where("n = size(keys)").select("namespace", "seq", "hv", "keys"))
+        near = _seen(chosen.select("namespace", F.col("seq").alias("lead"), F.explode("keys").alias("key")), reads).select(F.col("viewer").alias("namespace"), "lead", "key")
+        left = checkpointed(open_.join(chosen.select("seq"), "seq", "left_anti"))
+        pairs = checkpointed(left.select("namespace", "seq", F.explode("keys").alias("key")).join(near, ["namespace", "key"]).where("lead < seq").select("seq", "lead").distinct())
+        sim = recall.pair_similarity(bits)
+        gone = pairs.join(left.select("seq", "hv"), "seq").join(chosen.select(F.col("seq").alias("lead"), F.col("hv").alias("q")), "lead").where(F.lit(1.0) - sim("hv", "q") < VETO)
+        open_ = checkpointed(left.join(gone.select("seq").distinct(), "seq", "left_anti"))
+        kept = kept.unionByName(chosen.drop("keys"))
+    sees = [] if reads is None else [(r["namespace"], r["reads"]) for r in reads.join(open_.select("namespace").distinct(), "namespace").distinct().collect()]  # of at most BLOCK name spaces
+
+    def decide(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq", kind="stable").reset_index(drop=True)
         m = recall.matrix(frame["hv"])
-        names, seqs = frame["namespace"].tolist(), frame["seq"].tolist()
-        kept: dict[str, list[int]] = {}
-        out = []
-        for i, (name, sim, ident, predictable) in enumerate(zip(names, frame["sim"], frame["id"], frame["predictable"], strict=True)):
-            top = (float(sim), -int(ident)) if sim == sim else (-1.0, 0)
-            able = [j for space in {name, *sees.get(name, ())} for j in kept.get(space, ())]
-            if able:
-                sims = recall.alike(m[i], m[able], bits)
-                j = max(range(len(able)), key=lambda x: (sims[x], -seqs[able[x]]))
-                top = max(top, (float(sims[j]), -int(seqs[able[j]])))
-            novelty = 1.0 - top[0] if top[0] >= 0 else 1.0
-            veto = novelty < VETO or bool(predictable)
-            if not veto:
-                kept.setdefault(name, []).append(i)
-            out.append((name, seqs[i], novelty, not veto, -top[1] if novelty < VETO else None, frame["hv"].iloc[i]))
-        got = pd.DataFrame(out, columns=["namespace", "seq", "novelty", "stored", "reinforces", "hv"])
-        got["reinforces"] = got["reinforces"].astype("Int64")
-        return got
-
-    return given.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(decide, f"namespace string, seq long, novelty double, stored boolean, reinforces long, hv {kind}")
+        held: dict[str, list[int]] = {}
+        keep = np.zeros(len(frame), bool)
+        for i, space in enumerate(frame["namespace"]):
+            seen = [j for s in {space, *(b for a, b in sees if a == space)} for j in held.get(s, ())]
+            keep[i] = not len(seen) or not (1.0 - recall.alike(m[i], m[seen], bits) < VETO).any()
+            if keep[i]:
+                held.setdefault(space, []).append(i)
+        return frame.loc[keep, ["namespace", "seq", "hv"]]
+
+    last = open_.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(decide, f"namespace string, seq long, hv {kind}")
+    return kept.unionByName(last)
 
 
 def atom_rows(documents: DataFrame) -> DataFrame:

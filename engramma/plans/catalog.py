@@ -789,16 +789,21 @@ def _(spark, d):
 
 # ------------------------------------------------------------ surprise and ingestion
 
-SUR = rf"""ob as (select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text')} ts from conversations),
-  pos as (select seq, ts[i] t, case when i > 1 then ts[i - 1] end prev from ob, unnest(range(1, len(ts) + 1)) u(i)),
-  cw as (select seq, t, coalesce(sum(count(*)) over (partition by t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos group by 1, 2),
-  cp as (select seq, prev, t, coalesce(sum(count(*)) over (partition by prev, t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2, 3),
-  cc as (select seq, prev, coalesce(sum(count(*)) over (partition by prev order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2),
-  al as (select seq, len(ts) n, coalesce(sum(len(ts)) over (order by seq rows between unbounded preceding and 1 preceding), 0) c from ob),
-  pr as (select pos.seq, case when coalesce(cc.c, 0) > 0 then 0.6::double * (cp.c + 0.01::double) / (cc.c + 500::double) + 0.4::double * (cw.c + 0.01::double) / (al.c + 500::double) else (cw.c + 0.01::double) / (al.c + 500::double) end p
+def _sur(observations: str) -> str:
+    """The word-pair model over `observations`, a query of (ns, seq, ts)."""
+    return f"""told as ({observations}),
+  pos as (select ns, seq, ts[i] t, case when i > 1 then ts[i - 1] end prev from told, unnest(range(1, len(ts) + 1)) u(i)),
+  cw as (select ns, seq, t, coalesce(sum(count(*)) over (partition by ns, t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos group by 1, 2, 3),
+  cp as (select ns, seq, prev, t, coalesce(sum(count(*)) over (partition by ns, prev, t order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2, 3, 4),
+  cc as (select ns, seq, prev, coalesce(sum(count(*)) over (partition by ns, prev order by seq rows between unbounded preceding and 1 preceding), 0) c from pos where prev is not null group by 1, 2, 3),
+  al as (select ns, seq, len(ts) n, coalesce(sum(len(ts)) over (partition by ns order by seq rows between unbounded preceding and 1 preceding), 0) c from told),
+  pp as (select pos.seq, case when coalesce(cc.c, 0) > 0 then 0.6::double * (cp.c + 0.01::double) / (cc.c + 500::double) + 0.4::double * (cw.c + 0.01::double) / (al.c + 500::double) else (cw.c + 0.01::double) / (al.c + 500::double) end p
     from pos join cw on pos.seq = cw.seq and pos.t = cw.t join al on pos.seq = al.seq left join cp on pos.seq = cp.seq and pos.prev = cp.prev and pos.t = cp.t left join cc on pos.seq = cc.seq and pos.prev = cc.prev),
-  sc as (select al.seq, n, round(case when b is null then 0 else least(1, b / log2(50000::double)) end, 12) s from al left join (select seq, avg(-log2(p)) b from pr group by 1) x on al.seq = x.seq),
-  hs as (select *, count(*) over w seen, quantile_cont(s, 0.2) over w low from sc window w as (order by seq rows between 300 preceding and 1 preceding))"""
+  sc as (select al.ns, al.seq, n, round(case when b is null then 0 else least(1, b / log2(50000::double)) end, 12) s from al left join (select seq, avg(-log2(p)) b from pp group by 1) x on al.seq = x.seq),
+  hs as (select *, count(*) over w seen, quantile_cont(s, 0.2) over w low from sc window w as (partition by ns order by seq rows between 300 preceding and 1 preceding))"""
+
+
+SUR = _sur(rf"select 'all' ns, conv_id * 1000 + turn seq, {TOK.format('text')} ts from conversations")
 
 
 @query("w8_surprise", f"with {SUR} select seq, n::int n_tokens, round(s, 8) surprise, case when seen < 40 then s < 0.05 else s <= low end predictable from hs")
@@ -832,6 +837,22 @@ def _(spark, d):
     return surprise.merged_counts(empty, obs).select("context", "token", "count")
 
 
+@query("w2_admit_copies", f"""with recursive {_hv_sql('documents', 'doc_id')}, lg as (select doc_id k, coalesce(lang, '') ns from documents),
+  {_sur(f"select coalesce(lang, '') ns, doc_id seq, {TOK.format('text')} ts from documents")},
+  pr as materialized (select x.k id, y.k other, 1 - sum(bit_count(xor(x.v, y.v))) / 240.0::double sim from hvs x join hvs y on x.w = y.w and y.k < x.k join lg a on a.k = x.k join lg b on b.k = y.k where a.ns = b.ns group by 1, 2),
+  od as materialized (select seq id, row_number() over (order by seq) i, case when seen < 40 then s < 0.05 else s <= low end p from hs where n > 0),
+  st as (select 0::bigint i, null::bigint id, null::double nov, false ok, null::bigint ref, []::bigint[] held union all
+    select od.i, od.id, any_value(1 - coalesce(b.s, 0)), any_value(coalesce(b.s, 0) <= 0.94 and not p), any_value(case when b.s > 0.94 then b.o end), any_value(case when coalesce(b.s, 0) <= 0.94 and not p then list_append(st.held, od.id) else st.held end)
+    from st join od on od.i = st.i + 1 left join lateral (select max(sim) s, arg_max(other, (sim, -other)) o from pr where pr.id = od.id and list_contains(st.held, pr.other)) b on true group by od.i, od.id)
+select id seq, round(nov, 6) novelty, ok stored, ref reinforces from st where i > 0""")
+def _(spark, d):
+    """Documents observed one after another in their languages' name spaces, with exact and near copies among them: both vetoes, of novelty and of surprise."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.coalesce("lang", F.lit("")).alias("namespace"), "text")
+    said = surprise.surprise(docs.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens")))
+    rows = hv.sql_bundles(docs, "seq", "text", 4).join(docs.select("seq", "namespace"), "seq")
+    return ingest.admit(rows, predictable=said, bits=BITS240).select("seq", "novelty", "stored", "reinforces")
+
+
 @query("w2_ingest")
 def _(spark, d):
     return ingest.admit(m.turns(spark, d).select(F.col("role").alias("namespace"), "seq", "text"))
