@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from engramma.llm.common import scratch, store
 
-MIN_BYTES, NEAR_WORDS = 1, 6
+MIN_BYTES, NEAR_WORDS = 1, 5
 BITS61 = (1 << 61) - 1
 CHUNK = 256
 DIRECT = 128  # pairs whose longer line has at most so many words: their variants are hashed as they are, which is quicker for short lines
@@ -185,6 +185,17 @@ def near_lines(known: DataFrame, near_words: int) -> DataFrame:
     return at.union(store(more.select(*AT).distinct()))
 
 
+def once(values: dict[str, Column], f) -> Column:
+    """f of a struct of values that are computed once for the row, and not once for each element that f looks at."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(name) for name, v in values.items()])), f), 1)
+
+
+def between(items: Column, gone: Column) -> Column:
+    """Elements of an array but those at the sorted places `gone` (from 0): the slices between them, in time in proportion to both."""
+    cuts = F.arrays_zip(F.concat(F.array(F.lit(-1)), gone).alias("a"), F.concat(gone, F.array(F.size(items))).alias("b"))
+    return F.flatten(F.transform(cuts, lambda c: F.slice(items, c["a"] + 2, c["b"] - c["a"] - 1)))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, near_words: int = NEAR_WORDS) -> DataFrame:
     """(o, t, gone): of each document that loses lines, their numbers from 0 on."""
     hashes = [F.xxhash64("s").alias("ha"), F.xxhash64(F.lit(1), "s").alias("hb")]
@@ -197,8 +208,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = near.groupBy("o", "t").agg(F.collect_set("n").alias("ns"))
     texts = docs.select(*document_key(id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     texts = texts.join(wanted, ["o", "t"]).dropDuplicates(["o", "t"])
-    texts = texts.select("o", "t", F.explode("ns").alias("n"), F.split("body", "\n").alias("ls"))
-    known = texts.select(*AT, bare(F.element_at("ls", F.col("n") + 1)).alias("s"))
+    pick = once({"ls": F.split("body", "\n"), "ns": F.col("ns")}, lambda r: F.transform(r["ns"], lambda n: F.struct(n.alias("n"), F.element_at(r["ls"], n + 1).alias("line"))))
+    known = texts.select("o", "t", F.inline(pick)).select(*AT, bare(F.col("line")).alias("s"))
     known = store(known.withColumn("size", n_words(F.col("s"))))
     close = _shared(known, _keys(F.col("s"), F.col("size"), _three_quarters), AT)
     # numbers in the order of places: ranges follow one another, and so do numbers within one; written once, so they stand
@@ -219,7 +230,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.struct("*").alias("_d"), F.struct(*document_key(id_col, text_col)).alias("_k"))
     rows = rows.join(gone, (F.col("_k.o") == F.col("_g.o")) & (F.col("_k.t") == F.col("_g.t")), "left")
     ls = F.split(F.coalesce(F.col("_d")[text_col].cast("string"), F.lit("")), "\n")
-    kept = F.filter(ls, lambda x, i: ~F.array_contains(F.col("_g.gone"), i))
+    kept = once({"ls": ls, "gone": F.col("_g.gone")}, lambda r: between(r["ls"], r["gone"]))
     body = F.when(F.col("_g.gone").isNull(), F.col("_d")[text_col]).otherwise(F.array_join(kept, "\n"))
     fields = [body.alias(c) if c == text_col else F.col("_d")[c].alias(c) for c in docs.columns]
     if report is None:
@@ -240,13 +251,13 @@ SQL = r"""
 with l as (select doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::int n, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
   w as materialized (select doc_id, n, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) s from l),
   e as materialized (select *, string_split(s, ' ') ws, min(doc_id * 1000000 + n) over (partition by s) f from w where s <> ''),
-  c as materialized (select distinct s, ws, f from e where len(ws) >= 5),
+  c as materialized (select distinct s, ws, f from e where len(ws) >= 4),
   v as materialized (select f, i, case when i = 0 then len(ws) + 1 else len(ws) end longer,
           case when i = 0 then s else array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') end var from c, unnest(range(0, len(ws) + 1)) t(i)),
-  a as (select a.f from v a join (select var, longer, i, min(f) f from v where i > 0 and longer >= 6 group by 1, 2, 3) b
+  a as (select a.f from v a join (select var, longer, i, min(f) f from v where i > 0 and longer >= 5 group by 1, 2, 3) b
           on a.var = b.var and a.longer = b.longer and a.i = b.i and b.f < a.f
         union all
-        select a.f from v a join (select var, longer, i = 0 whole, min(f) f from v where longer >= 6 group by 1, 2, 3) b
+        select a.f from v a join (select var, longer, i = 0 whole, min(f) f from v where longer >= 5 group by 1, 2, 3) b
           on a.var = b.var and a.longer = b.longer and (a.i = 0) <> b.whole and b.f < a.f),
   g as (select distinct doc_id, n from e where doc_id * 1000000 + n <> f or f in (select f from a)),
   r as (select w.doc_id, count(*) n_lines, count(g.n) n_removed, coalesce(string_agg(line, chr(10) order by w.n) filter (g.n is null), '') kept

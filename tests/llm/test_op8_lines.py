@@ -15,7 +15,7 @@ def close(a, b):
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :] or a == b
 
 
-def brute(rows, min_bytes=1, near=6):
+def brute(rows, min_bytes=1, near=5):
     """rows in order of documents; numbers of the lines that go."""
     lines = [(d, n, s) for d, text in rows for n, s in enumerate(x.strip(" \t\r\x0b\x0c") for x in (text or "").split("\n"))]
     lines = [x for x in lines if len(x[2].encode()) >= min_bytes]
@@ -37,7 +37,7 @@ def result(df):
 def sample(seed):
     rng = random.Random(seed)
     vocab = ["word%d" % i for i in range(60)]
-    pool = [[rng.choice(vocab) for _ in range(rng.choice([1, 3, 5, 6, 9, 10, 14, 20]))] for _ in range(12)]
+    pool = [[rng.choice(vocab) for _ in range(rng.choice([1, 3, 4, 5, 6, 9, 10, 14, 20]))] for _ in range(12)]
     rows = []
     for d in range(40):
         out = []
@@ -94,6 +94,27 @@ def test_long_lines_take_time_in_proportion(spark):
     assert time.perf_counter() - began < 30
 
 
+def seconds(spark, n):
+    lines = [f"{i} b{i % 97} c{i % 89} d{i % 83} e{i % 79} f{i % 73} g{i % 71}" for i in range(n // 2)]
+    text = "\n".join(f"{a}\n{a} more" for a in lines)  # every second line goes
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = m.dedup_lines(df).head()
+    assert got.text == "\n".join(lines) and got.lines.removed == n // 2
+    return time.perf_counter() - began
+
+
+def test_many_lines_in_one_document_take_time_in_proportion(spark):
+    seconds(spark, 1000)  # starts what runs
+    small, large = seconds(spark, 20_000), seconds(spark, 80_000)
+    assert large < 8 * small, (small, large)
+
+
+def test_similarity_of_short_lines(spark):
+    rows = [(1, "a b c d e\na b c d\na b c"), (2, "a b c d x"), (3, "a b x d"), (4, "a b c d e f"), (5, "a x c")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == {1: [1], 2: [0], 4: [0]}
+
+
 def test_colliding_hashes_hide_nothing(spark, monkeypatch):
     """All variants of a line get one hash: the least line of the key is mostly no neighbour."""
     monkeypatch.setattr(m, "DIRECT", 0)
