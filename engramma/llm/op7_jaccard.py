@@ -374,7 +374,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """`docs` less all rows of each component but one, the first by doc_id; rows without a word stay.
 
     Documents are told by doc_id and text, so other texts under the same doc_id are not touched; of rows equal
-    in both, the least by all columns stays."""
+    in both, one stays: the least by all columns as JSON, which orders columns of any type, maps and variants too."""
     feats, per = classified(docs, id_col, text_col, k, percent)
     worded = feats.where("n > 0").select("node", "twin", "doc_id", "at")
     ident = lambda doc, at: F.struct(doc.alias("doc"), at.alias("at"))
@@ -386,7 +386,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rows = docs.select(F.struct("*").alias("_d")).withColumn("_k", ident(doc, F.xxhash64(doc, F.coalesce(F.col(f"_d.{text_col}").cast("binary"), F.lit(b"")))))
     rows = rows.join(gone, F.col("_k").eqNullSafe(F.col("_g")), "left_anti")
     once = rows.join(twice, F.col("_k").eqNullSafe(F.col("_g")), "left_anti").select("_d")
-    first = rows.join(twice, F.col("_k").eqNullSafe(F.col("_g")), "left_semi").groupBy("_k").agg(F.min("_d").alias("_d")).select("_d")
+    first = rows.join(twice, F.col("_k").eqNullSafe(F.col("_g")), "left_semi").groupBy("_k").agg(F.min_by("_d", F.to_json("_d")).alias("_d")).select("_d")
     return once.union(first).select(*[F.col("_d")[c].alias(c) for c in docs.columns])
 
 

@@ -33,3 +33,12 @@ def test_clashing_names_and_many_equal_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, node int").repartition(4)
     got = m.keep_one(df, k=5, percent=80)
     assert got.columns == df.columns and sorted((r.doc_id, r._gone) for r in got.collect()) == [(2, "u"), (4, "w")]
+
+
+def test_columns_that_have_no_order(spark):
+    near = A.replace("a30", "x")
+    df = spark.createDataFrame([(2, A, {"b": 1}), (2, A, {"a": 1}), (3, near, {"c": 2}), (4, B, None), (4, B, None)], "doc_id long, text string, tags map<string,int>")
+    df = df.selectExpr("*", "parse_json(to_json(tags)) v", "array(tags) many").repartition(3)
+    got = m.keep_one(df, k=5, percent=80)
+    assert got.dtypes == df.dtypes
+    assert sorted((r.doc_id, r.tags, r.many) for r in got.select("doc_id", "tags", "many").collect()) == [(2, {"a": 1}, [{"a": 1}]), (4, None, [None])]

@@ -120,6 +120,25 @@ def test_equal_ids_null_ids_and_clashing_columns(spark, tmp_path):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.piece_len) for r in packed_) == [(i, len(t.encode())) for i, t in got]
 
 
+def test_a_very_long_text_and_a_map_column(spark, tmp_path):
+    rng = random.Random(14)
+    words = lambda n: " ".join("u%d" % rng.randrange(60_000) for _ in range(n))
+    long = "\n".join(words(12) for _ in range(12_000))
+    short = words(200)
+    rows = [(1, long, {"a": 1}), (2, short, {"b": 2}), (2, short, {"a": 2}), (3, long.split("\n")[77] + "\n" + words(90), None), (4, words(60) + "\n" + long[500:1500], {"c": None})]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t), tags) for d, t, tags in rows], "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == df.columns, name
+    got = {r.doc_id: r for r in docs.collect()}
+    assert got[1].text == long and got[1].tags == {"a": 1} and got[2].tags == {"a": 2} and len(got[3].text.split()) == 90 and got[4].tags == {"c": None}
+    assert long[600:700] not in got[4].text
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r.piece_len for r in out if r.doc_id == 1) == len(long.encode())
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     empty = docs.limit(0)
