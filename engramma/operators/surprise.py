@@ -1,7 +1,11 @@
-"""The online word-pair model as window sums: how surprising each observation is, given all before it."""
+"""The online word-pair model in spans: how surprising each observation is, given all before it."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,9 @@ from pyspark.sql import functions as F
 VOCABULARY, ALPHA, BIGRAM, UNIGRAM, HISTORY, PERCENTILE, MIN_HISTORY, FALLBACK = 50_000, 0.01, 0.6, 0.4, 300, 0.2, 40, 0.05
 
 
-SPAN = 1 << 14  # sequence numbers, or places, that one window task has
+SPAN = 1 << 13  # sequence numbers, or places, that one task has
+OBSERVED = 1 << 12  # sequence numbers whose words one task has
+FIRST = -(1 << 62)  # span of what was learnt before
 
 
 def running_before(rows: DataFrame, order: str, value: str) -> DataFrame:
@@ -23,41 +29,84 @@ def running_before(rows: DataFrame, order: str, value: str) -> DataFrame:
     return inside.join(spans, ["namespace", "span"]).withColumn("before", F.col("inside") + F.col("ahead")).drop("span", "inside", "ahead")
 
 
+def prior_counts(obs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """(namespace, span, kind, a, b, prior): for each word (w), word pair (p), context (c) and all words (t) of a span of observations (namespace, span, tokens), how often it came in earlier spans.
+
+    A key has a row a span, however often it occurs, so a hot word is never one task's; `counts` (namespace, context, token, count) go before all spans."""
+    none = F.lit("")
+    each = obs.select("namespace", "span", F.posexplode("tokens").alias("i", "t"), "tokens").withColumn("prev", F.when(F.col("i") > 0, F.element_at("tokens", F.col("i").cast("int"))))
+    kind = lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.alias("a"), y.alias("b"))
+    keys = F.array(kind("w", F.col("t"), none), kind("t", none, none))
+    keys = F.when(F.col("prev").isNull(), keys).otherwise(F.concat(keys, F.array(kind("p", F.col("prev"), F.col("t")), kind("c", F.col("prev"), none))))
+    each = each.select("namespace", "span", F.inline(keys), F.lit(1).cast("long").alias("n"))
+    if counts is not None:
+        pair = F.col("context") != ""
+        old = F.when(pair, F.array(kind("p", F.col("context"), F.col("token")), kind("c", F.col("context"), none))).otherwise(F.array(kind("w", F.col("token"), none), kind("t", none, none)))
+        each = each.unionByName(counts.select("namespace", F.lit(FIRST).alias("span"), F.inline(old), F.col("count").cast("long").alias("n")))
+    per = each.groupBy("namespace", "kind", "a", "b", "span").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("namespace", "kind", "a", "b").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("namespace", "span", "kind", "a", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior")).where(F.col("span") > FIRST)
+
+
+def earlier_equals(codes: np.ndarray, obs: np.ndarray) -> np.ndarray:
+    """For each place, how many places of earlier observations have its code; obs ascends."""
+    order = np.lexsort((obs, codes))
+    c, o = codes[order], obs[order]
+    place = np.arange(len(c))
+    new = np.append(True, c[1:] != c[:-1]) if len(c) else np.zeros(0, bool)
+    run = np.maximum.accumulate(np.where(new, place, 0))
+    sub = np.maximum.accumulate(np.where(new | np.append(True, o[1:] != o[:-1]), place, 0)) if len(c) else place
+    out = np.empty(len(c), np.int64)
+    out[order] = sub - run
+    return out
+
+
+def _span_bits(key, obs: pd.DataFrame, prior: pd.DataFrame) -> pd.DataFrame:
+    """Mean bits of a word for each observation of a span, given the counts before the span."""
+    obs = obs.sort_values("seq", kind="stable")
+    sizes = obs["tokens"].map(len).to_numpy(np.int64)
+    words = [t for tokens in obs["tokens"] for t in tokens]
+    at = np.repeat(np.arange(len(obs)), sizes)
+    codes, names = pd.factorize(np.array(words, object)) if words else (np.zeros(0, np.int64), [])
+    index = {w: i for i, w in enumerate(names)}
+    first = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
+    prev = np.where(first, -1, np.append(-1, codes[:-1])) if len(at) else codes
+    held = {k: g for k, g in prior.groupby("kind")}
+    vocabulary = max(1, len(names))
+
+    def known(kind: str, keys: np.ndarray, ident) -> np.ndarray:
+        g = held.get(kind)
+        found = dict(zip(ident(g), g["prior"].tolist(), strict=True)) if g is not None else {}
+        unique, back = np.unique(keys, return_inverse=True)
+        return np.array([found.get(k, 0) for k in unique.tolist()], np.int64)[back] if len(keys) else np.zeros(0, np.int64)
+
+    code = lambda column: [index[w] for w in column]
+    c_word = known("w", codes, lambda g: code(g["a"])) + earlier_equals(codes, at)
+    total = int(held["t"]["prior"].iloc[0]) if "t" in held else 0
+    c_all = total + (np.cumsum(sizes) - sizes)[at]
+    space = ALPHA * VOCABULARY
+    p = (c_word + ALPHA) / (c_all + space)
+    two = np.flatnonzero(~first)
+    pairs = prev[two] * vocabulary + codes[two]
+    c_pair = known("p", pairs, lambda g: [x * vocabulary + y for x, y in zip(code(g["a"]), code(g["b"]), strict=True)]) + earlier_equals(pairs, at[two])
+    c_context = known("c", prev[two], lambda g: code(g["a"])) + earlier_equals(prev[two], at[two])
+    p[two] = np.where(c_context > 0, BIGRAM * ((c_pair + ALPHA) / (c_context + space)) + UNIGRAM * p[two], p[two])
+    bits = np.bincount(at, -np.log2(p), minlength=len(obs)) / np.maximum(1, sizes)
+    return pd.DataFrame({"namespace": obs["namespace"].to_numpy(), "seq": obs["seq"].to_numpy(), "n_tokens": sizes.astype(np.int32), "surprise": np.round(np.minimum(1.0, bits / math.log2(VOCABULARY)), 12)})
+
+
 def surprise(observations: DataFrame, counts: DataFrame | None = None, history: DataFrame | None = None) -> DataFrame:
     """(namespace, seq, surprise, predictable) of (namespace, seq, tokens), as if learnt in order of seq.
 
-    Counts before an observation are running sums per word, pair and context, so each window is
-    partitioned by name space and word; sums over all words go by spans of seq, and the percentile of the last scores
-    by spans of places that overlap by the history's length. No window holds a whole name space.
+    Spans of seq are scored each by itself: counts before a span are running sums with one row a key and span (`prior_counts`), those inside it are taken in the
+    span's task, in numpy. The percentile of the last scores goes by spans of places that overlap by the history's length. No task holds a whole name space, or all of a word.
 
     `counts` (namespace, context, token, count) and `history` (namespace, id, score) are what was learnt and scored before.
     """
-    obs = observations.select("namespace", "seq", "tokens")
-    pos = obs.select("namespace", "seq", F.posexplode("tokens").alias("i", "t"), "tokens")
-    pos = pos.select("namespace", "seq", "i", "t", F.when(F.col("i") > 0, F.col("tokens")[F.col("i") - 1]).alias("prev"))
-    before = lambda *keys: Window.partitionBy("namespace", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda df, keys, name: df.groupBy("namespace", "seq", *keys).agg(F.count("*").alias("n")).withColumn(name, F.coalesce(F.sum("n").over(before(*keys)), F.lit(0))).drop("n")
-    word = seen(pos, ["t"], "c_word")
-    pair = seen(pos.where("prev is not null"), ["prev", "t"], "c_pair")
-    ctx = seen(pos.where("prev is not null"), ["prev"], "c_ctx")
-    sized = obs.select("namespace", "seq", F.size("tokens").alias("n_tokens"), F.lit(1).alias("one"))
-    total = running_before(sized, "seq", "n_tokens").withColumnRenamed("before", "c_all")
-    if counts is not None:
-        uni = counts.where("context = ''").groupBy("namespace", F.col("token").alias("t")).agg(F.sum("count").alias("s"))
-        two = counts.where("context <> ''").groupBy("namespace", F.col("context").alias("prev"), F.col("token").alias("t")).agg(F.sum("count").alias("s"))
-        grown = lambda df, stored, keys, name: df.join(stored, ["namespace", *keys], "left").withColumn(name, F.col(name) + F.coalesce("s", F.lit(0))).drop("s")
-        word, pair = grown(word, uni, ["t"], "c_word"), grown(pair, two, ["prev", "t"], "c_pair")
-        ctx = grown(ctx, two.groupBy("namespace", "prev").agg(F.sum("s").alias("s")), ["prev"], "c_ctx")
-        total = grown(total, uni.groupBy("namespace").agg(F.sum("s").alias("s")), [], "c_all")
-    full = pos.join(word, ["namespace", "seq", "t"]).join(pair, ["namespace", "seq", "prev", "t"], "left").join(ctx, ["namespace", "seq", "prev"], "left").join(total.select("namespace", "seq", "c_all"), ["namespace", "seq"])
-    space = ALPHA * VOCABULARY
-    uni = (F.col("c_word") + ALPHA) / (F.col("c_all") + space)
-    bi = (F.col("c_pair") + ALPHA) / (F.col("c_ctx") + space)
-    p = F.when(F.coalesce("c_ctx", F.lit(0)) > 0, BIGRAM * bi + UNIGRAM * uni).otherwise(uni)
-    bits = full.groupBy("namespace", "seq").agg(F.avg(-F.log2(p)).alias("bits"))
-    scored = total.join(bits, ["namespace", "seq"], "left")
-    s = F.when(F.col("bits").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("bits") / F.log2(F.lit(float(VOCABULARY)))))  # without words: 0
-    scored = scored.select("namespace", "seq", "n_tokens", "one", F.round(s, 12).alias("surprise"))
+    obs = observations.select("namespace", "seq", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.floor(F.col("seq") / OBSERVED).alias("span"))
+    prior = prior_counts(obs, counts)
+    scored = obs.groupBy("namespace", "span").cogroup(prior.groupBy("namespace", "span")).applyInPandas(_span_bits, "namespace string, seq long, n_tokens int, surprise double")
+    scored = scored.withColumn("one", F.lit(1))
     placed = running_before(scored, "seq", "one").withColumnRenamed("before", "place").withColumn("own", F.lit(True))
     if history is not None:
         old = recent(history.select("namespace", "id", "score"))
@@ -67,10 +116,18 @@ def surprise(observations: DataFrame, counts: DataFrame | None = None, history:
     chunk = F.floor(F.col("place") / SPAN)
     ahead = F.floor((F.col("place") + HISTORY) / SPAN)  # the next span, for rows that its first ones look back to
     each = placed.withColumn("home", F.when(F.col("own"), chunk)).withColumn("chunk", F.explode(F.array_distinct(F.array(F.greatest(chunk, F.lit(0)), ahead))))
-    frame = f"over (partition by namespace, chunk order by place rows between {HISTORY} preceding and 1 preceding)"
-    each = each.withColumn("low", F.expr(f"percentile(surprise, {PERCENTILE}) {frame}")).withColumn("seen", F.expr(f"count(*) {frame}"))
-    predictable = F.when(F.col("seen") < MIN_HISTORY, F.col("surprise") < FALLBACK).otherwise(F.col("surprise") <= F.col("low"))
-    return each.where("own and home = chunk").select("namespace", "seq", "n_tokens", "surprise", predictable.alias("predictable"))
+    return each.groupBy("namespace", "chunk").applyInPandas(_judged, "namespace string, seq long, n_tokens int, surprise double, predictable boolean")
+
+
+def _judged(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows whose home is this chunk, held against the percentile of the scores before each."""
+    frame = frame.sort_values("place", kind="stable")
+    last = frame["surprise"].shift(1).rolling(HISTORY, min_periods=1)
+    seen = np.minimum(np.arange(len(frame)), HISTORY)
+    score = frame["surprise"].to_numpy()
+    low = last.quantile(PERCENTILE).to_numpy()
+    out = frame[["namespace", "seq", "n_tokens", "surprise"]].assign(predictable=np.where(seen < MIN_HISTORY, score < FALLBACK, score <= low))
+    return out[(frame["own"] & (frame["home"] == frame["chunk"])).to_numpy(bool)].astype({"seq": "int64", "n_tokens": "int32"})
 
 
 def recent(history: DataFrame, keep: int = HISTORY) -> DataFrame:
