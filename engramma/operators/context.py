@@ -152,3 +152,9 @@ def budget_setting(environment: str | None, stored: str | None, default: int = 3
         except ValueError:
             continue
     return default
+
+
+def budgets(environment: Column, stored: Column, default: int = 350) -> Column:
+    """`budget_setting` of columns of text: the first that is a whole number, else the default."""
+    number = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(c).cast("long"))
+    return F.coalesce(number(environment), number(stored), F.lit(default).cast("long"))

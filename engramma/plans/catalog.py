@@ -11,7 +11,7 @@ from engramma.operators import context, evaluate, graph, ingest, lifecycle, main
 from engramma.operators import facts as fx
 from engramma.operators.order import nearest_ranks
 from engramma.plans import model as m
-from engramma.sources.snapshots import checkpointed, parse_log
+from engramma.sources.snapshots import checkpointed, parse_log, scratch
 from engramma.plans.model import DECAYED, FCT, LNK, LOG, MEM, NEI, NOW, PRT, RETENTION, read
 
 Q: dict = {}
@@ -19,8 +19,14 @@ SQL: dict = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Registers a query; what it checkpoints on its way is deleted when it returns."""
+
     def register(f):
-        Q[name] = f
+        def run(spark, d):
+            with scratch(spark) as keep:
+                return keep(f(spark, d))
+
+        Q[name] = run
         if sql:
             SQL[name] = sql
         return f
@@ -615,7 +621,7 @@ def _(spark, d):
     return navigate.search(mem, knn, asks, 5)
 
 
-# The same writes over whole vectors of all labels, without SQL; the queries of these names above keep their SQL's two components.
+# The same writes over vectors of 10,000 bits of all labels, without SQL.
 
 
 @query("u13_reindex_whole")
@@ -732,13 +738,13 @@ def _(spark, d):
     return a.withColumn("rank", F.row_number().over(top)).where("rank <= 5 and act >= 0.03").select("query_id", "rank", "id", r9("score"))
 
 
-def _gated(spread: str) -> str:
+def _gated(spread: str, floor: float = 0.19, z: float = 2.0) -> str:
     """Ranking and abstention over act and a table `fin` (query_id, id, final)."""
     return f"""a as (select act.*, final, final * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act join {spread} using (query_id, id)),
   r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank", row_number() over (partition by query_id order by act desc, id) dr from a),
   h as (select * from r where "rank" <= 5 and final >= 0.03), nt as (select query_id, count(*) nt from h group by 1),
   g as (select r.query_id, max(act) best, avg(act) filter (dr > nt) mu, stddev_pop(act) filter (dr > nt) sd from r join nt on r.query_id = nt.query_id group by 1)
-select h.query_id, "rank"::int "rank", id, round(sim, 9) sim, round(score, 9) score from h join g on h.query_id = g.query_id where best >= 0.19 and best >= mu + 2 * sd"""
+select h.query_id, "rank"::int "rank", id, round(sim, 9) sim, round(score, 9) score from h join g on h.query_id = g.query_id where best >= {floor} and best >= mu + {z} * sd"""
 
 
 @query("r1_recall_sql", f"with {TX}, {SIMS}, {ACT}, fin as (select query_id, id, act final from act), {_gated('fin')}")
@@ -754,6 +760,69 @@ def _(spark, d):
     return got.select("query_id", "rank", "id", r9("sim"), r9("score"))
 
 
+_OWN = {"own": "user", "hops": 0}
+
+
+def _asked(spark, d, **options):
+    """`navigate.ask` over turns with all their flags."""
+    mem = _turn_vectors(spark, d).withColumns({"consolidated": F.col("id") % 17 == 0, "last_access": F.col("id").cast("double")})
+    none = m.turns(spark, d).select(F.col("seq").alias("src"), F.col("seq").alias("dst"), F.lit(1.0).alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status")).limit(0)
+    got = navigate.ask(checkpointed(mem), none, _query_vectors(spark, d), bits=BITS240, **{**_OWN, **options})
+    return got.select("query_id", "rank", "id", r9("sim"), r9("score"))
+
+
+def _ask_sql(where: str, scan: str = "true") -> str:
+    return f"""with {TX}, {SIMS}, {ACT.replace('act as (', 'a0 as (', 1)}, rl as (select conv_id * 1000 + turn k, role from conversations), mm as (select distinct k from hvs where k >= 0),
+  able as (select k from (select k, row_number() over (order by (k % 4) desc, k desc, k) r from mm join rl using (k) where k % 5 <> 0 and {scan}) where {where}),
+  act as (select a0.* from a0 join able on able.k = a0.id), fin as (select query_id, id, act final from act), {_gated('fin')}"""
+
+
+@query("r2_max_scan", _ask_sql("r <= 100 and k % 17 <> 0 and k % 13 <> 0", "role = 'user'"))
+def _(spark, d):
+    """Recall over the hundred most alive turns alone."""
+    return _asked(spark, d, max_scan=100)
+
+
+@query("r3_linked_spaces", _ask_sql("k % 17 <> 0 and k % 13 <> 0", "role in ('user', 'assistant')"))
+def _(spark, d):
+    """Recall that reads a linked name space too."""
+    return _asked(spark, d, linked=("assistant",))
+
+
+@query("r4_history", _ask_sql("true", "role = 'user'"))
+def _(spark, d):
+    """Recall with consolidated and superseded rows."""
+    return _asked(spark, d, include_history=True)
+
+
+@query("r1_recall_semantic", f"with {TX}, {SIMS}, {ACT}, fin as (select query_id, id, act final from act), {_gated('fin', 0.17, 2.5)}")
+def _(spark, d):
+    """Recall with the thresholds that hold where a semantic hook is mixed in."""
+    got = recall.search(checkpointed(_turn_vectors(spark, d)), _query_vectors(spark, d), semantic=True, bits=BITS240)
+    return got.select("query_id", "rank", "id", r9("sim"), r9("score"))
+
+
+def _letters(text: str):
+    """A small deterministic embedding: counts of letters and letter pairs, folded into 64 numbers."""
+    import numpy as np
+
+    out = np.zeros(64, np.float32)
+    folded = "".join(c for c in text.lower() if c.isalpha())
+    for a, b in zip(folded, folded[1:], strict=False):
+        out[(ord(a) * 31 + ord(b)) % 64] += 1
+    return out - out.mean()
+
+
+@query("e8_semantic_hook")
+def _(spark, d):
+    """Texts encoded with an embedding mixed in by a hook, asked of all documents' first atoms with the semantic thresholds."""
+    encode = hv.encoder(hook=hv.make_hook(_letters))
+    atoms = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(tx.atoms("text"), 1).alias("text")).where("text is not null")
+    mem = atoms.select("id", encode("text").alias("hv"), F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
+    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), encode("text").alias("hv"))
+    return recall.search(checkpointed(mem), asks, 5, semantic=True).select("query_id", "rank", "id", "sim", "score")
+
+
 @query("r9_touches", f"with {TX}, {SIMS}, {ACT}, fin as (select query_id, id, act final from act), hit as (with {_gated('fin')}) select id, count(*)::bigint n from hit where score >= 0.10 group by 1")
 def _(spark, d):
     """What recall would reinforce."""

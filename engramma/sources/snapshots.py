@@ -3,15 +3,21 @@
 A store is a folder of versions; a small manifest file names the tables of each, so that a
 write is all or nothing: tables are written to a fresh folder of their own first, then the manifest is
 created, which fails if another writer has made that version meanwhile.
+
+A table is its rows as last written whole, and behind them deltas: changed and new rows, and keys of deleted ones. A change of ten rows writes ten;
+reading lays the deltas over the rows, by key, the last one first; `compact` writes the table whole again.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +41,9 @@ DECLARED = dict(zip(TABLES, (MEMORIES, LINKS, FACTS, META, COUNTS, HISTORY), str
 DEFAULTS = {"kind": "episodic", "novelty": 1.0, "importance": 0.5, "confidence": 0.5, "strength": 1.0, "access_count": 0, "consolidated": False, "superseded": False, "dormant": False,
             "type": "lexical", "status": "confirmed", "namespace": "default"}
 STATUSES = ("confirmed", "proposed", "rejected")
+#: What tells a table's rows apart.
+KEYS = {"memories": ["id"], "links": ["src", "dst"], "facts": ["id"], "meta": ["namespace", "key"], "surprise_counts": ["namespace", "context", "token"], "surprise_history": ["namespace", "id"]}
+GONE = "_deleted"
 
 
 def shared(spark: SparkSession) -> str:
@@ -51,13 +60,49 @@ def shared(spark: SparkSession) -> str:
     return path
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def fresh_place(spark: SparkSession) -> str:
+    """A new folder name among those that `scratch` deletes."""
+    out = f"{shared(spark).rstrip('/')}/state/{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(out)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
-    out = f"{shared(df.sparkSession).rstrip('/')}/state/{uuid.uuid4().hex}"
+    """Written to the shared folder and read back: lineage ends there, and lost executors cost nothing. `scratch` deletes it."""
+    out = fresh_place(df.sparkSession)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is checkpointed inside is deleted at the end, but for the result given to the function it yields: that is written, if it reads any of it."""
+    made: list[str] = []
+    stay: list[str] = []
+    outer = _MADE.set(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        if made:
+            df = checkpointed(df)
+            stay.append(made[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(outer)
+        if (above := _MADE.get()) is not None:
+            above.extend(stay)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name in made:
+            if name not in stay:
+                path(name).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path(name), True)
+
+
 def evolved(name: str, df: DataFrame) -> DataFrame:
     """A table as the current schema has it: missing columns with their defaults, states of links that don't exist made `confirmed`; columns of its own stay."""
     want = T.StructType.fromDDL(DECLARED[name])
@@ -91,23 +136,96 @@ class Store:
     def commit(self, base: int | None = None, **tables: DataFrame) -> int:
         """Write the given tables as the version behind `base` (the version that was read; the current one if not given); others
         carry over by reference. If that version exists by then, nothing is changed and an error is raised."""
+        def write(manifest: dict, own: str) -> None:
+            for name, df in tables.items():
+                if name not in TABLES:
+                    raise ValueError(name)
+                writer = df.write.mode("errorifexists")
+                if name == "memories":
+                    writer = writer.partitionBy("namespace")
+                writer.parquet(f"{own}/{name}")
+                manifest["tables"][name] = {"place": f"{own}/{name}", "schema": json.loads(df.schema.json())}
+
+        return self._next(base, write)
+
+    def apply(self, upserts: dict[str, DataFrame] | None = None, deletes: dict[str, DataFrame] | None = None, base: int | None = None, batch: tuple[str, int] | None = None, most: int = 32) -> int | None:
+        """Write changed and new rows, and keys of deleted rows, as deltas behind `base`: nothing else is written or read. A table has one change a key at a time.
+
+        `batch` (name of a stream, number) is kept with the version: one that is there already changes nothing, and None is returned. A table with more than `most` deltas is
+        written whole in the same version."""
+        upserts, deletes = upserts or {}, deletes or {}
+        now = (self.current() if base is None else base) or None
+        manifest = {} if now is None else self._manifest(now)
+        if batch is not None and manifest.get("batches", {}).get(batch[0], -1) >= batch[1]:
+            return None
+
+        def write(manifest: dict, own: str) -> None:
+            for name in sorted({*upserts, *deletes}):
+                keys = KEYS[name]
+                gone = deletes[name].select(*keys).distinct().withColumn(GONE, F.lit(True)) if name in deletes else None
+                rows = upserts[name].withColumn(GONE, F.lit(False)) if name in upserts else None
+                delta = gone if rows is None else rows if gone is None else rows.unionByName(gone, allowMissingColumns=True)
+                place = f"{own}/{name}"
+                delta.write.mode("errorifexists").parquet(place)
+                written = self.spark.read.schema(delta.schema).parquet(place)
+                if not written.groupBy(*keys).count().where("count > 1").isEmpty():
+                    raise ValueError(f"several changes of one row of {name}")
+                entry = dict(manifest["tables"].get(name) or {"place": None, "schema": json.loads(upserts[name].schema.json())})
+                entry["deltas"] = [*entry.get("deltas", []), {"place": place, "schema": json.loads(delta.schema.json())}]
+                if len(entry["deltas"]) > most:
+                    whole = self._read(name, entry, manifest["schema_version"])
+                    whole.write.mode("errorifexists").parquet(f"{own}/whole/{name}")
+                    entry = {"place": f"{own}/whole/{name}", "schema": json.loads(whole.schema.json())}
+                manifest["tables"][name] = entry
+            if batch is not None:
+                manifest["batches"] = {**manifest.get("batches", {}), batch[0]: batch[1]}
+
+        return self._next(now or 0, write)
+
+    def mutate(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Rows of the given keys as `change` makes them, as a delta of as many rows."""
+        now = self.current()
+        rows = self.table(name, now)
+        named = rows.join(keys.select(*KEYS[name]).distinct(), KEYS[name], "left_semi")
+        return self.apply({name: change(named).select(*rows.columns)}, base=now)
+
+    def compact(self, *names: str) -> int | None:
+        """Tables with deltas (or those named) written whole; None if none has any."""
+        now = self.current()
+        able = [name for name, entry in self._manifest(now)["tables"].items() if entry.get("deltas") and (not names or name in names)]
+        return self.commit(now, **{name: self.table(name, now) for name in able}) if able else None
+
+    def erase(self, ids: DataFrame) -> int:
+        """Delete memories and their links for good: both tables are written whole, and all older versions go, so that no file holds the rows."""
+        dead = ids.select(F.col("id").alias("dead")).distinct()
+        now = self.current()
+        tables = {"memories": self.table("memories", now).join(dead, F.col("id") == F.col("dead"), "left_anti")}
+        if "links" in self._manifest(now)["tables"]:
+            left = self.table("links", now)
+            for end in ("src", "dst"):
+                left = left.join(dead, F.col(end) == F.col("dead"), "left_anti")
+            tables["links"] = left
+        version = self.commit(now, **tables)
+        self.vacuum()
+        return version
+
+    def _next(self, base: int | None, write: Callable[[dict, str], None]) -> int:
+        """The version behind `base`, as `write` changes its manifest with tables in a folder of their own; on any failure the folder goes."""
         last = (self.current() if base is None else base) or None  # 0: nothing was there
         new = (last or 0) + 1
-        manifest = {} if last is None else self._manifest(last)["tables"]
+        manifest = {"tables": {}} if last is None else self._manifest(last)
+        before, old = {name: t["place"] for name, t in manifest["tables"].items()}, manifest.get("schema_version", SCHEMA_VERSION)
         own = f"{self.root}/data/{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            if name not in TABLES:
-                raise ValueError(name)
-            writer = df.write.mode("errorifexists")
-            if name == "memories":
-                writer = writer.partitionBy("namespace")
-            writer.parquet(f"{own}/{name}")
-            manifest[name] = {"place": f"{own}/{name}", "schema": json.loads(df.schema.json())}
         try:
-            self._publish(new, json.dumps({"schema_version": SCHEMA_VERSION, "tables": manifest}))
+            write(manifest, own)
+            carried = any(manifest["tables"][name]["place"] == place for name, place in before.items())
+            manifest["schema_version"] = min(old, SCHEMA_VERSION) if carried else SCHEMA_VERSION  # tables of an older schema stay told as such
+            self._publish(new, json.dumps(manifest))
         except Exception as error:
             fs, path = self._fs()
             fs.delete(path(own), True)
+            if isinstance(error, ValueError):
+                raise
             raise RuntimeError(f"version {new} was not written: another writer took it, or the folder can't be written") from error
         return new
 
@@ -132,15 +250,28 @@ class Store:
     def _manifest(self, version: int) -> dict:
         return json.loads(self.spark.read.text(f"{self.root}/manifest/{version}", wholetext=True).first()[0])
 
-    def _where(self, version: int) -> dict[str, str]:
-        return {name: t["place"] for name, t in self._manifest(version)["tables"].items()}
+    def _where(self, version: int) -> dict[str, list[str]]:
+        """The folders of each table of a version."""
+        return {name: [p for p in (t["place"], *(x["place"] for x in t.get("deltas", []))) if p] for name, t in self._manifest(version)["tables"].items()}
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        """A table with the types it was written with, brought to the current schema."""
+        """A table with the types it was written with, deltas laid over it, brought to the current schema."""
         manifest = self._manifest(version or self.current())
-        entry = manifest["tables"][name]
-        got = self.spark.read.schema(T.StructType.fromJson(entry["schema"])).parquet(entry["place"])
-        return evolved(name, got) if manifest["schema_version"] < SCHEMA_VERSION else got
+        return self._read(name, manifest["tables"][name], manifest["schema_version"])
+
+    def _read(self, name: str, entry: dict, schema_version: int) -> DataFrame:
+        kind = T.StructType.fromJson(entry["schema"])
+        got = self.spark.read.schema(kind).parquet(entry["place"]) if entry["place"] else self.spark.createDataFrame([], kind)
+        deltas = None
+        for i, delta in enumerate(entry.get("deltas", [])):
+            one = self.spark.read.schema(T.StructType.fromJson(delta["schema"])).parquet(delta["place"]).withColumn("_delta", F.lit(i))
+            deltas = one if deltas is None else deltas.unionByName(one, allowMissingColumns=True)
+        if deltas is not None:
+            columns = [c for c in deltas.columns if c not in (GONE, "_delta")]
+            last = deltas.groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS[name]]).agg(F.max_by(F.struct(*columns, GONE), "_delta").alias("_row"))
+            same = [got[k] == F.col(f"_{k}") for k in KEYS[name]]
+            got = got.join(last.drop("_row"), same, "left_anti").unionByName(last.where(f"not _row.{GONE}").select(*[F.col("_row")[c].alias(c) for c in columns]), allowMissingColumns=True)
+        return evolved(name, got) if schema_version < SCHEMA_VERSION else got
 
     def migrate(self) -> int | None:
         """Write the tables of an older schema as a version of the current one; the old version stays until vacuumed. None if there is nothing to do."""
@@ -159,11 +290,11 @@ class Store:
         """Delete data of versions that the current one doesn't use, and older manifests."""
         fs, path = self._fs()
         now = self.current()
-        used = set(self._where(now).values())
+        used = {place for places in self._where(now).values() for place in places}
         dropped = 0
         for v in self.versions():
             if v < now:
-                for place in self._where(v).values():
+                for place in (p for places in self._where(v).values() for p in places):
                     if place not in used and fs.exists(path(place)):
                         fs.delete(path(place), True)
                         dropped += 1
