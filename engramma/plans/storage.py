@@ -12,6 +12,7 @@ from engramma.plans.catalog import flat, query, r9
 from engramma.plans.model import LNK, LOG, MEM, NOW, read
 from engramma.sources import snapshots
 from engramma.sources.snapshots import Store, fresh_place
+from engramma.streaming import gate
 
 FLAT = "id, namespace, kind, round(strength, 9) strength, access_count, consolidated, superseded, dormant"
 
@@ -201,3 +202,21 @@ def _(spark, d):
     after = maintain.slept(counted, due).select("namespace", F.col("value").cast("long").alias("afterwards"))
     both = counted.select("namespace", F.col("value").cast("long").alias("total")).join(due.withColumn("due", F.lit(True)), "namespace", "left")
     return both.join(after, "namespace").select("namespace", "total", F.coalesce("due", F.lit(False)).alias("due"), "afterwards")
+
+
+@query("w2_admit_stream")
+def _(spark, d):
+    """Turns as a stream of files, admitted by keyed state, written to the store batch by batch; what the store's log of scores then holds, with the decisions."""
+    own = spark.newSession()  # the provider of the state is this session's alone
+    own.conf.set(*gate.PROVIDER)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    source, out, state = fresh_place(spark), fresh_place(spark), fresh_place(spark)
+    turns = m.turns(spark, d).select(F.col("role").alias("namespace"), "seq", "text")
+    cuts = [None, *turns.approxQuantile("seq", [0.3, 0.7], 0.05), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):  # three files, one after another in order of seq
+        part = turns.where((F.lit(True) if low is None else F.col("seq") > low) & (F.lit(True) if high is None else F.col("seq") <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = own.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = gate.admit_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(gate.DECISIONS).parquet(out).select("namespace", "seq", "novelty", "predictable", "stored", "reinforces")
