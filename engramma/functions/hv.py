@@ -93,7 +93,7 @@ def similarity_batch(query: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return 1.0 - np.bitwise_count(np.bitwise_xor(matrix, query)).sum(1, dtype=np.int64) / BITS
 
 
-@functools.lru_cache(maxsize=20_000)
+@functools.lru_cache(maxsize=1 << 16)  # 82 MB a worker
 def _token_bits(token: str) -> np.ndarray:
     return random_hv(int(hashlib.sha256(token.encode()).hexdigest()[:16], 16) % 2**32)
 

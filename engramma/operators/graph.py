@@ -196,6 +196,13 @@ def hub(edges: DataFrame) -> DataFrame:
     return degrees(edges).orderBy(F.desc("degree"), "node").limit(1)
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, others, weights, degree, bytes): a row for each node, its neighbours in order; bytes are those of its ids and of the row's two offsets."""
+    rows = edges.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("other", "weight"))).alias("l"))
+    n = F.size("l").cast("long")
+    return rows.select("node", F.col("l.other").alias("others"), F.col("l.weight").alias("weights"), n.alias("degree"), (16 + 8 * n).alias("bytes"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) by least label with jumps; rounds grow with the logarithm of the longest path."""
     labels = checkpointed(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramma.operators import context, lifecycle, maintain
+from engramma.functions import hv
+from engramma.operators import context, graph, lifecycle, maintain, navigate
 from engramma.plans import model as m
 from engramma.plans.catalog import flat, query, r9
-from engramma.plans.model import LNK, LOG, MEM, NOW, read
+from engramma.plans.model import LNK, LOG, MEM, NEI, NOW, read
 from engramma.sources import snapshots
-from engramma.sources.snapshots import Store, fresh_place
+from engramma.sources.snapshots import Store, checkpointed, fresh_place
 from engramma.streaming import gate
 
 FLAT = "id, namespace, kind, round(strength, 9) strength, access_count, consolidated, superseded, dormant"
@@ -220,3 +221,44 @@ def _(spark, d):
     run = gate.admit_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(gate.DECISIONS).parquet(out).select("namespace", "seq", "novelty", "predictable", "stored", "reinforces")
+
+
+def _vectors(spark, d) -> DataFrame:
+    """Embeddings as rows of the store."""
+    rows = read(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), hv.simhash_udf("embedding").alias("hv"), F.lit("main").alias("namespace"))
+    return checkpointed(snapshots.evolved("memories", rows).select(*T.StructType.fromDDL(snapshots.MEMORIES).fieldNames()))
+
+
+def _grown(spark, d) -> tuple[Store, list[dict], DataFrame]:
+    """A store whose index is built over nine tenths of the vectors, read, and brought up to date when the rest arrives."""
+    rows = _vectors(spark, d)
+    store = Store(spark, fresh_place(spark))
+    store.commit(memories=rows.where("id % 10 <> 3"))
+    steps = [navigate.indexed(store)[2], navigate.indexed(store)[2]]
+    store.apply({"memories": rows.where("id % 10 = 3")})
+    steps.append(navigate.indexed(store)[2])
+    return store, steps, rows
+
+
+@query("r18_index_steps", """select 'built' step, 0 place, count(*) filter (vec_id % 10 <> 3)::bigint touched, count(*)::bigint nodes from embeddings where embedding is not null union all select 'read', 1, 0, count(*) from embeddings where embedding is not null
+  union all select 'extended', 2, count(*) filter (vec_id % 10 = 3), count(*) from embeddings where embedding is not null""")
+def _(spark, d):
+    """What each use of the stored index compared: all rows, none, the new ones."""
+    store, steps, _ = _grown(spark, d)
+    nodes = store.index()["nodes"].count()
+    return spark.createDataFrame([(s["step"], i, s["touched"], nodes) for i, s in enumerate(steps)], "step string, place int, touched long, nodes long")  # three rows
+
+
+@query("r18_navigate_stored")
+def _(spark, d):
+    """The queries of r13_navigate through the stored index after it grew."""
+    store, _, rows = _grown(spark, d)
+    vectors, links, _ = navigate.indexed(store)
+    asks = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "hv")
+    return navigate.search(vectors, links, asks, 5)
+
+
+@query("r17_layout", f"with {LNK}, {NEI} select node, list(other order by other) others, count(*)::bigint degree, (16 + 8 * count(*))::bigint bytes from nei group by 1")
+def _(spark, d):
+    """The graph as one row of neighbours a node, and what it takes."""
+    return graph.adjacency(graph.neighbours(m.links(spark, d))).select("node", "others", "degree", "bytes")

@@ -189,6 +189,29 @@ class Store:
         named = rows.join(keys.select(*KEYS[name]).distinct(), KEYS[name], "left_semi")
         return self.apply({name: change(named).select(*rows.columns)}, base=now)
 
+    def _rows_key(self, manifest: dict) -> str:
+        """Tells which rows of memories a version has."""
+        entry = manifest["tables"].get("memories", {})
+        return "|".join(str(p) for p in (entry.get("place"), *(x["place"] for x in entry.get("deltas", []))))
+
+    def put_index(self, base: int, nodes: DataFrame, links: DataFrame) -> int:
+        """Store a navigation index (nodes and links) of the memories of version `base`, as the version behind it."""
+
+        def write(manifest: dict, own: str) -> None:
+            nodes.write.parquet(f"{own}/index/nodes")
+            links.write.parquet(f"{own}/index/links")
+            manifest["index"] = {"place": f"{own}/index", "of": self._rows_key(manifest)}
+
+        return self._next(base, write)
+
+    def index(self, version: int | None = None) -> dict | None:
+        """The stored index: `nodes`, `links`, and whether it belongs to this version's rows (`current`)."""
+        manifest = self._manifest(version or self.current())
+        if (kept := manifest.get("index")) is None:
+            return None
+        nodes, links = (self.spark.read.parquet(f"{kept['place']}/{name}") for name in ("nodes", "links"))
+        return {"nodes": nodes, "links": links, "current": kept["of"] == self._rows_key(manifest)}
+
     def compact(self, *names: str) -> int | None:
         """Tables with deltas (or those named) written whole; None if none has any."""
         now = self.current()
@@ -251,8 +274,10 @@ class Store:
         return json.loads(self.spark.read.text(f"{self.root}/manifest/{version}", wholetext=True).first()[0])
 
     def _where(self, version: int) -> dict[str, list[str]]:
-        """The folders of each table of a version."""
-        return {name: [p for p in (t["place"], *(x["place"] for x in t.get("deltas", []))) if p] for name, t in self._manifest(version)["tables"].items()}
+        """The folders of each table of a version, and of its index."""
+        manifest = self._manifest(version)
+        places = {name: [p for p in (t["place"], *(x["place"] for x in t.get("deltas", []))) if p] for name, t in manifest["tables"].items()}
+        return {**places, "index": [manifest["index"]["place"]]} if "index" in manifest else places
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table with the types it was written with, deltas laid over it, brought to the current schema."""
@@ -278,7 +303,7 @@ class Store:
         now = self.current()
         if now is None or self._manifest(now)["schema_version"] >= SCHEMA_VERSION:
             return None
-        return self.commit(now, **{name: self.table(name, now) for name in self._where(now)})
+        return self.commit(now, **{name: self.table(name, now) for name in self._manifest(now)["tables"]})
 
     def rollback(self, version: int) -> None:
         fs, path = self._fs()
@@ -304,7 +329,7 @@ class Store:
     def backup(self, target: str) -> int:
         """Copy of the current version into another store, counted against the source."""
         other = Store(self.spark, target)
-        tables = {name: self.table(name) for name in self._where(self.current())}
+        tables = {name: self.table(name) for name in self._manifest(self.current())["tables"]}
         version = other.commit(**tables)
         for name, df in tables.items():
             if df.count() != other.table(name, version).count():
@@ -314,7 +339,7 @@ class Store:
     def restore(self, source: str) -> int:
         """Bring a backup back as a new version; the old one stays until vacuumed."""
         other = Store(self.spark, source)
-        return self.commit(**{name: other.table(name) for name in other._where(other.current())})
+        return self.commit(**{name: other.table(name) for name in other._manifest(other.current())["tables"]})
 
     def health(self) -> dict:
         """Whether the current version can be read with its schema and the folder written (tried with a file)."""
