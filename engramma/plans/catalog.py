@@ -677,8 +677,8 @@ def _spread_sql(hops: int, seeds: int, factor: float) -> str:
 
 @query("r5_spread", f"with {TX}, {SIMS}, {ACT}, {PAIRS}, {TNEI}, {_spread_sql(2, 5, 0.5)} select query_id, id, round(spread, 9) spread from s2 where spread > act")
 def _(spark, d):
-    got = graph.spread(checkpointed(_activation(spark, d).select("query_id", "id", "act")), _turn_edges(spark, d), 5, 2)
-    return got.where("spread > act").select("query_id", "id", r9("spread"))
+    got = recall.associated(_turn_vectors(spark, d), _query_vectors(spark, d), _turn_edges(spark, d), 5, 2, BITS240)
+    return got.select("query_id", "id", F.round("final", 9).alias("spread"))
 
 
 @query("r19_muse", f"""with {TX}, {SIMS}, {ACT}, {PAIRS}, {TNEI}, {_spread_sql(3, 3, 0.6)},
@@ -726,16 +726,15 @@ def _(spark, d):
   g as (select query_id, max(act) best, count(*) filter (r > 5) n_tail, avg(act) filter (r > 5) mu, stddev_pop(act) filter (r > 5) sd from o group by 1)
 select query_id, round(best, 9) best, n_tail::bigint n_tail, round(mu, 9) mu, round(sd, 9) sd, case when best < 0.19 then 'nothing relevant' when best < mu + 2 * sd then 'nothing stands out' else 'answer' end reason from g""")
 def _(spark, d):
-    return recall.gate(_activation(spark, d).select("query_id", "id", "act")).select("query_id", r9("best"), F.col("n_tail").cast("long").alias("n_tail"), r9("mu"), r9("sd"), "reason")
+    got = recall.signals(_turn_vectors(spark, d), _query_vectors(spark, d), bits=BITS240)
+    return got.select("query_id", r9("best"), F.col("n_tail").cast("long").alias("n_tail"), r9("mu"), r9("sd"), "reason")
 
 
 @query("r6_scores", f"""with {TX}, {SIMS}, {ACT}, s as (select *, act * (0.7 + 0.3 * least(strength, 3) / 3) * (0.6 + 0.4 * confidence) * case when superseded then 0.2 else 1 end score from act),
   r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, id) "rank" from s)
 select query_id, "rank"::int "rank", id, round(score, 9) score from r where "rank" <= 5 and act >= 0.03""")
 def _(spark, d):
-    a = _activation(spark, d).withColumn("score", recall.score(F.col("act")))
-    top = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
-    return a.withColumn("rank", F.row_number().over(top)).where("rank <= 5 and act >= 0.03").select("query_id", "rank", "id", r9("score"))
+    return recall.scored(_turn_vectors(spark, d), _query_vectors(spark, d), bits=BITS240).select("query_id", "rank", "id", r9("score"))
 
 
 def _gated(spread: str, floor: float = 0.19, z: float = 2.0) -> str:
@@ -1177,8 +1176,7 @@ def _(spark, d):
     asked = {True: mem.where("id % 7 = 0").select(F.col("id").alias("query_id"), "hv"), False: _query_vectors(spark, d)}
     signals = None
     for positive, queries in asked.items():
-        act = recall.similarities(mem, queries, BITS240).select("query_id", "id", recall.activation(F.col("sim")).alias("act"))
-        one = recall.gate(checkpointed(act)).select(F.lit(positive).alias("positive"), "best", "mu", "sd")
+        one = recall.signals(mem, queries, bits=BITS240).select(F.lit(positive).alias("positive"), "best", "mu", "sd")
         signals = one if signals is None else signals.unionByName(one)
     got = evaluate.sweep(signals, [0.08, 0.17, 0.19], [1.5, 2.0, 2.5])
     return got.select("floor", "z", F.round("answered", 6).alias("answered"), F.round("false_recall", 6).alias("false_recall"))
