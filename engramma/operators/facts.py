@@ -6,31 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engramma.operators.order import Ranged
+
 ROLES = ("subject", "predicate", "object", "time", "source")
 MATCH, ANSWER, MARGIN = 0.56, 0.56, 0.06
 
 
 def close_runs(arrivals: DataFrame) -> DataFrame:
     """Valid-time rows of (id, subject, predicate, object, valid_from): a fact holds until the next one
-    of its subject and predicate with another object starts, so equal neighbours close together.
+    of its subject and predicate with another object starts, so equal neighbours close together. A subject's history goes in ranges of time, however long.
 
     `supersedes` is the first of the facts that a new one closes (all are closed); null if it closes none."""
-    order = Window.partitionBy("subject", "predicate").orderBy("valid_from", "id")
-    run = F.sum(F.coalesce((F.col("object") != F.lag("object").over(order)).cast("int"), F.lit(0))).over(order)
-    rows = arrivals.where("subject is not null and predicate is not null and object is not null").withColumn("run", run)
-    first = F.min(F.struct("valid_from", "id"))
-    starts = rows.groupBy("subject", "predicate", "run").agg(first.alias("head"))
-    after = Window.partitionBy("subject", "predicate").orderBy("run")
-    ends = starts.select("subject", "predicate", "run", "head", F.lead("head.valid_from").over(after).alias("valid_to"), F.lag("head.id").over(after).alias("before"))
-    closed = rows.join(ends, ["subject", "predicate", "run"]).withColumn("supersedes", F.when(F.col("id") == F.col("head.id"), F.col("before")))
+    whole = arrivals.where("subject is not null and predicate is not null and object is not null")
+    rows = Ranged(whole, ["subject", "predicate"], ["valid_from", "id"]).with_last("_past", F.col("object"), inclusive=False)
+    head = F.when(F.col("_past").isNull() | (F.col("_past") != F.col("object")), F.struct("id", "valid_from"))
+    rows = rows.with_next("_next", head).with_last("_before", head, inclusive=False)
+    starts = F.col("_past").isNull() | (F.col("_past") != F.col("object"))
+    closed = rows.done().withColumn("valid_to", F.col("_next.valid_from")).withColumn("supersedes", F.when(starts, F.col("_before.id"))).drop("_past", "_next", "_before")
     kinds = dict(arrivals.dtypes)
     open_ = arrivals.where("subject is null or predicate is null or object is null")
     open_ = open_.withColumn("valid_to", F.lit(None).cast(kinds["valid_from"])).withColumn("supersedes", F.lit(None).cast(kinds["id"]))
-    return closed.drop("run", "head", "before").unionByName(open_)
+    return closed.unionByName(open_)
 
 
 def clean_fields(fields: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def as_of(facts: DataFrame, at=None) -> DataFrame:
 def ask_exact(facts: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe_id, object) for probes (probe_id, subject, predicate, at): the last fact that started by then, if it still holds.
 
-    Facts and probes go through one window in order of time, so no probe meets its subject's whole history. As `close_runs` leaves
+    Facts and probes go along one order of time, in ranges, so no probe meets its subject's whole history and no task holds one. As `close_runs` leaves
     them, facts of one subject and predicate that hold at a time have one object."""
     none = F.lit(None)
     kinds = dict(facts.dtypes)
@@ -89,10 +89,11 @@ def ask_exact(facts: DataFrame, probes: DataFrame) -> DataFrame:
         "subject", "predicate", F.col("at").alias("t"), F.lit(1).alias("asked"), none.cast(kinds["id"]).alias("id"), F.col("probe_id").cast("long").alias("probe_id"),
         none.cast(f.schema["f"].dataType).alias("f"),
     )
-    order = Window.partitionBy("subject", "predicate").orderBy(F.col("t").asc_nulls_first(), "asked", "id").rowsBetween(Window.unboundedPreceding, 0)
-    asked = f.unionByName(p).withColumn("l", F.last("f", ignorenulls=True).over(order)).where("asked = 1")
+    both = f.unionByName(p).where("subject is not null and predicate is not null").withColumn("nth", F.coalesce("id", "probe_id"))
+    asked = Ranged(both, ["subject", "predicate"], ["t", "asked", "nth"]).with_last("l", F.col("f")).done().where("asked = 1")
+    lost = probes.where("subject is null or predicate is null").select(F.col("probe_id").cast("long").alias("probe_id"), none.cast("string").alias("object"))
     holds = F.col("l.valid_to").isNull() | (F.col("l.valid_to") > F.col("t"))
-    return asked.select("probe_id", F.when(holds, F.col("l.object")).alias("object"))
+    return asked.select("probe_id", F.when(holds, F.col("l.object")).alias("object")).unionByName(lost)
 
 
 def contradicted(facts: DataFrame, new: DataFrame) -> DataFrame:

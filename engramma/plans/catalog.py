@@ -470,13 +470,6 @@ def _query_vectors(spark, d):
     return hv.sql_bundles(read(spark, d, "benchmark"), "item_id", "text", 4).withColumnRenamed("item_id", "query_id")
 
 
-def _activation(spark, d):
-    """The activation of every turn by every query."""
-    mem = _turn_vectors(spark, d)
-    sims = recall.similarities(mem, _query_vectors(spark, d), BITS240)
-    return sims.withColumn("act", recall.activation(F.col("sim"))).join(mem.select("id", "strength", "confidence", "superseded", "dormant"), "id")
-
-
 def _turn_edges(spark, d):
     """Turns as like as 0.62, both ways, by an exact join."""
     near = recall.nearest_pairs(checkpointed(_turn_vectors(spark, d).select("id", "hv")), None, least=0.62, bits=BITS240)
@@ -687,7 +680,7 @@ def _(spark, d):
   z as (select *, row_number() over (partition by query_id order by score desc, id) r from y where score is not null)
 select query_id, id, round(score, 9) score, round(gain, 9) gain, dormant and gain >= 0.05 wakes from z where r <= 3""")
 def _(spark, d):
-    got = graph.muse(checkpointed(_activation(spark, d)), _turn_edges(spark, d), 3, 3)
+    got = recall.muse(_turn_vectors(spark, d), _query_vectors(spark, d), _turn_edges(spark, d), 3, 3, BITS240)
     return got.select("query_id", "id", r9("score"), r9("gain"), "wakes")
 
 

@@ -90,3 +90,24 @@ def test_surprise_in_spans_equals_one_by_one(spark, monkeypatch):
     assert close(short(surprise.surprise(late, counts, history)), [x for x in want if x[0] >= 700])
     more = surprise.merged_history(history, surprise.surprise(late, counts, history))
     assert [round(r.score, 8) for r in more.orderBy("id").collect()] == [round(x, 8) for x in scores[-300:]]
+
+
+def test_values_carried_along_ranges(spark):
+    """A hot key over several ranges, with ties, nulls and keys that start and end inside a range."""
+    rng = random.Random(9)
+    data = [("hot", rng.choice([None, *range(300)]), i, rng.choice([None, None, f"v{i}"])) for i in range(900)] + [(f"k{i % 40}", i, i, rng.choice([None, f"w{i}"])) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, t int, id int, v string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = order.Ranged(df, ["k"], ["t", "id"])
+        got = ranged.with_last("upto", F.col("v")).with_last("before", F.col("v"), inclusive=False).with_next("after", F.col("v"))
+        assert got.rows.where("k = 'hot'").select("_range").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for key in {d[0] for d in data}:
+        own = sorted((d for d in data if d[0] == key), key=lambda d: (d[1] is not None, d[1] or 0, d[2]))
+        for i, d in enumerate(own):
+            last = lambda rows: next((x[3] for x in reversed(rows) if x[3] is not None), None)
+            want.append((*d, last(own[: i + 1]), last(own[:i]), next((x[3] for x in own[i + 1 :] if x[3] is not None), None)))
+    assert sorted(map(tuple, got.done().collect()), key=str) == sorted(want, key=str)
