@@ -15,9 +15,9 @@ corpus (smaller doc_id, or same document and earlier start), judged on the input
    without sorting their rotations again: an interleave (which shard is next) starts
    unordered, and each pass moves it by the preceding symbols, stably, so that after a pass
    over q symbols the merged order is right for q more symbols.  Symbols are runs of four
-   bytes in a dense code (fewer if the code would not fit 16 bits).  Borders between unequal
-   neighbours are carried along, so after `length` bytes the repeated intervals stand there:
-   all windows of an interval but the first are removed.
+   bytes in a dense code (fewer if the code would not fit 16 bits).  The pass that first puts a border between
+   two neighbours gives their common prefix; where it is `length` or more they belong to one
+   repeated interval: all windows of an interval but the first are removed.
 4. The removed windows come back to their documents, and the covered bytes are cut out.
 
 Minimisers that occur more than `HOT` times send each window as a string of its own, keyed
@@ -333,13 +333,19 @@ def transform(places: np.ndarray, plan: list[int], code: dict, prev: dict) -> np
     return order
 
 
-def merge(shards: list[np.ndarray], plan: list[int], code: dict, prev: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' transforms, refined pass by pass: (rotation, interval) in merged order."""
+def interleave(shards: list[np.ndarray], plan: list[int], code: dict, prev: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave of the shards' transforms, refined pass by pass: (rotation, interval, common) in merged order.
+
+    Rotations with a common prefix keep their stretch of places in all later passes, so the pass that first puts a border at a place tells how far that rotation agrees with the
+    one before it: `common` is the symbols before that pass (it may agree for some of the pass's own, see `common_prefixes`), and all of them where no pass tells the two apart."""
     total = sum(map(len, shards))
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
     bwt = {q: [code[q][prev[q][s]] for s in shards] for q in set(plan)}
     block = np.zeros(total, np.int32)
     symbol = np.empty(total, np.uint16)
+    common, depth = np.full(total, sum(plan), np.int32), 0
+    common[:1] = 0
+    apart = np.zeros(total, bool)  # places with a border
     for q in plan:
         for k, column in enumerate(bwt[q]):
             symbol[which == k] = column
@@ -350,11 +356,32 @@ def merge(shards: list[np.ndarray], plan: list[int], code: dict, prev: dict) ->
         border[0] = False
         np.not_equal(sorted_[1:], sorted_[:-1], out=border[1:])
         border[1:] |= source[1:] != source[:-1]
+        common[border & ~apart] = depth
+        apart, depth = border, depth + q
         block = np.cumsum(border, dtype=np.int32)
     rotation = np.empty(total, np.int64)
     for k, s in enumerate(shards):
         rotation[which == k] = s
-    return rotation, block
+    return rotation, block, common
+
+
+def merge(shards: list[np.ndarray], plan: list[int], code: dict, prev: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(rotation, interval) in merged order."""
+    return interleave(shards, plan, code, prev)[:2]
+
+
+def common_prefixes(data: np.ndarray, size: np.ndarray, rotation: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """How many bytes, up to `length`, each rotation of the merged order shares with the one before it: what `interleave` says, and the few bytes of one pass behind it compared."""
+    start = np.cumsum(size) - size
+    first, long = np.repeat(start, size), np.repeat(size, size)
+    out = common.astype(np.int64)
+    at = np.arange(1, len(rotation))
+    while len(at := at[out[at] < length]):
+        a, b = rotation[at - 1], rotation[at]
+        equal = data[first[a] + (a - first[a] + out[at]) % long[a]] == data[first[b] + (b - first[b] + out[at]) % long[b]]
+        at = at[equal]
+        out[at] += 1
+    return out
 
 
 def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shards: int = SHARDS) -> np.ndarray:
@@ -368,13 +395,13 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shards: in
     cut = np.unique(np.linspace(0, n, min(shards, n) + 1).astype(int))
     ends = np.append(start, len(data))
     built = [transform(np.arange(ends[a], ends[b], dtype=np.int32), plan, code, prev) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    rotation, block = merge(built, plan, code, prev)
+    rotation, _, common = interleave(built, plan, code, prev)
     inside = np.repeat(start + size - length, size) >= np.arange(len(data))
     place = np.where(inside[rotation], rotation, len(data))
-    head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    least = np.minimum.reduceat(place, head)
+    new = np.append(True, common[1:] < length)  # repeated intervals: stretches that share `length` bytes
+    least = np.minimum.reduceat(place, np.flatnonzero(new))
     later = np.zeros(len(data) + 1, bool)
-    later[place[place != least[block]]] = True
+    later[place[place != least[np.cumsum(new) - 1]]] = True
     return later[:-1] & inside
 
 

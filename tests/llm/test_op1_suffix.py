@@ -102,3 +102,26 @@ def test_odd_rows(spark):
     n = len(long)
     assert got == [(0, n, n), (5, n, 0), (5, n, 0), (6, 0, 0), (7, 0, 0), (8, 5, 0), (9, n + 1, n), (9, n + 1, n)]
     assert m.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_common_prefixes_of_the_merged_order():
+    """Against sorting all rotations and comparing neighbours."""
+    rng = random.Random(21)
+    for _ in range(12):
+        texts = ["".join(rng.choice("ab\u00e9 ") for _ in range(rng.randrange(1, 90))).encode() for _ in range(rng.randrange(1, 9))]
+        texts += rng.sample(texts, min(2, len(texts))) + [b"ab" * 30]
+        size = np.array([len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        start, length = np.cumsum(size) - size, rng.choice([7, 20, 30])
+        table = m.symbols(data, start, size)
+        plan, code = m.steps(table, length), dict(table)
+        prev = {q: m.before(start, size, q) for q in set(plan)}
+        ends = np.append(start, len(data))
+        cut = sorted({0, len(size) // 3, 2 * len(size) // 3, len(size)})
+        shards = [m.transform(np.arange(ends[a], ends[b], dtype=np.int32), plan, code, prev) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        rotation, _, common = m.interleave(shards, plan, code, prev)
+        own = np.repeat(np.arange(len(size)), size)
+        head = [(texts[k] * (length // len(texts[k]) + 2))[i - start[k] :][:length] for i, k in enumerate(own)]
+        assert [head[i] for i in rotation] == sorted(head)
+        shared = [next((j for j in range(length) if x[j] != y[j]), length) for x, y in zip([head[i] for i in rotation], [head[i] for i in rotation[1:]], strict=False)]
+        assert m.common_prefixes(data, size, rotation, common, length)[1:].tolist() == shared
