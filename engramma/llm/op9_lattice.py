@@ -16,9 +16,8 @@ Vectors that are equal in all components are one class (128 bits of hash), compa
 number of rows.  Buckets of cells, and groups beyond `TILE` members, that are too large for a task are
 cut into tiles, and every pair of tiles is compared, so a hot cell is no single task and nothing is capped.
 
-Cost: entries are rows x tables x (1 + probes) x 28 bytes.  Vectors without likeness share a cell with chance
-(pi scale**2 / 16)**-4 a table, so the sketches compared grow with the square of the rows times that; for
-tables of many millions of rows raise `scale` with `tables` (6 and 3: recall 0.99 at a cosine of 0.95; 8 and 4 with 12 probes: the same, a tenth of the comparisons).
+Cost: entries are rows x tables x (1 + probes) x 28 bytes, and vectors without likeness that share a cell are compared by sketch. A finer lattice has fewer of these and needs more
+tables and probes for the same recall; `Lattice.for_rows` weighs the two for the table's number of vectors (from 3 tables at a million to 12 at a billion; recall above 0.97 at a cosine of 0.951 for each).
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing (kept, component of their own); vectors of different
@@ -49,6 +48,10 @@ BUCKET = 1 << 18  # entries of a bucket of cells; beyond four times that it is c
 ENTRY = np.dtype([("cell", "<u4"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])  # the cell's top bit: owner
 
 
+#: Tables, probes and scale, from small tables to large ones; what an entry costs, in comparisons of two sketches.
+SETTINGS, ENTRY_COST = ((3, 6, 6.0), (4, 12, 8.0), (6, 24, 10.0), (8, 32, 12.0), (12, 48, 14.0)), 500
+
+
 @dataclass(frozen=True)
 class Lattice:
     tables: int = 3
@@ -56,6 +59,15 @@ class Lattice:
     scale: float = 6.0
     seed: int = 20
 
+    def unlike(self) -> float:
+        """Share of a table's vectors that a vector without likeness to them meets in a cell: (pi scale**2 / 16)**-4 a table and look."""
+        return (math.pi * self.scale**2 / 16) ** -4 * self.tables * (1 + 2 * self.probes)
+
+    @classmethod
+    def for_rows(cls, n: int) -> Lattice:
+        """Of settings with a measured recall above 0.97 at a cosine of 0.951, the one of least cost for n vectors: entries are shuffled, vectors that meet are compared."""
+        return min((cls(*x) for x in SETTINGS), key=lambda c: ENTRY_COST * c.tables * (1 + c.probes) + n * c.unlike())
+
 
 def _roots() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -335,14 +347,15 @@ def linked(unit: np.ndarray, tile: np.ndarray, across: bool, threshold: float):
             yield rows[x], right[y]
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, cfg: Lattice = Lattice(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, cfg: Lattice | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     with scratch(rows.sparkSession) as keep:
         all_ = sound_rows(rows, id_col, vec_col)
         sound = all_.where("v is not null")
         keyed = keep(store(all_.select("vec_id", "a", "b")))
         classes = keyed.where("a is not null").groupBy("a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
-        met = store(candidates(sound, keyed.where("a is not null").count(), threshold, cfg))
+        n = keyed.where("a is not null").count()
+        met = store(candidates(sound, n, threshold, cfg or Lattice.for_rows(n)))
         groups = components(met)
         grouped = sound.join(groups, F.col("a") == F.col("node")).groupBy("root", "a", "b").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
         members = store(grouped.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand

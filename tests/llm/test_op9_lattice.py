@@ -105,3 +105,25 @@ def test_full_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert got_rows(m.op9_lattice_neardup(spark, sf)) == brute(rows)
+
+
+def test_every_setting_finds_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for dim in (64, 384):
+        a = rng.normal(size=(600, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        r = rng.normal(size=a.shape)
+        r -= (r * a).sum(1, keepdims=True) * a
+        r /= np.linalg.norm(r, axis=1, keepdims=True)
+        b = 0.951 * a + np.sqrt(1 - 0.951**2) * r
+        for setting in m.SETTINGS:
+            x, y = m.cells(a, m.Lattice(*setting)), m.cells(b, m.Lattice(*setting))
+            met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any((1, 2)).mean()
+            assert met >= 0.97, (setting, dim, met)
+
+
+def test_larger_tables_get_finer_lattices():
+    scales = [m.Lattice.for_rows(10**k).scale for k in range(3, 11)]
+    assert scales == sorted(scales) and scales[0] == 6.0 and len(set(scales)) >= 4
+    n = 10**9  # comparisons a vector, against the coarsest lattice
+    assert m.Lattice.for_rows(n).unlike() < m.Lattice().unlike() / 25
