@@ -10,7 +10,7 @@ table of heavy n-grams, counted over all text, are enough, and any table gives t
 Each remaining column names a pivot for each band of set sizes, its first document there; (pivot, document) rows are
 found by a map-side `min` and a join, so they are linear in the incidence however
 many documents share a column.  All documents of one pivot make a row block of the
-product.  Blocks beyond `TILE` rows are cut into pairs of row tiles; columns are multiplied in
+product.  Blocks beyond `TILE` rows, or `TILE_SHINGLES` shingles, are cut into pairs of row tiles; columns are multiplied in
 blocks of `COLUMNS`, overlap counts accumulate, pairs whose sizes rule them out or whose
 remaining columns can't reach the bound are discarded, and a block returns only a
 spanning forest of its links: pairs are never emitted.
@@ -36,6 +36,7 @@ from engramma.llm.common import U64, Block, blocks, bounded_batches, drop_stored
 from engramma.llm.components import components, forest
 
 TILE, COLUMNS = 512, 8192
+TILE_SHINGLES = 1 << 21  # 16 MB of sets
 HEAVY = 1 << 18  # bound of the table of heavy n-grams, which is broadcast (about 2.5 MB)
 COUNTERS = 1 << 20  # of word counts; their logarithms are broadcast (1 MB)
 SLICES = 64
@@ -215,7 +216,7 @@ def is_marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def shared_cells(classes: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(num, at, col) of the marked columns of each class (num, at, band, prefix), in its own band and the next."""
+    """(num, at, n, col) of the marked columns of each class (num, at, n, band, prefix), in its own band and the next."""
     sent = classes.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator) -> Iterator:
@@ -228,9 +229,9 @@ def shared_cells(classes: DataFrame, marks: np.ndarray) -> DataFrame:
             both = np.concatenate([col ^ (band * BAND), col ^ ((band + 1) * BAND)])
             pick = np.flatnonzero(is_marked(sent.value, both))
             at = pa.array(np.concatenate([row, row])[pick])
-            yield pa.RecordBatch.from_arrays([batch.column("num").take(at), batch.column("at").take(at), pa.array(both[pick])], ["num", "at", "col"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("num", "at", "n")), pa.array(both[pick])], ["num", "at", "n", "col"])
 
-    return classes.select("num", "at", "band", "prefix").mapInArrow(run, "num long, at long, col long")
+    return classes.select("num", "at", F.col("n").cast("long").alias("n"), "band", "prefix").mapInArrow(run, "num long, at long, n long, col long")
 
 
 def squeezed(rows: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -302,14 +303,14 @@ def link_edges(rows: DataFrame, feats: DataFrame, k: int, percent: int) -> tuple
     classes = store(classes.withColumn("num", F.monotonically_increasing_id()))  # written once, so the numbers stand
     # sizes of a linked pair lie in the same or neighbouring bands, so each set goes to its own band and the next
     band = F.floor(F.log("n") / math.log(100 / percent * 1.001)).cast("int")
-    banded = classes.select("num", "at", band.alias("band"), "prefix")
+    banded = classes.select("num", "at", "n", band.alias("band"), "prefix")
     cells = banded.select("at", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "prefix").select("at", "band", F.explode("prefix").alias("col"))
     cells = cells.select("at", F.col("col").bitwiseXOR(F.col("band").cast("long") * F.lit(BAND)).alias("col"))
     pivots = store(cells.groupBy("col").agg(F.min("at").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("col", "pivot"))
-    members = store(shared_cells(bounded_batches(banded), marked(pivots.select("col"))).join(pivots, "col").select("pivot", "num", "at").distinct())
-    sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c")).where("c > 1"))
-    tiles = F.ceil(F.col("c") / TILE).cast("int")
-    units = members.join(sizes, "pivot").withColumn("tiles", tiles)
+    members = store(shared_cells(bounded_batches(banded), marked(pivots.select("col"))).join(pivots, "col").select("pivot", "num", "at", "n").distinct())
+    sizes = store(members.groupBy("pivot").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where("c > 1"))
+    tiles = F.greatest(F.ceil(F.col("c") / TILE), F.least(F.col("c"), F.ceil(F.col("s") / TILE_SHINGLES))).cast("int")
+    units = members.drop("n").join(sizes, "pivot").withColumn("tiles", tiles)
     units = units.withColumn("mine", F.pmod(F.xxhash64("num"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     units = units.select("pivot", "num", "at", "tiles", F.col("mine").alias("tile"), F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     # small blocks share a task, by their number; a tile pair of a large block has a task of its own

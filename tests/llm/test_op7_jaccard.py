@@ -83,3 +83,8 @@ def test_full_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, m.op7_ngram_jaccard(spark, sf).collect())) == brute(rows)
+
+
+def test_tiles_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(m, "TILE_SHINGLES", 300)  # a group of long texts falls into many tiles, however few they are
+    compare(spark, sample(5, 6), 80)
