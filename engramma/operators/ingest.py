@@ -219,7 +219,7 @@ def groups_of(rows: DataFrame, bits: int = hv.BITS) -> DataFrame:
 
 def consolidate(rows: DataFrame, summarizer: Callable[[list[str]], str] | None = None) -> DataFrame:
     """New semantic rows from episodes (id, namespace, text, hv, importance, confidence, novelty) that are all alike; `summarizer` makes a text of a group's texts."""
-    rows = rows.select("id", "namespace", "text", "hv", "importance", "confidence", "novelty")
+    rows = checkpointed(rows.select("id", "namespace", "text", "hv", "importance", "confidence", "novelty"))  # read twice
     members = checkpointed(groups_of(rows))
     full = rows.join(members, "id")
     vectors = hv.bundled(full.select("first_id", "hv"), "first_id", "hv").select("first_id", "hv")

@@ -105,7 +105,8 @@ def surprise(observations: DataFrame, counts: DataFrame | None = None, history:
     """
     obs = observations.select("namespace", "seq", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.floor(F.col("seq") / OBSERVED).alias("span"))
     prior = prior_counts(obs, counts)
-    scored = obs.groupBy("namespace", "span").cogroup(prior.groupBy("namespace", "span")).applyInPandas(_span_bits, "namespace string, seq long, n_tokens int, surprise double")
+    prior = prior.select(F.col("namespace").alias("space"), F.col("span").alias("before"), "kind", "a", "b", "prior")  # names of its own: both sides come from the same rows
+    scored = obs.groupBy("namespace", "span").cogroup(prior.groupBy("space", "before")).applyInPandas(_span_bits, "namespace string, seq long, n_tokens int, surprise double")
     scored = scored.withColumn("one", F.lit(1))
     placed = running_before(scored, "seq", "one").withColumnRenamed("before", "place").withColumn("own", F.lit(True))
     if history is not None:

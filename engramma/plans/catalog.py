@@ -163,7 +163,7 @@ def _(spark, d):
 
 @query("v3_bundle_np")
 def _(spark, d):
-    t = read(spark, d, "conversations").select("conv_id", hv.encoder(False)("text").alias("hv"))
+    t = read(spark, d, "conversations").select("conv_id", hv.encoder()("text").alias("hv"))
     return hv.bundled(t, "conv_id", "hv").select("conv_id", "n", F.md5("hv").alias("digest"))
 
 
@@ -588,17 +588,33 @@ def _(spark, d):
     return maintain.unlearn(mem, links, mem.where("id % 10 = 3").select("id"), "fr")[0].select("id", "namespace")
 
 
-@query("w18_sleep")
-def _(spark, d):
-    rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text", F.lit("episodic").alias("kind"), F.col("turn").alias("t"))
+def _slept(spark, d) -> dict:
+    """Turns of all roles that sleep: consolidated, forgotten, and dreamt over."""
+    rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text", F.lit("episodic").alias("kind"))
     for c, v in (("novelty", 0.5), ("importance", 0.5), ("confidence", 0.5), ("strength", 1.0), ("created", NOW), ("last_access", NOW)):
         rows = rows.withColumn(c, F.lit(v))
-    rows = rows.withColumn("access_count", F.lit(0).cast("long")).withColumn("hv", hv.encoder(False)("text")).drop("t")
+    rows = rows.withColumn("access_count", F.lit(0).cast("long")).withColumn("hv", hv.encoder()("text"))
     for c in ("consolidated", "superseded", "dormant"):
         rows = rows.withColumn(c, F.lit(False))
     links = rows.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.7).alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status"))
-    out = maintain.sleep(rows, links, NOW, lambda a, b: hv.similarity_udf(F.col(f"{a}.hv"), F.col(f"{b}.hv")))
-    return out["memories"].select("id", "namespace", "kind", "consolidated", "dormant")
+    return maintain.sleep(checkpointed(rows), links, NOW, lambda a, b: hv.similarity_udf(F.col(f"{a}.hv"), F.col(f"{b}.hv")))
+
+
+@query("w18_sleep")
+def _(spark, d):
+    return _slept(spark, d)["memories"].select("id", "namespace", "kind", "consolidated", "dormant")
+
+
+@query("w18_sleep_links")
+def _(spark, d):
+    """The links after a sleep: those that were there, those consolidated rows inherit, and proposed bridges."""
+    return _slept(spark, d)["links"].select("src", "dst", r9("weight"), "type", "status")
+
+
+@query("w18_sleep_bridges")
+def _(spark, d):
+    """What a sleep proposes, and why."""
+    return _slept(spark, d)["bridges"].select("a_id", "b_id", "via", r9("path"), r9("sim"), "calibration", r9("score"))
 
 
 def _vectors(spark, d):
@@ -922,7 +938,7 @@ def _(spark, d):
 @query("w12_consolidate")
 def _(spark, d):
     rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text")
-    return ingest.consolidate(rows.withColumn("hv", hv.encoder(False)("text")).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
+    return ingest.consolidate(rows.withColumn("hv", hv.encoder()("text")).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
 
 
 # ------------------------------------------------------------ facts
