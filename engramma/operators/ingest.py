@@ -37,7 +37,7 @@ def admit(observations: DataFrame, stored: DataFrame | None = None, reads: DataF
     Only rows too like each other depend on one another. Those are found by sampled bits and settled in rounds (`_settled`); then every row is compared with all that was
     admitted before it, which gives its novelty and tells whether a pair was missed. If so, the pairs found are added and the rounds run again: the first wrong
     decision is right from then on, and where none is found all are what going one by one gives."""
-    rows = observations if "hv" in observations.columns else observations.withColumn("hv", hv.encoder()("text"))
+    rows = observations if "hv" in observations.columns else hv.encoded(observations)
     if predictable is None:
         predictable = surprise(observations.select("namespace", "seq", tx.tokens(F.col("text")).alias("tokens")))
     flags = predictable.select("namespace", "seq", "predictable")
@@ -169,7 +169,7 @@ def remember(documents: DataFrame, stored: DataFrame | None = None, reads: DataF
     rows = atom_rows(documents).withColumn("secrets", tx.secret_labels(F.col("text")))
     rows = checkpointed(rows.withColumn("text", tx.redacted(F.col("text"))) if redact else rows)
     now, flags = observed(rows)
-    now = checkpointed(now.withColumn("hv", hv.encoder()("text")))
+    now = checkpointed(hv.encoded(now))
     decisions = admit(now, stored, reads, flags)
     decisions = checkpointed(now.select("seq", "source", "n", "text", "secrets").join(decisions, "seq"))
     fresh = decisions.where("stored").join(now.select("seq", "hv"), "seq").select(F.col("seq").alias("id"), "namespace", "text", "hv", "novelty", F.when(F.col("n") > 0, "atom").otherwise("source").alias("part"))

@@ -163,7 +163,7 @@ def _(spark, d):
 
 @query("v3_bundle_np")
 def _(spark, d):
-    t = read(spark, d, "conversations").select("conv_id", hv.encoder()("text").alias("hv"))
+    t = hv.encoded(read(spark, d, "conversations").select("conv_id", "text"))
     return hv.bundled(t, "conv_id", "hv").select("conv_id", "n", F.md5("hv").alias("digest"))
 
 
@@ -593,7 +593,7 @@ def _slept(spark, d) -> dict:
     rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text", F.lit("episodic").alias("kind"))
     for c, v in (("novelty", 0.5), ("importance", 0.5), ("confidence", 0.5), ("strength", 1.0), ("created", NOW), ("last_access", NOW)):
         rows = rows.withColumn(c, F.lit(v))
-    rows = rows.withColumn("access_count", F.lit(0).cast("long")).withColumn("hv", hv.encoder()("text"))
+    rows = hv.encoded(rows.withColumn("access_count", F.lit(0).cast("long")))
     for c in ("consolidated", "superseded", "dormant"):
         rows = rows.withColumn(c, F.lit(False))
     links = rows.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.7).alias("weight"), F.lit("lexical").alias("type"), F.lit("confirmed").alias("status"))
@@ -824,10 +824,10 @@ def _letters(text: str):
 @query("e8_semantic_hook")
 def _(spark, d):
     """Texts encoded with an embedding mixed in by a hook, asked of all documents' first atoms with the semantic thresholds."""
-    encode = hv.encoder(hook=hv.make_hook(_letters))
+    hook = hv.make_hook(_letters)
     atoms = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(tx.atoms("text"), 1).alias("text")).where("text is not null")
-    mem = atoms.select("id", encode("text").alias("hv"), F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
-    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), encode("text").alias("hv"))
+    mem = hv.encoded(atoms, hook=hook).select("id", "hv", F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
+    asks = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), hv.encoder(hook=hook)("text").alias("hv"))
     return recall.search(checkpointed(mem), asks, 5, semantic=True).select("query_id", "rank", "id", "sim", "score")
 
 
@@ -938,7 +938,7 @@ def _(spark, d):
 @query("w12_consolidate")
 def _(spark, d):
     rows = m.turns(spark, d).select(F.col("seq").alias("id"), F.col("role").alias("namespace"), "text")
-    return ingest.consolidate(rows.withColumn("hv", hv.encoder()("text")).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
+    return ingest.consolidate(hv.encoded(rows).withColumn("importance", F.lit(0.5)).withColumn("confidence", F.lit(0.5)).withColumn("novelty", F.lit(0.5)))
 
 
 # ------------------------------------------------------------ facts
@@ -1265,7 +1265,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     atoms = docs.select("doc_id", F.posexplode(tx.atoms("text")).alias("n", "atom"))
     atoms = atoms.select((F.col("doc_id") * 100_000 + F.col("n")).alias("id"), "atom")
-    mem = atoms.select("id", hv.encoder()("atom").alias("hv"), F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
+    mem = hv.encoded(atoms, "atom").select("id", "hv", F.lit(1.0).alias("strength"), F.lit(0.5).alias("confidence"), F.lit(False).alias("superseded"))
     asks = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), hv.encoder()("text").alias("hv"))
     return recall.search(mem, asks, 5).select("query_id", "rank", "id", "sim", "score")
 
