@@ -90,3 +90,22 @@ def test_tokens_column(spark):
     got = {r.doc_id: r.ids for r in m.bpe_tokens(docs, m.default_path()).collect()}
     model = m.tokenizer(m.default_path())
     assert got == {1: model.encode("hello world"), 2: []} and model.decode(got[1]) == "hello</w> world</w>"
+
+
+def test_words_met_again_stay_in_a_full_table(monkeypatch):
+    model = m.WordBpe(m.default_path())
+    monkeypatch.setattr(m, "CACHE_WORDS", 8)
+    packed, plain = [], model.word
+    monkeypatch.setattr(model, "word", lambda w: packed.append(w) or plain(w))
+    text = " ".join(f"often word{chr(97 + i)}{chr(97 + i)}" for i in range(26))
+    ids = model.encode(text)
+    assert packed.count("often") == 1 and len(model.cache) + len(model.older) <= 8
+    monkeypatch.undo()
+    assert ids == m.WordBpe(m.default_path()).encode(text)
+
+
+def test_ascii_words_are_those_of_the_whole_pattern():
+    model = m.tokenizer(m.default_path())
+    for text in ["".join(map(chr, range(128))), "it's we'll 'sno '' don't've", "a1b22\x0b\x1c\x1d\x1e\x1f\x85c_d--e f\r\n'"]:
+        text = model.normal("".join(c for c in text if c.isascii()))
+        assert model.find_ascii(text) == model.find(text)
