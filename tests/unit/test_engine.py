@@ -50,6 +50,14 @@ def test_partial_bundles_equal_whole_ones(spark):
     assert got == {k: hv.bundle([np.frombuffer(v, np.uint8) for j, v in vectors if j == k]).tobytes() for k in range(3)}
 
 
+def test_partial_sums_are_no_larger_than_they_need_be():
+    rng = np.random.default_rng(1)
+    for n, size in ((1, 1250), (255, 10_000), (256, 40_000)):
+        ones = hv.ones_of(rng.integers(0, 256, (n, 1250), dtype=np.uint8)) if n < 256 else np.full(hv.BITS, 256, np.int32)
+        packed = hv._sums({7: (ones, n)}, "k")["ones"][0]
+        assert len(packed) == size and (hv._counts(packed) == ones).all()
+
+
 # ------------------------------------------------------------ text
 
 

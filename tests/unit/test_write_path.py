@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from engramma.functions import hv
@@ -146,3 +147,35 @@ def test_consolidate_equals_scan_order(spark):
     short = {r.text for r in ingest.consolidate(df, lambda texts: "+".join(texts)).collect()}
     assert short == {"+".join(f"t{j}" for j in g) for g in want}
     assert tx.MIN_ATOM == 12
+
+
+def test_groups_in_blocks_equal_scan_order(spark):
+    """Blocks far smaller than the groups, copies, and two name spaces, one of them null: what filling one group after another gives."""
+    rng = random.Random(8)
+    pool = [hv.random_hv(i) for i in range(3)]
+    rows = []
+    for i in range(70):
+        bits = np.unpackbits(pool[rng.randrange(3)])[: hv.BITS].copy()
+        if i % 5:
+            bits[rng.sample(range(hv.BITS), rng.choice([500, 2000, 2600]))] ^= 1
+        rows.append((i * 3, rng.choice(["a", None]), np.packbits(bits)))
+    free, want = {i for i, _, _ in rows}, set()
+    for at, (i, ns, v) in enumerate(rows):
+        if i not in free:
+            continue
+        group = [(i, v)]
+        for j, other, w in rows[at + 1 :]:
+            if j in free and other == ns and all(hv.similarity_batch(x, w[None])[0] >= 0.6 for _, x in group):
+                group.append((j, w))
+        free -= {j for j, _ in group}
+        want |= {(i, j) for j, _ in group} if len(group) > 1 else set()
+    df = spark.createDataFrame([(i, ns, v.tobytes()) for i, ns, v in rows], "id long, namespace string, hv binary")
+    for block in (9, 40, 2048):
+        assert {tuple(r) for r in ingest.groups_of(df, block=block).collect()} == want
+
+
+def test_groups_need_no_pairs(spark, monkeypatch):
+    """Grouping reads no list of like pairs, of which a component of n rows has n * n / 2."""
+    monkeypatch.setattr(ingest.recall, "nearest_pairs", lambda *a, **k: pytest.fail("pairs"))
+    df = spark.createDataFrame([(i, "a", hv.random_hv(1).tobytes()) for i in range(20)], "id long, namespace string, hv binary")
+    assert {tuple(r) for r in ingest.groups_of(df, block=6).collect()} == {(0, i) for i in range(20)}
