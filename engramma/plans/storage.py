@@ -223,20 +223,22 @@ def _(spark, d):
     return spark.read.schema(gate.DECISIONS).parquet(out).select("namespace", "seq", "novelty", "predictable", "stored", "reinforces")
 
 
-def _vectors(spark, d) -> DataFrame:
-    """Embeddings as rows of the store."""
-    rows = read(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), hv.simhash_udf("embedding").alias("hv"), F.lit("main").alias("namespace"))
-    return checkpointed(snapshots.evolved("memories", rows).select(*T.StructType.fromDDL(snapshots.MEMORIES).fieldNames()))
+def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as rows of the store, and the dense vectors they are signs of."""
+    dense = read(spark, d, "embeddings").where("embedding is not null").withColumnRenamed("vec_id", "id")
+    rows = dense.select("id", hv.simhash_udf("embedding").alias("hv"), F.lit("main").alias("namespace"))
+    rows = checkpointed(snapshots.evolved("memories", rows).select(*T.StructType.fromDDL(snapshots.MEMORIES).fieldNames()))
+    return rows, checkpointed(dense.select("id", hv.unit_udf("embedding").alias("unit")))
 
 
 def _grown(spark, d) -> tuple[Store, list[dict], DataFrame]:
     """A store whose index is built over nine tenths of the vectors, read, and brought up to date when the rest arrives."""
-    rows = _vectors(spark, d)
+    rows, units = _vectors(spark, d)
     store = Store(spark, fresh_place(spark))
     store.commit(memories=rows.where("id % 10 <> 3"))
-    steps = [navigate.indexed(store)[2], navigate.indexed(store)[2]]
+    steps = [navigate.indexed(store, units)[2], navigate.indexed(store, units)[2]]
     store.apply({"memories": rows.where("id % 10 = 3")})
-    steps.append(navigate.indexed(store)[2])
+    steps.append(navigate.indexed(store, units)[2])
     return store, steps, rows
 
 
